@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: ASCII without letters and digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -54,19 +56,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
     a broadcast hash table of the benchmark's runs, and each hit is verified
     word for word in place. No document is shuffled.
     """
-    windows = benchmark_windows(benchmark, window, item_col, benchmark_text_col).persist()
-    try:
-        sizes = {r["n"]: r["count"] for r in windows.groupBy("n").count().collect()}  # at most `window` rows
-    finally:
-        windows.unpersist()
+    windows = materialise(benchmark_windows(benchmark, window, item_col, benchmark_text_col))
+    sizes = {r["n"]: r["count"] for r in windows.groupBy("n").count().collect()}  # at most `window` rows
     text = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), words_of(F.col(text_col)).alias("w"))
     found = None
     for n, count in sorted(sizes.items()):
         seeds, g, step = _seeds(windows, n)
         probes = F.transform(F.sequence(F.lit(0), F.size("w") - g, F.lit(step)), lambda p: F.struct(p.alias("p"), F.lower(_at("w", p, g)).alias("seed")))
         small = count * step <= BROADCAST_ROWS
-        probed = text.filter(F.size("w") >= n).select("doc_id", "th", *["w"] * small, probes.alias("probes"))
-        probed = probed.select("doc_id", "th", *["w"] * small, F.explode("probes").alias("x")).select("doc_id", "th", *["w"] * small, "x.p", "x.seed")
+        # Neither a filter on the words nor explode(), which infers one: it would be pushed below and cut each text again.
+        probed = text.select("doc_id", "th", *["w"] * small, F.when(F.size("w") >= n, probes).alias("probes"))
+        probed = probed.select("doc_id", "th", *["w"] * small, F.explode_outer("probes").alias("x")).select("doc_id", "th", *["w"] * small, "x.p", "x.seed")
         start = F.col("p") - F.col("inside")
         if small:
             here = probed.join(F.broadcast(seeds), "seed").filter(start >= 0).filter(_ascii_lower(_at("w", start, n)) == F.col("window"))
