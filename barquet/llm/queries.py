@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, packing, quality, sharding, simhash, substring_dedup, tokens, url_filters
+from . import decontamination, exact_dedup, packing, pii, quality, sharding, simhash, substring_dedup, tokens, url_filters
 from .common import read_table
 
 LENGTH = 2048
@@ -55,6 +55,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(read_table(spark, sf_dir, "documents"), pii.key_from("surrogates of the registered query"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(read_table(spark, sf_dir, "documents"), window=13)
 
@@ -71,7 +75,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_packing, op3_token_counts, op4_sharding, op5_simhash, op6_url_filters, op8_substring_dedup, op9_quality, op10_decontamination)
+    for f in (op1_exact_dedup, op2_packing, op3_token_counts, op4_sharding, op5_simhash, op6_url_filters, op7_pii, op8_substring_dedup, op9_quality, op10_decontamination)
 }
 
 
