@@ -30,7 +30,7 @@ def labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fewer links than nodes, with the components that (u, v) have."""
-    nodes, places = np.unique(np.concatenate([u, v]), return_inverse=True)
+    nodes, places = np.unique(np.concatenate([u, v]).astype(np.int64), return_inverse=True)
     root = labels(len(nodes), places[: len(u)], places[len(u) :])
     away = root != np.arange(len(nodes))
     return nodes[root[away]], nodes[away]

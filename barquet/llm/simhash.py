@@ -18,14 +18,13 @@ from .components import connected_components, forest
 #: into enough pairs of tiles, and the fingerprints sent to pairs grow as the power 1.5.
 TILE_ROOTS = 32
 SLICE = 1 << 16
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     """The k-th 64 bits that stand for a hash; the first are the hash itself."""
     if k == 0:
         return h
-    z = h + _ODD * np.uint64(k)
+    z = h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
@@ -73,16 +72,18 @@ def _counts(fps: np.ndarray) -> np.ndarray:
 
 
 def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool, rows: int = 64, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in a, in b) of fingerprints that differ in at most ``radius``
-    bits, as a spanning forest of all such pairs: neighbours found so far are
-    merged as the blocks go by, so nothing quadratic is kept. Blocks whose
-    population counts differ beyond the radius are skipped; both sides must be
-    sorted by population count. If the whole distance is within the radius, at
-    least one 64-bit word is within its share, which is looked at first."""
+    """Pairs of places, counted on through a and then b (``same``: a alone),
+    of fingerprints that differ in at most ``radius`` bits, as a spanning
+    forest of all such pairs: neighbours found so far are merged as the blocks
+    go by, so nothing quadratic is kept. Blocks whose population counts differ
+    beyond the radius are skipped; both sides must be sorted by population
+    count. If the whole distance is within the radius, at least one 64-bit word
+    is within its share, which is looked at first."""
     words = a.shape[1]
     share = radius // words
     ca, cb = _counts(a), _counts(b)
-    us, vs, kept = [], [], 0
+    shift = 0 if same else len(a)
+    us, vs, kept = [np.array([], np.int64)], [np.array([], np.int64)], 0
     for i in range(0, len(a), rows):
         x, low, high = a[i : i + rows], ca[i], ca[min(i + rows, len(a)) - 1]
         first = max(np.searchsorted(cb, low - radius, "left"), i if same else 0)
@@ -100,16 +101,12 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool, rows: int = 64
                 r, c = r[i + r < j + c], c[i + r < j + c]
             if len(r):
                 us.append(i + r)
-                vs.append(j + c)
+                vs.append(j + c + shift)
                 kept += len(r)
                 if kept > 1 << 20:
-                    u, v = forest(np.concatenate(us), np.concatenate(vs) + (0 if same else len(a)))
-                    us, vs, kept = [u], [v - (0 if same else len(a))], len(u) if len(u) < 1 << 19 else 0
-    if not us:
-        return np.array([], np.int64), np.array([], np.int64)
-    shift = 0 if same else len(a)
-    u, v = forest(np.concatenate(us), np.concatenate(vs) + shift)
-    return u, v - shift
+                    u, v = forest(np.concatenate(us), np.concatenate(vs))
+                    us, vs, kept = [u], [v], 0
+    return forest(np.concatenate(us), np.concatenate(vs))
 
 
 def link_forest(distinct: DataFrame, radius: int, bits: int = 64) -> DataFrame:
@@ -152,8 +149,8 @@ def link_forest(distinct: DataFrame, radius: int, bits: int = 64) -> DataFrame:
                 same = batch.column(0)[row].as_py() == batch.column(1)[row].as_py()
                 a, b = (np.frombuffer(batch.column(k)[row].as_buffer(), np.uint64).reshape(-1, words) for k in (2, 3))
                 u, v = linked(a, b, radius, same)
-                big = lambda fps, at: pa.array([x.tobytes() for x in fps[at].astype(">u8")], pa.binary())
-                yield pa.RecordBatch.from_arrays([big(a, u), big(b, v)], ["a", "b"])
+                fps = (a if same else np.concatenate([a, b])).astype(">u8")
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in fps[at]], pa.binary()) for at in (u, v)], ["a", "b"])
 
     balanced = work.select("tile", "other", "fps", "fps2").repartition("tile", "other")
     return balanced.mapInArrow(compare, "a binary, b binary")
