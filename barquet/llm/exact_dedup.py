@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Hashes that repeat, 32 bytes each, are broadcast up to so many; beyond, texts are shuffled by their hash once.
+BROADCAST_ROWS = 1_000_000
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -35,13 +37,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", con
     text = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
     prints = materialise(text.select("doc_id", F.unhex(content_hash("norm")).alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")))
     groups = materialise(prints.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
-    many = groups.filter("n > 1").select("h", "first_id")
+    many = groups.filter("n > 1")
+    if many.count() <= BROADCAST_ROWS:
+        many = F.broadcast(many)
 
-    members = materialise(text.withColumn("h", F.unhex(content_hash("norm"))).join(many, "h"))
+    members = materialise(text.withColumn("h", F.unhex(content_hash("norm"))).join(many.drop("n"), "h"))
     first = materialise(members.filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("h").agg(F.min("norm").alias("first_norm")))
     differ = materialise(members.join(first, "h").filter(F.col("norm") != F.col("first_norm")).select("h", "doc_id", "norm"))
 
-    result = prints.join(groups, "h").select("doc_id", "h", "sha", F.col("first_id").alias("keep_id"), F.col("n").alias("group_size"))
+    result = prints.join(many, "h", "left").select("doc_id", "h", "sha", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("first_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"))
     if not differ.isEmpty():
         odd = differ.groupBy("h", "norm").agg(F.min("doc_id").alias("odd_id"), F.count("*").alias("odd_n"))
         odd = odd.select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), "odd_id", "odd_n")
