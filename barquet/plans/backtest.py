@@ -66,7 +66,7 @@ def with_returns(frame: DataFrame, model: str = "bar_close", keys: Keys = ()) ->
     """``hold_ret`` (close to close), ``entry_ret`` (fill to close), ``exit_ret`` (close to fill)."""
     before = w.shift(F.col("close"), 1, (*keys, "instrument"))
     filled = frame.withColumns({"__fill": fill_price(model, keys), "__before": before})
-    return filled.withColumns({"hold_ret": F.col("close") / F.col("__before") - 1, "entry_ret": F.col("close") / F.col("__fill") - 1, "exit_ret": F.col("__fill") / F.col("__before") - 1}).drop("__fill", "__before")
+    return filled.withColumns({"hold_ret": F.try_divide("close", "__before") - 1, "entry_ret": F.try_divide("close", "__fill") - 1, "exit_ret": F.try_divide("__fill", "__before") - 1}).drop("__fill", "__before")
 
 
 def run(frame: DataFrame, bps: float | None = None, multiplier: float = 1.0, model: str = "bar_close", funding_bps: float = 0.0, keys: Keys = ()) -> DataFrame:

@@ -55,8 +55,8 @@ def ks_distance(values: DataFrame) -> DataFrame:
     steps = values.groupBy("x").agg(F.count_if(F.col("side") == "a").alias("a"), F.count_if(F.col("side") == "b").alias("b"))
     upto = Window.partitionBy(F.lit(0)).orderBy("x")  # losses of one strategy: few
     steps = steps.withColumns({"ca": F.sum("a").over(upto), "cb": F.sum("b").over(upto)}).crossJoin(F.broadcast(sizes))
-    d = steps.groupBy("na", "nb").agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("distance"))
-    return d.withColumn("p_value", F.when((F.col("na") >= 2) & (F.col("nb") >= 2), p("distance", F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")).cast("double"))).otherwise(1.0))
+    d = steps.groupBy("na", "nb").agg(F.max(F.abs(F.try_divide("ca", "na") - F.try_divide("cb", "nb"))).alias("distance"))
+    return d.withColumn("p_value", F.when((F.col("na") >= 2) & (F.col("nb") >= 2), p("distance", F.try_divide(F.col("na") * F.col("nb"), (F.col("na") + F.col("nb")).cast("double")))).otherwise(1.0))
 
 
 def level(signals: DataFrame) -> DataFrame:

@@ -70,9 +70,9 @@ def crossover_runs(sliced: DataFrame, params: DataFrame, longest: int, bps: floa
 
 
 def tuned(returns: DataFrame, periods: float) -> DataFrame:
-    """Each fold's parameters with the best train Sharpe; the first wins ties."""
+    """Each fold's parameters with the best train Sharpe to nine digits, so that the order of sums doesn't decide; the first wins ties."""
     scores = returns.filter("part = 'train'").groupBy("train_years", "fold", "params_ix").agg(sharpe(F.col("net"), periods).alias("train_sharpe"), F.count("*").alias("train_bars"))
-    best = Window.partitionBy("train_years", "fold").orderBy(F.desc("train_sharpe"), "params_ix")
+    best = Window.partitionBy("train_years", "fold").orderBy(F.desc(F.round("train_sharpe", 9)), "params_ix")
     return scores.withColumn("k", F.row_number().over(best)).filter("k = 1").drop("k")
 
 

@@ -115,7 +115,7 @@ add("h1_eras", lambda s, d: _eras(s, d).select("date", "era", "equity", "drawdow
 add("h2_first_breach", lambda s, d: monitor.first_breach(_eras(s, d)), f"{_ER} SELECT era, min(date) FILTER (1 - equity > 0.25 OR drawdown > 0.30) AS breached FROM e3 GROUP BY era")
 add("h3_z_scores", lambda s, d: monitor.z_scores(_eras(s, d), backtest.trades(bars_run(s, d)), START, r.PERIODS))
 _loss = lambda s, d: backtest.trades(bars_run(s, d)).filter("net_return < 0").select(F.when(c("entry_date") <= F.lit(START).cast("date"), "a").otherwise("b").alias("side"), c("net_return").alias("x"))
-add("h4_ks_distance", lambda s, d: monitor.ks_distance(_loss(s, d)).select("na", "nb", "distance"), f"{_TRADES}, v AS (SELECT CASE WHEN entry_date <= DATE '{START}' THEN 'a' ELSE 'b' END AS side, net_return AS x FROM trades WHERE net_return < 0), z AS (SELECT count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb FROM v), kd AS (SELECT x, count(*) FILTER (side = 'a') OVER (ORDER BY x) AS ca, count(*) FILTER (side = 'b') OVER (ORDER BY x) AS cb FROM v) SELECT na, nb, max(abs(ca / na - cb / nb)) AS distance FROM kd, z GROUP BY na, nb")
+add("h4_ks_distance", lambda s, d: monitor.ks_distance(_loss(s, d)).select("na", "nb", "distance"), f"{_TRADES}, v AS (SELECT CASE WHEN entry_date <= DATE '{START}' THEN 'a' ELSE 'b' END AS side, net_return AS x FROM trades WHERE net_return < 0), z AS (SELECT count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb FROM v), kd AS (SELECT x, count(*) FILTER (side = 'a') OVER (ORDER BY x) AS ca, count(*) FILTER (side = 'b') OVER (ORDER BY x) AS cb FROM v) SELECT na, nb, max(abs(ca / nullif(na, 0) - cb / nullif(nb, 0))) AS distance FROM kd, z GROUP BY na, nb")
 add("h5_levels", lambda s, d: monitor.level(T(s, d, "customer").select("c_custkey", (c("c_acctbal") / 2000 - 2).alias("z_sharpe"), (c("c_nationkey") / 5.0 - 2.5).alias("z_win"), F.lit(0.0).alias("z_trade"), (c("c_custkey") % 10 / 10).alias("p_loss"), (c("c_custkey") % 7 == 0).alias("weak_regime"), (c("c_custkey") % 60).alias("n_trades"))).select("c_custkey", "level"), "WITH s AS (SELECT c_custkey, c_acctbal / 2000 - 2 AS a, c_nationkey / 5.0 - 2.5 AS b, c_custkey % 10 / 10 AS p, c_custkey % 7 = 0 AS weak, c_custkey % 60 AS n FROM customer), k AS (SELECT *, CASE WHEN least(a, b, 0) < -3 OR p < 0.01 THEN 3 WHEN (CASE WHEN a < -2 THEN 1 ELSE 0 END) + (CASE WHEN b < -2 THEN 1 ELSE 0 END) + (CASE WHEN p < 0.05 THEN 1 ELSE 0 END) >= 2 THEN 2 WHEN a < -2 OR b < -2 OR p < 0.05 THEN 1 ELSE 0 END AS rank FROM s) SELECT c_custkey, CASE WHEN n < 20 THEN 'green' ELSE ['green', 'yellow', 'orange', 'red'][1 + CASE WHEN weak THEN greatest(0, rank - 1) ELSE rank END] END AS level FROM k")
 add("h6_regimes_covered", lambda s, d: _X(s, d).groupBy("c_nationkey").agg(F.collect_set("o_orderpriority").alias("seen")).select("c_nationkey", (F.size(F.array_except(F.array(F.lit("1-URGENT"), F.lit("5-LOW")), "seen")) == 0).alias("covered")), f"SELECT c_nationkey, bool_or(o_orderpriority = '1-URGENT') AND bool_or(o_orderpriority = '5-LOW') AS covered FROM {XS} GROUP BY 1")
 add("h7_new_trades", lambda s, d: monitor.new_trades(backtest.trades(bars_run(s, d)), backtest.trades(bars_run(s, d)).filter(c("bars_held") > 3), "2000-01-01").select("instrument", "entry_date", "net_return"), f"{_TRADES} SELECT instrument, entry_date, net_return FROM trades WHERE bars_held <= 3 AND entry_date < DATE '2000-01-01'")
