@@ -174,7 +174,7 @@ def encoder(path: str, need_ids: bool = False):
 
 def by_bytes(texts: pa.Array, limit: int = BATCH_BYTES) -> Iterator[pa.Array]:
     """The array in runs of about ``limit`` bytes."""
-    size = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy()))
+    size = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()))
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(size, size[at] + limit, "right")) - 1)
