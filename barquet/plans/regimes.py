@@ -15,9 +15,8 @@ def market_returns(panel: DataFrame) -> DataFrame:
     return panel.groupBy("bar_ix", "date").agg(F.coalesce(F.avg("ret"), F.lit(0.0)).alias("market"))
 
 
-def label(market: DataFrame, lookback: int = 63, crisis: float = 0.20, high: float = 1.5, low: float = 0.6, strength: float = 0.10) -> DataFrame:
-    """``regime`` of each bar, from the bars before it: a deep drawdown first, then
-    volatility against its median so far, then the trend's strength.
+def trailing(market: DataFrame, lookback: int) -> DataFrame:
+    """``vol, mean`` of the bars before each one, ``drawdown``, and ``reference``, the median of vol so far.
 
     One market series is as long as the calendar, so its window is one task by
     nature; several markets would be keys."""
@@ -25,7 +24,13 @@ def label(market: DataFrame, lookback: int = 63, crisis: float = 0.20, high: flo
     upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(-lookback, -1)
     enough = F.row_number().over(order) > lookback
     x = market.withColumns({"equity": F.product(1 + F.col("market")).over(upto), "vol": F.when(enough, F.stddev_pop("market").over(before)), "mean": F.when(enough, F.avg("market").over(before)), "n": F.count("*").over(Window.partitionBy(F.lit(0)))})
-    x = x.withColumns({"drawdown": 1 - F.col("equity") / F.max("equity").over(upto), "reference": F.percentile("vol", F.lit(0.5)).over(upto)})
+    return x.withColumns({"drawdown": 1 - F.col("equity") / F.max("equity").over(upto), "reference": F.percentile("vol", F.lit(0.5)).over(upto)})
+
+
+def label(market: DataFrame, lookback: int = 63, crisis: float = 0.20, high: float = 1.5, low: float = 0.6, strength: float = 0.10) -> DataFrame:
+    """``regime`` of each bar, from the bars before it: a deep drawdown first, then
+    volatility against its median so far, then the trend's strength."""
+    x = trailing(market, lookback)
     trend = F.when(F.col("vol") > 0, F.abs("mean") / F.col("vol")).otherwise(0.0)
     regime = (
         F.when(F.col("n") < lookback + 2, "sideways")
