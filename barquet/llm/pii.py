@@ -8,13 +8,15 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
+from .tokens import by_bytes
 
 #: Entities whose surrogate isn't their first choice are broadcast up to so many; beyond, they are joined to documents.
 BROADCAST_ENTITIES = 200_000
+BATCH_BYTES = 4 << 20
 
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -185,21 +187,20 @@ def choose_attempts(entities: DataFrame, key: bytes, rounds: int = 30) -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate(key, r["kind"], r["value"], r["attempt"]) for r in rows], pa.string())], ["kind", "value", "attempt", "surrogate"])
 
     schema = "kind string, value string, attempt int, surrogate string"
-    kind = F.regexp_replace("kind", ":[mf]:", ":given:").alias("kind")  # names of both genders must differ too
-    taken = entities.select(kind, F.col("value").alias("surrogate")).distinct()
+    kind = F.regexp_replace("kind", ":[mf]:", ":given:")  # names of both genders must differ too
+    real = entities.select(kind.alias("ck"), F.col("value").alias("cs"), F.lit(0).alias("made"), F.lit(1).alias("real")).distinct()
     table = materialise(entities.withColumn("attempt", F.lit(0)).mapInArrow(make, schema))
     for _ in range(rounds):
-        owners = table.groupBy(kind, "surrogate").agg(F.min(F.struct("attempt", "value", F.col("kind").alias("exact"))).alias("first"), F.count("*").alias("n"))
-        real = taken.withColumn("real", F.lit(True))
-        clash = owners.join(real, ["kind", "surrogate"], "left").filter("n > 1 OR real")
-        clash = clash.select(F.col("kind").alias("ck"), F.col("surrogate").alias("cs"), "first", F.coalesce("real", F.lit(False)).alias("real"))
-        marked = table.join(clash, (F.regexp_replace(table["kind"], ":[mf]:", ":given:") == F.col("ck")) & (F.col("surrogate") == F.col("cs")), "left")
-        again = F.col("first").isNotNull() & (F.col("real") | (F.col("first.value") != F.col("value")) | (F.col("first.exact") != F.col("kind")))
-        marked = materialise(marked.select("kind", "value", "attempt", "surrogate", again.alias("again")))
-        if marked.filter("again").isEmpty():
+        made = table.select(kind.alias("ck"), F.col("surrogate").alias("cs"), F.lit(1).alias("made"), F.lit(0).alias("real"))
+        sums = made.union(real).groupBy("ck", "cs").agg(F.sum("made").alias("made"), F.max("real").alias("real"))
+        clash = materialise(sums.filter("made > 1 OR (made = 1 AND real = 1)"))
+        if clash.isEmpty():
             break
-        redone = marked.filter("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")).mapInArrow(make, schema)
-        table = materialise(marked.filter("NOT again").drop("again").union(redone))
+        struck = table.join(clash, (kind == F.col("ck")) & (F.col("surrogate") == F.col("cs"))).drop("made")
+        first = F.row_number().over(Window.partitionBy("ck", "cs").orderBy("attempt", "value", "kind")) == 1
+        again = materialise(struck.withColumn("keeps", first & (F.col("real") == 0)).filter("NOT keeps").select("kind", "value", "attempt"))
+        redone = again.withColumn("attempt", F.col("attempt") + 1).mapInArrow(make, schema)
+        table = materialise(table.join(again.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value", "attempt", "surrogate").union(redone))
     return table
 
 
@@ -233,27 +234,26 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = handle.value
+        kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
         for batch in batches:
-            texts, counts, lists = [], [], []
-            for t, extra in zip(batch.column(1), batch.column(2)):
-                if not t.is_valid:
-                    texts.append(None)
-                    counts.append(0)
-                    lists.append([])
-                    continue
-                text = t.as_py()
-                attempts = shared if shared is not None else {(x["kind"], x["value"]): x["attempt"] for x in extra.as_py()}
-                out, own, at = [], [], 0
-                for a, b, kind, value in detect(text):
-                    new = rendered(kind, text[a:b], value, surrogate(key, kind, value, attempts.get((kind, value), 0)))
-                    out += [text[at:a], new]
-                    own.append({"kind": kind.split(":")[0], "start": a, "end": b, "surrogate": new})
-                    at = b
-                texts.append("".join([*out, text[at:]]) if own else text)
-                counts.append(len(own))
-                lists.append(own)
-            kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32()), pa.array(lists, kinds), pa.array(texts, pa.string())], ["doc_id", "n_entities", "entities", "text"])
+            at = 0
+            for run_of_texts in by_bytes(batch.column(1), BATCH_BYTES):
+                texts, lists = [], []
+                for t, extra in zip(run_of_texts, batch.column(2).slice(at, len(run_of_texts))):
+                    text, own = t.as_py(), []
+                    if text:
+                        attempts = shared if shared is not None else {(x["kind"], x["value"]): x["attempt"] for x in extra.as_py()}
+                        out, done = [], 0
+                        for a, b, kind, value in detect(text):
+                            new = rendered(kind, text[a:b], value, surrogate(key, kind, value, attempts.get((kind, value), 0)))
+                            out += [text[done:a], new]
+                            own.append({"kind": kind.split(":")[0], "start": a, "end": b, "surrogate": new})
+                            done = b
+                        text = "".join([*out, text[done:]]) if own else text
+                    texts.append(text)
+                    lists.append(own)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(map(len, lists), pa.int32()), pa.array(lists, kinds), pa.array(texts, pa.string())], ["doc_id", "n_entities", "entities", "text"])
+                at += len(texts)
 
     return narrow.mapInArrow(run, f"doc_id {id_type}, n_entities int, entities array<struct<kind:string,start:int,end:int,surrogate:string>>, text string")
 
