@@ -27,3 +27,11 @@ def tsv_round_trip(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession)
     df.write.mode("append").option("header", True).csv(path, sep="\t")
     return df.sparkSession.read.option("header", True).schema(df.schema).csv(path, sep="\t")
+
+
+def persist(folder: str, scored: DataFrame, checks: DataFrame, regimes: DataFrame, provenance: DataFrame, run_id: str) -> None:
+    """Append one report to four tables: evaluation, check rows, regime rows, provenance.
+
+    Each row carries the run's id, so that a report written twice is told apart by readers."""
+    for name, frame in (("evaluations", scored), ("evaluation_tests", checks), ("evaluation_regimes", regimes), ("provenance", provenance)):
+        frame.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(f"{folder}/{name}")
