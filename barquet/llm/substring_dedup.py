@@ -68,8 +68,13 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(flat.buffers()[2], np.uint8)[offset : offset + total] if total else np.array([], np.uint8)
     forth, back = _tables(total + 1)
     sums = np.append(_U(0), np.cumsum((data.astype(_U) + _U(1)) * back[:total], dtype=_U))
+    n_words = pc.list_value_length(words).to_numpy().astype(np.int64)
+    real = size > 0  # white space at an end of a text leaves an empty word there
+    if not real.all():
+        n_words = np.bincount(np.repeat(np.arange(len(n_words)), n_words)[real], minlength=len(n_words))
+        ends, size = ends[real], size[real]
     starts = ends - size
-    return _mix((sums[ends] - sums[starts]) * forth[starts] + size.astype(_U)), pc.list_value_length(words).to_numpy().astype(np.int64)
+    return _mix((sums[ends] - sums[starts]) * forth[starts] + size.astype(_U)), n_words
 
 
 def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
