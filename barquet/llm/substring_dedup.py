@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .tokens import by_bytes
 
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 4 << 20
 BUCKET_WINDOWS = 500_000
 _BASE = pow(0x9E3779B97F4A7C15, 3, 1 << 64) | 1
 _LAST = np.iinfo(np.int64).max
