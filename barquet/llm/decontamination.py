@@ -10,8 +10,8 @@ from .common import materialise
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: ASCII without letters and digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: The seed table is broadcast up to so many rows; a row is two runs of at most `window` words and its items, so
-#: that this bounds its size. Beyond, Spark chooses the join, and hits are verified in a second pass.
+#: The seed table is broadcast if its rows and the item ids in them are at most so many; a row is two runs of at most
+#: `window` words, so this bounds its size. Beyond, Spark chooses the join, and hits are verified in a second pass.
 BROADCAST_ROWS = 500_000
 
 
@@ -57,7 +57,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
     word for word in place. No document is shuffled.
     """
     windows = materialise(benchmark_windows(benchmark, window, item_col, benchmark_text_col))
-    sizes = {r["n"]: r["count"] for r in windows.groupBy("n").count().collect()}  # at most `window` rows
+    sizes = {r["n"]: r["count"] for r in windows.groupBy("n").agg(F.sum(F.size("items") + 1).alias("count")).collect()}  # at most `window` rows
     text = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), words_of(F.col(text_col)).alias("w"))
     found = None
     for n, count in sorted(sizes.items()):
