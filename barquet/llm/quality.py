@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Bounds of what the driver fits on: rows of each label, and bytes of text of each row.
 SAMPLE_ROWS = 3000
-SAMPLE_BYTES = 64 << 10
+SAMPLE_BYTES = 16 << 10
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 1
 BLOCK = 256
