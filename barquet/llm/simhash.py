@@ -17,6 +17,8 @@ from .components import connected_components, forest
 #: A tile holds about this many times the square root of the number of fingerprints: work is then dealt
 #: into enough pairs of tiles, and the fingerprints sent to pairs grow as the power 1.5.
 TILE_ROOTS = 32
+#: Fingerprint pairs that one task compares, about, and how many tasks there are at most.
+TASK_PAIRS, MOST_TASKS = 1 << 28, 20_000
 SLICE = 1 << 16
 
 
@@ -152,7 +154,9 @@ def link_forest(distinct: DataFrame, radius: int, bits: int = 64) -> DataFrame:
                 fps = (a if same else np.concatenate([a, b])).astype(">u8")
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in fps[at]], pa.binary()) for at in (u, v)], ["a", "b"])
 
-    balanced = work.select("tile", "other", "fps", "fps2").repartition("tile", "other")
+    # A number of its own, so that few bytes but long work aren't put together in few tasks.
+    tasks = min(MOST_TASKS, 1 + n * n // 2 // TASK_PAIRS)
+    balanced = work.select("tile", "other", "fps", "fps2").repartition(tasks, "tile", "other")
     return balanced.mapInArrow(compare, "a binary, b binary")
 
 
