@@ -12,7 +12,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of what the driver fits on: rows of each label, and bytes of text of each row.
+from .common import materialise
+
+#: Bounds of what the driver fits on: rows of each label, and bytes of each row's text for the dictionaries.
 SAMPLE_ROWS = 3000
 SAMPLE_BYTES = 16 << 10
 DICTIONARY_BYTES = 112 << 10
@@ -58,14 +60,23 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"\n".join(texts)[:DICTIONARY_BYTES]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _spread(text: bytes, most: int) -> bytes:
+    """The text, or of a longer one as many of its blocks as make ``most`` bytes, from all over it."""
+    if len(text) <= most:
+        return text
+    blocks, wanted = -(-len(text) // BLOCK), most // BLOCK
+    return b"".join(text[k * BLOCK : (k + 1) * BLOCK] for k in (i * blocks // wanted for i in range(wanted)))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset by Newton's method on standardised x, with a small ridge so that separable data have an answer."""
-    centre, scale = x.mean(), x.std() or 1.0
+    centre = np.average(x, weights=weight)
+    scale = np.sqrt(np.average((x - centre) ** 2, weights=weight)) or 1.0
     design = np.stack([(x - centre) / scale, np.ones_like(x)], axis=1)
-    w, ridge = np.zeros(2), np.diag([1e-3 * len(x), 1e-9])
+    w, ridge = np.zeros(2), np.diag([1e-3 * weight.sum(), 1e-9])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + ridge, design.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + ridge, design.T @ (weight * (y - p)) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
@@ -79,31 +90,57 @@ def learnable(id_col: str = "doc_id") -> "Column":
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Classifier:
     """Fit on at most ``rows`` labelled rows of each class, those with the
-    smallest keyed hash, and ``SAMPLE_BYTES`` of each one's text.
+    smallest keyed hash.
 
-    Every other sampled row goes into the dictionaries, and the rest
-    calibrates the score, so that the score isn't fitted on texts that the
-    dictionaries hold. Null labels, ids or texts don't take part. A class that
-    has no rows leaves an empty dictionary; with no rows at all every score is
-    one half.
+    Every other sampled row goes into the dictionaries, with ``SAMPLE_BYTES``
+    from all over its text, and the rest calibrates the score by their whole
+    texts, so that the score isn't fitted on texts that the dictionaries hold.
+    A calibrating row counts for as many labels of its class as it was drawn
+    from, so that the balance of classes is that of all learnable labels.
+    Whole texts stay on the executors.
+
+    Null labels, ids or texts don't take part. A class that has no rows leaves
+    an empty dictionary; with no rows at all every score is one half.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).filter(learnable("__id") & F.col("label").isin(0, 1)).distinct()
+    weight = {r["label"]: max(1.0, r["count"] / rows) for r in known.groupBy("label").count().collect()}
     chosen = None
     for label in (0, 1):
         few = known.filter(F.col("label") == label).orderBy(F.xxhash64("__id"), "__id").limit(rows)
         chosen = few if chosen is None else chosen.union(few)
     # At most 2 * rows ids: a table of bounded size.
-    sample = docs.select(F.col(id_col).alias("__id"), F.substring(F.col(text_col), 1, SAMPLE_BYTES).alias("text")).join(F.broadcast(chosen), "__id").filter("text IS NOT NULL AND text <> ''")
-    data = sorted((zlib.crc32(str(r["__id"]).encode()), r["__id"], r["label"], r["text"].encode()[:SAMPLE_BYTES]) for r in sample.collect())
-    sets = {label: [t for _, _, k, t in data if k == label] for label in (0, 1)}
-    good, bad = (_dictionary(sets[label][::2]) for label in (1, 0))
+    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id").filter("text IS NOT NULL AND text <> ''")
+    sample = materialise(sample.select("__id", "label", F.xxhash64("text").alias("hash"), "text"))
+    id_type = sample.schema["__id"].dataType.simpleString()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = pa.array([_spread(t.as_buffer().to_pybytes(), SAMPLE_BYTES) for t in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], cut], ["__id", "label", "hash", "piece"])
+
+    def places(frame: DataFrame) -> dict[int, list]:
+        """The last column by label, in an order that is the same for both collections."""
+        data = sorted((zlib.crc32(str(r[0]).encode()), *r) for r in frame.collect())
+        return {label: [r[4] for r in data if r[2] == label] for label in (0, 1)}
+
+    sets = places(sample.mapInArrow(pieces, f"__id {id_type}, label int, hash long, piece binary"))
+    good, bad = (_dictionary([bytes(t) for t in sets[label][::2]]) for label in (1, 0))
     model = Classifier(good, bad, 0.0, 0.0)
-    compressors = model.compressors()
-    held = [(model.difference(compressors, t), label) for label in (0, 1) for t in sets[label][1::2]]
+    handle = docs.sparkSession.sparkContext.broadcast(model)
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressors = handle.value.compressors()
+        for batch in batches:
+            d = pa.array([handle.value.difference(compressors, t.as_buffer().to_pybytes()) for t in batch.column(3)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], d], ["__id", "label", "hash", "difference"])
+
+    # Rows of equal places have equal texts, and so equal differences.
+    sets = places(sample.mapInArrow(differences, f"__id {id_type}, label int, hash long, difference double"))
+    held = [(d, label, weight[label]) for label in (0, 1) for d in sets[label][1::2]]
     if not held:
         return model
-    x, y = np.array([d for d, _ in held]), np.array([k for _, k in held], float)
-    slope, offset = _logistic(x, y)
+    x, y, w = (np.array(c, float) for c in zip(*held))
+    slope, offset = _logistic(x, y, w)
     return dataclasses.replace(model, slope=slope, offset=offset)
 
 

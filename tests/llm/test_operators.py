@@ -399,6 +399,27 @@ def test_quality_edges(spark, docs, none, odd):
     assert quality.keep_good(docs, model).count() == sum(s >= 0.3 for s in out.values())
 
 
+def test_quality_keeps_the_balance_beyond_the_sample(spark):
+    """Texts tell nothing, so a score is the share of good labels: 6 of 7, whatever the sample holds."""
+    rng = np.random.default_rng(1)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.integers(0, 500, 60))) for i in range(1400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 > 0)) for i in range(1400)], "doc_id long, quality int")
+    for rows in (80, 2000):
+        scores = [r["score"] for r in quality.score(docs, quality.fit(docs, labels, rows)).filter("held_out").collect()]
+        assert np.mean(scores) == pytest.approx(6 / 7, abs=0.06)
+
+
+def test_quality_learns_beyond_the_start_of_long_texts(spark):
+    rng = np.random.default_rng(2)
+    same = " ".join(f"s{k}" for k in rng.integers(0, 10**6, 3000))
+    assert len(same) > quality.SAMPLE_BYTES
+    docs = [(i, f"{same} " + " ".join(f"{'good' if i % 2 else 'poor'}{k}" for k in rng.integers(0, 300, 3000))) for i in range(80)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    out = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.fit(docs, labels)).collect()}
+    assert min(out[i] for i in range(1, 80, 2)) > 0.9 and max(out[i] for i in range(0, 80, 2)) < 0.1
+
+
 # 10
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TABLE = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
