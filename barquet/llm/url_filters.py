@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .decontamination import LOWER, UPPER
 
+#: Trust and distrust are final where a round grows none of them by more than this share.
+TOLERANCE = 1e-9
+
 LINK = r"(?i)(?:href|src)\s*=\s*[\"']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
 
 
@@ -35,10 +38,16 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.filter("src <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = TOLERANCE) -> DataFrame:
     """``host, trust, distrust``: personalised PageRank from seeds
     (host, trust, distrust). Trust follows links and distrust runs against
-    them; what reaches a host without a further link ends there."""
+    them; what reaches a host without a further link ends there.
+
+    Rounds go on until no host is newly reached and no host's trust or
+    distrust grows by more than ``tolerance`` of itself, however small it is,
+    as verdicts are decided by ratios. No later round can then grow one by
+    more. Rounds follow the longest way from a seed and the logarithm of the
+    tolerance; what is less than a double can hold counts as nothing."""
     out, into = edges.groupBy("src").agg(F.sum("n").alias("all")), edges.groupBy("dst").agg(F.sum("n").alias("all"))
     forward = edges.join(out, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("all")).alias("w"))
     backward = edges.join(into, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), (F.col("n") / F.col("all")).alias("w"))
@@ -46,14 +55,18 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     seed = seeds.selectExpr("stack(2, 'trust', trust, 'distrust', distrust) AS (kind, value)", "host").filter("value > 0")
     rank = seed = materialise(seed.select("kind", "host", (F.col("value") * (1 - damping)).alias("value")))
     if not flow.isEmpty():  # without an edge the seeds are the result
-        for _ in range(rounds):
-            moved = rank.join(flow, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("value") * F.col("w") * damping).alias("value"))
-            rank = materialise(seed.union(moved).groupBy("kind", "host").agg(F.sum("value").alias("value")))
+        while True:
+            nothing = F.lit(0.0).alias("before")
+            moved = rank.join(flow, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("value") * F.col("w") * damping).alias("value"), nothing)
+            before = rank.select("kind", "host", F.lit(0.0).alias("value"), F.col("value").alias("before"))
+            rank = materialise(seed.select("*", nothing).union(moved).union(before).groupBy("kind", "host").agg(F.sum("value").alias("value"), F.sum("before").alias("before")))
+            if rank.filter(F.col("value") - F.col("before") > tolerance * F.col("value")).isEmpty():
+                break
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("value"))), F.lit(0.0)).alias(kind)
     return rank.groupBy("host").agg(of("trust"), of("distrust"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, threshold: float = 0.75, damping: float = 0.85, rounds: int = 10, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, threshold: float = 0.75, damping: float = 0.85, tolerance: float = TOLERANCE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict, trust, distrust``.
 
     A rule fits its host and all subdomains where the path starts with the
@@ -83,7 +96,7 @@ def judge(pages: DataFrame, rules: DataFrame, threshold: float = 0.75, damping:
 
     share = lambda action: F.avg(F.when(F.col("action") == action, 1.0).otherwise(0.0))
     seeds = ruled.groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = materialise(propagate(seeds, materialise(host_edges(pages, url_col, html_col)), damping, rounds))
+    scores = materialise(propagate(seeds, materialise(host_edges(pages, url_col, html_col)), damping, tolerance))
     bad = F.coalesce(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")), F.lit(False))
     return ruled.join(scores, "host", "left").select(
         "page_id",
