@@ -17,6 +17,8 @@ from .tokens import by_bytes
 #: Entities whose surrogate isn't their first choice are broadcast up to so many; beyond, they are joined to documents.
 BROADCAST_ENTITIES = 200_000
 BATCH_BYTES = 4 << 20
+#: From this attempt on surrogates are of a wider format, and beyond the last one an entity has none.
+WIDE, LAST = 12, 100
 
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -93,13 +95,18 @@ def canonical(kind: str, surface: str) -> str:
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """The attempt-th surrogate of a canonical value: of the same kind, length
-    and classes of signs; never the value itself unless nothing else exists."""
+    and classes of signs. From attempt ``WIDE`` on, where a short format may be
+    used up, e-mail, phone and password get further signs, more with the
+    attempts, and IPv4 fields any length."""
     s = Stream(key, kind, value, attempt)
+    more = 1 + (attempt - WIDE) // 3 if attempt >= WIDE else 0
     if kind == "email":
         local, _, domain = value.partition("@")
         labels = domain.split(".")
         of_domain = Stream(key, "domain", domain, 0)
-        return f"{s.like(local)}@{'.'.join([*map(of_domain.like, labels[:-1]), labels[-1]])}"
+        return f"{s.like(local + 'x' * more)}@{'.'.join([*map(of_domain.like, labels[:-1]), labels[-1]])}"
+    if kind == "ip" and more:
+        return ".".join(str(1 + s.below(254)) for _ in range(4))
     if kind == "ip":
         low, high = {1: 1, 2: 10, 3: 100}, {1: 9, 2: 99, 3: 254}
         return ".".join(str(low[len(x)] + s.below(high[len(x)] - low[len(x)] + 1)) for x in value.split("."))
@@ -108,7 +115,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         valid = (10 - _luhn(body + "0")) % 10
         return body + str(valid if _luhn(value) == 0 else (valid + 1 + s.below(9)) % 10)
     if kind == "phone":
-        return str(2 + s.below(8)) + s.like(value[1:])
+        return str(2 + s.below(8)) + s.like(value[1:] + "0" * more)
     if kind == "iban":
         body = value[:2] + "00" + s.like(value[4:])
         return value[:2] + (f"{98 - _iban_rest(body):02d}" if _iban_rest(value) == 1 else s.like(value[2:4])) + body[4:]
@@ -124,7 +131,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
             return names[s.below(len(names))].casefold()
         syllables = SYLLABLES[which].split()
         return "".join(syllables[s.below(len(syllables))] for _ in range(2 + attempt // 3))
-    return s.like(value)
+    return s.like(value + "x" * more) if kind == "password" else s.like(value)
 
 
 def rendered(kind: str, surface: str, value: str, new: str) -> str:
@@ -134,8 +141,10 @@ def rendered(kind: str, surface: str, value: str, new: str) -> str:
         out = list(surface)
         for i, c in zip(signs[len(signs) - len(value) :], new):
             out[i] = c
-        return "".join(out)
+        return "".join([*out, new[len(value) :]])
     if kind == "email":
+        at = surface.index("@")
+        surface = surface[:at] + "x" * (len(new) - len(surface)) + surface[at:]
         return "".join(n.upper() if c.isupper() else n for c, n in zip(surface, new))
     if kind[:4] == "name":
         return new.upper() if surface.isupper() and len(surface) > 1 else "-".join(x[:1].upper() + x[1:] for x in new.split("-"))
@@ -175,33 +184,44 @@ def entity_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, kind string, value string")
 
 
-def choose_attempts(entities: DataFrame, key: bytes, rounds: int = 30) -> DataFrame:
+def choose_attempts(entities: DataFrame, key: bytes) -> DataFrame:
     """``kind, value, attempt, surrogate`` of distinct entities (kind, value),
     so that no two entities of a kind share a surrogate and no surrogate is
     itself an entity of the corpus. Where surrogates collide, the smallest
-    value keeps its own and the others try again, until none collide."""
+    value keeps its own and the others try again, until none collide.
+
+    An entity that only its own value stands for in its format takes the wider
+    one at once. If some still collide at attempt ``LAST`` there is no answer,
+    which is an error."""
+
+    def first(r: dict) -> int:
+        return WIDE if surrogate(key, r["kind"], r["value"]) == r["value"] == surrogate(key, r["kind"], r["value"], 1) else 0
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate(key, r["kind"], r["value"], r["attempt"]) for r in rows], pa.string())], ["kind", "value", "attempt", "surrogate"])
+            attempts = [r["attempt"] or first(r) for r in rows]
+            new = [surrogate(key, r["kind"], r["value"], a) for r, a in zip(rows, attempts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(attempts, pa.int32()), pa.array(new, pa.string())], ["kind", "value", "attempt", "surrogate"])
 
     schema = "kind string, value string, attempt int, surrogate string"
     kind = F.regexp_replace("kind", ":[mf]:", ":given:")  # names of both genders must differ too
     real = entities.select(kind.alias("ck"), F.col("value").alias("cs"), F.lit(0).alias("made"), F.lit(1).alias("real")).distinct()
     table = materialise(entities.withColumn("attempt", F.lit(0)).mapInArrow(make, schema))
-    for _ in range(rounds):
+    while True:
         made = table.select(kind.alias("ck"), F.col("surrogate").alias("cs"), F.lit(1).alias("made"), F.lit(0).alias("real"))
         sums = made.union(real).groupBy("ck", "cs").agg(F.sum("made").alias("made"), F.max("real").alias("real"))
         clash = materialise(sums.filter("made > 1 OR (made = 1 AND real = 1)"))
         if clash.isEmpty():
-            break
+            return table
         struck = table.join(clash, (kind == F.col("ck")) & (F.col("surrogate") == F.col("cs"))).drop("made")
-        first = F.row_number().over(Window.partitionBy("ck", "cs").orderBy("attempt", "value", "kind")) == 1
-        again = materialise(struck.withColumn("keeps", first & (F.col("real") == 0)).filter("NOT keeps").select("kind", "value", "attempt"))
+        smallest = F.row_number().over(Window.partitionBy("ck", "cs").orderBy("attempt", "value", "kind")) == 1
+        again = materialise(struck.withColumn("keeps", smallest & (F.col("real") == 0)).filter("NOT keeps").select("kind", "value", "attempt"))
+        stuck = again.filter(F.col("attempt") >= LAST).groupBy("kind").count().collect()
+        if stuck:
+            raise ValueError(f"no surrogates left for entities of a kind: {sorted((r['kind'], r['count']) for r in stuck)}")
         redone = again.withColumn("attempt", F.col("attempt") + 1).mapInArrow(make, schema)
         table = materialise(table.join(again.select("kind", "value"), ["kind", "value"], "left_anti").select("kind", "value", "attempt", "surrogate").union(redone))
-    return table
 
 
 def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -356,6 +357,29 @@ def test_surrogates(spark):
     assert pii.replace_entities(df.limit(0), b"key").count() == 0
 
 
+def test_surrogates_where_a_format_is_used_up(spark):
+    """All one-digit addresses are real, and so are all one-letter mail boxes of two hosts whose names have one letter."""
+    ips = [".".join(x) for x in itertools.product("123456789", repeat=4)]
+    mails = [f"{a}@{h}.com" for h in string.ascii_lowercase for a in string.ascii_lowercase]
+    entities = [("ip", x) for x in ips] + [("email", x) for x in mails] + [("password", "******"), ("phone", "12345")]
+    out = pii.choose_attempts(spark.createDataFrame(entities, "kind string, value string"), b"key").collect()
+    new = {(r["kind"], r["surrogate"]) for r in out}
+    assert len(out) == len(new) == len(entities) and not new & set(entities)
+    assert all(r["surrogate"] == pii.surrogate(b"key", r["kind"], r["value"], r["attempt"]) for r in out)
+    assert all(pii.detect(f"x {x} y")[0][1:3] == (2 + len(x), k) for k, x in new if k in ("ip", "email"))
+    text = pii.replace_entities(spark.createDataFrame([(1, "password=****** end")], "doc_id long, text string"), b"key").first()["text"]
+    assert re.fullmatch(r"password=\*{6}[a-z] end", text)
+    assert pii.rendered("email", "A@b.com", "a@b.com", "qrs@t.com") == "Qrs@t.com" and pii.rendered("phone", "+1 23 45", "12345", "98765432") == "+9 87 65432"
+
+
+def test_surrogates_that_do_not_exist_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "WIDE", 1)
+    monkeypatch.setattr(pii, "LAST", 1)
+    monkeypatch.setattr(pii, "surrogate", lambda key, kind, value, attempt=0: "same")
+    with pytest.raises(Exception, match="no surrogates left"):
+        pii.choose_attempts(spark.createDataFrame([("ip", "1.1.1.1"), ("ip", "2.2.2.2")], "kind string, value string"), b"key")
+
+
 def test_surrogates_beyond_the_broadcast(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"Mr. {a}{b}ovic") for i, (a, b) in enumerate(itertools.product("BCDFGH", "aeiou"))], "doc_id long, text string")
     few = sorted(map(tuple, pii.replace_entities(df, b"key").select("doc_id", "text").collect()))
