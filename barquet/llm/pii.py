@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -22,8 +23,8 @@ WIDE, LAST = 12, 100
 
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "token": r"(?<=token = \")[0-9A-Za-z]{16,64}(?=\")|(?<=TOKEN = \")[0-9A-Za-z]{16,64}(?=\")",
-    "password": r"(?<=password=)[^\s\"']{6,64}|(?<=PASSWORD=)[^\s\"']{6,64}",
+    "token": r"(?<=token = \")[0-9A-Za-z]{16,}(?=\")|(?<=TOKEN = \")[0-9A-Za-z]{16,}(?=\")",
+    "password": r"(?<=password=)[^\s\"']{6,}|(?<=PASSWORD=)[^\s\"']{6,}",
     "aws_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
@@ -32,7 +33,8 @@ PATTERNS = {
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
 ENTITY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
-MAY_HOLD = re.compile(r"[0-9@]|(?:password|PASSWORD)=")
+#: Each pattern needs one of these.
+MAY_HOLD = re.compile(r"[0-9@]|(?:password|PASSWORD)=|(?:token|TOKEN) = \"|AKIA")
 
 #: Forms of address and the gender they tell.
 ADDRESSES = {"Mr.": "m", "Mr": "m", "Herr": "m", "Señor": "m", "Sr.": "m", "Monsieur": "m", "Господин": "m", "Κύριος": "m", "Mrs.": "f", "Mrs": "f", "Ms.": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Sra.": "f", "Madame": "f", "Mme": "f", "Госпожа": "f", "Κυρία": "f"}
@@ -151,8 +153,28 @@ def rendered(kind: str, surface: str, value: str, new: str) -> str:
     return new
 
 
+def bare_names(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Further mentions of the names in ``found`` (in order, without overlaps)
+    outside of it: whole words with the name's own case, a capital or capitals
+    only. A word found as names of two kinds is of the first one's."""
+    kinds, forms = {}, set()
+    for a, b, kind, value in found:
+        if kind[:4] == "name":
+            kinds.setdefault(value, kind)
+            forms |= {text[a:b], text[a:b].upper(), "-".join(x.capitalize() for x in text[a:b].split("-"))}
+    if not kinds:
+        return []
+    starts, out = [x[0] for x in found], []
+    for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(forms, key=lambda f: (-len(f), f)))) + r")(?!\w)", text):
+        at, value = bisect.bisect_left(starts, m.end()), canonical("name", m.group())
+        if (at == 0 or found[at - 1][1] <= m.start()) and value in kinds:
+            out.append((m.start(), m.end(), kinds[value], value))
+    return out
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical value), in order and without overlaps."""
+    """(start, end, kind, canonical value), in order and without overlaps. A
+    name is found by a form of address, and then wherever the text has it."""
     found = []
     if MAY_HOLD.search(text):
         for m in ENTITY.finditer(text):
@@ -169,7 +191,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         if x[0] >= end:
             out.append(x)
             end = x[1]
-    return out
+    return sorted(out + bare_names(text, out))
 
 
 def entity_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
