@@ -42,7 +42,11 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:
 def token_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Each document's ids and then ``end_id``, cut into pieces of at most
     ``length`` ids: ``doc_id, start, length, ids_crc32, doc_tokens`` and, with
-    ``keep_ids``, the ``ids`` themselves. A null text is the end id alone."""
+    ``keep_ids``, the ``ids`` themselves. ``tokenizer`` is any vocabulary file
+    that the libraries read.
+
+    A null or empty text is the end id alone; null ids and repeated rows are cut
+    like any other; an empty table gives an empty result; other columns are ignored."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, need_ids=True)

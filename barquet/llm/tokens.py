@@ -1,9 +1,10 @@
 """Token counts (operator 3) and the worker-side encoder that packing shares.
 
 A worker holds one encoder. Batches are balanced by bytes: whatever Arrow
-delivers is cut into runs of about ``BATCH_BYTES`` of text, and a text longer
-than that is cut at safe boundaries: at white space where the vocabulary drops it,
-else before a space between a non-space and a letter.
+delivers is cut into runs of about ``BATCH_BYTES`` of text, each run is encoded
+by the library in batches, and long texts are cut at safe boundaries: at white
+space where the vocabulary's steps are exactly those that drop it, before a space
+between a non-space and a letter in plain byte-level ones, and else not at all.
 """
 
 from __future__ import annotations
@@ -50,15 +51,42 @@ class _Parts(dict):
         return ids
 
 
+class WordLengths:
+    """Lengths for the one vocabulary kind ``WORDS`` describes, whose
+    pre-tokenizer drops white space: a text's length is the sum of its words'.
+
+    Nothing of that kind joins or changes anything across ASCII white space, so
+    it is where texts are split. Arrow cuts a batch into words and finds the
+    distinct ones; those not seen before go to the library in one batch."""
+
+    def __init__(self, path: str):
+        self.library = _library(path)
+        self.known: dict[str, int] = {}
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        flat = pc.dictionary_encode(words.flatten())
+        distinct = flat.dictionary.to_pylist()
+        if len(self.known) > MEMO_PARTS:
+            self.known.clear()
+        new = [w for w in distinct if w not in self.known]
+        for at in range(0, len(new), 1 << 16):
+            some = new[at : at + (1 << 16)]
+            self.known.update(zip(some, map(len, self.library.encode_batch_fast(some, add_special_tokens=False))))
+        size = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        total = np.append(0, np.cumsum(size[flat.indices.to_numpy()]))
+        n_words = pc.list_value_length(words).to_numpy().astype(np.int64)
+        ends = np.cumsum(n_words)
+        return total[ends] - total[ends - n_words]
+
+
 class WordIds:
-    """Ids of texts for a vocabulary whose pre-tokenizer drops white space.
-
-    Such a vocabulary never joins or changes anything across ASCII white
-    space, so a text's ids are the ids of its words in a row, and words repeat
-    far more than texts. Arrow cuts a batch into words and finds the distinct
-    ones. A word of ASCII and accented Latin-1 letters, digits and signs is cut
-    into parts as the vocabulary's pattern does, and each part goes to the
-    library's model; any other word goes through the whole library.
+    """Ids of texts for the same kind of vocabulary, for packing.
+
+    A text's ids are the ids of its words in a row, and words repeat far more
+    than texts. A word of ASCII and accented Latin-1 letters, digits and signs
+    is cut into parts as the vocabulary's pattern does, and each part goes to
+    the library's model once; any other word goes through the whole library.
     """
 
     #: No apostrophe (the pattern's contractions), and no letter outside ASCII and Latin-1, where lower case and normal form are plain.
@@ -66,10 +94,7 @@ class WordIds:
     cut = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.library = _library(path)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
         self.parts = _Parts(self.library.model)
 
@@ -85,12 +110,6 @@ class WordIds:
         flat = pc.dictionary_encode(words.flatten())
         return pc.list_value_length(words).to_numpy().astype(np.int64), flat.indices.to_numpy(), list(map(self._word, flat.dictionary.to_pylist()))
 
-    def lengths(self, texts: pa.Array) -> np.ndarray:
-        n_words, place, ids = self._words(texts)
-        total = np.append(0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))[place] // 4))
-        ends = np.cumsum(n_words)
-        return total[ends] - total[ends - n_words]
-
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row as 32-bit integers, and where each text ends."""
         n_words, place, ids = self._words(texts)
@@ -101,8 +120,10 @@ class WordIds:
         return np.frombuffer(b"".join(ids), "<u4")[at], np.append(0, ends)[np.cumsum(n_words)]
 
 
-class LibraryLengths:
-    """Lengths by the library itself: for vocabularies that keep white space."""
+class Library:
+    """Lengths and ids by the library itself, in batches of texts: for every other vocabulary.
+
+    Only for plain byte-level vocabularies are long texts cut, where that is safe."""
 
     def __init__(self, path: str):
         self.pieces = path.endswith(".model")
@@ -111,16 +132,40 @@ class LibraryLengths:
 
             self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         else:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
+            self.library = _library(path)
+        self.cut = not self.pieces and _spec(path) == BYTES
 
-            self.library = Tokenizer.from_file(path)
-
-    def lengths(self, texts: pa.Array) -> list[int]:
-        texts = texts.to_pylist()
+    def _encoded(self, texts: pa.Array) -> Iterator[tuple[int, list[int]]]:
+        """The ids of each part of each text, with the text's place."""
+        parts = [(i, x) for i, t in enumerate(texts.to_pylist()) for x in (whole_text_pieces(t) if self.cut else [t])]
         if self.pieces:
-            return [len(x) for x in self.library.encode(texts, num_threads=1)]
-        return [sum(len(e.ids) for e in self.library.encode_batch(list(whole_text_pieces(t)), add_special_tokens=False)) for t in texts]
+            return zip([i for i, _ in parts], self.library.encode([x for _, x in parts], num_threads=1))
+        encoded = self.library.encode_batch_fast([x for _, x in parts], add_special_tokens=False)
+        return zip([i for i, _ in parts], (e.ids for e in encoded))
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        out = np.zeros(len(texts), np.int64)
+        for i, ids in self._encoded(texts):
+            out[i] += len(ids)
+        return out
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row as 32-bit integers, and where each text ends."""
+        size, flat = np.zeros(len(texts), np.int64), []
+        for i, ids in self._encoded(texts):
+            size[i] += len(ids)
+            flat.append(np.array(ids, "<u4"))
+        return np.concatenate(flat) if flat else np.array([], "<u4"), np.cumsum(size)
+
+
+def _library(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return library
 
 
 def whole_text_pieces(text: str, limit: int = BATCH_BYTES) -> Iterator[str]:
@@ -138,25 +183,36 @@ def whole_text_pieces(text: str, limit: int = BATCH_BYTES) -> Iterator[str]:
     yield text[at:]
 
 
-def drops_white_space(path: str) -> bool:
-    """True if the .json vocabulary's first pre-tokenizer step is a pattern
-    that keeps matches without white space only, and no step before or after
-    looks across white space."""
-    if not path.endswith(".json"):
-        return False
+#: What a vocabulary file says of its steps before the model, where words can be taken one by one.
+WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "plain": True,
+}
+#: The same of a plain byte-level vocabulary.
+BYTES = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "plain": True}
+
+
+def _spec(path: str) -> dict:
+    """The steps before the model. ``plain``: added strings hold no white space, are found as they are and
+    eat none around them, and nothing comes after the model."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [spec.get("pre_tokenizer") or {}])
-    kinds = {n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])}
-    first = steps[0]
-    return (
-        first.get("type") == "Split"
-        and first.get("behavior") == "Removed"
-        and bool(first.get("invert"))
-        and not re.search(r"(?<!\^)\\s| ", first["pattern"].get("Regex", " "))
-        and all(s.get("type") == "ByteLevel" and not s.get("add_prefix_space") for s in steps[1:])
-        and kinds <= {"NFC", "Replace", "Lowercase"}
-    )
+    added = spec.get("added_tokens") or []
+    plain = not spec.get("post_processor") and spec["model"].get("dropout") is None
+    plain = plain and not any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized") or re.search(r"\s", t["content"]) for t in added)
+    return {"normalizer": spec.get("normalizer"), "pre_tokenizer": spec.get("pre_tokenizer"), "plain": plain}
+
+
+def takes_words(path: str) -> bool:
+    """True if the vocabulary's steps are exactly those that ``WordLengths`` and ``WordIds`` know."""
+    return path.endswith(".json") and _spec(path) == WORDS
 
 
 _LOADED: dict[tuple, object] = {}
@@ -165,10 +221,7 @@ _LOADED: dict[tuple, object] = {}
 def encoder(path: str, need_ids: bool = False):
     """The worker's encoder; loaded once in each Python worker."""
     if (path, need_ids) not in _LOADED:
-        fast = drops_white_space(path)
-        if need_ids and not fast:
-            raise ValueError("packing needs a vocabulary that drops white space")
-        _LOADED[path, need_ids] = WordIds(path) if fast else LibraryLengths(path)
+        _LOADED[path, need_ids] = (WordIds if need_ids else WordLengths)(path) if takes_words(path) else Library(path)
     return _LOADED[path, need_ids]
 
 
