@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Bounds of what the driver fits on: rows of each label, and bytes of each row's text for the dictionaries.
+#: Bounds of what the driver fits on: rows of each label, and bytes of whole texts in each dictionary's sample.
 SAMPLE_ROWS = 3000
-SAMPLE_BYTES = 16 << 10
+DICTIONARY_TEXTS = 32 << 20
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 1
 BLOCK = 256
@@ -60,14 +60,6 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"\n".join(texts)[:DICTIONARY_BYTES]
 
 
-def _spread(text: bytes, most: int) -> bytes:
-    """The text, or of a longer one as many of its blocks as make ``most`` bytes, from all over it."""
-    if len(text) <= most:
-        return text
-    blocks, wanted = -(-len(text) // BLOCK), most // BLOCK
-    return b"".join(text[k * BLOCK : (k + 1) * BLOCK] for k in (i * blocks // wanted for i in range(wanted)))
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset by Newton's method on standardised x, with a small ridge so that separable data have an answer."""
     centre = np.average(x, weights=weight)
@@ -92,15 +84,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str
     """Fit on at most ``rows`` labelled rows of each class, those with the
     smallest keyed hash.
 
-    Every other sampled row goes into the dictionaries, with ``SAMPLE_BYTES``
-    from all over its text, and the rest calibrates the score by their whole
+    Every other sampled row goes into the dictionaries with its whole text, as
+    long as a label's texts come to at most ``DICTIONARY_TEXTS`` bytes (a row
+    beyond stays out whole), and the rest calibrates the score by their whole
     texts, so that the score isn't fitted on texts that the dictionaries hold.
     A calibrating row counts for as many labels of its class as it was drawn
     from, so that the balance of classes is that of all learnable labels.
-    Whole texts stay on the executors.
 
-    Null labels, ids or texts don't take part. A class that has no rows leaves
-    an empty dictionary; with no rows at all every score is one half.
+    Null labels, ids or texts don't take part; of rows that repeat a labelled
+    id the smallest text does. A class that has no rows leaves an empty
+    dictionary; with no rows at all every score is one half. Other columns are
+    ignored.
     """
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).filter(learnable("__id") & F.col("label").isin(0, 1)).distinct()
     weight = {r["label"]: max(1.0, r["count"] / rows) for r in known.groupBy("label").count().collect()}
@@ -110,33 +104,36 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str
         chosen = few if chosen is None else chosen.union(few)
     # At most 2 * rows ids: a table of bounded size.
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id").filter("text IS NOT NULL AND text <> ''")
-    sample = materialise(sample.select("__id", "label", F.xxhash64("text").alias("hash"), "text"))
-    id_type = sample.schema["__id"].dataType.simpleString()
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cut = pa.array([_spread(t.as_buffer().to_pybytes(), SAMPLE_BYTES) for t in batch.column(3)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], cut], ["__id", "label", "hash", "piece"])
+    sample = materialise(sample.groupBy("__id", "label").agg(F.min("text").alias("text")))
 
-    def places(frame: DataFrame) -> dict[int, list]:
-        """The last column by label, in an order that is the same for both collections."""
+    def in_order(frame: DataFrame) -> dict[int, list]:
+        """Rows by label, in an order that is the same for all collections."""
         data = sorted((zlib.crc32(str(r[0]).encode()), *r) for r in frame.collect())
-        return {label: [r[4] for r in data if r[2] == label] for label in (0, 1)}
-
-    sets = places(sample.mapInArrow(pieces, f"__id {id_type}, label int, hash long, piece binary"))
-    good, bad = (_dictionary([bytes(t) for t in sets[label][::2]]) for label in (1, 0))
+        return {label: [r[1:] for r in data if r[2] == label] for label in (0, 1)}
+
+    taken, ids = in_order(sample.select("__id", "label", F.octet_length("text"))), []
+    for own in taken.values():
+        total = 0
+        for i, label, size in own[::2]:
+            if total + size <= DICTIONARY_TEXTS:
+                total += size
+                ids.append((i, label))
+    picked = docs.sparkSession.createDataFrame(ids, sample.select("__id", "label").schema)
+    sets = in_order(sample.join(F.broadcast(picked), ["__id", "label"]).select("__id", "label", F.col("text").cast("binary")))
+    good, bad = (_dictionary([bytes(r[2]) for r in sets[label]]) for label in (1, 0))
     model = Classifier(good, bad, 0.0, 0.0)
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
+    id_type = sample.schema["__id"].dataType.simpleString()
+
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = handle.value.compressors()
         for batch in batches:
-            d = pa.array([handle.value.difference(compressors, t.as_buffer().to_pybytes()) for t in batch.column(3)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], d], ["__id", "label", "hash", "difference"])
+            d = pa.array([handle.value.difference(compressors, t.as_buffer().to_pybytes()) for t in batch.column(2)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], d], ["__id", "label", "difference"])
 
-    # Rows of equal places have equal texts, and so equal differences.
-    sets = places(sample.mapInArrow(differences, f"__id {id_type}, label int, hash long, difference double"))
-    held = [(d, label, weight[label]) for label in (0, 1) for d in sets[label][1::2]]
+    found = in_order(sample.mapInArrow(differences, f"__id {id_type}, label int, difference double"))
+    held = [(d, label, weight[label]) for own in found.values() for _, label, d in own[1::2]]
     if not held:
         return model
     x, y, w = (np.array(c, float) for c in zip(*held))
@@ -167,7 +164,10 @@ def score(docs: DataFrame, model: Classifier, threshold: float = 0.3, id_col: st
 
 
 def keep_good(docs: DataFrame, model: Classifier, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score ``threshold`` or more."""
+    """The rows of ``docs``, with all their columns, that score ``threshold`` or
+    more, in one scan. Null and empty texts have the score of no difference;
+    ids aren't read, so null and repeated ones stay as they are; an empty table
+    stays empty."""
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
