@@ -112,13 +112,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs, with all their columns."""
-    found = hits(docs, benchmark, window, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    """The rows of ``docs`` in which no benchmark window occurs, with all their
+    columns. Null and empty texts hold none and stay; null ids and repeated rows
+    are judged by their own text; an empty benchmark or table removes nothing."""
+    found = materialise(hits(docs, benchmark, window, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct())
+    if found.count() <= BROADCAST_ROWS:  # two numbers each
+        found = F.broadcast(found)
     return docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__th")), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with hit words, and what separates them from the word before, taken out of the text."""
+    """``docs`` with hit words, and what separates them from the word before,
+    taken out of the text. Texts without a hit, null and empty ones come back as
+    they are; null ids and repeated rows are treated by their own text; other
+    columns stay; an empty table stays empty."""
     found = contamination(docs, benchmark, window, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th"), F.col("hit_words").alias("__hit")).distinct()
     joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__th")), "left")
     # Odd parts are separators and even ones words, as both patterns alternate from the start of the text.

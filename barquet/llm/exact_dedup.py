@@ -65,11 +65,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", con
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts
-    the row with the smallest id; of repeated rows with that id, one."""
-    keep = classes(docs, id_col, text_col).filter("kept").groupBy(F.col("doc_id").alias("__keep_id"), F.unhex("text_sha256").alias("__keep_sha")).agg(F.count("*").alias("__rows"))
-    keep = materialise(keep)
+    the row with the smallest id; of repeated rows with that id, one.
+
+    Null and empty texts are equal; a null id stays only where its group has no
+    other; an empty table stays empty. Rows of a group of one stay unseen; only
+    the others are looked up, by id and hash, and no text is shuffled unless so
+    many groups repeat that their hashes aren't broadcast, or rows do."""
+    every = materialise(classes(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), "kept", F.unhex("text_sha256").alias("__of")))
+    gone = materialise(every.filter("NOT kept").select("__id", "__of").distinct())
+    twice = every.filter("kept").groupBy("__id", "__of").agg(F.count("*").alias("__rows")).filter("__rows > 1")
     keyed = docs.withColumn("__sha", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
-    kept = keyed.join(keep, F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha")), "left_semi")
-    if not keep.filter("__rows > 1").isEmpty():
+    kept = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__of")), "left_anti")
+    if not twice.isEmpty():
         kept = kept.dropDuplicates([id_col, "__sha"])
     return kept.drop("__sha")
