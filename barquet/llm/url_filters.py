@@ -19,7 +19,9 @@ LINK = r"(?i)(?:href|src)\s*=\s*[\"']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s>]+)"
 
 def rule_table(spark, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     """(host, path, action) with action ``allow`` or ``block``, as a DataFrame."""
-    return spark.createDataFrame([(h, p, a) for h, p, a in rules], "host string, path string, action string")
+    if not rules:
+        return spark.createDataFrame([], "host string, path string, action string")
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(a).alias("action")) for h, p, a in rules])))
 
 
 def parts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
