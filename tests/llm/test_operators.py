@@ -181,6 +181,29 @@ def test_long_texts_are_cut_safely(library):
     assert sum((byte.encode(p, add_special_tokens=False).ids for p in parts), []) == byte.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("change", ["case", "digits", "spaces"])
+def test_other_vocabularies_go_through_the_library(spark, docs, rows, tmp_path, change):
+    """A file that differs from the known kind in one step is encoded as the library does, for counts and for packing."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(queries.tokenizer_path(), encoding="utf-8"))
+    if change == "case":
+        spec["normalizer"]["normalizers"].pop()
+    elif change == "digits":
+        spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("[\\p{N}]|", "[\\p{N}]+|")
+    else:
+        spec["added_tokens"][0]["content"] = "one two"
+    path = str(tmp_path / "own.json")
+    json.dump(spec, open(path, "w", encoding="utf-8"))
+    assert tokens.takes_words(queries.tokenizer_path()) and not tokens.takes_words(path)
+    library = Tokenizer.from_file(path)
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(docs, path).collect()}
+    assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
+    check_packing(packing.pack(docs, path).collect(), rows, library)
+
+
 def test_token_count_edges(none, odd):
     assert tokens.token_counts(none, queries.tokenizer_path()).count() == 0
     assert sorted(r["n_tokens"] for r in tokens.token_counts(odd, queries.tokenizer_path()).collect()) == [0, 0, 3, 3, 3, 3]
@@ -280,6 +303,29 @@ def test_simhash_edges(none, odd):
     assert got == [(0, 5), (0, 5), (0, 5), (5, 5), (5, 5), (5, 5)]
 
 
+def test_one_of_each_group_of_fingerprints_stays(docs, rows):
+    fps = {i: simhash.fingerprint((t or "").encode(), 5, 4) for i, t in rows}
+    root = {i: i for i in fps}
+    for a, b in itertools.combinations(sorted(fps), 2):
+        if int(np.bitwise_count(fps[a] ^ fps[b]).sum()) <= 48 and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    assert sorted(r["doc_id"] for r in simhash.near_deduplicate(docs, 48, 5, 256).collect()) == sorted(i for i in root if root[i] == i)
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_similar_links_by_brute_force(blocks):
+    from barquet.llm.components import labels
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 12, rng.integers(0, 14))).astype(np.uint64) for _ in range(120)]
+    second = rng.random(120) < 0.5 if blocks else None
+    pairs = [(a, b) for a, b in itertools.combinations(range(120), 2) if (second is None or second[a] != second[b]) and len(sets[a]) and len(sets[b]) and 2 * len(np.intersect1d(sets[a], sets[b])) >= len(np.union1d(sets[a], sets[b]))]
+    u, v = simhash.similar_links(sets, second, 0.5)
+    i, j = (np.array(x) for x in zip(*pairs))
+    assert (labels(120, np.array(u), np.array(v)) == labels(120, i, j)).all() and len(u) < 120 < len(pairs)
+
+
 # 6
 def test_url_rules(spark):
     urls = ["https://a.example.org/es/5", "http://example.org/en/12?x", "http://EXAMPLE.org/en/2", "http://b.com/fr/", "http://b.com/de/9#t", "http://c.net/x", "http://notexample.org/es/", "http://org", "no url", "", None, "x://a.org/p://q/"]
@@ -470,7 +516,7 @@ def test_quality_keeps_the_balance_beyond_the_sample(spark):
 def test_quality_learns_beyond_the_start_of_long_texts(spark):
     rng = np.random.default_rng(2)
     same = " ".join(f"s{k}" for k in rng.integers(0, 10**6, 3000))
-    assert len(same) > quality.SAMPLE_BYTES
+    assert len(same) > 16 << 10
     docs = [(i, f"{same} " + " ".join(f"{'good' if i % 2 else 'poor'}{k}" for k in rng.integers(0, 300, 3000))) for i in range(80)]
     docs = spark.createDataFrame(docs, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
@@ -478,6 +524,18 @@ def test_quality_learns_beyond_the_start_of_long_texts(spark):
     assert min(out[i] for i in range(1, 80, 2)) > 0.9 and max(out[i] for i in range(0, 80, 2)) < 0.1
 
 
+def test_quality_takes_whole_texts_only(spark, monkeypatch):
+    """Beyond the bound on a dictionary's sample whole rows stay out; a repeated id counts once."""
+    seen = []
+    monkeypatch.setattr(quality, "DICTIONARY_TEXTS", 3000)
+    monkeypatch.setattr(quality, "_dictionary", lambda texts: seen.append(texts) or b"x")
+    texts = {i: f"{i} " + "ab " * (i * 10) for i in range(60)}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items() for _ in range(3)], "doc_id long, text string")
+    quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"))
+    for own in seen:
+        assert 0 < sum(map(len, own)) <= 3000 and len(set(own)) == len(own) and {t.decode() for t in own} <= set(texts.values())
+
+
 # 10
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TABLE = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
