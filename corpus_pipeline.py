@@ -1,62 +1,5 @@
-"""A corpus pipeline: documents in, packed sequences out.
+"""A corpus pipeline: documents in, packed sequences out. Its stages are in ``barquet.llm.pipeline``."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
-written and read again before the next one. All but the last return the
-columns of the input with fewer rows.
-"""
+from barquet.llm.pipeline import BITS, ORACLE_SQL, RADIUS, SHINGLE, SIMILARITY, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from barquet.llm import decontamination, exact_dedup, packing, quality, simhash
-from barquet.llm.common import materialise, read_table
-from barquet.llm.queries import LENGTH, tokenizer_path
-
-#: Near copies: 256-bit fingerprints of 5-word shingles. Two sets of shingles with a similarity of 0.8
-#: meet at a cosine of 0.89, where 39 of 256 bits differ on average, with a deviation of 6.
-SHINGLE, BITS, RADIUS = 5, 256, 48
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from the labelled rows of this stage's input."""
-    return quality.keep_good(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
-
-
-def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest id stays."""
-    return exact_dedup.deduplicate(docs)
-
-
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    return simhash.near_deduplicate(docs, RADIUS, SHINGLE, BITS)
-
-
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of the benchmark go."""
-    return decontamination.remove_documents(docs, read_table(spark, sf_dir, "benchmark"))
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of what is left, packed."""
-    return packing.pack(docs, tokenizer_path(), LENGTH)
-
-
-STAGES = [
-    ("quality classifier", quality_stage),
-    ("exact dedup", exact_dedup_stage),
-    ("SimHash near-dedup", near_dedup_stage),
-    ("benchmark decontamination", decontamination_stage),
-    ("packing", packing_stage),
-]
-
-#: No SQL states compression, fingerprints or packing; a brute-force version in the tests does.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["BITS", "ORACLE_SQL", "RADIUS", "SHINGLE", "SIMILARITY", "STAGES", "run"]
