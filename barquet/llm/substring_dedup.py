@@ -5,22 +5,30 @@ A repeat of ``window`` words holds, wherever it starts, a whole block of
 the earlier document. So blocks at these places are the index, and every
 rolling run of a block's length in every document probes it.
 
-Index entries and probes of some megabytes of text travel as one row a hash
-bucket: sorted hashes of as many bits as the corpus needs, as differences, and
-the documents they come from. What a probe hits is only a candidate: around
-hits, whole windows are compared by 96-bit hashes, and each window that also
-starts in an earlier document extends the repeat by one word, up to the
-maximal one.
+Index entries and probes of some megabytes of text, a unit, travel as one row a
+hash bucket: sorted hashes of as many bits as the corpus needs, as differences,
+with the ids of the documents they come from. A unit has at most
+``2 ** COARSE_BITS`` buckets, so rows and ids grow in proportion to the text;
+where the corpus needs more buckets, the rows of a coarse one are dealt again to
+finer ones, some millions of entries at a time. A hash that many documents of a
+unit share is settled there: all of them are candidates, and two entries, the
+smallest indexed id and the largest id, travel for it. So is a window: those
+after a unit's smallest document are repeats, and only that one's entry travels.
+A passage that stands in every document thus costs a bucket an entry a unit.
+
+What a probe hits is only a candidate: around hits, whole windows are compared
+by 128-bit BLAKE2 digests of their words, and each window that also starts in an
+earlier document extends the repeat by one word, up to the maximal one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +36,12 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .tokens import by_bytes
 
-UNIT_BYTES = 4 << 20
+UNIT_BYTES, UNIT_TEXTS = 4 << 20, 1 << 12
 BUCKET_WINDOWS = 500_000
+#: Buckets that a unit's rows go to are at most 2 to this power; entries that are dealt again to finer ones at a time.
+COARSE_BITS, DEALT_AGAIN = 12, 4_000_000
+#: A hash that more documents share than this is settled where they meet.
+SHARED = 8
 _BASE = pow(0x9E3779B97F4A7C15, 3, 1 << 64) | 1
 _LAST = np.iinfo(np.int64).max
 _U = np.uint64
@@ -103,33 +115,64 @@ def _in_document(n_words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return inside + k <= np.repeat(n_words, n_words), inside
 
 
+def _settled(first: np.ndarray, group: np.ndarray, ids: np.ndarray, aligned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries in groups of equal hashes: which are candidates already, as
+    their hash is shared by many, and which must travel. ``first`` is where each
+    group starts, ``group`` each entry's group."""
+    many = (np.diff(np.append(first, len(ids))) > SHARED)[group]
+    if not many.any():
+        return many, ~many
+    least = np.minimum.reduceat(np.where(aligned, ids, _LAST), first)[group]
+    most = np.maximum.reduceat(ids, first)[group]
+    return many, ~many | (aligned & (ids == least)) | (ids == most)
+
+
+def _entry_row(bucket: int, h: np.ndarray, ids: np.ndarray, aligned: np.ndarray) -> tuple:
+    """Sorted hashes within a bucket, the documents they come from, and whether they stand at a block's place."""
+    used, local = np.unique(ids, return_inverse=True)
+    return bucket, _planes(used), _planes(np.diff(h, prepend=np.int64(0))), _planes(local.astype("<u4")), np.packbits(aligned).tobytes()
+
+
+def _entries(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h = np.cumsum(_values(row["h"], "<i8"))
+    return h, _values(row["ids"], "<i8")[_values(row["doc"], "<u4")], np.unpackbits(np.frombuffer(row["aligned"], np.uint8), count=len(h)).astype(bool)
+
+
+def _candidate_row(bucket: int, h: np.ndarray, ids: np.ndarray) -> tuple:
+    """Candidates that are settled: they travel to any bucket, and through it."""
+    return bucket, _planes(ids), _planes(h), None, None
+
+
 def _sieve_rows(ids: np.ndarray, texts: pa.Array, block: int, bits: int, bucket_bits: int) -> Iterator[tuple]:
     words, n_words = word_hashes(texts)
     h = run_hashes(words, block)
     whole, inside = _in_document(n_words, block)
     whole, inside = whole[: len(h)], inside[: len(h)]
     doc = np.repeat(np.arange(len(n_words)), n_words)[: len(h)]
-    key = ((h >> _U(64 - bits)) << _U(17)) | (doc.astype(_U) << _U(1)) | (inside % block != 0).astype(_U)
+    key = ((h >> _U(64 - bits)) << _U(13)) | (doc.astype(_U) << _U(1)) | (inside % block != 0).astype(_U)
     key = np.sort(key[whole])
     if not len(key):
         return
     key = key[np.append(True, key[1:] >> _U(1) != key[:-1] >> _U(1))]  # once in a document; at a block's place if there is one
-    h = key >> _U(17)
+    h, own, aligned = (key >> _U(13)).astype(np.int64), ids[((key >> _U(1)) & _U(0xFFF)).astype(np.int64)], (key & _U(1)) == 0
+    new = np.append(True, h[1:] != h[:-1])
+    sure, sent = _settled(np.flatnonzero(new), np.cumsum(new) - 1, own, aligned)
+    if sure.any():
+        yield _candidate_row(int(h[0]) & ((1 << bucket_bits) - 1), h[sure], own[sure])
+        h, own, aligned = h[sent], own[sent], aligned[sent]
     rest = bits - bucket_bits
-    cuts = np.searchsorted(h, (np.arange((1 << bucket_bits) + 1, dtype=_U)) << _U(rest)).tolist()
-    all_ids = _planes(ids)
+    cuts = np.searchsorted(h, np.arange((1 << bucket_bits) + 1) << rest).tolist()
     for b in range(1 << bucket_bits):
         lo, hi = cuts[b], cuts[b + 1]
         if lo < hi:
-            own = (h[lo:hi] & _U((1 << rest) - 1)).astype(np.int64)
-            yield b, all_ids, _planes(np.diff(own, prepend=0).astype("<u4")), _planes(((key[lo:hi] >> _U(1)) & _U(0xFFFF)).astype("<u2")), np.packbits((key[lo:hi] & _U(1)) == 0).tobytes()
+            yield _entry_row(b, h[lo:hi] & ((1 << rest) - 1), own[lo:hi], aligned[lo:hi])
 
 
 def _units(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[int, pa.Array]]:
     at = 0
     for texts in by_bytes(batch.column(text_at), UNIT_BYTES):
-        for first in range(0, len(texts), 1 << 16):
-            some = texts.slice(first, 1 << 16)
+        for first in range(0, len(texts), UNIT_TEXTS):
+            some = texts.slice(first, UNIT_TEXTS)
             yield at + first, some
         at += len(texts)
 
@@ -153,6 +196,59 @@ def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def _window_rows(bucket: np.ndarray, raw: np.ndarray, keys: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[tuple]:
+    """Rows of windows' digests by bucket, with their documents (places in
+    ``keys``: id and hash of the text) and places. Of equal ones those after the
+    smallest id are repeats and go as such, in a row without digests."""
+    digest = raw.view("<u8").reshape(-1, 2)
+    order, first, group = _grouped(bucket, digest[:, 0], digest[:, 1])
+    bucket, raw, doc, place = bucket[order], raw[order], doc[order], place[order]
+    again = keys[doc, 0] > np.minimum.reduceat(keys[doc, 0], first)[group]
+
+    def row(which, digests: bytes | None) -> tuple:
+        used, local = np.unique(doc[which], return_inverse=True)
+        return keys[used].astype("<i8").tobytes(), digests, _planes(local.astype("<u4")), _planes(place[which].astype("<u4"))
+
+    if again.any():
+        yield int(bucket[0]), *row(again, None)
+        bucket, raw, doc, place = bucket[~again], raw[~again], doc[~again], place[~again]
+    cuts = [*np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+    for lo, hi in zip([0, *cuts], cuts):
+        if lo < hi:
+            yield int(bucket[lo]), *row(slice(lo, hi), raw[lo:hi].tobytes())
+
+
+def _windows(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(row["keys"], "<i8").reshape(-1, 2)[_values(row["doc"], "<u4")], _values(row["place"], "<u4")
+
+
+ENTRY, WINDOW = "bucket int, ids binary, h binary, doc binary, aligned binary", "bucket int, keys binary, digest binary, doc binary, place binary"
+
+
+def _record(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names = [x.split()[0] for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 4)], names)
+
+
+def _finer(rows: DataFrame, schema: str, size: Callable[[dict], int], deal: Callable[[int, list[dict]], Iterator[tuple]]) -> DataFrame:
+    """Rows of coarse buckets dealt again: those of one bucket are gathered up to
+    ``DEALT_AGAIN`` entries, and ``deal`` makes rows of finer buckets of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, entries = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and (row["bucket"] != held[0]["bucket"] or entries > DEALT_AGAIN):
+                    yield _record(list(deal(held[0]["bucket"], held)), schema)
+                    held, entries = [], 0
+                held.append(row)
+                entries += size(row)
+        if held:
+            yield _record(list(deal(held[0]["bucket"], held)), schema)
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
 def repeated_places(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``doc_id, th, text`` of documents that may hold repeats, and ``doc_id,
     th, places``: little-endian 32-bit places of words where a window starts
@@ -161,38 +257,59 @@ def repeated_places(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     about = int((base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 5) + 1
     bucket_bits = max(0, (about // BUCKET_WINDOWS).bit_length())
-    bits = min(46, max(about.bit_length() + 9, bucket_bits + 8))
+    coarse = min(bucket_bits, COARSE_BITS)
+    bits = min(51, max(about.bit_length() + 9, bucket_bits + 8))
+    sub, rest = bucket_bits - coarse, bits - bucket_bits
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for at, texts in _units(batch, 1):
-                rows = list(_sieve_rows(ids[at : at + len(texts)], texts, block, bits, bucket_bits))
+                rows = list(_sieve_rows(ids[at : at + len(texts)], texts, block, bits, coarse))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 4)], ["bucket", "ids", "h", "doc", "aligned"])
+                    yield _record(rows, ENTRY)
 
-    def probe(table: pa.Table) -> pa.Table:
-        h, doc, aligned = [], [], []
-        for row in table.to_pylist():
-            own = np.cumsum(_values(row["h"], "<u4").astype(np.int64))
-            h.append(own)
-            doc.append(_values(row["ids"], "<i8")[_values(row["doc"], "<u2")])
-            aligned.append(np.unpackbits(np.frombuffer(row["aligned"], np.uint8), count=len(own)).astype(bool))
-        h, doc, aligned = map(np.concatenate, (h, doc, aligned))
+    def gathered(rows: list[dict]) -> tuple:
+        """All entries by hash, and where their groups start; and settled candidates."""
+        sent, sure = [_entries(r) for r in rows if r["doc"] is not None], [(_values(r["h"], "<i8"), _values(r["ids"], "<i8")) for r in rows if r["doc"] is None]
+        h, ids, aligned = map(np.concatenate, zip(*sent)) if sent else (np.array([], np.int64), np.array([], np.int64), np.array([], bool))
         order, first, group = _grouped(h)
-        doc, aligned = doc[order], aligned[order]
-        least = np.minimum.reduceat(np.where(aligned, doc, _LAST), first)[group]
-        most = np.maximum.reduceat(doc, first)[group]
-        hit = (doc > least) | (aligned & (doc < most))
-        full = h[order][hit] + (int(table.column("bucket")[0].as_py()) << (bits - bucket_bits))
-        rows = [(d, np.unique(v).astype("<u8").tobytes()) for d, v in _per_document(doc[hit], full)]
+        sure_h, sure_ids = map(np.concatenate, zip(*sure)) if sure else (np.array([], np.int64),) * 2
+        return h[order], ids[order], aligned[order], first, group, sure_h, sure_ids
+
+    def deal_entries(bucket: int, rows: list[dict]) -> Iterator[tuple]:
+        h, ids, aligned, first, group, sure_h, sure_ids = gathered(rows)
+        if len(h):
+            sure, sent = _settled(first, group, ids, aligned)
+            sure_h, sure_ids = np.append(sure_h, h[sure] + (bucket << (rest + sub))), np.append(sure_ids, ids[sure])
+            h, ids, aligned = h[sent], ids[sent], aligned[sent]
+            cuts = np.searchsorted(h, np.arange((1 << sub) + 1) << rest).tolist()
+            for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+                if lo < hi:
+                    yield _entry_row((bucket << sub) + b, h[lo:hi] & ((1 << rest) - 1), ids[lo:hi], aligned[lo:hi])
+        if len(sure_h):
+            yield _candidate_row((bucket << sub) + int(sure_ids[0]) % (1 << sub), sure_h, sure_ids)
+
+    def probe(table: pa.Table) -> pa.Table:
+        h, ids, aligned, first, group, sure_h, sure_ids = gathered(table.to_pylist())
+        if len(h):
+            least = np.minimum.reduceat(np.where(aligned, ids, _LAST), first)[group]
+            most = np.maximum.reduceat(ids, first)[group]
+            hit = (ids > least) | (aligned & (ids < most))
+            sure_h, sure_ids = np.append(sure_h, h[hit] + (int(table.column("bucket")[0].as_py()) << rest)), np.append(sure_ids, ids[hit])
+        rows = [(d, np.unique(v).astype("<u8").tobytes()) for d, v in _per_document(sure_ids, sure_h)]
         return pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "hits": pa.array([v for _, v in rows], pa.binary())})
 
-    entries = base.select("doc_id", "text").mapInArrow(sieve, "bucket int, ids binary, h binary, doc binary, aligned binary")
+    entries = base.select("doc_id", "text").mapInArrow(sieve, ENTRY)
+    if sub:
+        entries = _finer(entries, ENTRY, lambda r: 8 * len(r["aligned"] or b""), deal_entries)
     found = entries.groupBy("bucket").applyInArrow(probe, "doc_id long, hits binary")
     found = found.groupBy("doc_id").agg(F.collect_list("hits").alias("hits"))
     maybe = materialise(base.join(found, "doc_id"), compression="zstd")
 
+    def window_buckets(raw: np.ndarray, n: int) -> np.ndarray:
+        return raw[:, :4].copy().view(">u4").ravel().astype(np.int64) >> (32 - n) if n else np.zeros(len(raw), np.int64)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
@@ -213,43 +330,42 @@ def repeated_places(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
                         joined = b" ".join(parts)
                         stop = np.cumsum(np.fromiter(map(len, parts), np.int64, n) + 1) - 1
                         begin = np.append(0, stop[:-1] + 1)
-                        digest = xxhash.xxh3_128_digest
-                        digests.extend([digest(joined[a:b])[:12] for a, b in zip(begin[starts].tolist(), stop[starts + window - 1].tolist())])
+                        digests.extend([blake2b(joined[a:b], digest_size=16).digest() for a, b in zip(begin[starts].tolist(), stop[starts + window - 1].tolist())])
                         docs_at.append(np.full(len(starts), i, np.int64))
                         places.append(starts)
-                if not digests:
-                    continue
-                raw = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 12)
-                bucket = raw[:, :4].copy().view(">u4").ravel().astype(np.int64) >> (32 - bucket_bits) if bucket_bits else np.zeros(len(raw), np.int64)
-                doc, place = np.concatenate(docs_at), np.concatenate(places)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange((1 << bucket_bits) + 1)).tolist()
-                rows = []
-                for b in range(1 << bucket_bits):
-                    own = order[cuts[b] : cuts[b + 1]]
-                    if len(own):
-                        used, local = np.unique(doc[own], return_inverse=True)
-                        rows.append((b, keys[at + used].astype("<i8").tobytes(), raw[own].tobytes(), _planes(local.astype("<u2")), _planes(place[own].astype("<u4"))))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 4)], ["bucket", "keys", "digest", "doc", "place"])
+                if digests:
+                    raw = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
+                    yield _record(list(_window_rows(window_buckets(raw, coarse), raw, keys, at + np.concatenate(docs_at), np.concatenate(places))), WINDOW)
+
+    def deal_windows(bucket: int, rows: list[dict]) -> Iterator[tuple]:
+        for r in rows:
+            if r["digest"] is None:
+                yield (bucket << sub) + len(r["place"]) % (1 << sub), r["keys"], None, r["doc"], r["place"]
+        rows = [r for r in rows if r["digest"] is not None]
+        if rows:
+            raw = np.frombuffer(b"".join(r["digest"] for r in rows), np.uint8).reshape(-1, 16)
+            key, place = map(np.concatenate, zip(*map(_windows, rows)))
+            keys, doc = np.unique(key, axis=0, return_inverse=True)
+            yield from _window_rows(window_buckets(raw, bucket_bits), raw, keys, doc.ravel(), place)
 
     def extend(table: pa.Table) -> pa.Table:
-        high, low, key, place = [], [], [], []
-        for row in table.to_pylist():
-            raw = np.frombuffer(row["digest"], np.uint8).reshape(-1, 12)
-            high.append(raw[:, :8].copy().view("<u8").ravel())
-            low.append(raw[:, 8:].copy().view("<u4").ravel())
-            key.append(np.frombuffer(row["keys"], "<i8").reshape(-1, 2)[_values(row["doc"], "<u2")])
-            place.append(_values(row["place"], "<u4"))
-        high, low, key, place = map(np.concatenate, (high, low, key, place))
-        order, first, group = _grouped(high, low)
-        key, place = key[order], place[order]
-        again = key[:, 0] > np.minimum.reduceat(key[:, 0], first)[group]
-        key, place = key[again], place[again]
+        rows = table.to_pylist()
+        sent, sure = [r for r in rows if r["digest"] is not None], [_windows(r) for r in rows if r["digest"] is None]
+        if sent:
+            digest = np.frombuffer(b"".join(r["digest"] for r in sent), "<u8").reshape(-1, 2)
+            key, place = map(np.concatenate, zip(*map(_windows, sent)))
+            order, first, group = _grouped(digest[:, 0], digest[:, 1])
+            key, place = key[order], place[order]
+            again = key[:, 0] > np.minimum.reduceat(key[:, 0], first)[group]
+            sure.append((key[again], place[again]))
+        key, place = map(np.concatenate, zip(*sure)) if sure else (np.zeros((0, 2), np.int64), np.array([], np.int64))
         pairs, of = np.unique(key, axis=0, return_inverse=True) if len(key) else (key, np.array([], int))
         rows = [(pairs[k], v.astype("<u4").tobytes()) for k, v in _per_document(of.ravel(), place)]
         return pa.table({"doc_id": pa.array([int(k[0]) for k, _ in rows], pa.int64()), "th": pa.array([int(k[1]) for k, _ in rows], pa.int64()), "places": pa.array([v for _, v in rows], pa.binary())})
 
-    windows = maybe.select("doc_id", "th", "text", "hits").mapInArrow(compare, "bucket int, keys binary, digest binary, doc binary, place binary")
+    windows = maybe.select("doc_id", "th", "text", "hits").mapInArrow(compare, WINDOW)
+    if sub:
+        windows = _finer(windows, WINDOW, lambda r: len(r["digest"] or b"") // 16, deal_windows)
     places = windows.groupBy("bucket").applyInArrow(extend, "doc_id long, th long, places binary")
     return maybe.select("doc_id", "th", "text"), places.groupBy("doc_id", "th").agg(F.collect_list("places").alias("places"))
 

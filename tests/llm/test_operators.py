@@ -473,6 +473,25 @@ def test_repeats_in_many_buckets(docs, rows, monkeypatch):
     assert sorted(map(tuple, substring_dedup.repeats(docs).collect())) == repeats_by_hand(rows)
 
 
+@pytest.mark.parametrize("coarse", [12, 2])
+def test_repeats_of_a_line_in_every_document(spark, monkeypatch, coarse):
+    """A licence line in all documents, at any place, ids out of order and far apart, in coarse and fine buckets."""
+    monkeypatch.setattr(substring_dedup, "BUCKET_WINDOWS", 150)
+    monkeypatch.setattr(substring_dedup, "COARSE_BITS", coarse)
+    monkeypatch.setattr(substring_dedup, "DEALT_AGAIN", 300)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    line = [word() for _ in range(17)]
+    passages = [[word() for _ in range(rng.randint(12, 40))] for _ in range(6)]
+    rows = []
+    for _ in range(120):
+        parts = [[word() for _ in range(rng.randint(0, 30))], line, rng.choice(passages), [word() for _ in range(5)], rng.choice(passages)]
+        rng.shuffle(parts)
+        rows.append((rng.randrange(-(10**12), 10**15), " ".join(x for p in parts for x in p)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, substring_dedup.repeats(df).collect())) == repeats_by_hand(rows)
+
+
 def test_repeat_edges(spark, none):
     assert substring_dedup.repeats(none).count() == 0
     long = " ".join(f"w{i}" for i in range(20))
