@@ -9,7 +9,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -84,7 +84,9 @@ def _iban_rest(iban: str) -> int:
 
 
 def canonical(kind: str, surface: str) -> str:
-    """What all mentions of one entity share."""
+    """What all mentions of one entity share. A phone number is its digits without
+    the prefix 1; a national form and one with another country's prefix are two
+    entities, as the text doesn't say which country a national form is of."""
     if kind in ("phone", "card", "ssn"):
         digits = re.sub(r"\D", "", surface)
         return digits[1:] if kind == "phone" and len(digits) == 11 and digits[0] == "1" else digits
@@ -228,17 +230,19 @@ def choose_attempts(entities: DataFrame, key: bytes) -> DataFrame:
 
     schema = "kind string, value string, attempt int, surrogate string"
     kind = F.regexp_replace("kind", ":[mf]:", ":given:")  # names of both genders must differ too
-    real = entities.select(kind.alias("ck"), F.col("value").alias("cs"), F.lit(0).alias("made"), F.lit(1).alias("real")).distinct()
+    nobody = F.lit(None).cast("struct<attempt:int,value:string,kind:string>").alias("who")
+    real = entities.select(kind.alias("ck"), F.col("value").alias("cs"), F.lit(0).alias("made"), F.lit(1).alias("real"), nobody).distinct()
     table = materialise(entities.withColumn("attempt", F.lit(0)).mapInArrow(make, schema))
     while True:
-        made = table.select(kind.alias("ck"), F.col("surrogate").alias("cs"), F.lit(1).alias("made"), F.lit(0).alias("real"))
-        sums = made.union(real).groupBy("ck", "cs").agg(F.sum("made").alias("made"), F.max("real").alias("real"))
+        who = F.struct("attempt", "value", "kind")
+        made = table.select(kind.alias("ck"), F.col("surrogate").alias("cs"), F.lit(1).alias("made"), F.lit(0).alias("real"), who.alias("who"))
+        # One row a surrogate, with partial sums and minima, however many entities share it.
+        sums = made.union(real).groupBy("ck", "cs").agg(F.sum("made").alias("made"), F.max("real").alias("real"), F.min("who").alias("keeps"))
         clash = materialise(sums.filter("made > 1 OR (made = 1 AND real = 1)"))
         if clash.isEmpty():
             return table
-        struck = table.join(clash, (kind == F.col("ck")) & (F.col("surrogate") == F.col("cs"))).drop("made")
-        smallest = F.row_number().over(Window.partitionBy("ck", "cs").orderBy("attempt", "value", "kind")) == 1
-        again = materialise(struck.withColumn("keeps", smallest & (F.col("real") == 0)).filter("NOT keeps").select("kind", "value", "attempt"))
+        struck = table.join(clash, (kind == F.col("ck")) & (F.col("surrogate") == F.col("cs")))
+        again = materialise(struck.filter((F.col("real") == 1) | ~who.eqNullSafe(F.col("keeps"))).select("kind", "value", "attempt"))
         stuck = again.filter(F.col("attempt") >= LAST).groupBy("kind").count().collect()
         if stuck:
             raise ValueError(f"no surrogates left for entities of a kind: {sorted((r['kind'], r['count']) for r in stuck)}")

@@ -433,6 +433,34 @@ def test_surrogates_where_a_format_is_used_up(spark):
     assert pii.rendered("email", "A@b.com", "a@b.com", "qrs@t.com") == "Qrs@t.com" and pii.rendered("phone", "+1 23 45", "12345", "98765432") == "+9 87 65432"
 
 
+def attempts_by_hand(entities, key):
+    """The corpus-wide rule on plain dictionaries: who shares a surrogate, or has one that is real, tries again, but for the smallest of those who share."""
+    kind_of = lambda k: re.sub(":[mf]:", ":given:", k)
+    real = {(kind_of(k), v) for k, v in entities}
+    own = lambda k, v, a: pii.surrogate(key, k, v, a)
+    attempt = {(k, v): pii.WIDE if own(k, v, 0) == v == own(k, v, 1) else 0 for k, v in entities}
+    while True:
+        groups = collections.defaultdict(list)
+        for (k, v), a in attempt.items():
+            groups[kind_of(k), own(k, v, a)].append((a, v, k))
+        again = [x for g, members in groups.items() for x in sorted(members)[0 if g in real else 1 :]]
+        if not again:
+            return {(k, v): (a, own(k, v, a)) for (k, v), a in attempt.items()}
+        for a, v, k in again:
+            attempt[k, v] = a + 1
+
+
+def test_surrogates_of_a_corpus_by_brute_force(spark):
+    """Names outnumber the lists, short addresses and phone numbers collide, and some surrogates are real."""
+    names = ["".join(x) for x in itertools.product("bcdfgh", "aeiou", "klmn")] + pii.NAMES["latin"]["s"].casefold().split()
+    given = ["".join(x) for x in itertools.product("bcd", "aei", "kl")] + pii.NAMES["latin"]["f"].casefold().split()
+    entities = [("name:s:latin", n) for n in names] + [(f"name:{g}:latin", n) for g in "mf" for n in given]
+    entities += [("ip", f"{i}.{j}.1.1") for i in range(1, 10) for j in range(1, 10)] + [("phone", str(i)) for i in range(21000, 21300)] + [("email", f"{c}@x.com") for c in string.ascii_lowercase]
+    got = {(r["kind"], r["value"]): (r["attempt"], r["surrogate"]) for r in pii.choose_attempts(spark.createDataFrame(entities, "kind string, value string").repartition(3), b"k2").collect()}
+    want = attempts_by_hand(entities, b"k2")
+    assert got == want and max(a for a, _ in want.values()) > 1
+
+
 def test_surrogates_that_do_not_exist_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(pii, "WIDE", 1)
     monkeypatch.setattr(pii, "LAST", 1)
