@@ -7,13 +7,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.metrics import correlation
+
 
 def pair_correlations(frame: DataFrame, window: int, every: int) -> DataFrame:
     """``at, a, b, rho`` of each pair of instruments over the window that ends at each rebalance."""
     dates = frame.select("bar_ix").distinct().filter((F.col("bar_ix") >= window - 1) & ((F.col("bar_ix") - (window - 1)) % every == 0)).select(F.col("bar_ix").alias("at"))
     inside = frame.join(F.broadcast(dates), F.col("bar_ix").between(F.col("at") - (window - 1), F.col("at")))  # dates: the calendar over `every`
     left, right = (inside.select("at", "bar_ix", F.col("instrument").alias(n), F.col("ret").alias(f"r{n}")) for n in "ab")
-    return left.join(right, ["at", "bar_ix"]).filter("a < b").groupBy("at", "a", "b").agg(F.corr("ra", "rb").alias("rho"))
+    return left.join(right, ["at", "bar_ix"]).filter("a < b").groupBy("at", "a", "b").agg(correlation(F.col("ra"), F.col("rb")).alias("rho"))
 
 
 def average_linkage(distance: np.ndarray, groups: int) -> list[int]:

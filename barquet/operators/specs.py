@@ -1,7 +1,7 @@
 """Spec graphs as edge tables (spec_id, node, operator, version, input, role).
 
-An input is a node of the spec or a source ``price.<column>``. Graphs are
-shallow; each round of a walk moves one level up."""
+An input is a node of the spec or a source ``price.<column>``. Each round of a
+walk moves all specs one level, so rounds follow the deepest graph."""
 
 from __future__ import annotations
 
@@ -10,40 +10,64 @@ from pyspark.sql import functions as F
 
 from ..shared import written
 
-#: Operators whose result has no price unit.
-UNIT_FREE = ["zscore", "percent_rank", "roc", "log_return", "crossover", "momentum", "breakout", "mean_reversion"]
+#: Operators whose result has no price unit, those that compare with a constant, and price columns with a unit.
+UNIT_FREE = ["zscore", "percent_rank", "roc", "log_return", "frac_diff", "atr_normalise"]
+LEVELS = ["threshold"]
+RAW = ["price.open", "price.high", "price.low", "price.close"]
 
 
-def structural_hashes(nodes: DataFrame, depth: int = 8) -> DataFrame:
-    """``spec_id, spec_hash``: the same for graphs that differ in the names or the order of their nodes."""
+def structural_hashes(nodes: DataFrame) -> DataFrame:
+    """``spec_id, spec_hash``: the same for graphs that differ in the names or the
+    order of their nodes. A round hashes the nodes whose inputs are all hashed,
+    until none is left; a graph that never ends so has a cycle, which is an error."""
     edges = nodes.select("spec_id", "node", "operator", "version", "input", "role").distinct()
     inner = edges.select("spec_id", F.col("node").alias("input")).distinct().withColumn("inner", F.lit(True))
     edges = written(edges.join(inner, ["spec_id", "input"], "left"))
-    known = edges.select("spec_id", F.col("input").alias("node"), F.sha2("input", 256).alias("h")).join(inner.select("spec_id", F.col("input").alias("node")), ["spec_id", "node"], "left_anti").distinct()
-    for _ in range(depth):
-        ready = edges.join(known.withColumnRenamed("node", "input"), ["spec_id", "input"], "left")
+    own = edges.select("spec_id", "node").distinct()
+    left = own.count()
+    known = edges.filter("inner IS NULL").select("spec_id", F.col("input").alias("node"), F.sha2("input", 256).alias("h")).distinct()
+    inputs = edges.select("spec_id", "node", "operator", "version", "input").distinct()
+    done = None
+    while left:
+        ready = inputs if done is None else inputs.join(done.select("spec_id", "node"), ["spec_id", "node"], "left_anti")
+        ready = ready.join(known.withColumnRenamed("node", "input"), ["spec_id", "input"], "left")
         level = ready.groupBy("spec_id", "node", "operator", "version").agg(F.count_if(F.col("h").isNull()).alias("open"), F.sort_array(F.collect_list("h")).alias("hs")).filter("open = 0")
-        level = level.select("spec_id", "node", F.sha2(F.concat_ws("|", "operator", "version", F.concat_ws(",", "hs")), 256).alias("h"))
-        grown = written(known.union(level).distinct())
-        if grown.count() == known.count():
-            break
-        known = grown
-    roots = edges.select("spec_id", "node", "role").distinct().join(edges.select("spec_id", F.col("input").alias("node")), ["spec_id", "node"], "left_anti")
+        level = written(level.select("spec_id", "node", F.sha2(F.concat_ws("|", "operator", "version", F.concat_ws(",", "hs")), 256).alias("h")))
+        found = level.count()
+        if not found:
+            raise ValueError("a spec's graph has a cycle")
+        left -= found
+        known, done = written(known.union(level)), level if done is None else written(done.union(level))
+    used = edges.filter("inner").select("spec_id", F.col("input").alias("node")).distinct()
+    roots = edges.select("spec_id", "node", "role").distinct().join(used, ["spec_id", "node"], "left_anti")
     return roots.join(known, ["spec_id", "node"]).groupBy("spec_id").agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(F.concat("role", F.lit(":"), "h")))), 256).alias("spec_hash"))
 
 
+def cones(nodes: DataFrame, start: DataFrame) -> DataFrame:
+    """``start`` (spec_id, node and labels) with every node upstream of each as
+    ``up``, itself included: one level a round, until nothing is new."""
+    edges = written(nodes.select("spec_id", F.col("node").alias("up"), F.col("input").alias("next")).distinct())
+    seen = front = written(start.withColumn("up", F.col("node")).distinct())
+    while True:
+        front = front.join(edges, ["spec_id", "up"]).drop("up").withColumnRenamed("next", "up").filter(~F.col("up").startswith("price."))
+        front = written(front.select(*seen.columns).distinct().join(seen, seen.columns, "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = written(seen.union(front))
+
+
 def usage(nodes: DataFrame) -> DataFrame:
-    """Operators that each role of a spec uses, also behind other nodes."""
-    return nodes.select("spec_id", "role", "operator").distinct()
+    """``spec_id, role, operator``: the operators that each role's roots depend on, through any number of nodes."""
+    used = nodes.select("spec_id", F.col("input").alias("node")).distinct()
+    roots = nodes.select("spec_id", "node", "role").distinct().join(used, ["spec_id", "node"], "left_anti")
+    of = nodes.select("spec_id", F.col("node").alias("up"), "operator").distinct()
+    return cones(nodes, roots).join(of, ["spec_id", "up"]).select("spec_id", "role", "operator").distinct()
 
 
 def absolute_levels(nodes: DataFrame) -> DataFrame:
-    """Specs where a threshold sees a raw price with no unit-free node between."""
-    reach = nodes.select("spec_id", "node", "operator", "input").distinct()
-    raw = reach.filter(F.col("input").startswith("price.") & ~F.col("input").isin("price.returns", "price.volume"))
-    seen = raw.select("spec_id", "node", "operator")
-    front = seen
-    for _ in range(4):
-        front = front.filter(~F.col("operator").isin(UNIT_FREE)).select("spec_id", F.col("node").alias("input")).distinct().join(reach, ["spec_id", "input"]).select("spec_id", "node", "operator")
-        seen = seen.union(front)
-    return seen.filter("operator = 'threshold'").select("spec_id").distinct()
+    """``spec_id, node``: comparisons with a constant whose cone reaches a raw price and has no unit-free operator in it."""
+    starts = nodes.filter(F.col("operator").isin(LEVELS)).select("spec_id", "node").distinct()
+    of = nodes.select("spec_id", F.col("node").alias("up"), "operator", "input")
+    cone = cones(nodes, starts).join(of, ["spec_id", "up"]).groupBy("spec_id", "node")
+    found = cone.agg(F.bool_or(F.col("operator").isin(UNIT_FREE)).alias("free"), F.bool_or(F.col("input").isin(RAW)).alias("raw"))
+    return found.filter("raw AND NOT free").select("spec_id", "node")

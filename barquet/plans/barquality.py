@@ -74,14 +74,15 @@ def unexplained_jumps(bars: DataFrame, actions: DataFrame, threshold: float = 0.
 
 
 def narrow_universe(bars: DataFrame, index_size: int) -> DataFrame:
-    """Too few instruments were ever seen for the years covered."""
+    """Too few instruments were ever seen for the years covered; one alone is no universe."""
     seen = bars.agg(F.countDistinct("instrument").alias("n"), (F.datediff(F.max("date"), F.min("date")) / 365.25).alias("years"))
     expected = 0.5 * (index_size + 2 * F.col("years")) + 0.5 * index_size
-    return _flags(seen.filter((F.col("years") >= 3) & (F.col("n") < expected)), "universe_too_narrow", F.lit(None).cast("string"), F.lit(None), F.col("n"))
+    return _flags(seen.filter((F.col("years") >= 3) & (F.col("n") > 1) & (F.col("n") < expected)), "universe_too_narrow", F.lit(None).cast("string"), F.lit(None), F.col("n"))
 
 
-def zero_volume(bars: DataFrame, limit: float = 0.05) -> DataFrame:
-    share = bars.groupBy("instrument").agg((F.count_if(F.coalesce("volume", F.lit(0.0)) == 0) / F.count("*")).alias("share"))
+def zero_volume(bars: DataFrame, limit: float = 0.0) -> DataFrame:
+    """Instruments with a larger share of bars with no or a negative volume than the limit; an unknown volume isn't one."""
+    share = bars.groupBy("instrument").agg((F.count_if(F.col("volume") <= 0) / F.count("*")).alias("share"))
     return _flags(share.filter(F.col("share") > limit), "zero_volume", F.col("instrument"), F.lit(None), F.col("share"))
 
 
@@ -95,7 +96,7 @@ def gaps(bars: DataFrame, longest: int = 5) -> DataFrame:
     return _flags(days, "gap", F.col("instrument"), F.col("date"), F.col("days"))
 
 
-def validate(bars: DataFrame, actions: DataFrame, index_size: int = 5, jump: float = 0.3, zero_share: float = 0.05, stale: int = 5, gap: int = 5) -> DataFrame:
+def validate(bars: DataFrame, actions: DataFrame, index_size: int = 5, jump: float = 0.3, zero_share: float = 0.0, stale: int = 5, gap: int = 5) -> DataFrame:
     out = unexplained_jumps(bars, actions, jump)
     for more in (narrow_universe(bars, index_size), zero_volume(bars, zero_share), stale_prices(bars, stale), gaps(bars, gap)):
         out = out.unionByName(more)

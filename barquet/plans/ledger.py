@@ -5,29 +5,94 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
 from .barquality import latest
 
 
 def comparable(experiments: DataFrame, hashes: list[str]) -> DataFrame:
-    """How many other experiments share all hashes with each one."""
-    return experiments.join(experiments.groupBy(*hashes).agg((F.count("*") - 1).alias("n_comparable")), hashes)
+    """How many other experiments share all hashes with each one; one that lacks a
+    hash is comparable with none."""
+    whole = F.lit(True)
+    for h in hashes:
+        whole = whole & F.col(h).isNotNull()
+    counts = experiments.filter(whole).groupBy(*hashes).agg((F.count("*") - 1).alias("n_comparable"))
+    return experiments.join(counts, hashes, "left").withColumn("n_comparable", F.coalesce("n_comparable", F.lit(0)))
+
+
+def trial_counts(experiments: DataFrame, keys: list[str], iterations: str = "iteration_count") -> DataFrame:
+    """Trials of a family (and market): the iterations of its experiments; an experiment without a count is none."""
+    return experiments.groupBy(*keys).agg(F.coalesce(F.sum(iterations), F.lit(0)).alias("trials"))
+
+
+def answered(questions: DataFrame, findings: DataFrame) -> DataFrame:
+    """Open questions (question_id, priority, ids) by priority, with the sorted union
+    of the ids of findings (finding_id, ids) that share one with them, and how many do."""
+    each = questions.select("question_id", F.explode("ids").alias("x")).join(findings.select("finding_id", F.explode("ids").alias("x")), "x").select("question_id", "finding_id").distinct()
+    merged = each.join(findings, "finding_id").groupBy("question_id").agg(F.count("*").alias("n_answers"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("more"))
+    none = F.array().cast(questions.schema["ids"].dataType)
+    out = questions.join(merged, "question_id", "left")
+    return out.select("question_id", "priority", F.coalesce("n_answers", F.lit(0)).alias("n_answers"), F.array_sort(F.array_union("ids", F.coalesce("more", none))).alias("ids"))
+
+
+def failure_patterns(entries: DataFrame, market: str, most: int = 10) -> DataFrame:
+    """Entries (id, kind, markets, confidence) that speak against a strategy of a market: counter-evidence
+    and failure patterns whose markets hold it, or that name none; the surest first."""
+    fits = F.col("markets").isNull() | F.array_contains("markets", market)
+    return entries.filter(F.col("kind").isin("counter_evidence", "failure_pattern") & fits).orderBy(F.desc("confidence"), "id").limit(most)
+
+
+def case_against(margins: DataFrame, regimes: DataFrame, key: str, nearest: int = 3, worst: int = 2) -> DataFrame:
+    """What speaks against each candidate: the thresholds (name, value, threshold) that it
+    clears by the smallest relative margin, and its regimes (regime, sharpe) with the lowest Sharpe."""
+    margin = F.abs(F.try_divide(F.col("value") - F.col("threshold"), F.abs("threshold")))
+    near = F.row_number().over(Window.partitionBy(key).orderBy(F.col("margin").asc_nulls_last(), "name"))
+    low = F.row_number().over(Window.partitionBy(key).orderBy("sharpe", "regime"))
+    a = margins.withColumn("margin", margin).withColumn("place", near).filter(F.col("place") <= nearest).select(key, F.lit("threshold").alias("kind"), "name", F.col("margin").alias("value"), "place")
+    b = regimes.withColumn("place", low).filter(F.col("place") <= worst).select(key, F.lit("regime").alias("kind"), F.col("regime").alias("name"), F.col("sharpe").alias("value"), "place")
+    return a.union(b)
+
+
+def spec_classes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``family, spec_id, class_id`` of each spec, and ``family, class_id, n,
+    items`` of each class: specs of a family with equal sets of (operator,
+    version, role), named by the smallest. A class's items stand from the rarest
+    among the family's classes to the most frequent."""
+    item = F.concat_ws("/", "operator", "version", "role")
+    specs = nodes.groupBy("family", "spec_id").agg(F.array_sort(F.collect_set(item)).alias("own"))
+    classes = written(specs.groupBy("family", "own").agg(F.min("spec_id").alias("class_id"), F.count("*").alias("n")))
+    members = specs.join(classes, ["family", "own"]).select("family", "spec_id", "class_id")
+    each = classes.select("family", "class_id", "n", F.explode("own").alias("item"))
+    often = each.groupBy("family", "item").agg(F.count("*").alias("df"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("df", "item"))), lambda x: x["item"])
+    return members, written(each.join(often, ["family", "item"]).groupBy("family", "class_id", "n").agg(ordered.alias("items")))
 
 
-def near_duplicates(nodes: DataFrame, least: float = 0.8) -> DataFrame:
-    """Pairs of specs of a family whose sets of (operator, version, role) have a
-    Jaccard similarity of at least ``least``: ``family, a, b, jaccard``.
+def class_pairs(classes: DataFrame, least: float = 0.8) -> DataFrame:
+    """``family, a, b, jaccard`` of classes of a family whose sets are so similar.
 
-    Equal sets are one class first, so copies don't meet in pairs; classes meet
-    where they share an item of a prefix long enough that similar ones must."""
-    item = F.concat_ws("/", "operator", "version", "role")
-    specs = nodes.groupBy("family", "spec_id").agg(F.array_sort(F.collect_set(item)).alias("items"))
-    classes = specs.groupBy("family", "items").agg(F.min("spec_id").alias("a"))
+    Two such sets share one of the rarest items of either, as many as a pair may
+    lack and one more; they meet there, if their sizes allow it, by ids alone,
+    and only then are their items compared."""
     prefix = F.slice("items", 1, F.greatest(F.lit(1), (F.size("items") - F.ceil(F.lit(least) * F.size("items")) + 1).cast("int")))
-    posted = classes.select("family", "a", "items", F.explode(prefix).alias("item"))
-    other = posted.select("family", "item", F.col("a").alias("b"), F.col("items").alias("items_b"))
-    pairs = posted.join(other, ["family", "item"]).filter("a < b").select("family", "a", "b", "items", "items_b").distinct()
-    jaccard = F.size(F.array_intersect("items", "items_b")) / F.size(F.array_union("items", "items_b"))
-    return pairs.select("family", "a", "b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= least)
+    posted = classes.select("family", F.col("class_id").alias("a"), F.size("items").alias("k"), F.explode(prefix).alias("item"))
+    other = posted.select("family", "item", F.col("a").alias("b"), F.col("k").alias("k2"))
+    met = posted.join(other, ["family", "item"]).filter((F.col("a") < F.col("b")) & (F.least("k", "k2") >= least * F.greatest("k", "k2"))).select("family", "a", "b").distinct()
+    sets = classes.select("family", "class_id", "items")
+    both = met.join(sets.withColumnsRenamed({"class_id": "a", "items": "x"}), ["family", "a"]).join(sets.withColumnsRenamed({"class_id": "b", "items": "y"}), ["family", "b"])
+    common = F.size(F.array_intersect("x", "y"))
+    return both.select("family", "a", "b", (common / (F.size("x") + F.size("y") - common)).alias("jaccard")).filter(F.col("jaccard") >= least)
+
+
+def near_duplicates(nodes: DataFrame, least: float = 0.8) -> DataFrame:
+    """``family, spec_id, class_id, n_links``, one row a spec: the class it is in
+    and how many other specs of its family are as similar, those of its own
+    class included. ``class_pairs`` says which classes link."""
+    members, classes = spec_classes(nodes)
+    pairs = class_pairs(classes, least)
+    ends = pairs.select("family", F.col("a").alias("class_id"), F.col("b").alias("other")).union(pairs.select("family", "b", "a"))
+    linked = ends.join(classes.select("family", F.col("class_id").alias("other"), F.col("n").alias("m")), ["family", "other"]).groupBy("family", "class_id").agg(F.sum("m").alias("m"))
+    counts = classes.select("family", "class_id", "n").join(linked, ["family", "class_id"], "left").select("family", "class_id", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
+    return members.join(counts, ["family", "class_id"]).select("family", "spec_id", "class_id", "n_links")
 
 
 def registry_sync(have: DataFrame, want: DataFrame) -> DataFrame:
@@ -57,7 +122,7 @@ def repeat_failures(failures: DataFrame, entries: DataFrame) -> DataFrame:
     anywhere = oldest.filter("market IS NULL").select("reason", F.col("known_at").alias("any_at"))
     joined = failures.join(oldest.filter("market IS NOT NULL"), ["reason", "market"], "left").join(anywhere, "reason", "left")
     known = F.coalesce(F.least("known_at", "any_at") < F.col("at"), F.lit(False))
-    return joined.agg(F.count("*").alias("failures"), F.count_if(known).alias("repeated"), (F.count_if(known) / F.count("*")).alias("rate"))
+    return joined.agg(F.count("*").alias("failures"), F.count_if(known).alias("repeated"), F.coalesce(F.try_divide(F.count_if(known), F.count("*")), F.lit(0.0)).alias("rate"))
 
 
 def newest_per_family(failures: DataFrame, most: int = 50) -> DataFrame:

@@ -19,7 +19,7 @@ def sortino(r: Column, periods: float) -> Column:
 
 
 def summary(curve: DataFrame, periods: float, keys: Keys = ()) -> DataFrame:
-    """One row a run: Sharpe, Sortino, total return, growth a year, drawdowns, Calmar."""
+    """One row a run: Sharpe, Sortino, total return, growth a year (0 where all is lost), drawdowns, Calmar."""
     marked = equity(curve, keys)
     out = marked.groupBy(*keys).agg(
         F.count("*").alias("n_bars"),
@@ -30,7 +30,7 @@ def summary(curve: DataFrame, periods: float, keys: Keys = ()) -> DataFrame:
         F.coalesce(-F.avg(F.when(F.col("drawdown") < 0, F.col("drawdown"))), F.lit(0.0)).alias("avg_drawdown"),
     )
     years = F.col("n_bars") / float(periods)
-    out = out.withColumn("cagr", F.when(F.col("total_return") > -1, F.pow(1 + F.col("total_return"), 1 / years) - 1).otherwise(-1.0))
+    out = out.withColumn("cagr", F.when(F.col("total_return") > -1, F.pow(1 + F.col("total_return"), 1 / years) - 1).otherwise(0.0))
     return out.withColumn("calmar", F.when(F.col("max_drawdown") > 0, F.col("cagr") / F.col("max_drawdown")).otherwise(0.0))
 
 
@@ -47,16 +47,17 @@ def longest_underwater(curve: DataFrame, keys: Keys = ()) -> DataFrame:
 
 
 def trade_summary(trades: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Closed trades' profit factor, win rate and expectancy; the count has open ones too."""
+    """Closed trades' profit factor, win rate and expectancy, each 0 where nothing
+    is there to divide by; the count has open ones too."""
     closed = ~F.col("open_at_end")
     net = F.when(closed, F.col("net_return"))
     won, lost = F.sum(F.when(net > 0, net)), F.sum(F.when(net < 0, -net))
     return trades.groupBy(*keys).agg(
         F.count("*").alias("trade_count"),
         F.count_if(closed).alias("closed_count"),
-        F.when(lost > 0, F.coalesce(won, F.lit(0.0)) / lost).alias("profit_factor"),
-        (F.count_if(net > 0) / F.count(net)).alias("win_rate"),
-        F.avg(net).alias("expectancy"),
+        F.coalesce(F.when(lost > 0, F.coalesce(won, F.lit(0.0)) / lost), F.lit(0.0)).alias("profit_factor"),
+        F.coalesce(F.try_divide(F.count_if(net > 0), F.count(net)), F.lit(0.0)).alias("win_rate"),
+        F.coalesce(F.avg(net), F.lit(0.0)).alias("expectancy"),
     )
 
 
@@ -83,12 +84,18 @@ def outliers(curve: DataFrame, keys: Keys = ()) -> DataFrame:
 def histogram(curve: DataFrame, bins: int = 24, keys: Keys = ()) -> DataFrame:
     """Counts in equal bins from the smallest to the largest return; the last bin is closed."""
     ends = curve.groupBy(*keys).agg(F.min("net").alias("low"), F.max("net").alias("high"))
-    joined = curve.join(F.broadcast(ends), list(keys)) if keys else curve.crossJoin(F.broadcast(ends))  # one row of ends
+    joined = curve.join(ends, list(keys)) if keys else curve.crossJoin(F.broadcast(ends))  # one row of ends
     place = F.when(F.col("high") > F.col("low"), F.least(F.lit(bins - 1), F.floor((F.col("net") - F.col("low")) / ((F.col("high") - F.col("low")) / bins)))).otherwise(0)
     return joined.groupBy(*keys, place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Correlation over the rows that have both; null where either doesn't vary."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlations(candidate: DataFrame, others: DataFrame, least: int = 10) -> DataFrame:
     """Correlation of the candidate's returns (date, net) with each other run (run, date, net) on common dates."""
     both = others.join(candidate.select("date", F.col("net").alias("own")), "date")
-    return both.groupBy("run").agg(F.corr("own", "net").alias("rho"), F.count("*").alias("n_common")).filter(F.col("n_common") >= least)
+    return both.groupBy("run").agg(correlation(F.col("own"), F.col("net")).alias("rho"), F.count("*").alias("n_common")).filter(F.col("n_common") >= least)

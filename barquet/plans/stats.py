@@ -4,27 +4,30 @@ from __future__ import annotations
 
 import itertools
 import math
-from statistics import NormalDist
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EULER = 0.5772156649015329
+#: Fixed value: standard errors that the honest score takes off.
+Z = 1.65
+#: Fixed value: each experiment reports the best of three train windows.
+WINDOWS_A_TRIAL = 3
 
 
-def moments(returns: DataFrame, keys: tuple[str, ...], r: str = "net") -> DataFrame:
-    """``n, sr`` (a bar's Sharpe), and unbiased ``skew, kurt`` (3 for a normal); 0 and 3 for a flat series."""
-    m = returns.groupBy(*keys).agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.stddev_samp(r).alias("std"), F.skewness(r).alias("g1"), F.kurtosis(r).alias("g2"))
+def moments(returns: DataFrame, keys: tuple[str, ...], r: str = "net", periods: float = 1.0) -> DataFrame:
+    """``n, sr`` (Sharpe, of a year with ``periods`` bars), and unbiased ``skew, kurt``
+    (3 for a normal); 0 and 3 for a series that is flat or of fewer than 4 bars."""
+    m = returns.groupBy(*keys).agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.stddev_samp(r).alias("std"), F.skewness(r).alias("g1"), F.kurtosis(r).alias("g2"), F.avg(F.abs(r)).alias("size"))
     n = F.col("n").cast("double")
-    flat = F.coalesce(F.col("std") == 0, F.lit(True)) | (n < 4)
+    shaped = (n > 3) & (F.col("std") > 1e-9 * F.greatest(F.col("size"), F.lit(1.0)))
     return m.withColumns(
         {
-            "sr": F.when(flat, 0.0).otherwise(F.col("mean") / F.col("std")),
-            "skew": F.when(flat, 0.0).otherwise(F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)),
-            "kurt": F.when(flat, 3.0).otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6) + 3),
+            "sr": F.coalesce(F.when(F.col("std") > 0, F.col("mean") / F.col("std") * F.sqrt(F.lit(float(periods)))), F.lit(0.0)),
+            "skew": F.coalesce(F.when(shaped, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)), F.lit(0.0)),
+            "kurt": F.coalesce(F.when(shaped, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6) + 3), F.lit(3.0)),
         }
-    ).drop("g1", "g2")
+    ).drop("g1", "g2", "size")
 
 
 def se_sharpe(sr: Column, n: Column, skew: Column, kurt: Column) -> Column:
@@ -32,34 +35,74 @@ def se_sharpe(sr: Column, n: Column, skew: Column, kurt: Column) -> Column:
     return F.when(n > 1, F.sqrt(inner / n)).otherwise(F.lit(math.inf))
 
 
-def haircut_factor(trials: int) -> float:
-    """Expected largest of so many standard normal draws."""
-    if trials <= 1:
-        return 0.0
-    inv = NormalDist().inv_cdf
-    return (1 - EULER) * inv(1 - 1 / trials) + EULER * inv(1 - 1 / (trials * math.e))
+#: Coefficients of the normal quantile's rational approximations (Wichura, AS 241, PPND16):
+#: numerator and denominator in the middle, in the tails and far out.
+MIDDLE = (
+    (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+    (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3),
+)
+TAIL = (
+    (1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+    (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9),
+)
+FAR = (
+    (6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1, 2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+    (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15),
+)
 
 
-def haircuts(spark: SparkSession, trials: list[int]) -> DataFrame:
-    """``trials, factor`` of the distinct numbers of trials: a small table."""
-    return spark.createDataFrame([(int(t), haircut_factor(int(t))) for t in sorted(set(trials))], "trials long, factor double")
+def normal_quantile(p: Column) -> Column:
+    """The standard normal's quantile for 0 < p < 1."""
 
+    def ratio(parts: tuple, x: Column) -> Column:
+        up, down = (sum((F.lit(c) * F.pow(x, F.lit(i)) for i, c in enumerate(some)), F.lit(0.0)) for some in parts)
+        return up / down
 
-def honest_scores(m: DataFrame, factors: DataFrame, z: float = 1.0) -> DataFrame:
-    """``honest = sr - z * se - se * factor`` of frames with trials; and ``deflated``, the chance that the Sharpe beats the best of so many trials."""
+    q = p - 0.5
+    r = F.sqrt(-F.log(F.least(p, 1 - p)))
+    tail = F.when(r <= 5, ratio(TAIL, r - 1.6)).otherwise(ratio(FAR, r - 5.0))
+    return F.when(F.abs(q) <= 0.425, q * ratio(MIDDLE, 0.180625 - q * q)).otherwise(F.signum(q) * tail)
 
-    @F.pandas_udf("double")
-    def phi(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))))
 
-    out = m.join(F.broadcast(factors), "trials").withColumn("se", se_sharpe(F.col("sr"), F.col("n"), F.col("skew"), F.col("kurt")))
-    out = out.withColumn("honest", F.col("sr") - z * F.col("se") - F.col("se") * F.col("factor"))
-    return out.withColumn("deflated", F.when((F.col("n") < 4) | (F.col("se") == 0), 0.0).otherwise(phi((F.col("sr") - F.col("se") * F.col("factor")) / F.col("se"))))
+def normal_share(z: Column, terms: int = 160) -> Column:
+    """The standard normal's distribution function, by the series of positive terms z (2k)!! ... / (2k+1)!!; beyond nine deviations 0 or 1."""
+    x = F.abs(F.greatest(F.lit(-9.0), F.least(F.lit(9.0), z)))
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(terms)),
+        F.struct(x.alias("term"), x.alias("sum")),
+        lambda s, k: F.struct((s["term"] * x * x / (2 * k + 1)).alias("term"), (s["sum"] + s["term"] * x * x / (2 * k + 1)).alias("sum")),
+        lambda s: s["sum"],
+    )
+    return 0.5 + F.signum(z) * series * F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+
+
+def haircut_factor(trials: Column) -> Column:
+    """Expected largest of so many standard normal draws; 0 for one or none."""
+    n = F.greatest(trials, F.lit(2)).cast("double")
+    return F.when(trials > 1, (1 - EULER) * normal_quantile(1 - 1 / n) + EULER * normal_quantile(1 - 1 / (n * math.e))).otherwise(0.0)
+
+
+def family_trials(prior: Column, iterations: Column) -> Column:
+    """Earlier trials of the family and this one's iterations, each with its train windows."""
+    return F.greatest(prior + iterations, F.lit(1)) * WINDOWS_A_TRIAL
+
+
+def honest_scores(m: DataFrame, z: float = Z) -> DataFrame:
+    """Of runs with ``sr`` (of a year), ``n, skew, kurt`` and ``trials``: ``se``,
+    ``haircut``, ``honest = sr - z * se - haircut``, and ``deflated``, the chance
+    that the Sharpe beats the best of so many trials without an edge. A run of
+    fewer than 4 bars or without an error has 0 there; one of a single bar has
+    no finite error, and no haircut."""
+    out = m.withColumn("se", se_sharpe(F.col("sr"), F.col("n"), F.col("skew"), F.col("kurt")))
+    out = out.withColumn("haircut", F.when(F.col("n") > 1, F.col("se") * haircut_factor(F.col("trials"))).otherwise(0.0))
+    out = out.withColumn("honest", F.col("sr") - z * F.col("se") - F.col("haircut"))
+    known = (F.col("n") >= 4) & (F.col("se") > 0)
+    return out.withColumn("deflated", F.when(known, normal_share(F.try_divide(F.col("sr") - F.col("haircut"), F.col("se")))).otherwise(0.0))
 
 
 def uniform(*what: Column | str, seed: int = 0) -> Column:
-    """A number in [0, 1) that depends on the seed and labels alone, however Spark deals the rows."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *what), 11) * F.lit(2.0**-53)
+    """A number in [0, 1) that depends on the seed and labels alone, however Spark deals the rows: 52 bits of a hash of their texts."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *what)), 1, 13), 16, 10).cast("long") * F.lit(2.0**-52)
 
 
 def bootstrap(returns: DataFrame, replications: int, block: float, seed: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -86,40 +129,67 @@ def monte_carlo(returns: DataFrame, replications: int = 500, block: float = 10,
     paths = paths.withColumn("equity", F.product(1 + F.col("net")).over(upto))
     paths = paths.withColumn("drawdown", F.col("equity") / F.max("equity").over(upto) - 1)
     by_path = paths.groupBy(*keys, "replication").agg((F.max_by("equity", "pos") - 1).alias("total"), F.min("drawdown").alias("worst"))
-    return by_path.groupBy(*keys).agg(*[F.percentile("total", F.lit(p / 100)).alias(f"p{p}") for p in (5, 50, 95)], (F.count_if(F.col("worst") <= -0.5) / F.count("*")).alias("ruin"), F.count("*").alias("n_paths"))
+    return by_path.groupBy(*keys).agg(*[F.percentile("total", F.lit(p / 100)).alias(f"p{p}") for p in (5, 50, 95)], F.try_divide(F.count_if(F.col("worst") <= -0.5), F.count("*")).alias("ruin"), F.count("*").alias("n_paths"))
 
 
-def reality_check(returns: DataFrame, replications: int = 500, block: float = 10, seed: int = 0) -> DataFrame:
-    """White's p-value over candidates (run, bar_ix, net): how often the best of the
-    centred bootstrap means beats the best observed mean."""
-    means = returns.groupBy("run").agg(F.avg("net").alias("mean"), F.count("*").alias("n"))
-    observed = means.agg(F.max(F.sqrt("n") * F.col("mean")).alias("best"))
-    draws = bootstrap(returns.select("bar_ix").distinct(), replications, block, seed)  # one draw for all candidates
-    sampled = draws.join(returns.withColumnRenamed("bar_ix", "source"), "source").groupBy("replication", "run").agg(F.avg("net").alias("drawn"))
-    best = sampled.join(F.broadcast(means), "run").groupBy("replication").agg(F.max(F.sqrt("n") * (F.col("drawn") - F.col("mean"))).alias("best_drawn"))
-    return best.crossJoin(observed).agg(((F.count_if(F.col("best_drawn") >= F.col("best")) + 1) / (F.count("*") + 1)).alias("p_value"), F.first("best").alias("best"))  # observed: one row
+def last_common(returns: DataFrame) -> DataFrame:
+    """The runs' last bars, as many as the shortest run of two bars or more has, counted from 0; shorter runs go."""
+    back = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("bar_ix")))
+    marked = returns.withColumns({"__back": back, "__n": F.count("*").over(Window.partitionBy("run"))}).filter("__n > 1")
+    least = marked.agg(F.min("__n").alias("__least"))
+    return marked.crossJoin(F.broadcast(least)).filter("__back <= __least").withColumn("bar_ix", F.col("__least") - F.col("__back")).drop("__back", "__n", "__least")  # one row
 
 
-def overfitting(returns: DataFrame, chunks: int = 8, most: int = 4096) -> DataFrame:
-    """Probability of backtest overfitting over runs (run, bar_ix, net): in how
-    many half-and-half splits of contiguous chunks the in-sample winner ranks in
-    the lower half out of sample. Only chunk sums leave the returns."""
+def reality_check(returns: DataFrame, replications: int = 500, block: float = 20, seed: int = 0) -> DataFrame:
+    """White's p-value over candidates (run, bar_ix, net), cut to their last
+    common bars: how often the best of the centred bootstrap means beats the
+    best observed mean, each times the root of the common length; 1 without a candidate."""
+    common = last_common(returns)
+    means = common.groupBy("run").agg(F.avg("net").alias("mean"), F.count("*").alias("n"))
+    observed = means.agg(F.max(F.sqrt("n") * F.col("mean")).alias("best"))
+    draws = bootstrap(common.select("bar_ix").distinct(), replications, block, seed)  # one draw for all candidates
+    sampled = draws.join(common.withColumnRenamed("bar_ix", "source"), "source").groupBy("replication", "run").agg(F.avg("net").alias("drawn"))
+    best = sampled.join(means, "run").groupBy("replication").agg(F.max(F.sqrt("n") * (F.col("drawn") - F.col("mean"))).alias("best_drawn"))
+    p = (F.count_if(F.col("best_drawn") >= F.col("best")) + 1) / (F.count("best_drawn") + 1)
+    return observed.join(best, F.lit(True), "left").agg(p.alias("p_value"), F.first("best").alias("best"))  # observed: one row
+
+
+def splits(chunks: int, most: int = 4096) -> list[tuple[int, list[int]]]:
+    """Half-and-half splits of the chunks, thinned evenly to ``most``."""
+    every = math.comb(chunks, chunks // 2)
+    wanted = {int(i * every / most) for i in range(most)} if every > most else range(every)
+    return [(i, list(own)) for i, own in enumerate(own for k, own in enumerate(itertools.combinations(range(chunks), chunks // 2)) if k in wanted)]
+
+
+def overfitting(returns: DataFrame, chunks: int = 16, most: int = 4096) -> DataFrame:
+    """Probability of backtest overfitting over runs (run, bar_ix, net) of equal
+    length: in how many half-and-half splits of contiguous chunks the in-sample
+    winner ranks in the lower half out of sample, where equal results rank
+    high. Only chunk sums leave the returns. No more chunks than bars; 0 for
+    fewer than four chunks or two runs."""
     spark = returns.sparkSession
-    splits = list(itertools.combinations(range(chunks), chunks // 2))
-    splits = [splits[int(i * len(splits) / most)] for i in range(most)] if len(splits) > most else splits
-    table = spark.createDataFrame([(i, k, k in own) for i, own in enumerate(splits) for k in range(chunks)], "split int, chunk int, inside boolean")
+    bars = returns.groupBy("run").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    chunks = min(chunks - chunks % 2, bars)
+    table = spark.createDataFrame(splits(chunks, most) if chunks >= 4 else [], "split int, inside array<int>")  # at most `most` rows
     n = F.count("*").over(Window.partitionBy("run"))
     place = F.row_number().over(Window.partitionBy("run").orderBy("bar_ix")) - 1
-    size, extra = F.floor(F.col("n") / chunks), F.col("n") % chunks
-    chunk = F.when(F.col("place") < extra * (size + 1), F.floor(F.col("place") / (size + 1))).otherwise(extra + F.floor((F.col("place") - extra * (size + 1)) / size))
+    size, extra = F.floor(F.col("n") / max(chunks, 1)), F.col("n") % max(chunks, 1)
+    chunk = F.when(F.col("place") < extra * (size + 1), F.floor(F.col("place") / (size + 1))).otherwise(extra + F.floor((F.col("place") - extra * (size + 1)) / F.greatest(size, F.lit(1))))
     sums = returns.withColumns({"n": n, "place": place}).groupBy("run", chunk.cast("int").alias("chunk")).agg(F.count("*").alias("c"), F.sum("net").alias("s"), F.sum(F.col("net") * F.col("net")).alias("q"))
-    halves = sums.join(F.broadcast(table), "chunk").groupBy("split", "run", "inside").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    var = (F.col("q") - F.col("s") * F.col("s") / F.col("c")) / (F.col("c") - 1)
-    scored = halves.withColumn("score", F.coalesce(F.when(var > 0, F.col("s") / F.col("c") / F.sqrt(var)), F.lit(0.0)))
-    both = scored.groupBy("split", "run").agg(F.max(F.when(F.col("inside"), F.col("score"))).alias("seen"), F.max(F.when(~F.col("inside"), F.col("score"))).alias("unseen"))
-    ranked = both.withColumns({"k": F.row_number().over(Window.partitionBy("split").orderBy(F.desc("seen"), "run")), "below": F.rank().over(Window.partitionBy("split").orderBy("unseen")), "runs": F.count("*").over(Window.partitionBy("split"))})
-    share = F.col("below") / (F.col("runs") + 1)
-    return ranked.filter("k = 1").agg((F.count_if(F.log(share / (1 - share)) <= 0) / F.count("*")).alias("pbo"), F.count("*").alias("n_splits"))
+    by_run = sums.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("chunk", F.struct("c", "s", "q")))).alias("chunks"))
+
+    def score(inside: Column, kept: bool) -> Column:
+        own = F.filter(F.map_entries("chunks"), lambda e: F.array_contains(inside, e["key"]) == F.lit(kept))
+        total = lambda f: F.aggregate(own, F.lit(0.0), lambda acc, e: acc + e["value"][f])
+        c, s, q = total("c"), total("s"), total("q")
+        var = F.when(c > 1, (q - s * s / c) / (c - 1))
+        return F.coalesce(F.when(var > 1e-18 * F.greatest(q, F.lit(1e-300)), s / c / F.sqrt(var)), F.lit(0.0))
+
+    both = by_run.crossJoin(F.broadcast(table)).select("split", "run", score(F.col("inside"), True).alias("seen"), score(F.col("inside"), False).alias("unseen"))
+    first = F.row_number().over(Window.partitionBy("split").orderBy(F.desc("seen"), "run")) == 1
+    winner = both.withColumn("first", first).filter("first").select("split", F.col("unseen").alias("won"))
+    ranked = both.join(winner, "split").groupBy("split").agg(F.count_if(F.col("unseen") <= F.col("won")).alias("below"), F.count("*").alias("runs")).filter("runs > 1")
+    return ranked.agg(F.coalesce(F.try_divide(F.count_if(F.col("below") / (F.col("runs") + 1) <= 0.5), F.count("*")), F.lit(0.0)).alias("pbo"), F.count("*").alias("n_splits"))
 
 
 def param_sensitivity(scores: DataFrame) -> DataFrame:
@@ -139,10 +209,10 @@ def cost_breakeven(curve: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 def permuted(returns: DataFrame, seed: int = 0) -> DataFrame:
     """Returns of each run in an order that the seed decides: same values, no memory."""
     a = returns.withColumn("k", F.row_number().over(Window.partitionBy("run").orderBy("bar_ix")))
-    b = returns.select("run", "net", F.row_number().over(Window.partitionBy("run").orderBy(F.xxhash64(F.lit(seed), "run", "bar_ix"), "bar_ix")).alias("k"))
+    b = returns.select("run", "net", F.row_number().over(Window.partitionBy("run").orderBy(uniform("run", "bar_ix", seed=seed), "bar_ix")).alias("k"))
     return a.drop("net").join(b, ["run", "k"]).drop("k")
 
 
 def calibration(scores: DataFrame, bar: float) -> DataFrame:
     """Share of null-world replications whose score clears the bar."""
-    return scores.agg(F.count("*").alias("replications"), F.count_if(F.col("score") > bar).alias("discoveries"), (F.count_if(F.col("score") > bar) / F.count("*")).alias("fdr"), F.max("score").alias("max_score"))
+    return scores.agg(F.count("*").alias("replications"), F.count_if(F.col("score") > bar).alias("discoveries"), F.coalesce(F.try_divide(F.count_if(F.col("score") > bar), F.count("*")), F.lit(0.0)).alias("fdr"), F.max("score").alias("max_score"))
