@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,16 +18,30 @@ def market_returns(panel: DataFrame) -> DataFrame:
     return panel.groupBy("bar_ix", "date").agg(F.coalesce(F.avg("ret"), F.lit(0.0)).alias("market"))
 
 
-def trailing(market: DataFrame, lookback: int) -> DataFrame:
-    """``vol, mean`` of the bars before each one, ``drawdown``, and ``reference``, the median of vol so far.
+def _medians(pdf: pd.DataFrame) -> pd.DataFrame:
+    """``reference``: the median of vol so far; 0 before the first one. A sorted list grows by one at a time."""
+    pdf, seen, out = pdf.sort_values("bar_ix"), [], []
+    for v in pdf["vol"].tolist():
+        if v is not None and v == v:
+            bisect.insort(seen, v)
+        n = len(seen)
+        out.append((seen[n // 2] + seen[(n - 1) // 2]) / 2 if n else None)
+    return pdf[["market_key", "bar_ix"]].assign(reference=pd.Series(out, index=pdf.index, dtype="float64"))
+
 
-    One market series is as long as the calendar, so its window is one task by
-    nature; several markets would be keys."""
-    order = Window.partitionBy(F.lit(0)).orderBy("bar_ix")
+def trailing(market: DataFrame, lookback: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``vol, mean`` of the bars before each one, ``drawdown``, and ``reference``,
+    the median of vol so far. ``keys`` tell markets apart; one market is as long
+    as the calendar, so its windows are one task by nature."""
+    market = market.withColumn("market_key", F.concat_ws("|", *keys) if keys else F.lit("all"))
+    own = Window.partitionBy("market_key")
+    order = own.orderBy("bar_ix")
     upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(-lookback, -1)
     enough = F.row_number().over(order) > lookback
-    x = market.withColumns({"equity": F.product(1 + F.col("market")).over(upto), "vol": F.when(enough, F.stddev_pop("market").over(before)), "mean": F.when(enough, F.avg("market").over(before)), "n": F.count("*").over(Window.partitionBy(F.lit(0)))})
-    return x.withColumns({"drawdown": 1 - F.col("equity") / F.max("equity").over(upto), "reference": F.percentile("vol", F.lit(0.5)).over(upto)})
+    x = market.withColumns({"equity": F.product(1 + F.col("market")).over(upto), "vol": F.when(enough, F.stddev_pop("market").over(before)), "mean": F.when(enough, F.avg("market").over(before)), "n": F.count("*").over(own)})
+    medians = x.select("market_key", "bar_ix", "vol").groupBy("market_key").applyInPandas(_medians, "market_key string, bar_ix long, reference double")
+    x = x.withColumn("drawdown", 1 - F.col("equity") / F.max("equity").over(upto))
+    return x.join(medians.withColumn("bar_ix", F.col("bar_ix").cast(market.schema["bar_ix"].dataType)), ["market_key", "bar_ix"]).drop("market_key")
 
 
 def label(market: DataFrame, lookback: int = 63, crisis: float = 0.20, high: float = 1.5, low: float = 0.6, strength: float = 0.10) -> DataFrame:
@@ -54,5 +71,10 @@ def by_regime(curve: DataFrame, labels: DataFrame, periods: float) -> DataFrame:
     return out
 
 
-def weak(results: DataFrame) -> DataFrame:
-    return results.filter("sharpe < 0").select("regime")
+def weak(results: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Regimes with a Sharpe under 0; with labels, whether each is that of the last bar."""
+    out = results.filter("sharpe < 0").select("regime")
+    if labels is None:
+        return out
+    current = labels.agg(F.max_by("regime", "bar_ix").alias("__current"))  # one row
+    return out.crossJoin(F.broadcast(current)).select("regime", (F.col("regime") == F.col("__current")).alias("is_current"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import itertools
+import hashlib
+import math
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import windows as w
+from ..shared import written
 from . import backtest
 from .metrics import sharpe
 
@@ -32,12 +37,31 @@ def folds(span: DataFrame, train_years: list[int], test_years: int = 1, embargo_
 
 
 def grid(spark: SparkSession, space: dict[str, list[float]], most: int = 50, seed: int = 0) -> DataFrame:
-    """``params_ix`` and one column a parameter: the product of the values, thinned by a keyed hash to ``most``."""
-    rows = [tuple(float(v) for v in x) for x in itertools.product(*space.values())]
-    frame = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "params_ix int, " + ", ".join(f"{n} double" for n in space))
-    if len(rows) <= most:
-        return frame
-    return frame.orderBy(F.xxhash64(F.lit(seed), "params_ix"), "params_ix").limit(most)
+    """``params_ix`` and one column a parameter: the product of the values. Of a
+    larger product ``most`` places are drawn by a keyed hash, without listing it.
+    A parameter of a node is named ``node.parameter``."""
+    sizes = [len(v) for v in space.values()]
+    every = math.prod(sizes)
+    places, k = set(range(every)) if every <= most else set(), 0
+    while len(places) < min(every, most):
+        places.add(int(hashlib.md5(f"{seed}|{k}".encode()).hexdigest()[:13], 16) % every)
+        k += 1
+    rows = []
+    for i in sorted(places):
+        row, rest = [], i
+        for values in reversed(list(space.values())):
+            rest, at = divmod(rest, len(values))
+            row.append(float(values[at]))
+        rows.append((i, *reversed(row)))
+    return spark.createDataFrame(rows, f"params_ix {'int' if every < 1 << 31 else 'long'}" + "".join(f", `{n}` double" for n in space))
+
+
+def override(params: DataFrame, node: str, **defaults: float) -> dict[str, Column]:
+    """The parameters of a spec's node: the grid's column ``node.parameter`` where it has one, else the default."""
+    unknown = [x for x in params.columns if x.startswith(f"{node}.") and x[len(node) + 1 :] not in defaults]
+    if unknown:
+        raise ValueError(f"node {node} has no parameters {unknown}")
+    return {n: F.col(f"`{node}.{n}`") if f"{node}.{n}" in params.columns else F.lit(v) for n, v in defaults.items()}
 
 
 def slices(bars: DataFrame, fold_table: DataFrame) -> DataFrame:
@@ -50,23 +74,65 @@ def slices(bars: DataFrame, fold_table: DataFrame) -> DataFrame:
     return joined.withColumn("bar_ix", F.row_number().over(order) - 1)
 
 
-def crossover_runs(sliced: DataFrame, params: DataFrame, longest: int, bps: float = 10.0) -> DataFrame:
-    """Net returns by (train_years, fold, part, params_ix, date) of moving-average
-    crossovers whose lengths are the parameters ``fast`` and ``slow``, at most ``longest``."""
-    keys = ("train_years", "fold", "part", "params_ix")
-    runs = sliced.crossJoin(F.broadcast(params))  # at most the grid's bound of rows
-    own = Window.partitionBy(*keys, "instrument").orderBy("bar_ix")
-    upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    runs = runs.withColumn("__sum", F.struct(F.coalesce(F.sum("close").over(upto), F.lit(0.0)).alias("s"), F.count("close").over(upto).alias("n")))
-    none = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
-    for name in ("fast", "slow"):
-        n = F.col(name).cast("int")
-        # The running sum n bars ago: the length is a column, so no window frame can state it.
-        ago = F.coalesce(F.get(F.reverse(F.collect_list("__sum").over(own.rowsBetween(-longest, 0))), n), none)
-        runs = runs.withColumn(f"__{name}", F.when(F.col("__sum.n") - ago["n"] == n, (F.col("__sum.s") - ago["s"]) / n))
-    gap = F.col("__fast") - F.col("__slow")
-    runs = runs.withColumn("signal", F.when(gap > 0, 1.0).when(gap < 0, -1.0).when(gap == 0, 0.0)).drop("__sum", "__fast", "__slow", "fast", "slow")
-    return backtest.portfolio(backtest.run(runs, bps=bps, keys=keys), keys)
+#: What tells runs of one walk-forward apart.
+RUN = ("train_years", "fold", "part", "params_ix")
+#: A rule turns slices and a table of parameters into bars of each run (keyed by RUN and instrument) with a ``signal``.
+Rule = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def crossover(lengths: list[int], fast: str = "fast", slow: str = "slow") -> Rule:
+    """Moving-average crossovers whose lengths, all of them in ``lengths``, are
+    two columns of the grid. Means are made once a length on the slices, before
+    parameters multiply the bars."""
+
+    def rule(sliced: DataFrame, params: DataFrame) -> DataFrame:
+        means = sliced.withColumns({f"__mean{n}": w.rolling_mean(F.col("close"), n, (*RUN[:3], "instrument")) for n in lengths})
+        runs = means.crossJoin(F.broadcast(params))  # at most the grid's bound of rows
+        pick = lambda name: F.coalesce(*[F.when(F.col(f"`{name}`") == n, F.col(f"__mean{n}")) for n in lengths])
+        gap = pick(fast) - pick(slow)
+        return runs.withColumn("signal", F.when(gap > 0, 1.0).when(gap < 0, -1.0).when(gap == 0, 0.0)).select(*sliced.columns, "params_ix", "signal")
+
+    return rule
+
+
+def by_function(function: Callable[[pd.DataFrame, dict], pd.Series]) -> Rule:
+    """A rule from ``function(bars, parameters) -> series``, called once for each
+    run and instrument with its bars in order; missing values are no position."""
+
+    def rule(sliced: DataFrame, params: DataFrame) -> DataFrame:
+        names = {n: f"__p{k}" for k, n in enumerate(params.columns) if n != "params_ix"}  # a dot in a name means something to Spark
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("bar_ix").reset_index(drop=True)
+            bars = pdf.drop(columns=list(names.values()))
+            signal = function(bars, {n: pdf[p].iloc[0] for n, p in names.items()})
+            return bars.assign(signal=pd.Series(signal, index=pdf.index, dtype="float64"))
+
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sliced.schema)
+        plain = params.toDF(*[names.get(n, n) for n in params.columns])
+        runs = sliced.crossJoin(F.broadcast(plain))  # at most the grid's bound of rows
+        return runs.groupBy(*RUN, "instrument").applyInPandas(run, f"{fields}, params_ix {params.schema['params_ix'].dataType.simpleString()}, signal double")
+
+    return rule
+
+
+def run_returns(sliced: DataFrame, params: DataFrame, rule: Rule, bps: float = 10.0) -> DataFrame:
+    """Net returns by (train_years, fold, part, params_ix, date) of any rule: all
+    folds, windows and parameters in one job, written once, as tuning, testing and
+    joining test windows all read them."""
+    return written(backtest.portfolio(backtest.run(rule(sliced, params), bps=bps, keys=RUN), RUN))
+
+
+def campaign(bars: DataFrame, params: DataFrame, rule: Rule, train_years: list[int], periods: float, embargo_days: int = 7, bps: float = 10.0) -> DataFrame:
+    """Many specs at once: each row of ``params`` is a spec of its own, scored out
+    of sample over every fold of each train window; the best of its windows, the
+    shortest of equals, is its score. One row a spec."""
+    span = bars.agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    tests = slices(bars, folds(span, train_years, 1, embargo_days)).filter("part = 'test'")
+    net = backtest.portfolio(backtest.run(rule(tests, params), bps=bps, keys=RUN), RUN)
+    scores = net.groupBy("params_ix", "train_years").agg(sharpe(F.col("net"), periods).alias("sharpe"), F.count("*").alias("n_bars"), F.sum("net").alias("total"), F.countDistinct("fold").alias("n_folds"))
+    best = F.max_by(F.struct("train_years", "sharpe", "n_bars", "total", "n_folds"), F.struct(F.round("sharpe", 9), -F.col("train_years")))
+    return scores.groupBy("params_ix").agg(best.alias("best"), (F.max("sharpe") - F.min("sharpe")).alias("spread")).select("params_ix", "best.*", "spread")
 
 
 def tuned(returns: DataFrame, periods: float) -> DataFrame:
