@@ -7,11 +7,12 @@ there now and returns the table that it wrote.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.state import Step, _number
 from ..shared import new_path
@@ -24,18 +25,34 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 100).parquet(f"{sf_dir}/events.parquet*")
 
 
-def finish(job: DataFrame, mode: str) -> DataFrame:
+def sink(table: str, complete: bool = False) -> Callable[[DataFrame, int], None]:
+    """Writes a batch into a folder of its own, named by the batch's number, so a
+    batch that is run again replaces what it wrote; with ``complete`` each batch is the whole table."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(table if complete else f"{table}/batch={number}")
+
+    return write
+
+
+def finish(job: DataFrame, mode: str = "append", log: str | None = None, table: str | None = None) -> DataFrame:
+    """Runs a job over what is there now, and returns what it wrote so far. With
+    the same ``log`` and ``table`` a later call goes on where this one ended."""
     spark = job.sparkSession
-    table, log = new_path(spark), new_path(spark)
+    table, log = table or new_path(spark), log or new_path(spark)
+    job.writeStream.outputMode(mode).option("checkpointLocation", log).foreachBatch(sink(table, mode == "complete")).trigger(availableNow=True).start().awaitTermination()
+    if mode == "complete":
+        return spark.read.schema(job.schema).parquet(table)
+    spark.createDataFrame([], job.schema).write.mode("overwrite").parquet(f"{table}/batch=-1")  # typed also where nothing is final yet
+    return spark.read.schema(StructType([*job.schema.fields, StructField("batch", LongType())])).parquet(table).select(*job.columns)
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(table)
 
-    job.writeStream.outputMode(mode).option("checkpointLocation", log).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(job.schema).parquet(table)
+#: How long after an event those before it may still come. What is older is dropped, and what isn't older isn't final yet.
+LATE = "1 hour"
 
 
-def tick_bars(ticks: DataFrame, width: str = "6 hours", late: str = "1 hour") -> DataFrame:
+def tick_bars(ticks: DataFrame, width: str = "6 hours", late: str = LATE) -> DataFrame:
+    """Bars of windows that the watermark has passed."""
     key = F.struct("ts", "event_id")
     return ticks.withWatermark("ts", late).groupBy(F.window("ts", width), F.col("event_type").alias("instrument")).agg(F.min_by("value", key).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", key).alias("close"), F.count("*").alias("volume")).select("instrument", F.col("window.start").alias("date"), "open", "high", "low", "close", "volume")
 
@@ -44,31 +61,51 @@ def once_each(trades: DataFrame, keys: list[str], late: str = "40 days") -> Data
     return trades.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def budgets(use: DataFrame, period: str = "1 day", start: str = "0 days") -> DataFrame:
-    """Use by scope and day, or by week from Monday with ``7 days`` and ``4 days``."""
-    return use.groupBy(F.window("ts", period, period, start), F.col("event_type").alias("scope")).agg(F.sum("value").alias("used"), F.count("*").alias("n")).select("scope", F.col("window.start").alias("period"), "used", "n")
+def budgets(use: DataFrame, period: str = "1 day", start: str = "0 days", late: str = LATE) -> DataFrame:
+    """Use by scope and day, or by week from Monday with ``7 days`` and ``4 days``, of periods that are over."""
+    return use.withWatermark("ts", late).groupBy(F.window("ts", period, period, start), F.col("event_type").alias("scope")).agg(F.sum("value").alias("used"), F.count("*").alias("n")).select("scope", F.col("window.start").alias("period"), "used", "n")
+
 
+def sessions(trades: DataFrame, gap: str = "6 hours", late: str = LATE) -> DataFrame:
+    """Runs of a user's trades without a gap, once no trade can join them any more."""
+    return trades.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("user_id", F.col("session_window.start").alias("start"), "n", "total")
 
-def sessions(trades: DataFrame, gap: str = "6 hours") -> DataFrame:
-    return trades.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("user_id", F.col("session_window.start").alias("start"), "n", "total")
 
+def stateful(ticks: DataFrame, key: str, inputs: list[str], step: Step, late: str = LATE, forget_days: float = 400.0) -> DataFrame:
+    """``key, event_id, value``: a step function of ``operators.state`` over each
+    key's rows in the order of (ts, event_id), batch after batch.
 
-def stateful(ticks: DataFrame, key: str, order: list[str], inputs: list[str], step: Step, late: str = "40 days") -> DataFrame:
-    """A step function of ``operators.state`` over each key's rows, batch after batch;
-    the state between batches is the step's tuple."""
+    Rows wait in the state until the watermark has passed them, so that rows that
+    come out of order within ``late`` are stepped in order; later ones are
+    dropped. The state is what the step needs and the rows that wait; it ends
+    when a key has had no row for ``forget_days``, and a row after that starts anew."""
 
     def run(keys: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state = pickle.loads(held.get[0]) if held.exists else None
-        rows = pd.concat(list(batches)).sort_values(order)
-        out = []
-        for row in zip(*(rows[c].tolist() for c in inputs)):
+        state, waiting, last = pickle.loads(held.get[0]) if held.exists else (None, [], 0)
+        mark = held.getCurrentWatermarkMs() * 1000
+        for rows in batches:
+            at = rows["ts"].astype("datetime64[us]").astype("int64").tolist()
+            waiting.extend(zip(at, rows["event_id"].tolist(), zip(*(rows[c].tolist() for c in inputs))))
+        waiting.sort(key=lambda r: r[:2])
+        ready = next((i for i, r in enumerate(waiting) if r[0] > mark), len(waiting))
+        ids, out = [], []
+        for at, i, row in waiting[:ready]:
             state, value = step(state, tuple(map(_number, row)))
+            ids.append(i)
             out.append(_number(value))
-        held.update((pickle.dumps(state),))
-        yield pd.DataFrame({key: rows[key].tolist(), order[-1]: rows[order[-1]].tolist(), "value": pd.Series(out, dtype="float64").tolist()})
+            last = at
+        waiting = waiting[ready:]
+        ends = (last + int(forget_days * 86_400_000_000)) // 1000
+        if held.hasTimedOut and not waiting and ends <= mark // 1000:
+            held.remove()
+        else:
+            held.update((pickle.dumps((state, waiting, last)),))
+            held.setTimeoutTimestamp(max(mark // 1000 + 1, waiting[0][0] // 1000 + 1 if waiting else ends))
+        yield pd.DataFrame({key: [keys[0]] * len(ids), "event_id": ids, "value": pd.Series(out, dtype="float64").tolist()})
 
     types = {f.name: f.dataType.simpleString() for f in ticks.schema}
-    return ticks.groupBy(key).applyInPandasWithState(run, f"{key} {types[key]}, {order[-1]} {types[order[-1]]}, value double", "state binary", "append", "NoTimeout")
+    marked = ticks.select(key, "event_id", "ts", *[c for c in inputs if c not in (key, "event_id", "ts")]).withWatermark("ts", late)
+    return marked.groupBy(key).applyInPandasWithState(run, f"{key} {types[key]}, event_id {types['event_id']}, value double", "state binary", "append", "EventTimeTimeout")
 
 
 def kill_switch(most_drawdown: float = 0.3) -> Step:
@@ -93,3 +130,20 @@ def stale_run() -> Step:
         return (row[0], n), float(n)
 
     return step
+
+
+def live_flags(jump: float = 0.3, stale: int = 5, gap_days: float = 5.0) -> Step:
+    """Rows (day, close, volume, acted): the flags of bars' quality as they come,
+    added up: 1 for a jump with no action near it, 2 for no or a negative volume,
+    4 for a run of equal closes that has grown too long, 8 for a gap in days."""
+
+    def step(state, row):
+        day, close, volume, acted = row
+        before, since, n = state or (None, None, 0)
+        n = n + 1 if close is not None and close == before else 1
+        flags = 1.0 if before and close is not None and not acted and abs(close / before - 1) > jump else 0.0
+        flags += (2.0 if volume is not None and volume <= 0 else 0.0) + (4.0 if n > stale else 0.0)
+        flags += 8.0 if since is not None and day - since > gap_days else 0.0
+        return (close, day, n), flags
+
+    return step
