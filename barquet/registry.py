@@ -129,7 +129,18 @@ SELECT p.instrument, p.bar_ix, r.v AS value FROM p LEFT JOIN r ON r.instrument =
 
 _whole = lambda n: f"CASE WHEN count(close) = {n} THEN avg(close) END"
 _state("t3_ema", ["close"], lambda: state.ema(10), _recursive(_whole(10), 10, f"{2 / 11!r} * p.close + {1 - 2 / 11!r} * r.v"))
-_state("t4_jma", ["close"], state.jma, None)
+_JB = 0.45 * 13 / (0.45 * 13 + 2)
+_JA = _JB**2
+_state(
+    "t4_jma",
+    ["close"],
+    state.jma,
+    f"""WITH RECURSIVE {PANEL},
+r(instrument, bar_ix, sm, lg, sp, v) AS (SELECT instrument, CAST(13 AS BIGINT), {_whole(14)}, {_whole(14)}, CAST(0 AS DOUBLE), {_whole(14)} FROM p WHERE bar_ix < 14 GROUP BY instrument
+  UNION ALL SELECT instrument, bar_ix, sm, lg, sp, v + sp FROM (SELECT instrument, bar_ix, sm, lg, (sm + 1.5 * lg - v) * {(1 - _JA) ** 2!r} + {_JA**2!r} * sp AS sp, v FROM
+    (SELECT p.instrument, p.bar_ix, {1 - _JA!r} * p.close + {_JA!r} * r.sm AS sm, {1 - _JB!r} * (p.close - ({1 - _JA!r} * p.close + {_JA!r} * r.sm)) + {_JB!r} * r.lg AS lg, r.sp, r.v FROM r JOIN p ON p.instrument = r.instrument AND p.bar_ix = r.bar_ix + 1)))
+SELECT p.instrument, p.bar_ix, r.v AS value FROM p LEFT JOIN r ON r.instrument = p.instrument AND r.bar_ix = p.bar_ix""",
+)
 _state(
     "t5_kalman",
     ["close"],
@@ -212,9 +223,34 @@ i AS (SELECT *, sum(new) OVER (PARTITION BY instrument ORDER BY bar_ix) AS islan
 SELECT instrument, bar_ix, CASE WHEN position <> 0 AND row_number() OVER (PARTITION BY instrument, island ORDER BY bar_ix) % 4 = 0 THEN 0.0 ELSE position END AS value FROM i""",
 )
 _stopped = lambda s, d: with_atr(s, d).withColumn("position", F.coalesce(_entry(), F.lit(0.0)))
-add("r1_atr_stop", lambda s, d: state.run_steps(_stopped(s, d), ["position", "close", "atr"], state.atr_stop(0.5), "value").select("instrument", "bar_ix", "value"))
-add("r2_trailing_stop", lambda s, d: state.run_steps(_stopped(s, d), ["position", "close", "atr"], state.trailing_stop(0.5), "value").select("instrument", "bar_ix", "value"))
-add("c5_risk_chain", lambda s, d: state.run_steps(state.run_steps(_stopped(s, d), ["position", "close", "atr"], state.atr_stop(0.5), "kept"), ["kept", "close", "atr"], state.trailing_stop(1.0), "value").select("instrument", "bar_ix", F.coalesce("value", F.lit(0.0)).alias("value")))
+_ST = f"{WITH_ATR}, st AS (SELECT av.*, coalesce({_e}, 0) AS position FROM av)".replace(" AND close", " AND close")
+
+
+def _stop_sql(name: str, source: str, multiple: float) -> str:
+    """A stop that stays where it was set at entry."""
+    fresh, hit = "(sign(x.position) <> s.bef OR s.side = 0 OR s.stop IS NULL)", "coalesce((x.close - s.stop) * s.side <= 0, false)"
+    return f"""{name}(instrument, bar_ix, side, stop, bef, value) AS (SELECT DISTINCT instrument, CAST(-1 AS BIGINT), CAST(0 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE), CAST(NULL AS DOUBLE) FROM p
+  UNION ALL SELECT x.instrument, x.bar_ix, CASE WHEN x.position = 0 THEN 0 WHEN {fresh} THEN sign(x.position) WHEN {hit} THEN 0 ELSE s.side END, CASE WHEN x.position = 0 THEN NULL WHEN {fresh} THEN x.close - sign(x.position) * {multiple} * x.atr WHEN {hit} THEN NULL ELSE s.stop END,
+    CASE WHEN x.position = 0 THEN 0 ELSE sign(x.position) END, CASE WHEN x.atr IS NULL THEN NULL WHEN x.position <> 0 AND NOT {fresh} AND {hit} THEN 0 ELSE x.position END FROM {name} s JOIN {source} x ON x.instrument = s.instrument AND x.bar_ix = s.bar_ix + 1)"""
+
+
+def _trail_sql(name: str, source: str, multiple: float) -> str:
+    """A stop that follows the best close and only tightens."""
+    fresh = "(s.side = 0 OR sign(x.position) <> s.side)"
+    best = "CASE WHEN x.close IS NULL THEN s.best WHEN s.best IS NULL THEN x.close ELSE s.side * greatest(s.side * s.best, s.side * x.close) END"
+    return f"""{name}(instrument, bar_ix, side, best, stop, value) AS (SELECT DISTINCT instrument, CAST(-1 AS BIGINT), CAST(0 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM p
+  UNION ALL SELECT instrument, bar_ix, CASE WHEN flat OR hit THEN 0 WHEN fresh THEN now ELSE side END, CASE WHEN flat OR hit THEN NULL WHEN fresh THEN close ELSE best END, CASE WHEN flat OR hit THEN NULL WHEN fresh THEN close - now * {multiple} * atr ELSE stop END, CASE WHEN atr IS NULL THEN NULL WHEN hit THEN 0 ELSE position END
+  FROM (SELECT *, NOT flat AND NOT fresh AND coalesce((close - stop) * side <= 0, false) AS hit FROM (SELECT *, CASE WHEN atr IS NULL OR best IS NULL THEN old ELSE CASE WHEN old IS NULL THEN best - side * {multiple} * atr ELSE side * greatest(side * old, side * (best - side * {multiple} * atr)) END END AS stop
+    FROM (SELECT x.instrument, x.bar_ix, x.position, x.close, x.atr, sign(x.position) AS now, coalesce(x.position = 0, true) AS flat, {fresh} AS fresh, s.side, s.stop AS old, {best} AS best FROM {name} s JOIN {source} x ON x.instrument = s.instrument AND x.bar_ix = s.bar_ix + 1))))"""
+
+
+add("r1_atr_stop", lambda s, d: state.run_steps(_stopped(s, d), ["position", "close", "atr"], state.atr_stop(0.5), "value").select("instrument", "bar_ix", "value"), f"{_ST}, {_stop_sql('s1', 'st', 0.5)} SELECT instrument, bar_ix, value FROM s1 WHERE bar_ix >= 0")
+add("r2_trailing_stop", lambda s, d: state.run_steps(_stopped(s, d), ["position", "close", "atr"], state.trailing_stop(0.5), "value").select("instrument", "bar_ix", "value"), f"{_ST}, {_trail_sql('s2', 'st', 0.5)} SELECT instrument, bar_ix, value FROM s2 WHERE bar_ix >= 0")
+add(
+    "c5_risk_chain",
+    lambda s, d: state.run_steps(state.run_steps(_stopped(s, d), ["position", "close", "atr"], state.atr_stop(0.5), "kept"), ["kept", "close", "atr"], state.trailing_stop(1.0), "value").select("instrument", "bar_ix", F.coalesce("value", F.lit(0.0)).alias("value")),
+    f"{_ST}, {_stop_sql('s1', 'st', 0.5)}, kp AS (SELECT st.instrument, st.bar_ix, s1.value AS position, st.close, st.atr FROM st JOIN s1 ON s1.instrument = st.instrument AND s1.bar_ix = st.bar_ix), {_trail_sql('s2', 'kp', 1.0)} SELECT instrument, bar_ix, coalesce(value, 0) AS value FROM s2 WHERE bar_ix >= 0",
+)
 
 # Weights
 value("p1_equal_weight", lambda: weights.equal_weight(c("ret")), "CASE WHEN count(ret) OVER (PARTITION BY date) > 0 THEN CASE WHEN ret IS NULL THEN 0.0 ELSE 1.0 / count(ret) OVER (PARTITION BY date) END END")
@@ -286,7 +322,7 @@ add(
     f"""{WITH_RUN}, m AS (SELECT count(*) AS n_bars, {_SHARPE} AS sharpe,
 coalesce(CASE WHEN stddev_samp(net) FILTER (net < 0) > 0 THEN avg(net) / stddev_samp(net) FILTER (net < 0) * sqrt({PERIODS}) END, 0) AS sortino,
 product(1 + net) - 1 AS total_return, -min(drawdown) AS max_drawdown, coalesce(-avg(drawdown) FILTER (drawdown < 0), 0) AS avg_drawdown FROM dd),
-m2 AS (SELECT *, CASE WHEN total_return > -1 THEN pow(1 + total_return, {PERIODS} / n_bars) - 1 ELSE -1.0 END AS cagr FROM m)
+m2 AS (SELECT *, CASE WHEN total_return > -1 THEN pow(1 + total_return, {PERIODS} / n_bars) - 1 ELSE 0.0 END AS cagr FROM m)
 SELECT *, CASE WHEN max_drawdown > 0 THEN cagr / max_drawdown ELSE 0 END AS calmar FROM m2""",
 )
 add("m5_drawdown_series", lambda s, d: backtest.equity(curve(s, d)).select("date", "drawdown"), f"{WITH_RUN} SELECT date, drawdown FROM dd")
@@ -301,8 +337,8 @@ add(
     "m7_trade_summary",
     lambda s, d: metrics.trade_summary(backtest.trades(bars_run(s, d)), ("instrument",)),
     f"""{_TRADES}, t AS (SELECT *, CASE WHEN NOT open_at_end THEN net_return END AS n FROM trades)
-SELECT instrument, count(*) AS trade_count, count(*) FILTER (NOT open_at_end) AS closed_count, CASE WHEN sum(-n) FILTER (n < 0) > 0 THEN coalesce(sum(n) FILTER (n > 0), 0) / sum(-n) FILTER (n < 0) END AS profit_factor,
-count(*) FILTER (n > 0) / count(n) AS win_rate, avg(n) AS expectancy FROM t GROUP BY instrument""",
+SELECT instrument, count(*) AS trade_count, count(*) FILTER (NOT open_at_end) AS closed_count, CASE WHEN sum(-n) FILTER (n < 0) > 0 THEN coalesce(sum(n) FILTER (n > 0), 0) / sum(-n) FILTER (n < 0) ELSE 0 END AS profit_factor,
+coalesce(count(*) FILTER (n > 0) / nullif(count(n), 0), 0) AS win_rate, coalesce(avg(n), 0) AS expectancy FROM t GROUP BY instrument""",
 )
 add(
     "m10_outliers",

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .plans import barquality as q
 from .registry import WITH, add, c
+from .shared import new_path
+from .sources import archive
 from .sources import bars as source
 
 D = dt.date
@@ -20,6 +22,11 @@ def _bars(s: SparkSession, d: str) -> DataFrame:
     return source.order_bars(s, d)
 
 
+def _volumes(s: SparkSession, d: str) -> DataFrame:
+    """The bars with some volumes unknown, some negative and some zero."""
+    return _bars(s, d).withColumn("volume", F.when(c("volume") % 7 == 0, None).when(c("volume") % 11 == 0, -1.0).otherwise(c("volume") - 4))
+
+
 def _actions(s: SparkSession) -> DataFrame:
     frame = s.createDataFrame(ACTIONS, "instrument string, action_type string, terms string, ex_date date, verified_by string")
     return q.select_actions(frame).withColumn("ratio", q.ratio(c("action_type"), c("terms")))
@@ -32,7 +39,7 @@ def _members(s: SparkSession) -> DataFrame:
 _v = lambda x: "NULL" if x is None else f"DATE '{x}'" if isinstance(x, D) else f"'{x}'"
 ACT = "acts AS (SELECT instrument, ex_date, CASE action_type WHEN 'bonus' THEN b / (a + b) ELSE a / b END AS ratio FROM (SELECT instrument, action_type, ex_date, CAST(split_part(terms, ':', 1) AS DOUBLE) AS a, CAST(split_part(terms, ':', 2) AS DOUBLE) AS b FROM (VALUES " + ", ".join("(" + ", ".join(map(_v, x)) + ")" for x in ACTIONS) + ") v(instrument, action_type, terms, ex_date, verified_by) WHERE action_type <> 'dividend'))"
 MEM = "mem AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_v, x)) + ")" for x in MEMBERS) + ") v(instrument, effective_from, effective_to))"
-BASE = f"{WITH}, {ACT}, {MEM}, lb AS (SELECT *, lag(close) OVER (PARTITION BY instrument ORDER BY date) AS pc, lag(date) OVER (PARTITION BY instrument ORDER BY date) AS pd FROM bars)"
+BASE = f"{WITH}, {ACT}, {MEM}, vol AS (SELECT instrument, date, CASE WHEN volume % 7 = 0 THEN NULL WHEN volume % 11 = 0 THEN -1 ELSE volume - 4 END AS volume FROM bars), lb AS (SELECT *, lag(close) OVER (PARTITION BY instrument ORDER BY date) AS pc, lag(date) OVER (PARTITION BY instrument ORDER BY date) AS pd FROM bars)"
 
 add("d1_adjust", lambda s, d: q.adjust(_bars(s, d), _actions(s)), f"{BASE}, f AS (SELECT b.*, coalesce((SELECT product(ratio) FROM acts a WHERE a.instrument = b.instrument AND a.ex_date > b.date), 1.0) AS factor FROM bars b) SELECT instrument, date, open * factor AS open, high * factor AS high, low * factor AS low, close * factor AS close, volume / factor AS volume, factor FROM f")
 add("d3_ratio", lambda s, d: _bars(s, d).select("instrument").distinct().join(_actions(s), "instrument").select("instrument", "ex_date", "ratio"), f"{BASE} SELECT instrument, ex_date, ratio FROM acts")
@@ -42,16 +49,33 @@ add("d7_ever_members", lambda s, d: _bars(s, d).select("instrument").distinct().
 add("d8_point_in_time", lambda s, d: q.point_in_time(_bars(s, d), _members(s)).select("instrument", "date", "close"), f"{BASE} SELECT instrument, date, close FROM bars b WHERE EXISTS (SELECT 1 FROM mem m WHERE m.instrument = b.instrument AND b.date >= effective_from AND (effective_to IS NULL OR b.date < effective_to))")
 add("d9_overlaps", lambda s, d: q.overlaps(_members(s).join(_bars(s, d).select("instrument").distinct(), "instrument")), f"{BASE}, o AS (SELECT *, lag(effective_to) OVER w AS pt, lag(effective_from) OVER w AS prev_from FROM mem WINDOW w AS (PARTITION BY instrument ORDER BY effective_from)) SELECT instrument, effective_from, prev_from FROM o WHERE prev_from IS NOT NULL AND (pt IS NULL OR pt > effective_from)")
 _J = "SELECT 'unexplained_jump' AS validator, instrument, date, close / pc - 1 AS detail FROM lb WHERE abs(close / pc - 1) > 0.3 AND NOT EXISTS (SELECT 1 FROM acts a WHERE a.instrument = lb.instrument AND abs(date_diff('day', a.ex_date, lb.date)) <= 1)"
-_N = "SELECT 'universe_too_narrow' AS validator, CAST(NULL AS VARCHAR) AS instrument, CAST(NULL AS DATE) AS date, CAST(n AS DOUBLE) AS detail FROM (SELECT count(DISTINCT instrument) AS n, date_diff('day', min(date), max(date)) / 365.25 AS y FROM bars) WHERE y >= 3 AND n < 0.5 * (5 + 2 * y) + 2.5"
-_Z = "SELECT 'zero_volume' AS validator, instrument, CAST(NULL AS DATE) AS date, s AS detail FROM (SELECT instrument, count(*) FILTER (coalesce(volume, 0) = 0) / count(*) AS s FROM bars GROUP BY instrument) WHERE s > 0.05"
+_N = "SELECT 'universe_too_narrow' AS validator, CAST(NULL AS VARCHAR) AS instrument, CAST(NULL AS DATE) AS date, CAST(n AS DOUBLE) AS detail FROM (SELECT count(DISTINCT instrument) AS n, date_diff('day', min(date), max(date)) / 365.25 AS y FROM bars) WHERE y >= 3 AND n > 1 AND n < 0.5 * (5 + 2 * y) + 2.5"
+_Z = "SELECT 'zero_volume' AS validator, instrument, CAST(NULL AS DATE) AS date, s AS detail FROM (SELECT instrument, count(*) FILTER (volume <= 0) / count(*) AS s FROM vol GROUP BY instrument) WHERE s > 0"
 _S = "SELECT 'stale_price' AS validator, instrument, min(date) AS date, CAST(count(*) AS DOUBLE) AS detail FROM (SELECT *, sum(CASE WHEN close = pc THEN 0 ELSE 1 END) OVER (PARTITION BY instrument ORDER BY date) AS run FROM lb) GROUP BY instrument, run HAVING count(*) > 5"
 _G = "SELECT 'gap' AS validator, instrument, date, CAST(date_diff('day', pd, date) AS DOUBLE) AS detail FROM lb WHERE date_diff('day', pd, date) > 5"
 add("d10_unexplained_jumps", lambda s, d: q.unexplained_jumps(_bars(s, d), _actions(s)), f"{BASE} {_J}")
 add("d11_narrow_universe", lambda s, d: q.narrow_universe(_bars(s, d), 5), f"{BASE} {_N}")
-add("d12_zero_volume", lambda s, d: q.zero_volume(_bars(s, d)), f"{BASE} {_Z}")
+add("d12_zero_volume", lambda s, d: q.zero_volume(_volumes(s, d)), f"{BASE} {_Z}")
 add("d13_stale_prices", lambda s, d: q.stale_prices(_bars(s, d).withColumn("close", F.floor(c("close") / 200)), 2), f"{BASE}, st AS (SELECT instrument, date, floor(close / 200) AS close FROM bars), sl AS (SELECT *, lag(close) OVER (PARTITION BY instrument ORDER BY date) AS pc FROM st) SELECT 'stale_price' AS validator, instrument, min(date) AS date, CAST(count(*) AS DOUBLE) AS detail FROM (SELECT *, sum(CASE WHEN close = pc THEN 0 ELSE 1 END) OVER (PARTITION BY instrument ORDER BY date) AS run FROM sl) GROUP BY instrument, run HAVING count(*) > 2")
 add("d14_gaps", lambda s, d: q.gaps(_bars(s, d), 5), f"{BASE} {_G}")
-add("d15_validate", lambda s, d: q.validate(_bars(s, d), _actions(s)), f"{BASE} {_J} UNION ALL {_N} UNION ALL {_Z} UNION ALL {_S} UNION ALL {_G}")
+add("d15_validate", lambda s, d: q.validate(_volumes(s, d), _actions(s)), f"{BASE} {_J} UNION ALL {_N} UNION ALL {_Z} UNION ALL {_S} UNION ALL {_G}")
+
+# Actions of orders: kind by priority, verified unless pending
+_acts = lambda s, d: source.table(s, d, "orders").select(F.concat(F.lit("i"), c("o_custkey").cast("string")).alias("instrument"), F.when(c("o_orderpriority") == "1-URGENT", "split").when(c("o_orderpriority") == "2-HIGH", "bonus").when(c("o_orderpriority") == "3-MEDIUM", "dividend").otherwise("merger").alias("action_type"), c("o_orderdate").cast("date").alias("ex_date"), (c("o_orderkey") % 9 / 10 + 0.1).alias("ratio"), F.when(c("o_orderstatus") != "P", "desk").alias("verified_by"))
+_AC = "a AS (SELECT 'i' || o_custkey AS instrument, CASE o_orderpriority WHEN '1-URGENT' THEN 'split' WHEN '2-HIGH' THEN 'bonus' WHEN '3-MEDIUM' THEN 'dividend' ELSE 'merger' END AS action_type, CAST(o_orderdate AS DATE) AS ex_date, o_orderkey % 9 / 10 + 0.1 AS ratio, CASE WHEN o_orderstatus <> 'P' THEN 'desk' END AS verified_by FROM orders)"
+add("d5_selected_actions", lambda s, d: q.select_actions(_acts(s, d), allow_unverified=True).groupBy("instrument", "action_type").agg(F.count("*").alias("n"), F.sum("ratio").alias("total")), f"WITH {_AC} SELECT instrument, action_type, count(*) AS n, sum(ratio) AS total FROM a WHERE action_type IN ('split', 'bonus', 'consolidation') GROUP BY 1, 2")
+_ASCHEMA = "instrument string, action_type string, ex_date date, ratio double, verified_by string"
+
+
+def _through_csv(s: SparkSession, frame: DataFrame, schema: str) -> DataFrame:
+    """Written as CSV with a header and imported again."""
+    path = new_path(s)
+    frame.write.option("header", True).csv(path)
+    return archive.import_csv(s, path, schema)
+
+
+add("io8_imported_actions", lambda s, d: archive.import_summary(_through_csv(s, _acts(s, d), _ASCHEMA)), f"WITH {_AC} SELECT count(*) AS n_rows, count(DISTINCT instrument) AS n_ever, count(*) FILTER (verified_by IS NULL) AS n_unverified FROM a")
+add("io9_imported_members", lambda s, d: archive.import_summary(_through_csv(s, _acts(s, d).select("instrument", c("ex_date").alias("effective_from"), F.when(c("verified_by").isNotNull(), F.date_add("ex_date", 90)).alias("effective_to")), "instrument string, effective_from date, effective_to date").filter("effective_to IS NULL OR effective_to > effective_from")), f"WITH {_AC} SELECT count(*) AS n_rows, count(DISTINCT instrument) AS n_ever FROM a")
 
 # Snapshots: one per customer segment and nation; orders are their flags
 _snaps = lambda s, d: source.table(s, d, "customer").select(c("c_custkey").alias("snapshot_id"), c("c_mktsegment").alias("market"), c("c_nationkey").alias("timeframe"), c("c_acctbal").alias("period_end"))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from . import registry as r
 from .functions import windows as w
 from .operators import clusters, pca, specs
-from .plans import backtest, checks, ledger, metrics, regimes, stats, walkforward
+from .plans import backtest, checks, documents, ledger, metrics, regimes, stats, walkforward
 from .registry import WITH, WITH_RUN, add, base, bars_run, c, curve
-from .registry_ledger import XS, _X, _REL, _rel
-from .registry_runs import FOLDS, INST, MOM, REG, RETURNS, _inst, _results
+from .registry_ledger import XS, _REL, _X, _html_sql, _rel
+from .registry_runs import FOLDS, INST, REG, RETURNS, SCORES, _inst, _results, _scores
+from .shared import new_path
 from .sinks import reports
 from .sources import archive
 from .sources import bars as source
@@ -19,22 +20,39 @@ from .sources.bars import table as T
 
 # Operators
 add("t13_rolling_pca", lambda s, d: pca.rolling_pca(base(s, d), "close", 26, 3, "value").select("instrument", "bar_ix", "value"))
-add("p3_pair_correlations", lambda s, d: clusters.pair_correlations(base(s, d).select("instrument", "bar_ix", "date", "ret"), 52, 26), f"{WITH}, rb AS (SELECT bar_ix AS at FROM dates WHERE bar_ix >= 51 AND (bar_ix - 51) % 26 = 0) SELECT rb.at AS at, a.instrument AS a, b.instrument AS b, corr(a.ret, b.ret) AS rho FROM rb JOIN p a ON a.bar_ix BETWEEN rb.at - 51 AND rb.at JOIN p b ON b.bar_ix = a.bar_ix AND b.instrument > a.instrument GROUP BY 1, 2, 3")
+add("p3_pair_correlations", lambda s, d: clusters.pair_correlations(base(s, d).select("instrument", "bar_ix", "date", "ret"), 52, 26), f"{WITH}, rb AS (SELECT bar_ix AS at FROM dates WHERE bar_ix >= 51 AND (bar_ix - 51) % 26 = 0) SELECT rb.at AS at, a.instrument AS a, b.instrument AS b, CASE WHEN NOT isnan(corr(a.ret, b.ret)) THEN corr(a.ret, b.ret) END AS rho FROM rb JOIN p a ON a.bar_ix BETWEEN rb.at - 51 AND rb.at JOIN p b ON b.bar_ix = a.bar_ix AND b.instrument > a.instrument GROUP BY 1, 2, 3")
 add("p3_cluster_weights", lambda s, d: clusters.cluster_weights(base(s, d).select("instrument", "bar_ix", "date", "ret"), 52, 26, 3))
 
+#: Five shapes of specs (shape, node, operator, version, input, role): x1 and x2 differ in names only; x3 compares a raw price;
+#: x4 compares a unit-free series nine levels up, beside a raw one; x5 compares a smoothed price nine levels up.
 _NODES = [("x1", "fast", "ema", "1", "price.close", "entry"), ("x1", "slow", "ema", "1", "price.close", "entry"), ("x1", "cross", "crossover", "1", "fast", "entry"), ("x1", "cross", "crossover", "1", "slow", "entry"), ("x2", "b", "ema", "1", "price.close", "entry"), ("x2", "a", "ema", "1", "price.close", "entry"), ("x2", "z", "crossover", "1", "b", "entry"), ("x2", "z", "crossover", "1", "a", "entry"), ("x3", "raw", "threshold", "1", "price.close", "filter")]
+for _x, _first in (("x4", "frac_diff"), ("x5", "rolling_mean")):
+    _NODES += [(_x, "n0", _first, "1", "price.close", "filter"), *((_x, f"n{k}", "rolling_mean", "1", f"n{k - 1}", "filter") for k in range(1, 9)), (_x, "level", "threshold", "1", "n8", "filter"), (_x, "level", "threshold", "1", "price.close", "filter")]
 
 
 def _nodes(s: SparkSession, d: str) -> DataFrame:
-    """Each strategy (customer) uses one of three specs."""
+    """Each strategy (customer) uses one of five specs."""
     shapes = s.createDataFrame(_NODES, "shape string, node string, operator string, version string, input string, role string")
-    mine = T(s, d, "customer").select(c("c_custkey").alias("spec_id"), F.concat(F.lit("x"), (c("c_custkey") % 3 + 1).cast("string")).alias("shape"))
-    return mine.join(F.broadcast(shapes), "shape").drop("shape")  # nine rows
+    mine = T(s, d, "customer").select(c("c_custkey").alias("spec_id"), F.concat(F.lit("x"), (c("c_custkey") % 5 + 1).cast("string")).alias("shape"))
+    return mine.join(F.broadcast(shapes), "shape").drop("shape")  # some rows a shape
 
 
-add("c12_spec_hashes", lambda s, d: specs.structural_hashes(_nodes(s, d)).groupBy("spec_hash").agg(F.count("*").alias("n")).select("n"), "SELECT count(*) AS n FROM (SELECT CASE WHEN c_custkey % 3 = 2 THEN 'b' ELSE 'a' END AS h FROM customer) GROUP BY h")
-add("c13_operator_usage", lambda s, d: specs.usage(_nodes(s, d)), "SELECT c_custkey AS spec_id, CASE WHEN c_custkey % 3 = 2 THEN 'filter' ELSE 'entry' END AS role, unnest(CASE WHEN c_custkey % 3 = 2 THEN ['threshold'] ELSE ['crossover', 'ema'] END) AS operator FROM customer")
-add("k3_absolute_levels", lambda s, d: specs.absolute_levels(_nodes(s, d)), "SELECT c_custkey AS spec_id FROM customer WHERE c_custkey % 3 = 2")
+def _hash_sql(first: str) -> str:
+    """The hash of a chain of nine nodes and a comparison."""
+    h = f"sha256('{first}|1|' || sha256('price.close'))"
+    for _ in range(8):
+        h = f"sha256('rolling_mean|1|' || {h})"
+    return f"(SELECT sha256('filter:' || sha256('threshold|1|' || least(h, p) || ',' || greatest(h, p))) FROM (SELECT {h} AS h, sha256('price.close') AS p))"
+
+
+_EMA = "sha256('ema|1|' || sha256('price.close'))"
+add(
+    "c12_spec_hashes",
+    lambda s, d: specs.structural_hashes(_nodes(s, d)),
+    f"SELECT c_custkey AS spec_id, CASE c_custkey % 5 WHEN 2 THEN sha256('filter:' || sha256('threshold|1|' || sha256('price.close'))) WHEN 3 THEN {_hash_sql('frac_diff')} WHEN 4 THEN {_hash_sql('rolling_mean')} ELSE sha256('entry:' || sha256('crossover|1|' || {_EMA} || ',' || {_EMA})) END AS spec_hash FROM customer",
+)
+add("c13_operator_usage", lambda s, d: specs.usage(_nodes(s, d)), "SELECT c_custkey AS spec_id, CASE WHEN c_custkey % 5 < 2 THEN 'entry' ELSE 'filter' END AS role, unnest(CASE c_custkey % 5 WHEN 2 THEN ['threshold'] WHEN 3 THEN ['threshold', 'rolling_mean', 'frac_diff'] WHEN 4 THEN ['threshold', 'rolling_mean'] ELSE ['crossover', 'ema'] END) AS operator FROM customer")
+add("k3_absolute_levels", lambda s, d: specs.absolute_levels(_nodes(s, d)), "SELECT c_custkey AS spec_id, CASE WHEN c_custkey % 5 = 2 THEN 'raw' ELSE 'level' END AS node FROM customer WHERE c_custkey % 5 IN (2, 4)")
 
 # Parts of the backtest
 add("b2_gross_cap", lambda s, d: bars_run(s, d).groupBy("date").agg(F.sum(F.abs("weight")).alias("gross_weight")), f"{WITH_RUN} SELECT date, sum(abs(weight)) AS gross_weight FROM b GROUP BY date")
@@ -60,7 +78,7 @@ add("b20_full_signals", lambda s, d: r._signal(s, d).select("instrument", "bar_i
 
 # Metrics
 add("m2_sortino", lambda s, d: curve(s, d).agg(metrics.sortino(c("net"), r.PERIODS).alias("sortino")), f"{WITH_RUN} SELECT coalesce(CASE WHEN stddev_samp(net) FILTER (net < 0) > 0 THEN avg(net) / stddev_samp(net) FILTER (net < 0) * sqrt({r.PERIODS}) END, 0) AS sortino FROM curve")
-add("m3_returns", lambda s, d: metrics.summary(curve(s, d), r.PERIODS).select("total_return", "cagr"), f"{WITH_RUN}, t AS (SELECT product(1 + net) - 1 AS total_return, count(*) AS n FROM curve) SELECT total_return, CASE WHEN total_return > -1 THEN pow(1 + total_return, {r.PERIODS} / n) - 1 ELSE -1.0 END AS cagr FROM t")
+add("m3_returns", lambda s, d: metrics.summary(curve(s, d), r.PERIODS).select("total_return", "cagr"), f"{WITH_RUN}, t AS (SELECT product(1 + net) - 1 AS total_return, count(*) AS n FROM curve) SELECT total_return, CASE WHEN total_return > -1 THEN pow(1 + total_return, {r.PERIODS} / n) - 1 ELSE 0.0 END AS cagr FROM t")
 add("m8_periods_per_year", lambda s, d: metrics.periods_per_year(T(s, d, "nation").select("n_nationkey", F.element_at(F.array(*map(F.lit, (3600, 86_400, 604_800))), (c("n_nationkey") % 3 + 1).cast("int")).alias("bar_seconds"), F.lit(22_500).alias("session_seconds"), (c("n_regionkey") + 248).alias("trading_days"))).select("n_nationkey", c("periods").cast("double").alias("periods")), "SELECT n_nationkey, CAST(CASE n_nationkey % 3 WHEN 0 THEN (n_regionkey + 248) * 22500 / 3600 WHEN 1 THEN n_regionkey + 248 ELSE 365.25 * 86400 / 604800 END AS DOUBLE) AS periods FROM nation")
 add("m11_bar_profit_factor", lambda s, d: curve(s, d).agg((F.sum(F.when(c("net") > 0, c("net"))) / F.sum(F.when(c("net") < 0, -c("net")))).alias("profit_factor")), f"{WITH_RUN} SELECT sum(net) FILTER (net > 0) / sum(-net) FILTER (net < 0) AS profit_factor FROM curve")
 add("m13_underwater_curve", lambda s, d: backtest.equity(curve(s, d)).select("date", F.when(c("drawdown") < 0, c("drawdown")).otherwise(0.0).alias("under")), f"{WITH_RUN} SELECT date, least(drawdown, 0) AS under FROM dd")
@@ -73,10 +91,11 @@ add("f12_least_embargo", lambda s, d: walkforward.folds(base(s, d).agg(F.min("da
 add("q18_rebuilt_bars", lambda s, d: stats_rebuilt(s, d).select("run", "bar_ix", "close"), f"{INST} SELECT run, bar_ix, 100 * product(1 + net) OVER (PARTITION BY run ORDER BY bar_ix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close FROM i")
 add("g2_trailing_vol", lambda s, d: regimes_parts(s, d).select("bar_ix", "vol", "mean"), f"{REG} SELECT bar_ix, vol, mean FROM g1")
 add("g3_expanding_median", lambda s, d: regimes_parts(s, d).select("bar_ix", "reference"), f"{REG} SELECT bar_ix, reference FROM g2")
-add("k10_min_score", lambda s, d: stats.moments(_inst(s, d), ("run",)).select("run", (c("sr") >= 0.3).alias("clears")), f"{MOM} SELECT run, sr >= 0.3 AS clears FROM m")
+add("k10_min_score", lambda s, d: _scores(s, d).select("run", "honest", (c("honest") >= -0.5).alias("clears")), f"{SCORES} SELECT run, honest, honest >= -0.5 AS clears FROM hs")
 add("k4_provenance", lambda s, d: checks.as_rows(T(s, d, "nation"), ["n_nationkey"], [checks.check_row("valid", "p0", c("n_regionkey") != 0, c("n_regionkey"), F.lit(0)), checks.check_row("not_vaulted", "p0", c("n_nationkey") % 5 != 0, c("n_nationkey"), F.lit(5))]), "SELECT n_nationkey, 'valid' AS test_name, 'p0' AS category, CASE WHEN n_regionkey <> 0 THEN 'pass' ELSE 'fail' END AS outcome, CAST(n_regionkey AS DOUBLE) AS value, CAST(0 AS DOUBLE) AS threshold FROM nation UNION ALL SELECT n_nationkey, 'not_vaulted', 'p0', CASE WHEN n_nationkey % 5 <> 0 THEN 'pass' ELSE 'fail' END, CAST(n_nationkey AS DOUBLE), CAST(5 AS DOUBLE) FROM nation")
 add("k13_gate_dispatch", lambda s, d: T(s, d, "customer").select("c_custkey", F.when(c("c_mktsegment") == "BUILDING", "equities").when(c("c_mktsegment") == "MACHINERY", "commodities").when(c("c_mktsegment") == "AUTOMOBILE", "forex").otherwise("crypto").alias("gate")), "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'equities' WHEN 'MACHINERY' THEN 'commodities' WHEN 'AUTOMOBILE' THEN 'forex' ELSE 'crypto' END AS gate FROM customer")
-add("k19_reason_map", lambda s, d: T(s, d, "orders").join(F.broadcast(s.createDataFrame([("F", "drawdown"), ("O", "profit")], "o_orderstatus string, reason string")), "o_orderstatus", "left").groupBy(F.coalesce("reason", F.lit("other")).alias("reason")).agg(F.count("*").alias("n")), "SELECT CASE o_orderstatus WHEN 'F' THEN 'drawdown' WHEN 'O' THEN 'profit' ELSE 'other' END AS reason, count(*) AS n FROM orders GROUP BY 1")
+add("k19_reason_map", lambda s, d: checks.bar_verdict(T(s, d, "customer").select("c_custkey", (c("c_custkey") % 60).alias("n_trades"), (c("c_nationkey") / 100).alias("max_drawdown"), c("c_acctbal").alias("total"), (c("c_custkey") % 10 / 10).alias("breadth")), 10, 0.2, 0.3).select("c_custkey", "first_failure", "reason", "passed"), "SELECT c_custkey, CASE WHEN c_custkey % 60 < 10 THEN 'min_trades' WHEN c_nationkey / 100 > 0.2 THEN 'max_drawdown' WHEN c_acctbal <= 0 THEN 'cost_stress' WHEN c_custkey % 10 / 10 < 0.3 THEN 'breadth' END AS first_failure, CASE WHEN c_custkey % 60 < 10 THEN 'insufficient_trades' WHEN c_nationkey / 100 > 0.2 THEN 'monte_carlo_ruin_risk' WHEN c_acctbal <= 0 THEN 'costs_exceed_edge' WHEN c_custkey % 10 / 10 < 0.3 THEN 'capacity_constrained' END AS reason, NOT (c_custkey % 60 < 10 OR c_nationkey / 100 > 0.2 OR c_acctbal <= 0 OR c_custkey % 10 / 10 < 0.3) AS passed FROM customer")
+add("k9_complexity", lambda s, d: checks.as_rows(_nodes(s, d).groupBy("spec_id").agg(F.countDistinct("node").alias("nodes")), ["spec_id"], [checks.complexity_check(5)]), "SELECT c_custkey AS spec_id, 'complexity' AS test_name, 'correctness' AS category, CASE WHEN c_custkey % 5 < 3 THEN 'pass' ELSE 'fail' END AS outcome, CASE WHEN c_custkey % 5 < 2 THEN 3.0 WHEN c_custkey % 5 = 2 THEN 1.0 ELSE 10.0 END AS value, 5.0 AS threshold FROM customer")
 
 # Ledger
 add("l17_growth", lambda s, d: T(s, d, "orders").agg(*[F.count_if(c("o_orderdate") >= F.lit(x).cast("timestamp")).alias(n) for n, x in (("since_2000", "2000-01-01"), ("since_1998", "1998-01-01"))]), "SELECT count(*) FILTER (o_orderdate >= TIMESTAMP '2000-01-01') AS since_2000, count(*) FILTER (o_orderdate >= TIMESTAMP '1998-01-01') AS since_1998 FROM orders")
@@ -86,17 +105,61 @@ add("l26_live_vs_expected", lambda s, d: T(s, d, "customer").join(T(s, d, "order
 add("l27_pending", lambda s, d: ledger.latest(T(s, d, "orders").filter("o_orderstatus <> 'F'"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).filter("o_orderpriority <> '4-NOT SPECIFIED'").select("o_custkey", "o_orderkey"), "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders WHERE o_orderstatus <> 'F') WHERE k = 1 AND o_orderpriority <> '4-NOT SPECIFIED'")
 add("l28_citations", lambda s, d: T(s, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("ids")).select("o_custkey", F.explode("ids").alias("o_orderkey")).join(T(s, d, "lineitem").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("z")), "o_orderkey").groupBy("o_custkey").agg(F.count("*").alias("n"), F.min("a").alias("a"), F.max("z").alias("z")), "SELECT o_custkey, count(DISTINCT o_orderkey) AS n, min(l_shipdate) AS a, max(l_shipdate) AS z FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 add("l33_matching_goals", lambda s, d: T(s, d, "nation").select("n_nationkey", F.when(c("n_regionkey") > 1, F.array(F.lit("BUILDING"), F.lit("MACHINERY"))).otherwise(F.array().cast("array<string>")).alias("markets")).join(T(s, d, "customer").select("c_mktsegment").distinct(), (F.size("markets") == 0) | F.array_contains("markets", c("c_mktsegment"))).select("n_nationkey", "c_mktsegment"), "SELECT n_nationkey, c_mktsegment FROM nation, (SELECT DISTINCT c_mktsegment FROM customer) WHERE n_regionkey <= 1 OR c_mktsegment IN ('BUILDING', 'MACHINERY')")
-add("l38_active_version", lambda s, d: ledger.latest(T(s, d, "customer"), ["c_mktsegment"], [F.desc("c_custkey")]).select("c_mktsegment", "c_custkey"))
+add("l38_active_version", lambda s, d: ledger.latest(T(s, d, "customer"), ["c_mktsegment"], [F.desc("c_custkey")]).select("c_mktsegment", "c_custkey"), "SELECT c_mktsegment, max(c_custkey) AS c_custkey FROM customer GROUP BY 1")
 add("h10_baselines", lambda s, d: _X(s, d).groupBy("c_custkey").agg(F.max_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("expected"), F.max("o_orderdate").alias("at")), f"SELECT c_custkey, last(o_totalprice ORDER BY o_orderdate, o_orderkey) AS expected, max(o_orderdate) AS at FROM {XS} GROUP BY 1")
 add("n11_relevant_items", lambda s, d: _rel(s, d).filter("relevance > 0"), f"{_REL} SELECT * FROM rel WHERE relevance > 0")
 
 # Sources and sinks
-add("io6_content_hash", lambda s, d: archive.content_hash(s, f"{d}/nation.parquet*"))
-add("io7_actions_version", lambda s, d: archive.version_of(T(s, d, "nation"), ["n_nationkey"], ["n_nationkey", "n_name"]))
+def _feed(s: SparkSession, d: str) -> DataFrame:
+    """Customers as items of an archived feed."""
+    path = new_path(s)
+    items = T(s, d, "customer").select(c("c_name").alias("title"), F.when(c("c_custkey") % 2 == 0, c("c_mktsegment")).alias("description"), F.when(c("c_custkey") % 2 == 1, F.concat(F.lit("  "), "c_mktsegment")).alias("summary"), F.concat(F.lit("http://x.org/?a=1&b="), c("c_custkey").cast("string")).alias("link"), F.lit("2001-01-01").alias("pubDate"))
+    items.write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(path)
+    return documents.feed_items(s, path)
+
+
+add("io16_feed_items", lambda s, d: _feed(s, d).select("title", "description", "link", "published"), "SELECT c_name AS title, c_mktsegment AS description, 'http://x.org/?a=1&b=' || c_custkey AS link, '2001-01-01' AS published FROM customer")
+
+
+def _reported(s: SparkSession, d: str) -> DataFrame:
+    """One run's report in its four tables, read again."""
+    folder = new_path(s)
+    own = metrics.summary(curve(s, d), r.PERIODS)
+    rows = checks.as_rows(own.withColumn("run", F.lit("all")), ["run"], [checks.check_row("sharpe", "performance", c("sharpe") > 0, c("sharpe"), F.lit(0.0)), checks.check_row("drawdown", "performance", c("max_drawdown") <= 0.15, c("max_drawdown"), F.lit(0.15))])
+    by = regimes.by_regime(curve(s, d), regimes.label(regimes.market_returns(base(s, d)), 26), r.PERIODS)
+    reports.persist(folder, own, rows, by, T(s, d, "orders").agg(F.count("*").alias("n_orders")), "run-1")
+    of = lambda name, label, value: s.read.parquet(f"{folder}/{name}").select("run_id", F.lit(name).alias("part"), label.alias("label"), value.cast("double").alias("value"))
+    parts = [of("evaluations", F.lit("sharpe"), c("sharpe")), of("evaluation_tests", F.concat_ws(" ", "test_name", "outcome"), c("value")), of("evaluation_regimes", c("regime"), c("total")), of("provenance", F.lit("n_orders"), c("n_orders"))]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+add(
+    "io22_reported",
+    _reported,
+    f"""{REG}, m AS (SELECT {r._SHARPE} AS sharpe, -min(drawdown) AS dd FROM dd) SELECT 'run-1' AS run_id, 'evaluations' AS part, 'sharpe' AS label, sharpe AS value FROM m
+UNION ALL SELECT 'run-1', 'evaluation_tests', 'sharpe ' || CASE WHEN sharpe > 0 THEN 'pass' ELSE 'fail' END, sharpe FROM m UNION ALL SELECT 'run-1', 'evaluation_tests', 'drawdown ' || CASE WHEN dd <= 0.15 THEN 'pass' ELSE 'fail' END, dd FROM m
+UNION ALL SELECT 'run-1', 'evaluation_regimes', regime, total FROM br UNION ALL SELECT 'run-1', 'provenance', 'n_orders', CAST((SELECT count(*) FROM orders) AS DOUBLE)""",
+)
+add(
+    "n8_sections",
+    lambda s, d: documents.pages_text(T(s, d, "pages")).select("page_id", F.explode(documents.sections(c("text"))).alias("x")).select("page_id", "x.title", "x.start", "x.end"),
+    f"""WITH pt AS ({_html_sql()}), l AS (SELECT page_id, length(text) AS size, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS k FROM pt WHERE trim(text) <> ''),
+o AS (SELECT *, coalesce(sum(length(x) + 1) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM l),
+h AS (SELECT page_id, size, place, trim(regexp_extract(x, '^#{{1,6}}[ \t]+(.+?)[ \t]*#*[ \t]*$', 1)) AS title FROM o WHERE regexp_matches(x, '^#{{1,6}}[ \t]+(.+?)[ \t]*#*[ \t]*$')),
+a AS (SELECT page_id, size, place, title FROM h UNION ALL SELECT page_id, any_value(size), 0, NULL FROM o GROUP BY page_id HAVING min(place) < coalesce((SELECT min(h.place) FROM h WHERE h.page_id = o.page_id), 1e18))
+SELECT page_id, title, CAST(place AS INTEGER) AS start, CAST(coalesce(lead(place) OVER (PARTITION BY page_id ORDER BY place), size) AS INTEGER) AS "end" FROM a""",
+)
+add("io6_content_hash", lambda s, d: archive.content_hash(s, f"{d}/*.parquet*"))
+add("io7_actions_version", lambda s, d: archive.version_of(T(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderkey"], ["o_custkey", "o_orderstatus"]), """WITH h AS (SELECT sha256('{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS h FROM orders), g AS (SELECT substr(h, 1, 4) AS p, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM h GROUP BY 1) SELECT sha256(string_agg(p || h, chr(10) ORDER BY p || h)) AS version FROM g""")
 add("io12_tradebook", lambda s, d: reports.round_trip(reports.tradebook(backtest.trades(bars_run(s, d)))), f"{r._TRADES} SELECT instrument, side, entry_date, exit_date, bars_held, weight, gross_return, cost_return, net_return, open_at_end FROM trades")
 add("io13_equity_curve", lambda s, d: reports.round_trip(backtest.equity(curve(s, d)).select("date", "net", "equity", "exposure", "cost")), f"{WITH_RUN} SELECT date, net, equity, exposure, cost FROM dd")
 add("io14_results_log", lambda s, d: reports.tsv_round_trip(curve(s, d).agg(F.count("*").alias("n_bars"), F.round(F.sum("net"), 6).alias("total"))), f"{WITH_RUN} SELECT count(*) AS n_bars, round(sum(net), 6) AS total FROM curve")
-add("io17_archived_texts", lambda s, d: archive.by_hash(T(s, d, "documents")).groupBy("prefix").agg(F.count("*").alias("n")), "SELECT substr(sha256(text), 1, 1) AS prefix, count(DISTINCT text) AS n FROM documents GROUP BY 1")
+add("io17_archived_texts", lambda s, d: reports.round_trip(archive.by_hash(T(s, d, "documents").filter("text IS NOT NULL")), ["prefix"]).select("prefix", "hash", "text"), "SELECT DISTINCT substr(sha256(text), 1, 1) AS prefix, sha256(text) AS hash, text FROM documents WHERE text IS NOT NULL")
+add(
+    "io21_report_rows",
+    lambda s, d: reports.as_fields(metrics.summary(curve(s, d), r.PERIODS)),
+    f"""{r.SQL["m1_summary"].replace("SELECT *, CASE WHEN max_drawdown > 0", ", m3 AS (SELECT *, CASE WHEN max_drawdown > 0", 1)}) SELECT unnest(['n_bars', 'sharpe', 'sortino', 'total_return', 'max_drawdown', 'avg_drawdown', 'cagr', 'calmar']) AS field, unnest([CAST(n_bars AS DOUBLE), sharpe, sortino, total_return, max_drawdown, avg_drawdown, cagr, calmar]) AS value FROM m3""",
+)
 add("io21_report_json", lambda s, d: metrics.summary(curve(s, d), r.PERIODS).select(F.to_json(F.struct("n_bars")).alias("report")), f"{WITH_RUN} SELECT '{{\"n_bars\":' || count(*) || '}}' AS report FROM curve")
 
 

@@ -35,3 +35,17 @@ def persist(folder: str, scored: DataFrame, checks: DataFrame, regimes: DataFram
     Each row carries the run's id, so that a report written twice is told apart by readers."""
     for name, frame in (("evaluations", scored), ("evaluation_tests", checks), ("evaluation_regimes", regimes), ("provenance", provenance)):
         frame.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(f"{folder}/{name}")
+
+
+def as_fields(report: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A report as rows (field, value), one a number."""
+    names = [f.name for f in report.schema if f.name not in keys]
+    pairs = F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).cast("double").alias("value")) for n in names])
+    return report.select(*keys, F.explode(pairs).alias("x")).select(*keys, "x.*")
+
+
+def as_markdown(report: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A report as one text a row: a table of its fields."""
+    names = [f.name for f in report.schema if f.name not in keys]
+    lines = [F.concat(F.lit(f"| {n} | "), F.coalesce(F.col(n).cast("string"), F.lit("")), F.lit(" |")) for n in names]
+    return report.select(*keys, F.concat_ws("\n", F.lit("| field | value |"), F.lit("| --- | --- |"), *lines).alias("markdown"))

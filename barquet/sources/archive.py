@@ -6,15 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _of_hashes(hashes: DataFrame, name: str) -> DataFrame:
+    """One hash of a set of hashes (column h): first of those that begin alike, then of these, so no list is as long as the set."""
+    sorted_hash = lambda h: F.sha2(F.array_join(F.sort_array(F.collect_list(h)), "\n"), 256)
+    return hashes.groupBy(F.substring("h", 1, 4).alias("p")).agg(sorted_hash("h").alias("h")).agg(sorted_hash(F.concat("p", "h")).alias(name))
+
+
 def content_hash(spark: SparkSession, path: str) -> DataFrame:
     """One hash of a set of files, whatever order they are listed in."""
-    files = spark.read.format("binaryFile").load(path).select(F.concat(F.element_at(F.split("path", "/"), -1), F.lit(":"), F.sha2("content", 256)).alias("file"))
-    return files.agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list("file"))), 256).alias("content_hash"))
+    files = spark.read.format("binaryFile").load(path).select(F.sha2(F.concat(F.element_at(F.split("path", "/"), -1), F.lit(":"), F.sha2("content", 256)), 256).alias("h"))
+    return _of_hashes(files, "content_hash")
 
 
 def version_of(rows: DataFrame, order: list[str], fields: list[str]) -> DataFrame:
-    """A hash of ordered rows."""
-    return rows.agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct(*order, *[f for f in fields if f not in order])))), 256).alias("version"))
+    """A hash of rows with the fields that order them, whatever order they are read in."""
+    line = F.to_json(F.struct(*order, *[f for f in fields if f not in order]))
+    return _of_hashes(rows.select(F.sha2(line, 256).alias("h")), "version")
 
 
 def by_hash(docs: DataFrame) -> DataFrame:
@@ -38,3 +45,11 @@ def import_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Reference rows (actions, membership) with trimmed texts, empty ones null."""
     raw = spark.read.option("header", True).schema(schema).csv(path)
     return raw.select(*[F.nullif(F.trim(f.name), F.lit("")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in raw.schema])
+
+
+def import_summary(rows: DataFrame) -> DataFrame:
+    """Counts of imported rows: all, those not verified and distinct instruments, as far as the rows have such columns."""
+    out = [F.count("*").alias("n_rows"), F.countDistinct("instrument").alias("n_ever")]
+    if "verified_by" in rows.columns:
+        out.append(F.count_if(F.col("verified_by").isNull()).alias("n_unverified"))
+    return rows.agg(*out)

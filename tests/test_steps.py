@@ -138,18 +138,68 @@ def test_bootstrap_is_the_seed_s_and_wraps(spark):
     assert joined > 100
 
 
-def test_chunks_cover_the_text():
+def chunked(spark, text, longest):
+    rows = documents.chunks(spark.createDataFrame([(1, text)], "doc_id long, text string"), longest=longest).orderBy("chunk").collect()
+    assert [r["chunk"] for r in rows] == list(range(len(rows))) and all(r["text"] == text[r["start"] : r["end"]] for r in rows)
+    return [(r["chunk"], r["title"], r["start"], r["end"]) for r in rows]
+
+
+def test_chunks_cover_the_text(spark):
     text = "intro\n\n# One\n\nbody\n\nTwo\n---\n\n" + "\n\n".join("para %d " % i + "x" * 300 for i in range(40)) + "\n\n3. Results\nend"
-    out = documents.chunk(text, 1000)
+    out = chunked(spark, text, 1000)
     assert "".join(text[a:z] for _, _, a, z in out) == text
     assert [t for _, t, _, _ in out][:2] == [None, "One"] and out[-1][1] == "Results"
     assert all(z - a <= 1000 for _, t, a, z in out if t == "Two")
-    assert documents.chunk("  ") == [] and documents.chunk(None) == []
+    assert chunked(spark, "  ", 1000) == [] and chunked(spark, None, 1000) == []
+
+
+TEXTS = {
+    "no headings at all": [(None, 0, 18)],
+    "## Über uns ##\nwir": [("Über uns", 0, 18)],
+    "  \n\n# A\nx\n#notone\n####### seven\n# B": [("A", 4, 32), ("B", 32, 35)],
+    "Title\n=====\n---\n---\nx": [("Title", 0, 12), ("---", 12, 21)],
+    "# A\n---\nx\n\n2.1 Method\ny\n4 lower\n5. Z": [("A", 0, 11), ("Method", 11, 36)],
+    "line\n--\n" + "y" * 201 + "\n---\n": [(None, 0, 214)],
+}
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_headings(spark, text):
+    assert [c[1:] for c in chunked(spark, text, 4000)] == TEXTS[text]
 
 
-def test_html_text():
+def test_long_sections_are_cut_at_blank_lines(spark):
+    text = "aaaa\n\nbbbb\n\n\n\ncccc\n \t\n" + "d" * 30 + "\n\ne"
+    assert [c[2:] for c in chunked(spark, text, 12)] == [(0, 12), (12, 22), (22, 54), (54, 55)]
+
+
+def page_text(spark, html):
+    return spark.createDataFrame([(html,)], "html string").select(documents.html_text(F.col("html")).alias("t")).first()["t"]
+
+
+def test_html_text(spark):
     html = "<html><head><title>T</title><style>p{}</style></head><body><nav>menu</nav><h2>Head</h2><p>One <b>two</b></p><script>x</script><p>Three &amp; four</p></body></html>"
-    assert documents.html_text(html) == "T\n\n## Head\n\nOne two\n\nThree & four"
+    assert page_text(spark, html) == "T\n\n## Head\n\nOne two\n\nThree & four"
+
+
+PAGES = {
+    None: "",
+    "": "",
+    "plain": "plain",
+    "<h1>A <i>b</i> c</h1>d": "# Ab c\n\nd",
+    "<h3><div>Deep</div></h3><h2></h2><p>x": "### Deep\n\nx",
+    "<HEADER>h</HEADER>a<br>b<BR/>c": "a\n\nb\n\nc",
+    "<script>'<nav>'</script>seen<!-- <p>no --> too": "seen too",
+    "a<footer>gone": "a",
+    "&lt;b&gt; &#65;&#x42; &eacute; &nope; &#0; 1 &lt 2": "<b> AB é &nope; &#0; 1 &lt 2",
+    "<p>one\n  two\n\n\n three</p>": "one\ntwo\n\nthree",
+    "2 < 3 and <a href='x'>link</a>": "2 < 3 and link",
+}
+
+
+@pytest.mark.parametrize("html", PAGES)
+def test_pages(spark, html):
+    assert page_text(spark, html) == PAGES[html]
 
 
 def test_feed_items(spark, tmp_path):
