@@ -15,6 +15,8 @@ from .common import materialise, partitions_for
 from .tokens import by_bytes, encoder
 
 GROUP_PIECES = 4096
+#: Text that is encoded at once: its ids take some ten times as much.
+BATCH_BYTES = 4 << 20
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:
@@ -53,7 +55,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: in
         end = np.array([end_id], "<u4")
         for batch in batches:
             at = 0
-            for texts in by_bytes(batch.column(1)):
+            for texts in by_bytes(batch.column(1), BATCH_BYTES):
                 ids, ends = enc.ids(texts)
                 rows, start, size, crc, total, kept = [], [], [], [], [], []
                 first = 0
