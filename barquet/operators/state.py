@@ -7,11 +7,13 @@ state is a tuple of floats and small lists, and no step looks ahead.
 
 from __future__ import annotations
 
+import dataclasses
 import math
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Step = Callable[[tuple, tuple], tuple[tuple, float | None]]
 
@@ -159,3 +161,90 @@ def run_steps(frame: DataFrame, inputs: list[str], step: Step, out: str, keys: t
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != out)
     return frame.groupBy(*keys).applyInPandas(run, f"{fields}, `{out}` double")
+
+
+@dataclasses.dataclass(frozen=True)
+class Linear:
+    """A step that is affine in a few numbers of its state once it is seeded:
+    ``vector`` takes them out of a state, ``build`` makes a state of them and of
+    how many rows came before, and ``seed`` rows come before it is so."""
+
+    step: Step
+    size: int
+    seed: int
+    vector: Callable[[tuple], tuple]
+    build: Callable[[tuple, int], tuple]
+
+
+def linear_ema(span: int = 20) -> Linear:
+    return Linear(ema(span), 1, span, lambda s: (s[2],), lambda v, n: (n, 0.0, v[0]))
+
+
+def linear_jma(length: int = 14, phase: float = 0.0, power: float = 2.0) -> Linear:
+    return Linear(jma(length, phase, power), 4, length, lambda s: s[2:], lambda v, n: (n, 0.0, *v))
+
+
+def linear_kalman(process_var: float = 1e-4, observation_var: float = 1e-2) -> Linear:
+    def build(v: tuple, n: int) -> tuple:
+        # The variance depends on the number of rows alone, and settles after some.
+        cov, before = 1.0, None
+        for _ in range(n - 1):
+            if cov == before:
+                break
+            before = cov
+            cov = (cov + process_var) * (1 - (cov + process_var) / (cov + process_var + observation_var))
+        return v[0], cov
+
+    return Linear(kalman(process_var, observation_var), 1, 1, lambda s: (s[0],), build)
+
+
+def run_linear(frame: DataFrame, inputs: list[str], linear: Linear, out: str, keys: tuple[str, ...] = ("instrument",), block: int = 50_000) -> DataFrame:
+    """What ``run_steps`` gives, for series too long for one task: blocks of bars
+    each say how they move the state, these compose along the blocks of a series,
+    and each block then runs from its own start. Series have a row a bar, counted
+    from 0, and a block holds the seed."""
+    if block < linear.seed:
+        raise ValueError("a block must hold the seed")
+    dealt = frame.withColumn("__block", F.floor(F.col("bar_ix") / block))
+    names = {f.name: f.dataType.simpleString() for f in frame.schema}
+    key_fields = ", ".join(f"`{k}` {names[k]}" for k in keys)
+
+    def moved(rows: list[tuple], state: tuple | None) -> tuple[list[float | None], tuple | None]:
+        values = []
+        for row in rows:
+            state, value = linear.step(state, row)
+            values.append(_number(value))
+        return values, state
+
+    def rows_of(pdf: pd.DataFrame) -> list[tuple]:
+        return [tuple(map(_number, row)) for row in zip(*(pdf[c].tolist() for c in inputs))]
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bar_ix")
+        rows, first = rows_of(pdf), int(pdf["bar_ix"].iloc[0])
+        run = lambda start: [math.nan if x is None else x for x in linear.vector(moved(rows, start)[1])]
+        if first == 0:
+            shift, turn = run(None), [[0.0] * linear.size] * linear.size
+        else:
+            shift = run(linear.build((0.0,) * linear.size, first))
+            turn = [[a - b for a, b in zip(run(linear.build(tuple(float(i == k) for i in range(linear.size)), first)), shift)] for k in range(linear.size)]
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "__block": pdf["__block"].iloc[0], "shift": shift, "turn": [x for row in turn for x in row]}])
+
+    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, out_rows = None, []
+        for row in pdf.sort_values("__block").to_dict("records"):
+            out_rows.append({**{k: row[k] for k in keys}, "__block": row["__block"], "start": at})
+            shift, turn = list(row["shift"]), list(row["turn"])
+            at = [shift[i] + (sum(at[k] * turn[k * linear.size + i] for k in range(linear.size)) if at else 0.0) for i in range(linear.size)]
+        return pd.DataFrame(out_rows)
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bar_ix")
+        start, first = pdf["__start"].iloc[0], int(pdf["bar_ix"].iloc[0])
+        values, _ = moved(rows_of(pdf), linear.build(tuple(start), first) if start is not None else None)
+        return pdf.drop(columns=["__block", "__start"]).assign(**{out: pd.Series(values, index=pdf.index, dtype="float64")})
+
+    sums = dealt.select(*keys, "bar_ix", "__block", *[c for c in inputs if c not in (*keys, "bar_ix")]).groupBy(*keys, "__block").applyInPandas(summary, f"{key_fields}, __block long, shift array<double>, turn array<double>")
+    begins = sums.groupBy(*keys).applyInPandas(starts, f"{key_fields}, __block long, start array<double>")
+    fields = ", ".join(f"`{n}` {t}" for n, t in names.items() if n != out)
+    return dealt.join(begins.withColumnRenamed("start", "__start"), [*keys, "__block"]).groupBy(*keys, "__block").applyInPandas(finish, f"{fields}, `{out}` double")

@@ -110,6 +110,20 @@ def snapshot_status(snapshots: DataFrame, flags: DataFrame) -> DataFrame:
     return snapshots.join(sums, "snapshot_id", "left").withColumn("status", status).drop("pending", "errors")
 
 
+#: What a flag may be resolved as.
+RESOLUTIONS = ("genuine_move", "missing_action_added", "data_error")
+
+
+def resolve(flags: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Flags (flag_id, resolution) with the newest verdict (flag_id, resolution,
+    resolved_by, resolved_at) on each. A verdict of another kind, or by nobody, is an error."""
+    odd = verdicts.filter(~F.coalesce(F.col("resolution").isin(*RESOLUTIONS), F.lit(False)) | (F.coalesce(F.trim("resolved_by"), F.lit("")) == ""))
+    if not odd.isEmpty():
+        raise ValueError(f"a flag is resolved as one of {RESOLUTIONS}, by a person")
+    newest = latest(verdicts, ["flag_id"], [F.desc("resolved_at"), "resolution"]).select("flag_id", F.col("resolution").alias("__new"), "resolved_by", "resolved_at")
+    return flags.join(newest, "flag_id", "left").withColumn("resolution", F.coalesce("__new", "resolution")).drop("__new")
+
+
 def latest(frame: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in an order: newest snapshot, latest evaluation, current bar."""
     return frame.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__k = 1").drop("__k")

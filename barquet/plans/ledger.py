@@ -19,6 +19,14 @@ def comparable(experiments: DataFrame, hashes: list[str]) -> DataFrame:
     return experiments.join(counts, hashes, "left").withColumn("n_comparable", F.coalesce("n_comparable", F.lit(0)))
 
 
+def mark_incomparable(experiments: DataFrame, **provenance: object) -> DataFrame:
+    """``comparable``: false for experiments with all these values; none is deleted."""
+    hit = F.lit(True)
+    for name, value in provenance.items():
+        hit = hit & F.coalesce(F.col(name) == F.lit(value), F.lit(False))
+    return experiments.withColumn("comparable", F.coalesce("comparable", F.lit(True)) & ~hit) if "comparable" in experiments.columns else experiments.withColumn("comparable", ~hit)
+
+
 def trial_counts(experiments: DataFrame, keys: list[str], iterations: str = "iteration_count") -> DataFrame:
     """Trials of a family (and market): the iterations of its experiments; an experiment without a count is none."""
     return experiments.groupBy(*keys).agg(F.coalesce(F.sum(iterations), F.lit(0)).alias("trials"))

@@ -150,6 +150,9 @@ r(instrument, bar_ix, v, cov) AS (SELECT instrument, bar_ix, close, CAST(1.0 AS
   UNION ALL SELECT p.instrument, p.bar_ix, r.v + (r.cov + 1e-4) / (r.cov + 1e-4 + 1e-2) * (p.close - r.v), (r.cov + 1e-4) * (1 - (r.cov + 1e-4) / (r.cov + 1e-4 + 1e-2)) FROM r JOIN p ON p.instrument = r.instrument AND p.bar_ix = r.bar_ix + 1)
 SELECT instrument, bar_ix, v AS value FROM r""",
 )
+# The same in blocks of 64 bars, as a series too long for one task is run
+for _name, _linear in (("t3_ema", state.linear_ema(10)), ("t4_jma", state.linear_jma()), ("t5_kalman", state.linear_kalman())):
+    add(f"{_name}_in_blocks", lambda s, d, x=_linear: state.run_linear(base(s, d), ["close"], x, "value", block=64).select("instrument", "bar_ix", "value"), SQL[_name])
 _ATR = """,
 tv AS (SELECT instrument, bar_ix, tr, row_number() OVER (PARTITION BY instrument ORDER BY bar_ix) AS k FROM p WHERE tr IS NOT NULL),
 r(instrument, k, v) AS (SELECT instrument, CAST(14 AS BIGINT), avg(tr) FROM tv WHERE k <= 14 GROUP BY instrument HAVING count(*) = 14

@@ -87,6 +87,21 @@ _status = lambda s, d: q.snapshot_status(_snaps(s, d), _flag(s, d))  # noqa: E73
 add("d16_snapshot_status", _status, f"{ST} SELECT * FROM st")
 add("d17_latest_usable", lambda s, d: q.latest(_status(s, d).filter("status = 'valid'"), ["market", "timeframe"], [F.desc("period_end"), F.desc("snapshot_id")]).select("market", "timeframe", "snapshot_id"), f"{ST}, k AS (SELECT *, row_number() OVER (PARTITION BY market, timeframe ORDER BY period_end DESC, snapshot_id DESC) AS k FROM st WHERE status = 'valid') SELECT market, timeframe, snapshot_id FROM k WHERE k = 1")
 add("d18_pending_flags", lambda s, d: _flag(s, d).filter("resolution = 'pending'").groupBy("snapshot_id").agg(F.count("*").alias("n")), f"{ST} SELECT snapshot_id, count(*) AS n FROM fl WHERE resolution = 'pending' GROUP BY 1")
+_fl = lambda s, d: source.table(s, d, "orders").select(c("o_orderkey").alias("flag_id"), F.lit("pending").alias("resolution"))
+_vd = lambda s, d: source.table(s, d, "lineitem").groupBy(c("l_orderkey").alias("flag_id"), "l_returnflag").agg(F.max("l_shipdate").alias("resolved_at")).select("flag_id", F.when(c("l_returnflag") == "A", "genuine_move").when(c("l_returnflag") == "N", "missing_action_added").otherwise("data_error").alias("resolution"), F.lit("desk").alias("resolved_by"), "resolved_at")
+add("d18_resolved_flags", lambda s, d: q.resolve(_fl(s, d), _vd(s, d)).groupBy("resolution").agg(F.count("*").alias("n"), F.max("resolved_at").alias("newest")), "WITH v AS (SELECT l_orderkey AS flag_id, CASE l_returnflag WHEN 'A' THEN 'genuine_move' WHEN 'N' THEN 'missing_action_added' ELSE 'data_error' END AS resolution, max(l_shipdate) AS tm FROM lineitem GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY flag_id ORDER BY tm DESC, resolution) AS k FROM v) SELECT coalesce(k.resolution, 'pending') AS resolution, count(*) AS n, max(tm) AS newest FROM orders LEFT JOIN k ON k.flag_id = o_orderkey AND k.k = 1 GROUP BY 1")
+
+
+def _tree(s: SparkSession, d: str) -> DataFrame:
+    """The bars of each instrument written to its place in a market tree, and found again."""
+    root, bars = new_path(s), _bars(s, d)
+    for (name,) in bars.select("instrument").distinct().collect():  # five
+        own = bars.filter(c("instrument") == name).select("date", c("open").alias("Open"), c("close").alias("Close"))
+        own.write.parquet(f"{root}/equities/1w/{name.replace(' ', '_')}.parquet")
+    return archive.market_tree(s, root)
+
+
+add("io2_market_tree", lambda s, d: _tree(s, d).groupBy("asset_class", "timeframe", "instrument").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.sum("close").alias("total")), f"{BASE} SELECT 'equities' AS asset_class, '1w' AS timeframe, replace(instrument, ' ', '_') AS instrument, count(*) AS n, min(date) AS first, sum(close) AS total FROM bars GROUP BY instrument")
 add("d19_outside_vault", lambda s, d: q.outside_vault(_bars(s, d), s.createDataFrame([(None, D(1999, 1, 1), D(1999, 12, 31)), ("5-LOW", D(1996, 1, 1), D(1996, 6, 30))], "instrument string, locked_from date, locked_to date")).select("instrument", "date"), f"{BASE} SELECT instrument, date FROM bars WHERE NOT date BETWEEN DATE '1999-01-01' AND DATE '1999-12-31' AND NOT (instrument = '5-LOW' AND date BETWEEN DATE '1996-01-01' AND DATE '1996-06-30')")
 add("d20_research_range", lambda s, d: q.research_range(_bars(s, d)).select("instrument", "date"), f"{BASE} SELECT instrument, date FROM bars WHERE date < (SELECT CAST(max(date) - to_months(24) AS DATE) + 1 FROM bars)")
 add("d21_vault_budget", lambda s, d: source.table(s, d, "customer").groupBy("c_nationkey").agg((F.lit(100) - F.count("*")).alias("opens_left")), "SELECT c_nationkey, 100 - count(*) AS opens_left FROM customer GROUP BY 1")

@@ -73,6 +73,7 @@ _X = lambda s, d: T(s, d, "orders").join(T(s, d, "customer"), c("o_custkey") ==
 XS = "orders JOIN customer ON o_custkey = c_custkey"
 add("l1_trial_counts", lambda s, d: ledger.trial_counts(_X(s, d).select(c("c_nationkey").alias("family"), c("c_mktsegment").alias("market"), F.when(c("o_orderstatus") != "P", c("o_orderkey") % 7).alias("iteration_count")), ["family", "market"]), f"SELECT c_nationkey AS family, c_mktsegment AS market, CAST(coalesce(sum(CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 7 END), 0) AS BIGINT) AS trials FROM {XS} GROUP BY 1, 2")
 add("l2_comparable", lambda s, d: ledger.comparable(T(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.when(c("o_orderkey") % 5 != 0, c("o_orderpriority")).alias("data_hash"), F.year("o_orderdate").alias("cost_hash")), ["o_custkey", "o_orderstatus", "data_hash", "cost_hash"]).select("o_orderkey", "n_comparable"), "WITH e AS (SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS h, year(o_orderdate) AS y FROM orders) SELECT o_orderkey, CASE WHEN h IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY o_custkey, o_orderstatus, h, y) - 1 END AS n_comparable FROM e")
+add("l2_marked_incomparable", lambda s, d: ledger.mark_incomparable(T(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), o_orderstatus="P", o_orderpriority="5-LOW").select("o_orderkey", "comparable"), "SELECT o_orderkey, NOT coalesce(o_orderstatus = 'P' AND o_orderpriority = '5-LOW', false) AS comparable FROM orders")
 add("l3_next_iteration", lambda s, d: T(s, d, "orders").groupBy("o_custkey").agg((F.max("o_orderkey") + 1).alias("next_id")), "SELECT o_custkey, max(o_orderkey) + 1 AS next_id FROM orders GROUP BY 1")
 add("l4_latest_evaluation", lambda s, d: ledger.latest(T(s, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice"), "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
 add("l5_active_goals", lambda s, d: T(s, d, "customer").withColumn("budget", F.when(c("c_acctbal") > 0, c("c_acctbal"))).filter(c("budget").isNull() | (c("budget") > 5000)).select("c_custkey", "budget"), "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS budget FROM customer WHERE c_acctbal <= 0 OR c_acctbal > 5000")

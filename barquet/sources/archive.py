@@ -33,9 +33,10 @@ def market_tree(spark: SparkSession, root: str) -> DataFrame:
     """Bars of a tree class/timeframe/TICKER.parquet: the path's parts are columns; a ticker found twice is an error."""
     raw = spark.read.option("recursiveFileLookup", True).parquet(root)
     raw = raw.toDF(*[c.lower() for c in raw.columns]) if raw.columns != [c.lower() for c in raw.columns] else raw
+    # A ticker is a file, or a folder of part files.
     path = F.col("_metadata.file_path")
-    parts = raw.select("*", *[F.regexp_extract(path, r"([^/]+)/([^/]+)/([^/]+)\.parquet$", i).alias(n) for i, n in enumerate(("asset_class", "timeframe", "instrument"), 1)])
-    twice = parts.select("instrument", path.alias("path")).distinct().groupBy("instrument").count().filter("count > 1")
+    parts = raw.select("*", *[F.regexp_extract(path, r"([^/]+)/([^/]+)/([^/]+)\.parquet(?:/[^/]+)?$", i).alias(n) for i, n in enumerate(("asset_class", "timeframe", "instrument"), 1)])
+    twice = parts.select("instrument", "asset_class", "timeframe").distinct().groupBy("instrument").count().filter("count > 1")
     if not twice.isEmpty():
         raise ValueError("some tickers have more than one file")
     return parts

@@ -407,6 +407,22 @@ def test_content_hash(spark, tmp_path):
     assert archive.version_of(frame, ["k"], ["f"]).first() != archive.version_of(spark.createDataFrame([(1, "b"), (2, "a")], "k int, f string"), ["k"], ["f"]).first()
 
 
+def test_flags_are_resolved_by_people(spark):
+    flags = spark.createDataFrame([(1, "pending"), (2, "pending")], "flag_id int, resolution string")
+    of = lambda *rows: spark.createDataFrame(list(rows), "flag_id int, resolution string, resolved_by string, resolved_at int")
+    got = barquality.resolve(flags, of((1, "data_error", "a", 1), (1, "genuine_move", "b", 2))).collect()
+    assert {(r["flag_id"], r["resolution"], r["resolved_by"]) for r in got} == {(1, "genuine_move", "b"), (2, "pending", None)}
+    for bad in ((1, "pending", "a", 1), (1, "data_error", " ", 1), (1, None, "a", 1)):
+        with pytest.raises(ValueError):
+            barquality.resolve(flags, of(bad))
+
+
+def test_marks_add_up(spark):
+    frame = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, engine string")
+    once = ledger.mark_incomparable(frame, engine="a")
+    assert [r["comparable"] for r in ledger.mark_incomparable(once, id=2).orderBy("id").collect()] == [False, False, True]
+
+
 def test_import_counts(spark):
     rows = spark.createDataFrame([("a", "x"), ("a", None), ("b", None)], "instrument string, verified_by string")
     assert tuple(archive.import_summary(rows).first()) == (3, 2, 2) and tuple(archive.import_summary(rows.drop("verified_by")).first()) == (3, 2)

@@ -45,6 +45,20 @@ def test_steps_see_nothing_later(spark, name):
     assert all(whole[k] == v for k, v in cut.items())
 
 
+LINEAR = {"ema": (state.ema(5), state.linear_ema(5)), "jma": (state.jma(6), state.linear_jma(6)), "kalman": (state.kalman(), state.linear_kalman())}
+
+
+@pytest.mark.parametrize("name", LINEAR)
+def test_blocks_compose(spark, name):
+    """In blocks of 7 bars the values are those of one run over all of them, also with a gap."""
+    frame = bars(spark)
+    step, linear = LINEAR[name]
+    for own in (frame, frame.withColumn("close", F.when(F.col("bar_ix") != 33, F.col("close")))):
+        want, got = values(state.run_steps(own, ["close"], step, "value")), values(state.run_linear(own, ["close"], linear, "value", block=7))
+        assert want.keys() == got.keys()
+        assert all((v is None and got[k] is None) or got[k] == pytest.approx(v, rel=1e-9) for k, v in want.items())
+
+
 WINDOWS = {
     "mean": lambda: w.rolling_mean(F.col("close"), 5),
     "zscore": lambda: transforms.zscore(F.col("close"), 5),
