@@ -11,7 +11,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: ASCII without letters and digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The seed table is broadcast if its rows and the item ids in them are at most so many; a row is two runs of at most
-#: `window` words, so this bounds its size. Beyond, Spark chooses the join, and hits are verified in a second pass.
+#: `window` words, so this bounds its size. Beyond, runs only tell which places may be hits, and their windows are joined with the benchmark's.
 BROADCAST_ROWS = 500_000
 
 
@@ -71,10 +71,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str =
         if small:
             here = probed.join(F.broadcast(seeds), "seed").filter(start >= 0).filter(_ascii_lower(_at("w", start, n)) == F.col("window"))
         else:
-            maybe = probed.join(seeds, "seed").filter(start >= 0).select("doc_id", "th", start.alias("start"), "window", "items")
-            here = text.join(maybe.withColumnsRenamed({"doc_id": "d2", "th": "t2"}), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")))
-            start = F.col("start")
-            here = here.filter(_ascii_lower(_at("w", start, n)) == F.col("window"))
+            # A run meets one row of the benchmark's runs, and a window one of its windows, however frequent they are.
+            known = probed.join(seeds.select("seed").distinct(), "seed", "left_semi")
+            places = known.groupBy(F.col("doc_id").alias("d2"), F.col("th").alias("t2")).agg(F.collect_set("p").alias("places"))
+            near = text.join(places, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")))
+            starts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(F.greatest(F.lit(0), p - (n - g)), F.greatest(F.lit(0), F.least(p, F.size("w") - n))))))
+            maybe = near.select("doc_id", "th", "w", F.explode(starts).alias("start")).select("doc_id", "th", "start", _ascii_lower(_at("w", F.col("start"), n)).alias("words"))
+            here, start = maybe.join(windows.filter(F.col("n") == n).select("words", "items"), "words"), F.col("start")
         here = here.select("doc_id", "th", start.alias("start"), F.lit(n).alias("n"), "items")
         found = here if found is None else found.union(here)
     if found is None:
