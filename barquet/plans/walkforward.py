@@ -120,7 +120,12 @@ def run_returns(sliced: DataFrame, params: DataFrame, rule: Rule, bps: float = 1
     """Net returns by (train_years, fold, part, params_ix, date) of any rule: all
     folds, windows and parameters in one job, written once, as tuning, testing and
     joining test windows all read them."""
-    return written(backtest.portfolio(backtest.run(rule(sliced, params), bps=bps, keys=RUN), RUN))
+    return written(_portfolios(rule(sliced, params), bps))
+
+
+def _portfolios(runs: DataFrame, bps: float) -> DataFrame:
+    """Runs are dealt by their keys once, which then serves every window and sum of the backtest."""
+    return backtest.portfolio(backtest.run(runs.repartition(*RUN), bps=bps, keys=RUN), RUN)
 
 
 def campaign(bars: DataFrame, params: DataFrame, rule: Rule, train_years: list[int], periods: float, embargo_days: int = 7, bps: float = 10.0) -> DataFrame:
@@ -129,7 +134,7 @@ def campaign(bars: DataFrame, params: DataFrame, rule: Rule, train_years: list[i
     shortest of equals, is its score. One row a spec."""
     span = bars.agg(F.min("date").alias("first"), F.max("date").alias("last"))
     tests = slices(bars, folds(span, train_years, 1, embargo_days)).filter("part = 'test'")
-    net = backtest.portfolio(backtest.run(rule(tests, params), bps=bps, keys=RUN), RUN)
+    net = _portfolios(rule(tests, params), bps)
     scores = net.groupBy("params_ix", "train_years").agg(sharpe(F.col("net"), periods).alias("sharpe"), F.count("*").alias("n_bars"), F.sum("net").alias("total"), F.countDistinct("fold").alias("n_folds"))
     best = F.max_by(F.struct("train_years", "sharpe", "n_bars", "total", "n_folds"), F.struct(F.round("sharpe", 9), -F.col("train_years")))
     return scores.groupBy("params_ix").agg(best.alias("best"), (F.max("sharpe") - F.min("sharpe")).alias("spread")).select("params_ix", "best.*", "spread")
