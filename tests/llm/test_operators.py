@@ -571,6 +571,30 @@ def test_quality_learns_beyond_the_start_of_long_texts(spark):
     assert min(out[i] for i in range(1, 80, 2)) > 0.9 and max(out[i] for i in range(0, 80, 2)) < 0.1
 
 
+def test_scores_by_hand(spark):
+    """Every score recomputed from the two dictionaries, and the calibration from the rows it was fitted on."""
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    good, bad = (zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False) for d in (model.good, model.bad))
+
+    def difference(text):
+        raw = (text or "").encode()
+        g, b = (sum(len(c.compress(raw[k : k + 256])) for k in range(0, len(raw), 256)) for c in (good, bad))
+        return (b - g) / (b + g) if raw else 0.0
+
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    odds = lambda t: 1 / (1 + math.exp(-(model.slope * difference(t) + model.offset)))
+    got = {r["doc_id"]: r for r in quality.score(docs, model).collect()}
+    assert got.keys() == text.keys()
+    for i, r in got.items():
+        assert r["score"] == pytest.approx(odds(text[i])) and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+    known = sorted({(zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["quality"]) for r in labels.collect() if r["quality"] in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 5 and text.get(r["doc_id"])})
+    fitted = [x for label in (0, 1) for x in [k for k in known if k[2] == label][1::2]]
+    assert np.mean([odds(text[i]) for _, i, _ in fitted]) == pytest.approx(np.mean([label for *_, label in fitted]), abs=1e-6)
+
+
 def test_quality_takes_whole_texts_only(spark, monkeypatch):
     """Beyond the bound on a dictionary's sample whole rows stay out; a repeated id counts once."""
     seen = []
