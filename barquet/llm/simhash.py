@@ -294,8 +294,9 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, radius: int = 63,
     roots = connected_components(materialise(link_forest(members.select("fp").distinct(), radius, bits)))
     placed = materialise(members.join(roots, members["fp"] == roots["node"], "left").select("member", "size", "row", F.coalesce("root", "fp").alias("root")))
     together = placed.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("hashes")).filter("n > 1")
-    blocks = F.ceil(F.col("hashes") / BLOCK_HASHES).cast("int")
-    candidates = materialise(placed.join(together.select("root", F.greatest(F.lit(1), blocks).alias("blocks")), "root").select("root", "blocks", F.col("row.doc_id").alias("c_id"), F.col("row.th").alias("c_th"), "size"))
+    together = materialise(together.select("root", F.greatest(F.lit(1), F.ceil(F.col("hashes") / BLOCK_HASHES).cast("int")).alias("blocks")))
+    # One row a component, so that a large component's members needn't meet in one task.
+    candidates = materialise(placed.join(F.broadcast(together) if together.count() <= BROADCAST_ROWS else together, "root").select("root", "blocks", F.col("row.doc_id").alias("c_id"), F.col("row.th").alias("c_th"), "size"))
     found = candidates.agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("blocks")).alias("hashes")).first()
     few = candidates.drop("size")
     texts = narrow.join(F.broadcast(few) if found["n"] <= BROADCAST_ROWS else few, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th")))
