@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, packing, pii, quality, sharding, simhash, substring_dedup, tokens, url_filters
+from . import decontamination, exact_dedup, fingerprints, packing, pii, quality, sharding, simhash, substring_dedup, tokens, url_filters
 from .common import read_table
 
 LENGTH = 2048
@@ -73,9 +74,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = fingerprints.fingerprints(read_table(spark, sf_dir, "documents"))
+    return prints.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.written_out(F.col("entries")).alias("fingerprint"),
+        fingerprints.written_out(F.col("edited_entries")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_packing, op3_token_counts, op4_sharding, op5_simhash, op6_url_filters, op7_pii, op8_substring_dedup, op9_quality, op10_decontamination)
+    for f in (op1_exact_dedup, op2_packing, op3_token_counts, op4_sharding, op5_simhash, op6_url_filters, op7_pii, op8_substring_dedup, op9_quality, op10_decontamination, op12_fingerprints)
 }
 
 
