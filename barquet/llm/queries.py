@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, fingerprints, packing, pii, quality, sharding, simhash, substring_dedup, tokens, url_filters
+from . import decontamination, exact_dedup, fingerprints, packing, pii, prefix_trie, quality, sharding, simhash, substring_dedup, tokens, url_filters
 from .common import read_table
 
 LENGTH = 2048
@@ -87,9 +87,13 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_packing, op3_token_counts, op4_sharding, op5_simhash, op6_url_filters, op7_pii, op8_substring_dedup, op9_quality, op10_decontamination, op12_fingerprints)
+    for f in (op1_exact_dedup, op2_packing, op3_token_counts, op4_sharding, op5_simhash, op6_url_filters, op7_pii, op8_substring_dedup, op9_quality, op10_decontamination, op12_fingerprints, op13_prefix_trie)
 }
 
 
@@ -154,4 +158,22 @@ items AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT CAST(words.id AS BIGINT) AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN places ON places.id = words.id LEFT JOIN items ON items.id = words.id WHERE t = 'd'""",
+    "op13_prefix_trie": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT conv_id, digest, strlen(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS k FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS donor, n, xor(list_reduce(list_concat([4294967295], [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+          lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 9 AS h
+      FROM (SELECT conv_id, count(*) AS n FROM r GROUP BY conv_id)),
+b AS (SELECT c.conv_id, r.k AS d, r.digest, r.size FROM c JOIN r ON r.conv_id = c.donor AND r.k <= c.h
+      UNION ALL SELECT c.conv_id, least(c.h, coalesce(lender.n, 0)) + r.k - c.h, r.digest, r.size FROM c JOIN r ON r.conv_id = c.conv_id AND r.k > c.h LEFT JOIN c lender ON lender.conv_id = c.donor),
+lens AS (SELECT c.conv_id, count(b.d) AS len FROM c LEFT JOIN b ON b.conv_id = c.conv_id GROUP BY c.conv_id),
+p AS (SELECT conv_id, d, size, md5(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY d)) AS key FROM b),
+path AS (SELECT conv_id, d, size, key, lag(key, 1, '') OVER (PARTITION BY conv_id ORDER BY d) AS up FROM p UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c),
+n AS (SELECT d, key, any_value(up) AS up, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(CASE WHEN d = len THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends
+      FROM path JOIN lens USING (conv_id) GROUP BY d, key),
+k AS (SELECT d - 1 AS d, up AS key, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * size AS saved FROM n LEFT JOIN k ON k.d = n.d AND k.key = n.key),
+s AS (SELECT a.d, a.key, sum(CASE WHEN w.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(w.saved) AS saved FROM w JOIN path a ON a.conv_id = w.conv_id AND a.d <= w.d GROUP BY a.d, a.key)
+SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, w.n_convs, w.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(w.ends, '')) AS ends_sha256
+FROM w JOIN s ON s.d = w.d AND s.key = w.key LEFT JOIN n parent ON parent.d = w.d - 1 AND parent.key = w.up""",
 }
