@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, fingerprints, packing, pii, prefix_trie, quality, sharding, simhash, substring_dedup, tokens, url_filters
+from . import decontamination, exact_dedup, fingerprints, packing, pii, prefix_trie, quality, sharding, simhash, substring_dedup, tokens, url_filters, whitening
 from .common import read_table
 
 LENGTH = 2048
@@ -74,6 +74,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whitened(read_table(spark, sf_dir, "embeddings")))
+
+
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = fingerprints.fingerprints(read_table(spark, sf_dir, "documents"))
     return prints.select(
@@ -93,7 +97,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_packing, op3_token_counts, op4_sharding, op5_simhash, op6_url_filters, op7_pii, op8_substring_dedup, op9_quality, op10_decontamination, op12_fingerprints, op13_prefix_trie)
+    for f in (op1_exact_dedup, op2_packing, op3_token_counts, op4_sharding, op5_simhash, op6_url_filters, op7_pii, op8_substring_dedup, op9_quality, op10_decontamination, op11_whitening, op12_fingerprints, op13_prefix_trie)
 }
 
 
