@@ -238,7 +238,7 @@ def fit_list(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
 def components(rows: DataFrame, most: int = COMPONENTS) -> Components | None:
     """Mean sums and leading components of ``rows`` (vec_id, x); None without rows or variance."""
-    n, d, tasks = rows.agg(F.count("*"), F.max(F.size("x")), F.max(F.spark_partition_id()) + 1).first()
+    n, d, tasks = rows.withColumn("task", F.spark_partition_id()).agg(F.count("*"), F.max(F.size("x")), F.max("task") + 1).first()
     if not n or not d:
         return None
     sums = [int(v) for v in summed(rows, tasks, lambda x: x.sum(0, dtype=object), d)]
