@@ -149,18 +149,26 @@ def trailing_stop(multiple: float = 3.0) -> Step:
 
 def run_steps(frame: DataFrame, inputs: list[str], step: Step, out: str, keys: tuple[str, ...] = ("instrument",)) -> DataFrame:
     """``frame`` with the step's outputs: one task per run and instrument at most, in bar order."""
+    return run_many(frame, [(inputs, step, out)], keys)
+
+
+def run_many(frame: DataFrame, jobs: list[tuple[list[str], Step, str]], keys: tuple[str, ...] = ("instrument",)) -> DataFrame:
+    """``frame`` with the outputs of several steps (inputs, step, output) that don't take in each other's, after one shuffle."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_ix")
-        state, values = None, []
-        for row in zip(*(pdf[c].tolist() for c in inputs)):
-            state, value = step(state, tuple(map(_number, row)))
-            values.append(_number(value))
-        pdf[out] = pd.Series(values, index=pdf.index, dtype="float64")
-        return pdf
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != out)
-    return frame.groupBy(*keys).applyInPandas(run, f"{fields}, `{out}` double")
+        made = {}
+        for inputs, step, out in jobs:
+            state, values = None, []
+            for row in zip(*(pdf[c].tolist() for c in inputs)):
+                state, value = step(state, tuple(map(_number, row)))
+                values.append(_number(value))
+            made[out] = pd.Series(values, index=pdf.index, dtype="float64")
+        return pdf.assign(**made)
+
+    outs = [out for _, _, out in jobs]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name not in outs]
+    return frame.groupBy(*keys).applyInPandas(run, ", ".join([*fields, *(f"`{out}` double" for out in outs)]))
 
 
 @dataclasses.dataclass(frozen=True)

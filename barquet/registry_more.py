@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import registry as r
 from .functions import windows as w
 from .operators import clusters, pca, specs
-from .plans import backtest, checks, documents, ledger, metrics, regimes, stats, walkforward
+from .plans import backtest, checks, compiled, documents, ledger, metrics, regimes, stats, walkforward
 from .registry import WITH, WITH_RUN, add, base, bars_run, c, curve
 from .registry_ledger import XS, _REL, _X, _html_sql, _rel
 from .registry_runs import FOLDS, INST, REG, RETURNS, SCORES, _inst, _results, _scores
@@ -23,36 +23,82 @@ add("t13_rolling_pca", lambda s, d: pca.rolling_pca(base(s, d), "close", 26, 3,
 add("p3_pair_correlations", lambda s, d: clusters.pair_correlations(base(s, d).select("instrument", "bar_ix", "date", "ret"), 52, 26), f"{WITH}, rb AS (SELECT bar_ix AS at FROM dates WHERE bar_ix >= 51 AND (bar_ix - 51) % 26 = 0) SELECT rb.at AS at, a.instrument AS a, b.instrument AS b, CASE WHEN NOT isnan(corr(a.ret, b.ret)) THEN corr(a.ret, b.ret) END AS rho FROM rb JOIN p a ON a.bar_ix BETWEEN rb.at - 51 AND rb.at JOIN p b ON b.bar_ix = a.bar_ix AND b.instrument > a.instrument GROUP BY 1, 2, 3")
 add("p3_cluster_weights", lambda s, d: clusters.cluster_weights(base(s, d).select("instrument", "bar_ix", "date", "ret"), 52, 26, 3))
 
-#: Five shapes of specs (shape, node, operator, version, input, role): x1 and x2 differ in names only; x3 compares a raw price;
-#: x4 compares a unit-free series nine levels up, beside a raw one; x5 compares a smoothed price nine levels up.
-_NODES = [("x1", "fast", "ema", "1", "price.close", "entry"), ("x1", "slow", "ema", "1", "price.close", "entry"), ("x1", "cross", "crossover", "1", "fast", "entry"), ("x1", "cross", "crossover", "1", "slow", "entry"), ("x2", "b", "ema", "1", "price.close", "entry"), ("x2", "a", "ema", "1", "price.close", "entry"), ("x2", "z", "crossover", "1", "b", "entry"), ("x2", "z", "crossover", "1", "a", "entry"), ("x3", "raw", "threshold", "1", "price.close", "filter")]
-for _x, _first in (("x4", "frac_diff"), ("x5", "rolling_mean")):
-    _NODES += [(_x, "n0", _first, "1", "price.close", "filter"), *((_x, f"n{k}", "rolling_mean", "1", f"n{k - 1}", "filter") for k in range(1, 9)), (_x, "level", "threshold", "1", "n8", "filter"), (_x, "level", "threshold", "1", "price.close", "filter")]
-
-
-def _nodes(s: SparkSession, d: str) -> DataFrame:
-    """Each strategy (customer) uses one of five specs."""
-    shapes = s.createDataFrame(_NODES, "shape string, node string, operator string, version string, input string, role string")
-    mine = T(s, d, "customer").select(c("c_custkey").alias("spec_id"), F.concat(F.lit("x"), (c("c_custkey") % 5 + 1).cast("string")).alias("shape"))
-    return mine.join(F.broadcast(shapes), "shape").drop("shape")  # some rows a shape
-
-
-def _hash_sql(first: str) -> str:
-    """The hash of a chain of nine nodes and a comparison."""
-    h = f"sha256('{first}|1|' || sha256('price.close'))"
-    for _ in range(8):
-        h = f"sha256('rolling_mean|1|' || {h})"
-    return f"(SELECT sha256('filter:' || sha256('threshold|1|' || least(h, p) || ',' || greatest(h, p))) FROM (SELECT {h} AS h, sha256('price.close') AS p))"
-
-
-_EMA = "sha256('ema|1|' || sha256('price.close'))"
+# Specs: one a customer, of five shapes whose parameters follow the customer's key and nation.
+_SPEC = {"f": "2 + c_nationkey % 6", "s": "9 + c_custkey % 7", "g": "(CASE c_custkey % 3 WHEN 0 THEN '0.0' WHEN 1 THEN '0.01' ELSE '0.02' END)", "m": "2 + c_nationkey % 7", "v": "4 + c_custkey % 4", "lb": "4 + c_custkey % 6", "mb": "2 + c_nationkey % 5", "vt": "8 + c_custkey % 9"}
+
+
+def _spec_nodes(s: SparkSession, d: str) -> DataFrame:
+    """The nodes of every customer's spec (``specs.SCHEMA``); names and order of nodes, and of the inputs of ``and``, vary with the key."""
+    p = T(s, d, "customer").select(c("c_custkey").cast("long").alias("spec_id"), *[F.expr(f"CAST({x} AS string)").alias(k) for k, x in _SPEC.items()])
+    odd = c("spec_id") % 2 == 1
+    name = lambda x: F.when(odd, F.concat(F.lit("q_"), F.lit(x))).otherwise(F.lit(x))
+    text = lambda m: F.create_map(*[y for k, v in m.items() for y in (F.lit(k), v if not isinstance(v, str) else F.lit(v))]) if m else F.create_map().cast("map<string,string>")
+
+    def node(role, place, n, operator, params, inputs):
+        refs = {k: name(v) if not v.startswith("price.") else v for k, v in inputs.items()}
+        return F.struct(F.lit(role).alias("role"), F.lit(place).alias("place"), name(n).alias("node"), F.lit(operator).alias("operator"), F.lit(None).cast("string").alias("version"), text(params).alias("params"), text(refs).alias("inputs"))
+
+    close = {"series": "price.close"}
+    means = [node("entry", 0, "fast", "rolling_mean", {"window": c("f")}, close), node("entry", 1, "slow", "rolling_mean", {"window": c("s")}, close), node("entry", 2, "cross", "crossover", {"min_gap_pct": c("g")}, {"fast": "fast", "slow": "slow"})]
+    mom = node("entry", 3, "mom", "momentum", {"period": c("m")}, close)
+    hlc = {x: f"price.{x}" for x in ("high", "low", "close")}
+    both = F.when(odd, node("entry", 4, "both", "and", {}, {"a": "mom", "b": "cross"})).otherwise(node("entry", 4, "both", "and", {}, {"a": "cross", "b": "mom"}))
+    shapes = [
+        F.array(*means),
+        F.array(*means, mom, both, node("filter", 0, "vol", "volume_confirmation", {"window": c("v"), "multiple": "1"}, {"volume": "price.volume"})),
+        F.array(mom, node("entry", 1, "rev", "mean_reversion", {"window": c("s"), "entry_z": "0.5"}, close), node("exit", 0, "z", "zscore", {"window": c("s")}, close), node("exit", 1, "far", "threshold", {"upper": "1.5", "lower": "-1.5"}, {"series": "z"})),
+        F.array(node("entry", 0, "brk", "breakout", {"lookback": c("lb")}, hlc), node("risk", 0, "time", "time_stop", {"max_bars": c("mb")}, {}), node("risk", 1, "size", "vol_target", {"window": c("vt"), "target_vol": "0.1"}, {"returns": "price.returns"})),
+        F.array(mom, node("filter", 0, "fast", "rolling_mean", {"window": c("f")}, close), node("filter", 1, "dear", "threshold", {"upper": "100", "lower": "0"}, {"series": "fast"})),
+    ]
+    pick = F.expr("NULL")
+    for k, shape in enumerate(shapes):
+        pick = F.when(c("spec_id") % 5 == k, shape).otherwise(pick)
+    return p.select("spec_id", F.explode(pick).alias("n")).select("spec_id", "n.*")
+
+
+_h = lambda x: f"sha256({x})"
+_RM = lambda n: _h(f"'rolling_mean@1.0.0|window=' || {n} || '|series=price.close'")
+_CROSS = _h(f"'crossover@1.0.0|min_gap_pct=' || g || '|fast=' || {_RM('f')} || ',slow=' || {_RM('s')}")
+_MOM = _h("'momentum@1.0.0|min_return=0.0,period=' || m || '|series=price.close'")
+_VOL = _h("'volume_confirmation@1.0.0|multiple=1.0,window=' || v || '|volume=price.volume'")
+_REV = _h("'mean_reversion@1.0.0|entry_z=0.5,window=' || s || '|series=price.close'")
+_FAR = _h("'threshold@1.0.0|above_is_long=true,lower=-1.5,upper=1.5|series=' || " + _h("'zscore@1.0.0|window=' || s || '|series=price.close'"))
+_BRK = _h("'breakout@1.0.0|lookback=' || lb || '|close=price.close,high=price.high,low=price.low'")
+_TIME, _SIZE = _h("'time_stop@1.0.0|max_bars=' || mb || '|'"), _h("'vol_target@1.0.0|max_leverage=3.0,target_vol=0.1,window=' || vt || '|returns=price.returns'")
+_DEAR = _h(f"'threshold@1.0.0|above_is_long=true,lower=0.0,upper=100.0|series=' || {_RM('f')}")
+_pair = lambda a, b, between="','": f"(least({a}, {b}) || {between} || greatest({a}, {b}))"
+_whole = lambda entry="''", exit="''", filter="''", risk="''": _h(f"'entry:' || {entry} || ';exit:' || {exit} || ';filter:' || {filter} || ';risk:' || {risk} || ';{{}};{{}}'")
+_SP = f"sp AS (SELECT c_custkey AS spec_id, {', '.join(f'{x} AS {k}' for k, x in _SPEC.items())} FROM customer)"
 add(
     "c12_spec_hashes",
-    lambda s, d: specs.structural_hashes(_nodes(s, d)),
-    f"SELECT c_custkey AS spec_id, CASE c_custkey % 5 WHEN 2 THEN sha256('filter:' || sha256('threshold|1|' || sha256('price.close'))) WHEN 3 THEN {_hash_sql('frac_diff')} WHEN 4 THEN {_hash_sql('rolling_mean')} ELSE sha256('entry:' || sha256('crossover|1|' || {_EMA} || ',' || {_EMA})) END AS spec_hash FROM customer",
+    lambda s, d: specs.structural_hashes(_spec_nodes(s, d)),
+    f"""WITH {_SP} SELECT spec_id, CASE spec_id % 5 WHEN 0 THEN {_whole(_CROSS)} WHEN 1 THEN {_whole(_h("'and@1.0.0||' || " + _pair(_MOM, _CROSS)), filter=_VOL)}
+WHEN 2 THEN {_whole(_pair(_MOM, _REV), _FAR)} WHEN 3 THEN {_whole(_BRK, risk=_pair(_TIME, _SIZE))} ELSE {_whole(_MOM, filter=_DEAR)} END AS spec_hash FROM sp""",
 )
-add("c13_operator_usage", lambda s, d: specs.usage(_nodes(s, d)), "SELECT c_custkey AS spec_id, CASE WHEN c_custkey % 5 < 2 THEN 'entry' ELSE 'filter' END AS role, unnest(CASE c_custkey % 5 WHEN 2 THEN ['threshold'] WHEN 3 THEN ['threshold', 'rolling_mean', 'frac_diff'] WHEN 4 THEN ['threshold', 'rolling_mean'] ELSE ['crossover', 'ema'] END) AS operator FROM customer")
-add("k3_absolute_levels", lambda s, d: specs.absolute_levels(_nodes(s, d)), "SELECT c_custkey AS spec_id, CASE WHEN c_custkey % 5 = 2 THEN 'raw' ELSE 'level' END AS node FROM customer WHERE c_custkey % 5 IN (2, 4)")
+_over = lambda n, to="CURRENT ROW", less=" - 1": f"OVER (PARTITION BY spec_id, instrument ORDER BY bar_ix ROWS BETWEEN {n}{less} PRECEDING AND {to})"
+_all = lambda agg, x, n: f"CASE WHEN count({x}) {_over(n)} = {n} THEN {agg}({x}) {_over(n)} END"
+_BARS = "OVER (PARTITION BY spec_id, instrument ORDER BY bar_ix)"
+_prior = lambda agg, x: f"CASE WHEN count({x}) {_over('lb', '1 PRECEDING', '')} = lb THEN {agg}({x}) {_over('lb', '1 PRECEDING', '')} END"
+_APPLIED = f"""{WITH}, {_SP},
+x AS (SELECT sp.*, p.* FROM sp CROSS JOIN p),
+y AS (SELECT *, {_all("avg", "close", "f")} AS fm, {_all("avg", "close", "s")} AS sm, {_all("stddev_samp", "close", "s")} AS sd, lag(close, CAST(m AS INTEGER)) {_BARS} AS past,
+      {_all("avg", "volume", "v")} AS vm, {_prior("max", "high")} AS top, {_prior("min", "low")} AS bottom, {_all("stddev_samp", "ret", "vt")} AS rsd FROM x),
+z AS (SELECT *, CASE WHEN (fm - sm) / sm > CAST(g AS DOUBLE) THEN 1.0 WHEN (fm - sm) / sm < -CAST(g AS DOUBLE) THEN -1.0 WHEN fm IS NOT NULL AND sm IS NOT NULL THEN 0.0 END AS cross_s,
+      CASE WHEN close / past - 1 > 0 THEN 1.0 WHEN close / past - 1 < 0 THEN -1.0 WHEN close / past - 1 = 0 THEN 0.0 END AS mom_s,
+      CASE WHEN sd = 0 THEN 0.0 ELSE (close - sm) / sd END AS zs,
+      CASE WHEN close > top THEN 1.0 WHEN close < bottom THEN -1.0 WHEN close IS NOT NULL AND top IS NOT NULL AND bottom IS NOT NULL THEN 0.0 END AS brk_s FROM y),
+i AS (SELECT *, coalesce(sign(brk_s), 0) AS side, coalesce(lag(coalesce(sign(brk_s), 0)) {_BARS}, 0) AS was FROM z),
+k AS (SELECT *, bar_ix - max(CASE WHEN side <> was THEN bar_ix END) {_over("100000", less="")} + 1 AS held FROM i),
+q AS (SELECT *, CASE spec_id % 5 WHEN 0 THEN cross_s
+   WHEN 1 THEN CASE WHEN volume > vm AND vm IS NOT NULL THEN CASE WHEN mom_s > 0 AND cross_s > 0 THEN 1.0 WHEN mom_s < 0 AND cross_s < 0 THEN -1.0 ELSE 0.0 END ELSE 0.0 END
+   WHEN 2 THEN CASE WHEN zs IS NULL OR zs > 1.5 OR zs < -1.5 THEN 0.0 WHEN mom_s > 0 AND zs < -0.5 THEN 1.0 WHEN mom_s < 0 AND zs > 0.5 THEN -1.0 ELSE 0.0 END
+   WHEN 3 THEN CASE WHEN side <> 0 AND held % (mb + 1) = 0 THEN 0.0 ELSE brk_s END * CASE WHEN rsd > 0 THEN least(3, 0.1 / rsd) END
+   ELSE CASE WHEN fm > 100 THEN mom_s ELSE 0.0 END END AS position FROM k)
+SELECT spec_id, instrument, bar_ix, greatest(-1.0, least(1.0, coalesce(position, 0.0))) AS signal FROM q"""
+add("c_apply_spec", lambda s, d: compiled.apply_specs(base(s, d), _spec_nodes(s, d)).select("spec_id", "instrument", "bar_ix", "signal"), _APPLIED)
+add("c13_operator_usage", lambda s, d: specs.usage(specs.edges(_spec_nodes(s, d))), """SELECT c_custkey AS spec_id, u.role, u.operator FROM customer JOIN (VALUES (0, 'entry', 'rolling_mean'), (0, 'entry', 'crossover'), (1, 'entry', 'rolling_mean'), (1, 'entry', 'crossover'), (1, 'entry', 'momentum'), (1, 'entry', 'and'), (1, 'filter', 'volume_confirmation'),
+(2, 'entry', 'momentum'), (2, 'entry', 'mean_reversion'), (2, 'exit', 'zscore'), (2, 'exit', 'threshold'), (3, 'entry', 'breakout'), (3, 'risk', 'time_stop'), (3, 'risk', 'vol_target'), (4, 'entry', 'momentum'), (4, 'filter', 'rolling_mean'), (4, 'filter', 'threshold')) u(k, role, operator) ON u.k = c_custkey % 5""")
+add("k3_absolute_levels", lambda s, d: specs.absolute_levels(specs.edges(_spec_nodes(s, d))), "SELECT c_custkey AS spec_id, CASE WHEN c_custkey % 2 = 1 THEN 'q_dear' ELSE 'dear' END AS node FROM customer WHERE c_custkey % 5 = 4")
 
 # Parts of the backtest
 add("b2_gross_cap", lambda s, d: bars_run(s, d).groupBy("date").agg(F.sum(F.abs("weight")).alias("gross_weight")), f"{WITH_RUN} SELECT date, sum(abs(weight)) AS gross_weight FROM b GROUP BY date")

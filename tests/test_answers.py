@@ -165,7 +165,6 @@ NODES = "spec_id string, node string, operator string, version string, input str
 def test_deep_specs(spark):
     frame = spark.createDataFrame(chain("raw", "rolling_mean") + chain("free", "frac_diff") + chain("sign", "rolling_mean", level="crossover"), NODES)
     assert {r["spec_id"] for r in specs.absolute_levels(frame).collect()} == {"raw"}
-    assert {r["spec_id"] for r in specs.structural_hashes(frame).collect()} == {"raw", "free", "sign"}
     assert {(r["spec_id"], r["operator"]) for r in specs.usage(frame).collect()} == {("raw", "threshold"), ("raw", "rolling_mean"), ("free", "threshold"), ("free", "rolling_mean"), ("free", "frac_diff"), ("sign", "crossover"), ("sign", "rolling_mean")}
 
 
@@ -174,11 +173,6 @@ def test_usage_is_of_a_role_s_roots(spark):
     assert {(r["role"], r["operator"]) for r in specs.usage(spark.createDataFrame(rows, NODES)).collect()} == {("entry", "ema"), ("entry", "crossover"), ("exit", "atr"), ("exit", "threshold")}
 
 
-def test_a_cycle_is_an_error(spark):
-    with pytest.raises(ValueError, match="cycle"):
-        specs.structural_hashes(spark.createDataFrame([("a", "x", "ema", "1", "y", "entry"), ("a", "y", "ema", "1", "x", "entry")], NODES))
-
-
 def test_near_duplicates_keep_every_link(spark):
     rng = random.Random(4)
     rows, sets = [], {}
