@@ -47,6 +47,7 @@ class Operator:
     implicit: tuple[str, ...] = ()  # ports that are the running position unless connected
     commutative: bool = False
     ordered: tuple[str, str] | None = None  # parameters of which the first may not be above the second
+    pointwise: bool = False  # the column reads its own bar alone, and takes parameters that are columns
     warmup: Callable[[Params], int] = lambda p: 0
     version: str = "1.0.0"
 
@@ -134,7 +135,7 @@ for _o in (
     Operator("jma", ("series",), (_window(14, 2, 500, "length"), Param("phase", "float", 0.0, -100.0, 100.0), Param("power", "float", 2.0, 0.5, 4.0)), step=lambda p: state.jma(p["length"], p["phase"], p["power"]), rows=("series",), warmup=lambda p: p["length"] - 1),
     Operator("kalman", ("series",), (Param("process_var", "float", 1e-4, 1e-12, 10.0), Param("observation_var", "float", 1e-2, 1e-12, 100.0)), step=lambda p: state.kalman(p["process_var"], p["observation_var"]), rows=("series",)),
     Operator("atr", _HLC, (_PERIOD,), needs=lambda p: {"tr": ("true_range", {}, {x: x for x in _HLC})}, step=lambda p: state.wilder(p["period"]), rows=("tr",), warmup=lambda p: p["period"]),
-    Operator("atr_normalise", ("series", *_HLC), (_PERIOD,), lambda x, p, k: F.when(x["atr"] > 0, x["series"] / x["atr"]), needs=_ATR, warmup=lambda p: p["period"]),
+    Operator("atr_normalise", ("series", *_HLC), (_PERIOD,), lambda x, p, k: F.when(x["atr"] > 0, x["series"] / x["atr"]), needs=_ATR, pointwise=True, warmup=lambda p: p["period"]),
     Operator("zscore", ("series",), (_window(),), _series(lambda x, p, k: transforms.zscore(x, p["window"], k)), warmup=lambda p: p["window"] - 1),
     Operator("percent_rank", ("series",), (_window(),), _series(lambda x, p, k: transforms.percent_rank(x, p["window"], k)), warmup=lambda p: p["window"] - 1),
     Operator("roc", ("series",), (_window(10, 1, 2000, "period"),), _series(lambda x, p, k: transforms.roc(x, p["period"], k)), warmup=lambda p: p["period"]),
@@ -143,16 +144,16 @@ for _o in (
     Operator("wavelet_detail", ("series",), (_window(64, 8), _window(2, 1, 6, "level")), _series(lambda x, p, k: transforms.wavelet_detail(x, p["window"], p["level"], k)), warmup=lambda p: p["window"] - 1),
     Operator("rolling_pca", ("series",), (_window(60, 10), _window(3, 2, 50, "lags")), frame=lambda f, x, out, p, k: pca.rolling_pca(f, x["series"], p["window"], p["lags"], out, k), warmup=lambda p: p["window"] + p["lags"] - 2),
     # signals
-    Operator("crossover", ("fast", "slow"), (Param("min_gap_pct", "float", 0.0, 0.0, 1.0),), lambda x, p, k: signals.crossover(x["fast"], x["slow"], p["min_gap_pct"])),
-    Operator("threshold", ("series",), (Param("upper", "float", 1.0, -1e9, 1e9), Param("lower", "float", -1.0, -1e9, 1e9), Param("above_is_long", "bool", True)), _series(lambda x, p, k: signals.threshold(x, p["upper"], p["lower"], p["above_is_long"])), ordered=("lower", "upper")),
+    Operator("crossover", ("fast", "slow"), (Param("min_gap_pct", "float", 0.0, 0.0, 1.0),), lambda x, p, k: signals.crossover(x["fast"], x["slow"], p["min_gap_pct"]), pointwise=True),
+    Operator("threshold", ("series",), (Param("upper", "float", 1.0, -1e9, 1e9), Param("lower", "float", -1.0, -1e9, 1e9), Param("above_is_long", "bool", True)), _series(lambda x, p, k: signals.threshold(x, p["upper"], p["lower"], p["above_is_long"])), ordered=("lower", "upper"), pointwise=True),
     Operator("breakout", _HLC, (_window(name="lookback"),), lambda x, p, k: signals.breakout(x["high"], x["low"], x["close"], p["lookback"], k), warmup=lambda p: p["lookback"]),
     Operator("vol_expansion", _HLC, (_PERIOD, _window(name="lookback"), Param("multiple", "float", 1.0, 0.1, 10.0)), lambda x, p, k: signals.vol_expansion(x["atr"], p["lookback"], p["multiple"], k), needs=_ATR, warmup=lambda p: p["period"] + p["lookback"] - 1),
     Operator("momentum", ("series",), (_window(20, 1, 2000, "period"), Param("min_return", "float", 0.0, 0.0, 10.0)), _series(lambda x, p, k: signals.momentum(x, p["period"], p["min_return"], k)), warmup=lambda p: p["period"]),
     Operator("mean_reversion", ("series",), (_window(), Param("entry_z", "float", 2.0, 0.1, 10.0)), _series(lambda x, p, k: signals.mean_reversion(x, p["window"], p["entry_z"], k)), warmup=lambda p: p["window"] - 1),
     Operator("volume_confirmation", ("volume",), (_window(), Param("multiple", "float", 1.5, 0.1, 20.0)), lambda x, p, k: signals.volume_confirmation(x["volume"], p["window"], p["multiple"], k), warmup=lambda p: p["window"] - 1),
-    Operator("and", ("a", "b"), (), lambda x, p, k: signals.both(x["a"], x["b"]), commutative=True),
-    Operator("or", ("a", "b"), (), lambda x, p, k: signals.either(x["a"], x["b"]), commutative=True),
-    Operator("not", ("a",), (), lambda x, p, k: signals.negate(x["a"])),
+    Operator("and", ("a", "b"), (), lambda x, p, k: signals.both(x["a"], x["b"]), commutative=True, pointwise=True),
+    Operator("or", ("a", "b"), (), lambda x, p, k: signals.either(x["a"], x["b"]), commutative=True, pointwise=True),
+    Operator("not", ("a",), (), lambda x, p, k: signals.negate(x["a"]), pointwise=True),
     # risk
     Operator("atr_stop", ("position", "close", "high", "low"), (_PERIOD, Param("multiple", "float", 2.0, 0.1, 20.0)), step=lambda p: state.atr_stop(p["multiple"]), rows=("position", "close", "atr"), needs=_ATR, implicit=("position",), warmup=lambda p: p["period"]),
     Operator("trailing_stop", ("position", "close", "high", "low"), (_PERIOD, Param("multiple", "float", 3.0, 0.1, 20.0)), step=lambda p: state.trailing_stop(p["multiple"]), rows=("position", "close", "atr"), needs=_ATR, implicit=("position",), warmup=lambda p: p["period"]),

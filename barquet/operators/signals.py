@@ -26,10 +26,12 @@ def crossover(fast: Column, slow: Column, min_gap_pct: float = 0.0) -> Column:
     return _direction(gap > min_gap_pct, gap < -min_gap_pct, gap)
 
 
-def threshold(x: Column, upper: float = 1.0, lower: float = -1.0, above_is_long: bool = True) -> Column:
-    if lower > upper:
+def threshold(x: Column, upper: float | Column = 1.0, lower: float | Column = -1.0, above_is_long: bool | Column = True) -> Column:
+    if not isinstance(lower, Column) and not isinstance(upper, Column) and lower > upper:
         raise ValueError("lower is above upper")
     high, low = x > upper, x < lower
+    if isinstance(above_is_long, Column):
+        return F.when(above_is_long, _direction(high, low, x)).otherwise(_direction(low, high, x))
     return _direction(high, low, x) if above_is_long else _direction(low, high, x)
 
 

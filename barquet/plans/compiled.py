@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import library, risk, signals, specs, state  # noqa: F401
+from ..operators import library, specs, state
 from ..shared import written
 
 Keys = tuple[str, ...]
 
-#: Distinct computations that one plan holds as columns; more specs make more plans over the same bars.
+#: Distinct windows and recursions that one plan holds as columns; more specs make more plans over the same bars.
 BATCH = 250
 #: Distinct roots and computations that the driver may plan for; beyond, the caller deals the specs out.
 MOST = 50_000
@@ -60,6 +61,11 @@ class Graph:
                 into.add(at)
                 todo += [x for _, x in self.works[at].inputs]
 
+    def weight(self, names: set[str]) -> float:
+        """Columns that a plan of ``names`` has, and a share of one for each value that is none."""
+        plain = sum(w.operator in COMBINED or library.LIBRARY[w.operator, w.version].pointwise for w in map(self.works.get, names))
+        return len(names) - plain + plain / 20
+
     def levels(self, names: set[str]) -> list[list[str]]:
         """``names`` in rounds: each has its inputs in rounds before."""
         rounds, done, left = [], set(), set(names)
@@ -71,31 +77,20 @@ class Graph:
         return rounds
 
 
-def _roots(of: dict[str, Column]) -> dict[str, list[Column]]:
-    lists: dict[str, list[Column]] = {}
-    for port in sorted(of):
-        lists.setdefault(port.split(".")[0], []).append(of[port])
-    return lists
-
+def _roles(entries: Column, exits: Column, filters: Column) -> Column:
+    """One entry root as it is, several by agreement; then exits and filters. Each is an array of values."""
+    known = lambda xs: F.transform(xs, lambda x: F.coalesce(x, F.lit(0.0)))
+    agreed = F.when(F.forall(known(entries), lambda x: x > 0), 1.0).when(F.forall(known(entries), lambda x: x < 0), -1.0).otherwise(0.0)
+    entry = F.when(F.size(entries) == 0, 0.0).when(F.size(entries) == 1, F.coalesce(F.get(entries, F.lit(0)), F.lit(0.0))).otherwise(agreed)
+    fires = F.when(F.size(exits) == 1, F.coalesce(F.get(exits, F.lit(0)) != 0, F.lit(True))).otherwise(F.exists(known(exits), lambda x: x != 0))
+    return F.when(fires, 0.0).when(F.forall(known(filters), lambda x: x > 0), entry).otherwise(0.0)
 
-def _roles(of: dict[str, Column]) -> Column:
-    """One entry root as it is, several by agreement; then exits and filters."""
-    lists = _roots(of)
-    entries = lists.get("entry", [])
-    entry = F.lit(0.0) if not entries else entries[0] if len(entries) == 1 else signals.combine_entries(entries)
-    position = F.coalesce(entry, F.lit(0.0))
-    if "exit" in lists:
-        position = F.when(signals.combine_exits(lists["exit"]) != 0, 0.0).otherwise(position)
-    if "filter" in lists:
-        position = F.when(signals.combine_filters(lists["filter"]) > 0, position).otherwise(0.0)
-    return position
 
+def _final(position: Column) -> Column:
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(position, F.lit(0.0)))) + F.lit(0.0)  # no -0.0
 
-def _final(of: dict[str, Column]) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(of["position"], F.lit(0.0)))) + F.lit(0.0)  # no -0.0
 
-
-COMBINED = {"roles": _roles, "final": _final}
+COMBINED = ("roles", "final")
 
 
 def _typed(operator: str, version: str, params: dict[str, str]) -> dict:
@@ -142,36 +137,94 @@ def planned(held: DataFrame, ids: Keys) -> tuple[Graph, list[str], DataFrame]:
     return graph, finals, named.join(F.broadcast(table), "recipe").select(*ids, "signal_ix")
 
 
+def _list(values: list, kind: str) -> str:
+    return f"array({', '.join(map(repr, values))})" if values and kind == "int" else f"CAST(array({', '.join(map(repr, values))}) AS array<{kind}>)"
+
+
+def _let(body: Callable[[Column], Column]) -> Column:
+    """``body`` of the values so far, bound once: what made them could else move into a lambda and run for each element."""
+    return F.transform(F.array(F.col("__v")), body)[0]
+
+
+def _picked(places: list[int]) -> Column:
+    return _let(lambda v: F.transform(F.expr(_list(places, "int")), lambda j: F.get(v, j)))
+
+
+def _pointwise(graph: Graph, names: list[str], place: dict[str, int], keys: Keys) -> Column:
+    """The values of ``names``, which read their own bar alone, as one array:
+    these computations are rows of a constant, not columns of the plan."""
+    rows, kinds = [], {}
+    for n in names:
+        work = graph.works[n]
+        code, _ = kinds.setdefault((work.operator, work.version), (len(kinds), work))
+        refs: dict[str, list[int]] = {"i": [], "entry": [], "exit": [], "filter": []}
+        for port, x in work.inputs:
+            refs[port.split(".")[0] if work.operator == "roles" else "i"].append(place[x])
+        lists = [_list(v, "int") for v in refs.values()]
+        rows.append(f"struct({code} AS op, {lists[0]} AS i, {_list([float(v) for _, v in work.params], 'double')} AS p, {lists[1]} AS e, {lists[2]} AS x, {lists[3]} AS f)")
+
+    def value(v: Column, d: Column) -> Column:
+        at = lambda i: F.get(v, i)
+        many = lambda ix: F.transform(ix, at)
+        out = F.lit(None).cast("double")
+        for code, work in kinds.values():
+            if work.operator == "roles":
+                made = _roles(many(d["e"]), many(d["x"]), many(d["f"]))
+            elif work.operator == "final":
+                made = _final(at(d["i"][0]))
+            else:
+                operator = library.LIBRARY[work.operator, work.version]
+                params = {k: d["p"][j] == 1.0 if isinstance(v, bool) else d["p"][j] for j, (k, v) in enumerate(work.params)}
+                made = operator.column({p: at(d["i"][j]) for j, (p, _) in enumerate(work.inputs)}, params, keys)
+            out = F.when(d["op"] == code, made.cast("double")).otherwise(out)
+        return out
+
+    return _let(lambda v: F.transform(F.expr(f"array({', '.join(rows)})"), lambda d: value(v, d)))
+
+
 def _evaluated(bars: DataFrame, graph: Graph, names: set[str], keep: list[str], keys: Keys) -> DataFrame:
-    """``bars`` with the columns ``keep``. In each round the step functions of
-    all works run in one grouped map, the Columns in one projection; a column
-    that nothing needs any more goes."""
+    """``bars`` with ``__v``, the values of ``keep``. The values known so far are
+    one array. In each round the step functions of all works run in one grouped
+    map, windows in one projection, and what reads its own bar alone is one
+    expression; a value that nothing needs any more goes."""
     rounds = graph.levels(names)
+    sources = sorted({x for n in names for _, x in graph.works[n].inputs if x not in graph.works})
     own = bars.columns
-    have: list[str] = []
+    place = {x: i for i, x in enumerate(sources)}
+    bars = bars.withColumn("__v", F.array(*[F.col(x.removeprefix(specs.SOURCE)).cast("double") for x in sources]) if sources else F.array().cast("array<double>"))
+    value = lambda x: F.col("__v")[place[x]]
     for i, ready in enumerate(rounds):
-        needed = set(keep) | {x for later in rounds[i:] for n in later for _, x in graph.works[n].inputs}
-        bars = bars.select(*own, *[n for n in have if n in needed])
-        have = [n for n in have if n in needed]
-        columns, jobs = {}, []
+        pointwise, columns, jobs, frames = [], {}, [], []
         for n in ready:
             work = graph.works[n]
-            ref = {p: x.removeprefix(specs.SOURCE) for p, x in work.inputs}
-            if work.operator in COMBINED:
-                columns[n] = COMBINED[work.operator]({p: F.col(x) for p, x in ref.items()})
-                continue
-            operator, params = library.LIBRARY[work.operator, work.version], dict(work.params)
-            if operator.column:
-                columns[n] = operator.column({p: F.col(x) for p, x in ref.items()}, params, keys).cast("double")
+            operator = library.LIBRARY.get((work.operator, work.version))
+            if operator is None or operator.pointwise:
+                pointwise.append(n)
+            elif operator.column:
+                columns[n] = operator.column({p: value(x) for p, x in work.inputs}, dict(work.params), keys).cast("double")
             elif operator.step:
-                jobs.append(([ref[p] for p in operator.rows], operator.step(params), n))
+                jobs.append((operator, n))
             else:
-                bars = operator.frame(bars, ref, n, params, keys)
-        if jobs:
-            bars = state.run_many(bars, jobs, keys)
-        bars = bars.select("*", *[c.alias(n) for n, c in columns.items()])
-        have += ready
-    return bars.select(*own, *keep)
+                frames.append((operator, n))
+        if jobs or frames:
+            taken = sorted({x for _, n in [*jobs, *frames] for _, x in graph.works[n].inputs})
+            bars = bars.select(*bars.columns, *[value(x).alias(f"__x{place[x]}") for x in taken])
+            ref = lambda n: {p: f"__x{place[x]}" for p, x in graph.works[n].inputs}
+            if jobs:
+                bars = state.run_many(bars, [([ref(n)[p] for p in o.rows], o.step(dict(graph.works[n].params)), n) for o, n in jobs], keys)
+            for o, n in frames:
+                bars = o.frame(bars, ref(n), n, dict(graph.works[n].params), keys)
+        needed = set(keep) | {x for later in rounds[i + 1 :] for n in later for _, x in graph.works[n].inputs}
+        made = [n for _, n in [*jobs, *frames]] + list(columns)
+        kept = [x for x in place if x in needed]
+        old = _picked([place[x] for x in kept])
+        if columns:
+            bars = bars.select(*bars.columns, *[v.alias(n) for n, v in columns.items()])
+        parts = [old, *([F.array(*made)] if made else []), *([_pointwise(graph, pointwise, place, keys)] if pointwise else [])]
+        bars = bars.select(*own, F.concat(*parts).alias("__v"))
+        place = {x: j for j, x in enumerate([*kept, *made, *pointwise])}
+    order = [place[x] for x in keep]
+    return bars.select(*own, _picked(order).alias("__v"))
 
 
 def signals_of(bars: DataFrame, held: DataFrame, ids: Keys = ("spec_id",), keys: Keys = ("instrument",), carry: Keys = ("date",), batch: int = BATCH) -> DataFrame:
@@ -187,22 +240,22 @@ def signals_of(bars: DataFrame, held: DataFrame, ids: Keys = ("spec_id",), keys:
     for i, name in enumerate(finals):
         more = set(names)
         graph.cone(name, more)
-        if group and len(more) > batch:
+        if group and graph.weight(more) > batch:
             plans.append((group, names))
             group, more = [], set()
             graph.cone(name, more)
         group, names = [*group, (i, name)], more
     if group:
         plans.append((group, names))
+    carried = [c for c in carry if c not in keys]
     out = None
     for group, names in plans:
         made = _evaluated(bars, graph, names, [n for _, n in group], keys)
-        values = F.explode(F.arrays_zip(F.array(*[F.lit(i) for i, _ in group]).alias("ix"), F.array(*[F.col(n) for _, n in group]).alias("value"))).alias("s")
-        made = made.select(*keys, "bar_ix", *[c for c in carry if c not in keys], values).select(*keys, "bar_ix", *[c for c in carry if c not in keys], F.col("s.ix").alias("signal_ix"), F.col("s.value").alias("signal"))
+        made = made.select(*keys, "bar_ix", *carried, F.posexplode("__v").alias("at", "signal")).withColumn("signal_ix", F.col("at") + group[0][0]).drop("at")  # a group's numbers follow each other
         out = made if out is None else out.unionByName(made)
     if out is None:
         raise ValueError("no spec holds")
-    return out.join(F.broadcast(mine), "signal_ix").select(*ids, *keys, "bar_ix", *[c for c in carry if c not in keys], "signal")  # a row a spec: as many as the plan was made for
+    return out.join(F.broadcast(mine), "signal_ix").select(*ids, *keys, "bar_ix", *carried, "signal")  # a row a spec: as many as the plan was made for
 
 
 def apply_specs(bars: DataFrame, nodes: DataFrame, ids: Keys = ("spec_id",), keys: Keys = ("instrument",), carry: Keys = ("date",), refuse: bool = True, batch: int = BATCH) -> DataFrame:
