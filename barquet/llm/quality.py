@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Bounds of what the driver fits on: rows of each label, and bytes of whole texts in each dictionary's sample.
+#: Bounds of what the driver fits on: rows of each label, and bytes that each dictionary is trained on.
 SAMPLE_ROWS = 3000
 DICTIONARY_TEXTS = 32 << 20
 DICTIONARY_BYTES = 112 << 10
@@ -52,12 +52,23 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.slope * difference + self.offset, -500, 500)))
 
 
+def spread(text: bytes, share: float) -> bytes:
+    """Blocks of a text that are evenly spaced over it, ``share`` of them and one at least; the whole text from 1 on."""
+    if share >= 1:
+        return text
+    n = -(-len(text) // BLOCK)
+    k = max(1, int(n * share)) if n else 0
+    return b"".join(text[(2 * i + 1) * n // (2 * k) * BLOCK :][:BLOCK] for i in range(k))
+
+
 def _dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary, or the texts themselves where they are too few to train one."""
+    """A trained dictionary, or the texts themselves where they are too few to
+    train one: whole, or evenly spaced blocks of all of them if they are longer."""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"\n".join(texts)[:DICTIONARY_BYTES]
+        joined = b"\n".join(texts)
+        return spread(joined, (DICTIONARY_BYTES - BLOCK) / max(1, len(joined))) if len(joined) > DICTIONARY_BYTES else joined
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -80,14 +91,15 @@ def learnable(id_col: str = "doc_id") -> "Column":
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", dictionary_texts: int = DICTIONARY_TEXTS) -> Classifier:
     """Fit on at most ``rows`` labelled rows of each class, those with the
     smallest keyed hash.
 
-    Every other sampled row goes into the dictionaries with its whole text, as
-    long as a label's texts come to at most ``DICTIONARY_TEXTS`` bytes (a row
-    beyond stays out whole), and the rest calibrates the score by their whole
-    texts, so that the score isn't fitted on texts that the dictionaries hold.
+    Every other sampled row goes into its label's dictionary with its whole
+    text. Where these texts come to more than ``dictionary_texts`` bytes, every
+    one of them, long or short, gives the same share of its blocks, evenly
+    spaced over it. The rest calibrates the score by their whole texts, so that
+    the score isn't fitted on texts that the dictionaries hold.
     A calibrating row counts for as many labels of its class as it was drawn
     from, so that the balance of classes is that of all learnable labels.
 
@@ -111,15 +123,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str
         data = sorted((zlib.crc32(str(r[0]).encode()), *r) for r in frame.collect())
         return {label: [r[1:] for r in data if r[2] == label] for label in (0, 1)}
 
-    taken, ids = in_order(sample.select("__id", "label", F.octet_length("text"))), []
-    for own in taken.values():
-        total = 0
-        for i, label, size in own[::2]:
-            if total + size <= DICTIONARY_TEXTS:
-                total += size
-                ids.append((i, label))
-    picked = docs.sparkSession.createDataFrame(ids, sample.select("__id", "label").schema)
-    sets = in_order(sample.join(F.broadcast(picked), ["__id", "label"]).select("__id", "label", F.col("text").cast("binary")))
+    taken = in_order(sample.select("__id", "label", F.octet_length("text")))
+    ids = [(i, label, min(1.0, dictionary_texts / max(1, sum(r[2] for r in own[::2])))) for own in taken.values() for i, label, _ in own[::2]]
+    picked = docs.sparkSession.createDataFrame(ids, f"__id {sample.schema['__id'].dataType.simpleString()}, label int, share double")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [spread(t.as_buffer().to_pybytes(), share) for t, share in zip(batch.column(3), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.binary())], ["__id", "label", "text"])
+
+    chosen_texts = sample.join(F.broadcast(picked), ["__id", "label"]).select("__id", "label", "share", "text")
+    sets = in_order(chosen_texts.mapInArrow(blocks, f"__id {sample.schema['__id'].dataType.simpleString()}, label int, text binary"))
     good, bad = (_dictionary([bytes(r[2]) for r in sets[label]]) for label in (1, 0))
     model = Classifier(good, bad, 0.0, 0.0)
     handle = docs.sparkSession.sparkContext.broadcast(model)

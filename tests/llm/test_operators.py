@@ -595,16 +595,39 @@ def test_scores_by_hand(spark):
     assert np.mean([odds(text[i]) for _, i, _ in fitted]) == pytest.approx(np.mean([label for *_, label in fitted]), abs=1e-6)
 
 
-def test_quality_takes_whole_texts_only(spark, monkeypatch):
-    """Beyond the bound on a dictionary's sample whole rows stay out; a repeated id counts once."""
+def test_quality_learns_from_every_sampled_text(spark, monkeypatch):
+    """Within the bound on a dictionary's sample whole texts; beyond it, the same share of evenly spaced blocks of every text. A repeated id counts once."""
     seen = []
-    monkeypatch.setattr(quality, "DICTIONARY_TEXTS", 3000)
     monkeypatch.setattr(quality, "_dictionary", lambda texts: seen.append(texts) or b"x")
-    texts = {i: f"{i} " + "ab " * (i * 10) for i in range(60)}
+    texts = {i: f"{i} " + "".join(f"{i}.{k} " for k in range(i * 60)) for i in range(60)}
     docs = spark.createDataFrame([(i, t) for i, t in texts.items() for _ in range(3)], "doc_id long, text string")
-    quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"))
-    for own in seen:
-        assert 0 < sum(map(len, own)) <= 3000 and len(set(own)) == len(own) and {t.decode() for t in own} <= set(texts.values())
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    for bound in (1 << 20, 20_000):
+        seen.clear()
+        quality.fit(docs, labels, dictionary_texts=bound)
+        for own in seen:
+            from_texts = [next(t for i, t in texts.items() if x.startswith(f"{i}".encode()) and x[: len(f"{i} ")] == f"{i} ".encode() or x[:40] in t.encode()) for x in own]
+            assert len(set(own)) == len(own) and len({*from_texts}) == len(own) and 10 <= len(own) <= 30
+            if bound > 100_000:
+                assert {t.decode() for t in own} <= set(texts.values())
+            else:
+                assert sum(map(len, own)) <= bound + quality.BLOCK * len(own) and max(map(len, own)) > quality.BLOCK
+
+
+def test_blocks_are_spread_over_a_text():
+    text = b"".join(b"%04d" % k for k in range(5000))
+    found = quality.spread(text, 0.25)
+    starts = [int(found[i : i + 4]) for i in range(0, len(found), quality.BLOCK)]
+    assert len(found) <= len(text) * 0.25 and starts[0] < 400 and starts[-1] > 4500 and {b - a for a, b in zip(starts, starts[1:], strict=False)} <= {192, 256, 320}
+    assert quality.spread(text, 1.0) == text and quality.spread(b"", 0.1) == b"" and quality.spread(b"ab", 0.1) == b"ab"
+
+
+def test_a_dictionary_that_cannot_be_trained_is_of_all_texts():
+    texts = [bytes([65 + k]) * 90_000 for k in range(3)]
+    found = quality._dictionary(texts)
+    assert len(found) <= quality.DICTIONARY_BYTES
+    assert all(found.count(bytes([65 + k])) > 20_000 for k in range(3))
+    assert quality._dictionary([b"a", b"b"]) == b"a\nb"
 
 
 # 10
