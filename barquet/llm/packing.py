@@ -15,6 +15,8 @@ from .common import materialise, partitions_for
 from .tokens import by_bytes, encoder
 
 GROUP_PIECES = 4096
+#: Keys of pieces that fill a quarter of a group are broadcast up to so many, else joined by a shuffle.
+HOT_ROWS = 100_000
 #: Text that is encoded at once: its ids take some ten times as much.
 BATCH_BYTES = 4 << 20
 
@@ -92,7 +94,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, s
     checksum) into groups of about ``group_pieces``; each group is packed alone
     by first-fit decreasing. The number of groups follows the number of
     pieces, so no task grows with the input and the result doesn't depend on
-    how Spark partitioned the input. Adds ``sequence_id`` (group and bin) and
+    how Spark partitioned the input. Rows that repeat id and text (null ids
+    too) are told apart by nothing, so where they are more than a quarter of a
+    group they are dealt evenly over several. Adds ``sequence_id`` (group and bin) and
     ``offset``, gapless from 0 in its sequence.
 
     Null texts give a piece with the end id alone; null ids and repeated rows
@@ -109,6 +113,15 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, s
         pdf["offset"] = pdf["length"].groupby(bins).cumsum() - pdf["length"]
         return pdf.drop(columns="group")
 
-    grouped = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)))
+    key = ["doc_id", "start", "ids_crc32"]
+    many = materialise(pieces.groupBy(*key).agg(F.count("*").alias("__n")).filter(F.col("__n") > max(1, group_pieces // 4)))
+    salt = F.lit(0).cast("long")
+    dealt = pieces
+    if hot := many.count():  # rows that repeat id and text: dealt evenly over as many groups as they fill
+        renamed = many.select(*[F.col(k).alias(f"__{k}") for k in key], "__n")
+        on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+        dealt = pieces.join(F.broadcast(renamed) if hot <= HOT_ROWS else renamed, on, "left")
+        salt = F.when(F.col("__n").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("__n") / max(1, group_pieces // 4)))).otherwise(salt)
+    grouped = dealt.withColumn("__salt", salt).withColumn("group", F.pmod(F.when(F.col("__salt") == 0, F.xxhash64(*key, F.lit(seed))).otherwise(F.xxhash64(*key, F.lit(seed), "__salt")), F.lit(groups))).select(*pieces.columns, "group")
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema]
     return grouped.groupBy("group").applyInPandas(fit, ", ".join([*fields, "sequence_id long", "offset long"]))

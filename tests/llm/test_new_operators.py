@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barquet.llm import fingerprints, prefix_trie, queries, whitening
+from barquet.llm import fingerprints, packing, prefix_trie, queries, whitening
 
 DATA = "/root/testdata/sf0.001"
 
@@ -306,3 +306,17 @@ def test_queries_of_whole_tables(spark):
         assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == want[str(r["doc_id"])][1:5]
     turns = [tuple(r) for r in spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert trie_rows(queries.op13_prefix_trie(spark, DATA)) == trie_by_hand(turns)
+
+
+# -- 2: rows that nothing tells apart ------------------------------------------
+
+
+def test_packing_deals_equal_rows_over_groups(spark):
+    """A third of all rows has a null id and no text: no group holds them all, and every sequence is still right."""
+    docs = spark.createDataFrame([(None, None)] * 3000 + [(i, f"some words of document {i} " * (i % 9)) for i in range(900)], "doc_id long, text string").repartition(4)
+    out = packing.pack(docs, queries.tokenizer_path(), 64, group_pieces=200).toPandas()
+    empty = out[out["doc_id"].isna()]
+    assert len(empty) == 3000 and (empty["sequence_id"] // 2**31).value_counts().max() < 400
+    for _, own in out.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert own["offset"].tolist() == [0, *own["length"].cumsum().tolist()[:-1]] and own["length"].sum() <= 64
