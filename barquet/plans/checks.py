@@ -85,16 +85,20 @@ def worst_outcome(checks: DataFrame, keys: list[str]) -> DataFrame:
 def capacity(bars: DataFrame, capital: float) -> DataFrame:
     """Largest share of a bar's traded value that a weight change would take; 0 where nothing trades."""
     move = F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(Window.partitionBy("instrument").orderBy("bar_ix")), F.lit(0.0)))
-    share = F.when(F.col("close") * F.col("volume") > 0, F.col("move") * capital / (F.col("close") * F.col("volume"))).otherwise(0.0)
+    traded = F.col("close") * (F.col("volume") if "volume" in bars.columns else F.lit(None).cast("double"))
+    share = F.when(traded > 0, F.col("move") * capital / traded).otherwise(0.0)
     return bars.withColumn("move", move).groupBy("instrument").agg(F.max(share).alias("capacity"))
 
 
 def equities_gate(bars: DataFrame, capital: float, cap: float | None, hazard: bool, handled: bool) -> DataFrame:
     """Survivorship, a warning where the market has no such hazard, and the
-    largest share of a bar's traded value against the market's cap."""
+    largest share of a bar's traded value against the market's cap; a warning
+    without a value where no bar has a volume."""
     worst = capacity(bars, capital).agg(F.coalesce(F.max("capacity"), F.lit(0.0)).alias("worst"))
+    known = bars.agg((F.count("volume") > 0).alias("known")) if "volume" in bars.columns else worst.select(F.lit(False).alias("known"))
+    worst = worst.crossJoin(F.broadcast(known)).withColumn("worst", F.when(F.col("known"), F.col("worst")))  # a row each
     survivorship = check_row("equities_survivorship", "correctness", F.lit(handled), F.lit(None), F.lit(0.0 if hazard else None).cast("double"))
-    return as_rows(worst, [], [survivorship, check_row("equities_capacity", "performance", F.col("worst") <= F.lit(cap), F.col("worst"), F.lit(cap).cast("double"))])
+    return as_rows(worst, [], [survivorship, check_row("equities_capacity", "performance", F.col("worst") <= F.lit(cap), F.col("worst"), F.when(F.col("known"), F.lit(cap).cast("double")))])
 
 
 #: Multiples of funding, least correlation with a second venue and common bars for it, largest share of a session.
@@ -130,12 +134,13 @@ def session_shares(pnl: DataFrame, ts: str = "ts", value: str = "pnl") -> DataFr
     return by.withColumn("share", F.when(all_of > 0, F.abs("total") / all_of).otherwise(0.0))
 
 
-def forex_gate(pnl: DataFrame, ts: str = "ts", value: str = "pnl", carry: str = "carry", intraday: bool = True) -> DataFrame:
-    """The largest session's share, not asked of daily bars, and carry as a share of gross profit, which never fails."""
+def forex_gate(pnl: DataFrame, ts: str = "ts", value: str = "pnl", carry: str = "carry", intraday: bool = True, funded: bool = True) -> DataFrame:
+    """The largest session's share, not asked of daily bars, and carry as a share of
+    gross profit, which never fails; where no funding rate is declared (``funded``) it only warns."""
     worst = session_shares(pnl, ts, value).agg(F.coalesce(F.max("share"), F.lit(0.0)).alias("worst"))
     carried = pnl.agg(F.coalesce(F.try_divide(F.sum(F.abs(carry)), F.sum(F.abs(value))), F.lit(0.0)).alias("carried"))
     out = as_rows(worst, [], [check_row("forex_session_dependence", "regime", F.col("worst") <= MOST_SESSION, F.col("worst"), F.lit(MOST_SESSION if intraday else None).cast("double"))])
-    return out.union(as_rows(carried, [], [check_row("forex_carry_decomposition", "cost", F.lit(True), F.col("carried"), F.lit(0.0))]))
+    return out.union(as_rows(carried, [], [check_row("forex_carry_decomposition", "cost", F.lit(True), F.col("carried"), F.lit(0.0 if funded else None).cast("double"))]))
 
 
 def funnel(runs: DataFrame) -> DataFrame:

@@ -12,17 +12,19 @@ from pyspark.sql import functions as F
 from .stats import moments, se_sharpe
 
 
-def eras(curve: DataFrame, started: str) -> DataFrame:
-    """``era`` of each bar, and equity that starts anew in each."""
-    marked = curve.withColumn("era", F.when(F.col("date") <= F.lit(started).cast("date"), "baseline").otherwise("paper"))
-    upto = Window.partitionBy("era").orderBy("bar_ix").rowsBetween(Window.unboundedPreceding, 0)
+def eras(curve: DataFrame, started: str | Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``era`` of each bar of each run (``keys``), and equity that starts anew in
+    each; ``started`` is a date, or a column with each run's own."""
+    start = started if isinstance(started, Column) else F.lit(started)
+    marked = curve.withColumn("era", F.when(F.col("date") <= start.cast("date"), "baseline").otherwise("paper"))
+    upto = Window.partitionBy(*keys, "era").orderBy("bar_ix").rowsBetween(Window.unboundedPreceding, 0)
     marked = marked.withColumn("equity", F.product(1 + F.col("net")).over(upto))
     return marked.withColumn("drawdown", 1 - F.col("equity") / F.max("equity").over(upto))
 
 
-def first_breach(marked: DataFrame, most_loss: float = 0.25, most_drawdown: float = 0.30) -> DataFrame:
+def first_breach(marked: DataFrame, most_loss: float = 0.25, most_drawdown: float = 0.30, keys: tuple[str, ...] = ()) -> DataFrame:
     breach = (1 - F.col("equity") > most_loss) | (F.col("drawdown") > most_drawdown)
-    return marked.groupBy("era").agg(F.min(F.when(breach, F.col("date"))).alias("breached"))
+    return marked.groupBy(*keys, "era").agg(F.min(F.when(breach, F.col("date"))).alias("breached"))
 
 
 def z_score(observed: Column, expected: Column, se: Column) -> Column:

@@ -13,9 +13,9 @@ from .metrics import sharpe
 LABELS = ("crisis", "high_vol", "low_vol", "trending", "sideways")
 
 
-def market_returns(panel: DataFrame) -> DataFrame:
+def market_returns(panel: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """``bar_ix, date, market``: the mean return of what is listed, 0 if nothing is."""
-    return panel.groupBy("bar_ix", "date").agg(F.coalesce(F.avg("ret"), F.lit(0.0)).alias("market"))
+    return panel.groupBy(*keys, "bar_ix", "date").agg(F.coalesce(F.avg("ret"), F.lit(0.0)).alias("market"))
 
 
 def _medians(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -44,10 +44,10 @@ def trailing(market: DataFrame, lookback: int, keys: tuple[str, ...] = ()) -> Da
     return x.join(medians.withColumn("bar_ix", F.col("bar_ix").cast(market.schema["bar_ix"].dataType)), ["market_key", "bar_ix"]).drop("market_key")
 
 
-def label(market: DataFrame, lookback: int = 63, crisis: float = 0.20, high: float = 1.5, low: float = 0.6, strength: float = 0.10) -> DataFrame:
-    """``regime`` of each bar, from the bars before it: a deep drawdown first, then
+def label(market: DataFrame, lookback: int = 63, crisis: float = 0.20, high: float = 1.5, low: float = 0.6, strength: float = 0.10, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``regime`` of each bar of each market (``keys``), from the bars before it: a deep drawdown first, then
     volatility against its median so far, then the trend's strength."""
-    x = trailing(market, lookback)
+    x = trailing(market, lookback, keys)
     trend = F.when(F.col("vol") > 0, F.abs("mean") / F.col("vol")).otherwise(0.0)
     regime = (
         F.when(F.col("n") < lookback + 2, "sideways")
@@ -58,23 +58,25 @@ def label(market: DataFrame, lookback: int = 63, crisis: float = 0.20, high: flo
         .when(trend >= strength, "trending")
         .otherwise("sideways")
     )
-    return x.withColumn("regime", regime).select("bar_ix", "date", "market", "regime")
+    return x.withColumn("regime", regime).select(*keys, "bar_ix", "date", "market", "regime")
 
 
-def by_regime(curve: DataFrame, labels: DataFrame, periods: float) -> DataFrame:
-    """Results on each regime's bars joined end to end; dates without a label are sideways."""
-    joined = curve.join(labels.select("date", "regime"), "date", "left").withColumn("regime", F.coalesce("regime", F.lit("sideways")))
-    upto = Window.partitionBy("regime").orderBy("bar_ix").rowsBetween(Window.unboundedPreceding, 0)
+def by_regime(curve: DataFrame, labels: DataFrame, periods: float, keys: tuple[str, ...] = (), market: tuple[str, ...] = ()) -> DataFrame:
+    """Results of each run (``keys``) on each regime's bars joined end to end;
+    dates without a label are sideways. ``market``: the columns of ``curve`` that
+    name the market whose labels are meant."""
+    joined = curve.join(labels.select(*market, "date", "regime"), [*market, "date"], "left").withColumn("regime", F.coalesce("regime", F.lit("sideways")))
+    upto = Window.partitionBy(*keys, "regime").orderBy("bar_ix").rowsBetween(Window.unboundedPreceding, 0)
     joined = joined.withColumn("equity", F.product(1 + F.col("net")).over(upto))
     joined = joined.withColumn("drawdown", F.col("equity") / F.max("equity").over(upto) - 1)
-    out = joined.groupBy("regime").agg(sharpe(F.col("net"), periods).alias("sharpe"), (F.product(1 + F.col("net")) - 1).alias("total"), (-F.min("drawdown")).alias("max_drawdown"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n_bars"))
-    return out
+    return joined.groupBy(*keys, "regime").agg(sharpe(F.col("net"), periods).alias("sharpe"), (F.product(1 + F.col("net")) - 1).alias("total"), (-F.min("drawdown")).alias("max_drawdown"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("n_bars"))
 
 
-def weak(results: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Regimes with a Sharpe under 0; with labels, whether each is that of the last bar."""
-    out = results.filter("sharpe < 0").select("regime")
+def weak(results: DataFrame, labels: DataFrame | None = None, keys: tuple[str, ...] = (), market: tuple[str, ...] = ()) -> DataFrame:
+    """Each run's regimes with a Sharpe under 0; with labels, whether each is that of its market's last bar."""
+    out = results.filter("sharpe < 0").select(*keys, *[m for m in market if m not in keys], "regime")
     if labels is None:
         return out
-    current = labels.agg(F.max_by("regime", "bar_ix").alias("__current"))  # one row
-    return out.crossJoin(F.broadcast(current)).select("regime", (F.col("regime") == F.col("__current")).alias("is_current"))
+    current = labels.groupBy(*market).agg(F.max_by("regime", "bar_ix").alias("__current"))  # a row a market
+    met = out.join(current, list(market)) if market else out.crossJoin(F.broadcast(current))
+    return met.withColumn("is_current", F.col("regime") == F.col("__current")).drop("__current")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import registry as r
 from .functions import windows as w
 from .operators import clusters, pca, specs
-from .plans import backtest, checks, compiled, documents, ledger, metrics, regimes, stats, walkforward
+from .plans import backtest, checks, compiled, documents, funnel, ledger, metrics, monitor, regimes, stats, walkforward
 from .registry import WITH, WITH_RUN, add, base, bars_run, c, curve
 from .registry_ledger import XS, _REL, _X, _html_sql, _rel
 from .registry_runs import FOLDS, INST, REG, RETURNS, SCORES, _inst, _results, _scores
@@ -79,23 +79,47 @@ _over = lambda n, to="CURRENT ROW", less=" - 1": f"OVER (PARTITION BY spec_id, i
 _all = lambda agg, x, n: f"CASE WHEN count({x}) {_over(n)} = {n} THEN {agg}({x}) {_over(n)} END"
 _BARS = "OVER (PARTITION BY spec_id, instrument ORDER BY bar_ix)"
 _prior = lambda agg, x: f"CASE WHEN count({x}) {_over('lb', '1 PRECEDING', '')} = lb THEN {agg}({x}) {_over('lb', '1 PRECEDING', '')} END"
-_APPLIED = f"""{WITH}, {_SP},
-x AS (SELECT sp.*, p.* FROM sp CROSS JOIN p),
-y AS (SELECT *, {_all("avg", "close", "f")} AS fm, {_all("avg", "close", "s")} AS sm, {_all("stddev_samp", "close", "s")} AS sd, lag(close, CAST(m AS INTEGER)) {_BARS} AS past,
-      {_all("avg", "volume", "v")} AS vm, {_prior("max", "high")} AS top, {_prior("min", "low")} AS bottom, {_all("stddev_samp", "ret", "vt")} AS rsd FROM x),
-z AS (SELECT *, CASE WHEN (fm - sm) / sm > CAST(g AS DOUBLE) THEN 1.0 WHEN (fm - sm) / sm < -CAST(g AS DOUBLE) THEN -1.0 WHEN fm IS NOT NULL AND sm IS NOT NULL THEN 0.0 END AS cross_s,
+
+
+def _applied(p: str, n: str = "") -> str:
+    """CTEs over bars ``p``, ending in ``sig``: every spec's signal at every bar."""
+    return f"""x{n} AS (SELECT sp.*, p.* FROM sp CROSS JOIN {p} p),
+y{n} AS (SELECT *, {_all("avg", "close", "f")} AS fm, {_all("avg", "close", "s")} AS sm, {_all("stddev_samp", "close", "s")} AS sd, lag(close, CAST(m AS INTEGER)) {_BARS} AS past,
+      {_all("avg", "volume", "v")} AS vm, {_prior("max", "high")} AS top, {_prior("min", "low")} AS bottom, {_all("stddev_samp", "ret", "vt")} AS rsd FROM x{n}),
+z{n} AS (SELECT *, CASE WHEN (fm - sm) / sm > CAST(g AS DOUBLE) THEN 1.0 WHEN (fm - sm) / sm < -CAST(g AS DOUBLE) THEN -1.0 WHEN fm IS NOT NULL AND sm IS NOT NULL THEN 0.0 END AS cross_s,
       CASE WHEN close / past - 1 > 0 THEN 1.0 WHEN close / past - 1 < 0 THEN -1.0 WHEN close / past - 1 = 0 THEN 0.0 END AS mom_s,
       CASE WHEN sd = 0 THEN 0.0 ELSE (close - sm) / sd END AS zs,
-      CASE WHEN close > top THEN 1.0 WHEN close < bottom THEN -1.0 WHEN close IS NOT NULL AND top IS NOT NULL AND bottom IS NOT NULL THEN 0.0 END AS brk_s FROM y),
-i AS (SELECT *, coalesce(sign(brk_s), 0) AS side, coalesce(lag(coalesce(sign(brk_s), 0)) {_BARS}, 0) AS was FROM z),
-k AS (SELECT *, bar_ix - max(CASE WHEN side <> was THEN bar_ix END) {_over("100000", less="")} + 1 AS held FROM i),
-q AS (SELECT *, CASE spec_id % 5 WHEN 0 THEN cross_s
+      CASE WHEN close > top THEN 1.0 WHEN close < bottom THEN -1.0 WHEN close IS NOT NULL AND top IS NOT NULL AND bottom IS NOT NULL THEN 0.0 END AS brk_s FROM y{n}),
+i{n} AS (SELECT *, coalesce(sign(brk_s), 0) AS side, coalesce(lag(coalesce(sign(brk_s), 0)) {_BARS}, 0) AS was FROM z{n}),
+k{n} AS (SELECT *, bar_ix - max(CASE WHEN side <> was THEN bar_ix END) {_over("100000", less="")} + 1 AS held FROM i{n}),
+q{n} AS (SELECT *, CASE spec_id % 5 WHEN 0 THEN cross_s
    WHEN 1 THEN CASE WHEN volume > vm AND vm IS NOT NULL THEN CASE WHEN mom_s > 0 AND cross_s > 0 THEN 1.0 WHEN mom_s < 0 AND cross_s < 0 THEN -1.0 ELSE 0.0 END ELSE 0.0 END
    WHEN 2 THEN CASE WHEN zs IS NULL OR zs > 1.5 OR zs < -1.5 THEN 0.0 WHEN mom_s > 0 AND zs < -0.5 THEN 1.0 WHEN mom_s < 0 AND zs > 0.5 THEN -1.0 ELSE 0.0 END
    WHEN 3 THEN CASE WHEN side <> 0 AND held % (mb + 1) = 0 THEN 0.0 ELSE brk_s END * CASE WHEN rsd > 0 THEN least(3, 0.1 / rsd) END
-   ELSE CASE WHEN fm > 100 THEN mom_s ELSE 0.0 END END AS position FROM k)
-SELECT spec_id, instrument, bar_ix, greatest(-1.0, least(1.0, coalesce(position, 0.0))) AS signal FROM q"""
-add("c_apply_spec", lambda s, d: compiled.apply_specs(base(s, d), _spec_nodes(s, d)).select("spec_id", "instrument", "bar_ix", "signal"), _APPLIED)
+   ELSE CASE WHEN fm > 100 THEN mom_s ELSE 0.0 END END AS position FROM k{n}),
+sig{n} AS (SELECT spec_id, instrument, date, bar_ix, close, greatest(-1.0, least(1.0, coalesce(position, 0.0))) AS signal FROM q{n}),
+lag{n} AS (SELECT *, CASE WHEN close IS NULL THEN 0.0 ELSE coalesce(lag(signal) {_BARS}, 0) END AS w1 FROM sig{n}),
+wt{n} AS (SELECT *, CASE WHEN sum(abs(w1)) OVER (PARTITION BY spec_id, date) > 1 THEN w1 / sum(abs(w1)) OVER (PARTITION BY spec_id, date) ELSE w1 END AS weight FROM lag{n}),
+old{n} AS (SELECT *, coalesce(lag(weight) {_BARS}, 0) AS old, lag(close) {_BARS} AS before FROM wt{n})"""
+
+
+add("c_apply_spec", lambda s, d: compiled.apply_specs(base(s, d), _spec_nodes(s, d)).select("spec_id", "instrument", "bar_ix", "signal"), f"{WITH}, {_SP}, {_applied('p')} SELECT spec_id, instrument, bar_ix, signal FROM sig")
+_FUNNEL = funnel.Settings(periods=r.PERIODS, most_nodes=5, bps=1.0)
+add(
+    "k18_funnel_of_specs",
+    lambda s, d: funnel.evaluate(base(s, d), _spec_nodes(s, d), _FUNNEL, until="p2").evaluations.select("spec_id", "phase", "outcome", "failed_on", "reason"),
+    f"""{WITH}, {_SP}, {_applied('p')}, cut AS (SELECT CAST(floor((max(bar_ix) + 1) * 0.75) AS BIGINT) AS first FROM p),
+lp AS (SELECT instrument, date, bar_ix - first AS bar_ix, open, high, low, close, volume FROM p, cut WHERE bar_ix >= first),
+lq AS (SELECT *, close / lag(close) OVER (PARTITION BY instrument ORDER BY bar_ix) - 1 AS ret FROM lp), {_applied('lq', '1')},
+few AS (SELECT spec_id, count(*) FILTER (sign(weight) <> 0 AND sign(weight) <> was_in) AS n FROM (SELECT *, coalesce(lag(sign(weight)) {_BARS}, 0) AS was_in FROM old1 WHERE bar_ix > 0) GROUP BY spec_id),
+hd AS (SELECT *, CASE WHEN weight * old > 0 THEN sign(weight) * least(abs(weight), abs(old)) ELSE 0 END AS held FROM old),
+gn AS (SELECT spec_id, bar_ix, (CASE WHEN held = 0 THEN 0.0 ELSE coalesce(held * (close / before - 1), 0) END) + (CASE WHEN weight - held = 0 THEN 0.0 ELSE coalesce((weight - held) * (close / before - 1), 0) END) AS gross, (abs(weight - held) + abs(old - held)) / 10000 AS cost FROM hd),
+su AS (SELECT spec_id, sum(gross) AS g, sum(gross - cost) AS n FROM gn WHERE bar_ix > 0 GROUP BY spec_id),
+ph AS (SELECT su.spec_id, CASE WHEN su.spec_id % 5 = 1 THEN 'bar' WHEN coalesce(few.n, 0) < 5 THEN 'p1' WHEN g <= 0 OR su.n <= 0 THEN 'p2' ELSE 'p3' END AS phase, g FROM su LEFT JOIN few ON few.spec_id = su.spec_id)
+SELECT spec_id, phase, CASE WHEN phase = 'p3' THEN 'open' ELSE 'failed' END AS outcome,
+CASE phase WHEN 'bar' THEN 'complexity' WHEN 'p1' THEN 'p1_any_signal' WHEN 'p2' THEN CASE WHEN g <= 0 THEN 'p2_gross_expectancy' ELSE 'p2_cost_survival' END END AS failed_on,
+CASE phase WHEN 'bar' THEN 'plateaued_below_bar' WHEN 'p1' THEN 'no_signal' WHEN 'p2' THEN CASE WHEN g <= 0 THEN 'negative_expectancy' ELSE 'costs_exceed_edge' END END AS reason FROM ph""",
+)
 add("c13_operator_usage", lambda s, d: specs.usage(specs.edges(_spec_nodes(s, d))), """SELECT c_custkey AS spec_id, u.role, u.operator FROM customer JOIN (VALUES (0, 'entry', 'rolling_mean'), (0, 'entry', 'crossover'), (1, 'entry', 'rolling_mean'), (1, 'entry', 'crossover'), (1, 'entry', 'momentum'), (1, 'entry', 'and'), (1, 'filter', 'volume_confirmation'),
 (2, 'entry', 'momentum'), (2, 'entry', 'mean_reversion'), (2, 'exit', 'zscore'), (2, 'exit', 'threshold'), (3, 'entry', 'breakout'), (3, 'risk', 'time_stop'), (3, 'risk', 'vol_target'), (4, 'entry', 'momentum'), (4, 'filter', 'rolling_mean'), (4, 'filter', 'threshold')) u(k, role, operator) ON u.k = c_custkey % 5""")
 add("k3_absolute_levels", lambda s, d: specs.absolute_levels(specs.edges(_spec_nodes(s, d))), "SELECT c_custkey AS spec_id, CASE WHEN c_custkey % 2 = 1 THEN 'q_dear' ELSE 'dear' END AS node FROM customer WHERE c_custkey % 5 = 4")
@@ -228,3 +252,23 @@ def stats_rebuilt(s: SparkSession, d: str) -> DataFrame:
 def regimes_parts(s: SparkSession, d: str) -> DataFrame:
     return regimes.trailing(regimes.market_returns(base(s, d)), 26)
 
+# Runs as keys: every instrument's own curve beside the others in one frame
+_own = lambda s, d: _inst(s, d)
+add(
+    "g5_by_regime_of_runs",
+    lambda s, d: regimes.by_regime(_own(s, d), regimes.label(_own(s, d).select("run", "bar_ix", "date", c("net").alias("market")), 8, keys=("run",)), r.PERIODS, ("run",), ("run",)).select("run", "regime", "total", "n_bars"),
+    f"""{INST}, t0 AS (SELECT run, bar_ix, date, net, product(1 + net) OVER (PARTITION BY run ORDER BY bar_ix) AS equity, count(*) OVER (PARTITION BY run) AS n, row_number() OVER (PARTITION BY run ORDER BY bar_ix) AS k,
+  stddev_pop(net) OVER (PARTITION BY run ORDER BY bar_ix ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS v, avg(net) OVER (PARTITION BY run ORDER BY bar_ix ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS mu FROM i),
+t1 AS (SELECT *, CASE WHEN k > 8 THEN v END AS vol, 1 - equity / max(equity) OVER (PARTITION BY run ORDER BY bar_ix) AS down FROM t0),
+t2 AS (SELECT *, median(vol) OVER (PARTITION BY run ORDER BY bar_ix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ref FROM t1),
+t3 AS (SELECT run, bar_ix, net, CASE WHEN n < 10 THEN 'sideways' WHEN down >= 0.2 THEN 'crisis' WHEN vol IS NULL OR coalesce(ref, 0) <= 0 THEN 'sideways' WHEN vol >= 1.5 * ref THEN 'high_vol' WHEN vol <= 0.6 * ref THEN 'low_vol' WHEN vol > 0 AND abs(mu) / vol >= 0.1 THEN 'trending' ELSE 'sideways' END AS regime FROM t2)
+SELECT run, regime, product(1 + net) - 1 AS total, count(*) AS n_bars FROM t3 GROUP BY run, regime""",
+)
+add(
+    "h2_breaches_of_runs",
+    lambda s, d: monitor.first_breach(monitor.eras(_own(s, d), F.date_add(F.lit("1995-01-01").cast("date"), 100 * F.length("run")), ("run",)), keys=("run",)),
+    f"""{INST}, e0 AS (SELECT *, CASE WHEN date <= CAST('1995-01-01' AS DATE) + CAST(100 * length(run) AS INTEGER) THEN 'baseline' ELSE 'paper' END AS era FROM i),
+e1 AS (SELECT *, product(1 + net) OVER (PARTITION BY run, era ORDER BY bar_ix) AS equity FROM e0),
+e2 AS (SELECT *, 1 - equity / max(equity) OVER (PARTITION BY run, era ORDER BY bar_ix) AS down FROM e1)
+SELECT run, era, min(CASE WHEN 1 - equity > 0.25 OR down > 0.3 THEN date END) AS breached FROM e2 GROUP BY run, era""",
+)
