@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .plans import barquality as q
 from .registry import WITH, add, c
 from .shared import new_path
-from .sources import archive
+from .sources import archive, snapshots
 from .sources import bars as source
 
 D = dt.date
@@ -107,6 +107,31 @@ add("d20_research_range", lambda s, d: q.research_range(_bars(s, d)).select("ins
 add("d21_vault_budget", lambda s, d: source.table(s, d, "customer").groupBy("c_nationkey").agg((F.lit(100) - F.count("*")).alias("opens_left")), "SELECT c_nationkey, 100 - count(*) AS opens_left FROM customer GROUP BY 1")
 add("io4_ingest_summary", lambda s, d: _bars(s, d).agg(F.countDistinct("instrument").alias("n_instruments"), F.min("date").alias("period_start"), F.max("date").alias("period_end"), F.count("*").alias("n_bars")), f"{BASE} SELECT count(DISTINCT instrument) AS n_instruments, min(date) AS period_start, max(date) AS period_end, count(*) AS n_bars FROM bars")
 add("io5_load_adjusted", lambda s, d: q.point_in_time(q.adjust(_bars(s, d), _actions(s)), _members(s)).select("instrument", "date", "close", "factor"), f"{BASE}, f AS (SELECT b.*, coalesce((SELECT product(ratio) FROM acts a WHERE a.instrument = b.instrument AND a.ex_date > b.date), 1.0) AS factor FROM bars b) SELECT instrument, date, close * factor AS close, factor FROM f WHERE EXISTS (SELECT 1 FROM mem m WHERE m.instrument = f.instrument AND f.date >= effective_from AND (effective_to IS NULL OR f.date < effective_to))")
+
+
+def _ingested(s: SparkSession, d: str) -> DataFrame:
+    """The bars twice, the second time in another order and after a decision: one row."""
+    folder = new_path(s)
+    bars = _bars(s, d).select(*snapshots.FIELDS)
+    first = snapshots.ingest(bars, folder, "orders", "week", "equity")
+    snapshots.decide(s, folder, first, "a reviewer", status="valid")
+    snapshots.ingest(bars.orderBy("close"), folder, "orders", "week", "equity")
+    return snapshots.manifest(s, folder).select("market", "timeframe", "version", "status", "vaulted", "period_start", "period_end", "n_bars", "n_instruments")
+
+
+def _loaded(s: SparkSession, d: str) -> DataFrame:
+    """The newest usable of two snapshots, of which the later one is invalid, from 1996 on."""
+    folder = new_path(s)
+    bars = _bars(s, d).select(*snapshots.FIELDS)
+    good = snapshots.ingest(bars.filter("date < '1998-01-01'"), folder, "orders", "week", "equity")
+    bad = snapshots.ingest(bars, folder, "orders", "week", "equity")
+    snapshots.decide(s, folder, good, "a reviewer", status="valid")
+    snapshots.decide(s, folder, bad, "a reviewer", status="invalid")
+    return snapshots.load(s, folder, snapshots.newest_usable(s, folder, "orders", "week", "equity"), start="1996-01-01").select("instrument", "date", "close")
+
+
+add("io4_ingested_twice", _ingested, f"{BASE} SELECT 'orders' AS market, 'week' AS timeframe, 1 AS version, 'valid' AS status, false AS vaulted, min(date) AS period_start, max(date) AS period_end, count(*) AS n_bars, count(DISTINCT instrument) AS n_instruments FROM bars")
+add("io5_load_of_a_snapshot", _loaded, f"{BASE} SELECT instrument, date, close FROM bars WHERE date >= DATE '1996-01-01' AND date < DATE '1998-01-01'")
 add("io10_keyed_scan", lambda s, d: source.table(s, d, "orders").filter(c("o_orderstatus").eqNullSafe("F") & c("o_orderpriority").eqNullSafe("5-LOW")).orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '5-LOW' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
 add("io11_latest_row_wins", lambda s, d: q.latest(source.table(s, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type"), "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 add("io15_json_columns", lambda s, d: source.table(s, d, "customer").select("c_custkey", F.to_json(F.struct(c("c_mktsegment").alias("market"), c("c_nationkey").alias("nation"))).alias("payload")).select("c_custkey", F.from_json("payload", "market string, nation int")["market"].alias("market"), F.from_json("payload", "market string, nation int")["nation"].alias("nation")), "SELECT c_custkey, c_mktsegment AS market, c_nationkey AS nation FROM customer")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import new_path
+from ..sources.snapshots import Files
 
 TRADE = "instrument string, side int, entry_date date, exit_date date, bars_held long, weight double, gross_return double, cost_return double, net_return double, open_at_end boolean"
 
@@ -29,12 +34,35 @@ def tsv_round_trip(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.option("header", True).schema(df.schema).csv(path, sep="\t")
 
 
-def persist(folder: str, scored: DataFrame, checks: DataFrame, regimes: DataFrame, provenance: DataFrame, run_id: str) -> None:
-    """Append one report to four tables: evaluation, check rows, regime rows, provenance.
+TABLES = ("evaluations", "evaluation_tests", "evaluation_regimes", "provenance")
+
+
+def persist(folder: str, scored: DataFrame, checks: DataFrame, regimes: DataFrame, provenance: DataFrame, run_id: str) -> bool:
+    """Store one report in four tables: evaluation, check rows, regime rows,
+    provenance, each row with the run's id. False if that run is there already.
+
+    Each table's part is written aside and moved to its place in one step; a mark
+    at the end says that all four are there, and ``stored`` reads marked runs
+    alone. So a report that is written again doesn't double, and one whose job
+    died is not seen and is made anew."""
+    spark = scored.sparkSession
+    files = Files(spark, folder)
+    batch = f"batch=r{hashlib.sha256(run_id.encode()).hexdigest()[:24]}"
+    mark = f"{folder}/_runs/{batch}.json"
+    if files.exists(mark):
+        return False
+    for name, frame in zip(TABLES, (scored, checks, regimes, provenance), strict=True):
+        staged = f"{folder}/_staged/{uuid.uuid4().hex}"
+        frame.withColumn("run_id", F.lit(run_id)).write.parquet(staged)
+        files.remove(f"{folder}/{name}/{batch}")
+        files.move(staged, f"{folder}/{name}/{batch}")
+    return files.create(mark, json.dumps({"batch": batch.removeprefix("batch="), "run_id": run_id}) + "\n")
+
 
-    Each row carries the run's id, so that a report written twice is told apart by readers."""
-    for name, frame in (("evaluations", scored), ("evaluation_tests", checks), ("evaluation_regimes", regimes), ("provenance", provenance)):
-        frame.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(f"{folder}/{name}")
+def stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table's rows of the runs that are there whole."""
+    marks = spark.read.schema("batch string, run_id string").json(f"{folder}/_runs").select("batch")
+    return spark.read.parquet(f"{folder}/{name}").join(F.broadcast(marks), "batch", "left_semi").drop("batch")  # one mark a run
 
 
 def as_fields(report: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
