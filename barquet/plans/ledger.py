@@ -112,14 +112,20 @@ def registry_sync(have: DataFrame, want: DataFrame) -> DataFrame:
 
 def edge_observations(observed: DataFrame) -> DataFrame:
     """One row a (subject, predicate, object): evidence for and against, backing ids, first and last time, last confidence."""
-    return observed.filter(F.size("backing") > 0).groupBy("subject", "predicate", "object").agg(
+    triple = ["subject", "predicate", "object"]
+    backed = observed.filter(F.size("backing") > 0)
+    # Ids become distinct before they meet in a list.
+    ids = backed.select(*triple, F.explode("backing").alias("id")).distinct().groupBy(*triple).agg(F.array_sort(F.collect_list("id")).alias("backing"))
+    counts = backed.groupBy(*triple).agg(
         F.count_if("supports").alias("n_for"),
         F.count_if(~F.col("supports")).alias("n_against"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("backing")))).alias("backing"),
         F.min("at").alias("first_at"),
         F.max("at").alias("last_at"),
         F.max_by("confidence", F.struct("at", "confidence")).alias("confidence"),
     )
+    renamed = ids.select(*[F.col(k).alias(f"__{k}") for k in triple], "backing")
+    met = counts.join(renamed, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in triple], "left")
+    return met.select(*triple, "n_for", "n_against", F.coalesce("backing", F.array().cast(ids.schema["backing"].dataType)).alias("backing"), "first_at", "last_at", "confidence")
 
 
 def repeat_failures(failures: DataFrame, entries: DataFrame) -> DataFrame:

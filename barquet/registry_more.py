@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import registry as r
+from .functions import reducers
 from .functions import windows as w
 from .operators import clusters, pca, specs
 from .plans import backtest, checks, compiled, documents, funnel, ledger, metrics, monitor, regimes, stats, walkforward
@@ -273,3 +275,28 @@ e1 AS (SELECT *, product(1 + net) OVER (PARTITION BY run, era ORDER BY bar_ix) A
 e2 AS (SELECT *, 1 - equity / max(equity) OVER (PARTITION BY run, era ORDER BY bar_ix) AS down FROM e1)
 SELECT run, era, min(CASE WHEN 1 - equity > 0.25 OR down > 0.3 THEN date END) AS breached FROM e2 GROUP BY run, era""",
 )
+
+
+def _medians(windows):
+    return np.median(windows, axis=1)
+
+
+add("w4_user_reducer", lambda s, d: reducers.rolling_apply(base(s, d).select("instrument", "bar_ix", "close"), "close", 8, _medians, block=64).select("instrument", "bar_ix", "value"), f"{WITH} SELECT instrument, bar_ix, CASE WHEN count(close) {r.W(8)} = 8 THEN median(close) {r.W(8)} END AS value FROM p")
+
+
+def _letters():
+    """A model that counts a text's signs and some letters."""
+    return lambda texts: [[float(len(t)), *(float(t.count(x)) for x in "ae ")] for t in texts]
+
+
+def _embedded(s: SparkSession, d: str) -> DataFrame:
+    """Labelled documents first, then all: the second run embeds what the first left, a third one nothing."""
+    folder, docs = new_path(s), T(s, d, "documents").select("doc_id", "text")
+    documents.embed_missing(docs.join(T(s, d, "labels").select("doc_id"), "doc_id", "left_semi"), folder, _letters)
+    for _ in range(2):
+        documents.embed_missing(docs, folder, _letters)
+    return documents.embedded(s, folder).select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+_count = lambda x: f"CAST(length(text) - length(replace(text, '{x}', '')) AS DOUBLE)"
+add("n15_embedded", _embedded, f"SELECT doc_id, [CAST(length(text) AS DOUBLE), {_count('a')}, {_count('e')}, {_count(' ')}] AS embedding FROM documents")
