@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import hmac
+import math
 import re
 from collections.abc import Iterator
 
@@ -44,8 +45,13 @@ NAMES = {
     "cyrillic": {"m": "Андрей Борис Виктор Глеб Денис Егор Иван Кирилл", "f": "Алла Белла Вера Галина Дарья Елена Ирина Ксения", "s": "Азаренко Беленко Власенко Гриценко Демченко Ермак Иваненко Коваль"},
     "greek": {"m": "Αλέξης Γιώργος Δήμος Ηλίας Κώστας Λάμπρος Μάνος Νίκος", "f": "Άννα Βάσω Γεωργία Δάφνη Ελένη Ζωή Ιωάννα Κατερίνα", "s": "Αλεξίου Βλάχου Γεωργίου Δήμου Ευαγγέλου Ζήση Ηλία Θεοδώρου"},
 }
-#: Syllables for names when the lists are used up.
-SYLLABLES = {"latin": "ba co di fe gu ha jo ke li mo na pe ri so tu va", "cyrillic": "ба ко ди фе гу ха жо ке ли мо на пе ри со ту ва", "greek": "βα κο δι φε γου χα ζο κε λι μο να πε ρι σο του βα"}
+#: What names are built of beyond the lists, by script: consonants and vowels of syllables, and the endings
+#: that tell a man's name, a woman's and a surname. No ending is the end of another part's.
+BUILT = {
+    "latin": {"on": "b c d f g h j k l m n p r s t v", "vowel": "a e i o u", "m": "us or ek im ulf", "f": "ia ena ette isa yne", "s": "berg wick lund ford haven"},
+    "cyrillic": {"on": "б в г д ж з к л м н п р с т ф х", "vowel": "а е и о у", "m": "ан ор им ей ад", "f": "ина ея ия уша ета", "s": "енко чук ский швили цев"},
+    "greek": {"on": "β γ δ ζ θ κ λ μ ν π ρ σ τ φ χ ψ", "vowel": "α ε ι ο υ", "m": "ος ης ων ευς ιλ", "f": "ια ινη ουλα ανθη ω", "s": "ιδου ακου ογλου ελλη αιου"},
+}
 _UPPER = r"[^\W\d_a-zà-öø-ÿа-яёα-ωάέήίόύώ]\w+"
 NAME = re.compile(r"(?<!\w)(" + "|".join(re.escape(a) for a in sorted(ADDRESSES, key=len, reverse=True)) + rf")(?<=[\w.]) ({_UPPER}(?:-{_UPPER})?)(?: ({_UPPER}(?:-{_UPPER})?))?")
 
@@ -75,6 +81,35 @@ class Stream:
         return "".join(s[self.below(len(s))] if (s := _CLASS_OF.get(c)) else c for c in text)
 
 
+def permuted(key: bytes, label: str) -> str:
+    """Another label of the same classes of signs. Labels of one format are
+    permuted among themselves (a keyed Feistel network, walked until it stays
+    in the format), so different hosts have different surrogates, without a table."""
+    sets = [s for c in label if (s := _CLASS_OF.get(c))]
+    size = math.prod(map(len, sets))
+    if size < 2:
+        return label
+    x = 0
+    for c, s in zip((c for c in label if c in _CLASS_OF), sets, strict=True):
+        x = x * len(s) + s.index(c)
+    half = ((size - 1).bit_length() + 1) // 2
+    mask, shape = (1 << half) - 1, "".join(s[0] if (s := _CLASS_OF.get(c)) else c for c in label).encode()
+    while True:
+        left, right = x >> half, x & mask
+        for k in range(8):
+            drawn = hashlib.shake_256(b"\x1f".join((key, b"host", shape, bytes([k]), right.to_bytes(half // 8 + 1, "big")))).digest(half // 8 + 1)
+            left, right = right, left ^ int.from_bytes(drawn, "big") & mask
+        x = left << half | right
+        if x < size:
+            break
+    out = []
+    for s in reversed(sets):
+        x, at = divmod(x, len(s))
+        out.append(s[at])
+    signs = iter(reversed(out))
+    return "".join(next(signs) if c in _CLASS_OF else c for c in label)
+
+
 def _luhn(digits: str) -> int:
     return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10
 
@@ -107,8 +142,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "email":
         local, _, domain = value.partition("@")
         labels = domain.split(".")
-        of_domain = Stream(key, "domain", domain, 0)
-        return f"{s.like(local + 'x' * more)}@{'.'.join([*map(of_domain.like, labels[:-1]), labels[-1]])}"
+        return f"{s.like(local + 'x' * more)}@{'.'.join([*(permuted(key, x) for x in labels[:-1]), labels[-1]])}"
     if kind == "ip" and more:
         return ".".join(str(1 + s.below(254)) for _ in range(4))
     if kind == "ip":
@@ -133,8 +167,9 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         if attempt == 0:
             names = NAMES[which][part].split()
             return names[s.below(len(names))].casefold()
-        syllables = SYLLABLES[which].split()
-        return "".join(syllables[s.below(len(syllables))] for _ in range(2 + attempt // 3))
+        parts = {k: v.split() for k, v in BUILT[which].items()}
+        pick = lambda k: parts[k][s.below(len(parts[k]))]
+        return "".join(pick("on") + pick("vowel") for _ in range(1 + (attempt + 1) // 2)) + pick("on") + pick(part)
     return s.like(value + "x" * more) if kind == "password" else s.like(value)
 
 

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barquet.llm import fingerprints, packing, prefix_trie, queries, whitening
+from barquet.llm import fingerprints, packing, pii, prefix_trie, queries, whitening
 
 DATA = "/root/testdata/sf0.001"
 
@@ -320,3 +320,36 @@ def test_packing_deals_equal_rows_over_groups(spark):
     for _, own in out.groupby("sequence_id"):
         own = own.sort_values("offset")
         assert own["offset"].tolist() == [0, *own["length"].cumsum().tolist()[:-1]] and own["length"].sum() <= 64
+
+
+# -- 7: names by gender, hosts one to one ---------------------------------------
+
+
+@pytest.mark.parametrize("which", ["latin", "cyrillic", "greek"])
+def test_ten_thousand_names_keep_their_gender_and_part(which):
+    """Beyond the lists every attempt gives a name whose ending tells its part, and enough different ones."""
+    ends = {part: tuple(pii.BUILT[which][part].split()) for part in "mfs"}
+    key = pii.key_from("names")
+    for part in "mfs":
+        taken, longest = {}, 0
+        for k in range(10_000):
+            for attempt in range(1, pii.LAST):
+                name = pii.surrogate(key, f"name:{part}:{which}", f"person {k}", attempt)
+                assert name.endswith(ends[part]) and not any(name.endswith(ends[other]) for other in "mfs" if other != part)
+                assert pii.script(name) == which
+                if name not in taken:
+                    break
+            taken[name], longest = k, max(longest, attempt)
+        assert len(taken) == 10_000 and longest < 12
+
+
+def test_different_hosts_have_different_surrogates():
+    key = pii.key_from("hosts")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    two = [a + b for a in letters for b in letters]
+    assert sorted(pii.permuted(key, x) for x in two) == two
+    assert len({pii.permuted(key, f"{a}-{k}") for a in letters for k in range(10)}) == 260
+    mails = {pii.surrogate(key, "email", f"info@{x}.example.com", attempt).partition("@")[2] for x in two for attempt in (0, 1, 13)}
+    assert len(mails) == len(two)
+    assert pii.permuted(key, "-") == "-" and pii.permuted(pii.key_from("other"), "some-long-host-name" * 20) != pii.permuted(key, "some-long-host-name" * 20)
+
