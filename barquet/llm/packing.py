@@ -18,7 +18,7 @@ GROUP_PIECES = 4096
 #: Keys of pieces that fill a quarter of a group are broadcast up to so many, else joined by a shuffle.
 HOT_ROWS = 100_000
 #: Text that is encoded at once: its ids take some ten times as much.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def first_fit_decreasing(lengths: list[int], capacity: int) -> list[int]:

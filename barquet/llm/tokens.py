@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 16 << 20
-MEMO_PARTS = 300_000
+MEMO_PARTS = 100_000
 MEMO_LONGEST = 48
 
 
