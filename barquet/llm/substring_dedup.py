@@ -398,9 +398,11 @@ def repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
 
     A word goes if a window of ``window`` words covers it that also starts in a
     document with a smaller id; windows are judged on the input. Null and empty
-    texts have no words. A null id counts as larger than all others. Rows that
-    repeat an id are not earlier than each other. An empty table gives an empty
-    result; other columns are ignored.
+    texts have no words. Ids are whole numbers (another type is an error of the
+    cast); a null id counts as 2**63 - 1, the largest there is, and so as no
+    earlier than a row that has that id. Rows that repeat an id are not earlier
+    than each other. An empty table gives an empty result; other columns are
+    ignored.
     """
     changed = remove_repeats(docs, window, id_col, text_col).select("doc_id", "th", "n_removed", F.sha2("kept", 256).alias("sha")).distinct()
     changed = changed.withColumnsRenamed({"doc_id": "c_id", "th": "c_th"})
