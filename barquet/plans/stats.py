@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 EULER = 0.5772156649015329
 #: Fixed value: standard errors that the honest score takes off.
 Z = 1.65
@@ -105,15 +110,24 @@ def uniform(*what: Column | str, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *what)), 1, 13), 16, 10).cast("long") * F.lit(2.0**-52)
 
 
+def _fresh(labels: list[str], block: float, seed: int) -> Column:
+    """Whether a block starts at this place of a path."""
+    return (F.col("pos") == 0) | (uniform(F.lit("restart"), *labels, seed=seed) < 1 / block)
+
+
+def _begin(labels: list[str], seed: int) -> Column:
+    """The bar that a block starts from, of ``n``."""
+    return F.floor(uniform(F.lit("start"), *labels, seed=seed) * F.col("n"))
+
+
 def bootstrap(returns: DataFrame, replications: int, block: float, seed: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
     """``replication, pos, source``: a stationary bootstrap of the bars 0..n-1 of
     each run: blocks of geometric length that start anywhere and wrap around."""
     n = returns.groupBy(*keys).agg((F.max("bar_ix") + 1).alias("n"))
     pos = n.withColumn("replication", F.explode(F.sequence(F.lit(0), F.lit(replications - 1)))).withColumn("pos", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
     labels = [*keys, "replication", "pos"]
-    fresh = (F.col("pos") == 0) | (uniform(F.lit("restart"), *labels, seed=seed) < 1 / block)
     order = Window.partitionBy(*keys, "replication").orderBy("pos")
-    start = F.when(fresh, F.struct(F.floor(uniform(F.lit("start"), *labels, seed=seed) * F.col("n")).alias("at"), F.col("pos").alias("since")))
+    start = F.when(_fresh(labels, block, seed), F.struct(_begin(labels, seed).alias("at"), F.col("pos").alias("since")))
     marked = pos.withColumn("block", F.last(start, ignorenulls=True).over(order))
     return marked.select(*keys, "replication", "pos", ((F.col("block.at") + F.col("pos") - F.col("block.since")) % F.col("n")).alias("source"))
 
@@ -122,36 +136,120 @@ def resampled(returns: DataFrame, draws: DataFrame, keys: tuple[str, ...] = ())
     return draws.join(returns.withColumnRenamed("bar_ix", "source"), [*keys, "source"])
 
 
-def monte_carlo(returns: DataFrame, replications: int = 500, block: float = 10, seed: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Percentiles of the total return over bootstrap paths, and the share of paths that halve."""
-    paths = resampled(returns, bootstrap(returns, replications, block, seed, keys), keys)
-    upto = Window.partitionBy(*keys, "replication").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    paths = paths.withColumn("equity", F.product(1 + F.col("net")).over(upto))
-    paths = paths.withColumn("drawdown", F.col("equity") / F.max("equity").over(upto) - 1)
-    by_path = paths.groupBy(*keys, "replication").agg((F.max_by("equity", "pos") - 1).alias("total"), F.min("drawdown").alias("worst"))
+#: Paths that travel in one row.
+PATHS = 32
+#: Parts that runs which share their draws are dealt over.
+SALTS = 64
+
+
+def blocks(lengths: DataFrame, replications: int, block: float, seed: int, on: tuple[str, ...], labels: tuple[str, ...]) -> DataFrame:
+    """The draws of ``bootstrap`` as runs of consecutive bars: of each row of
+    ``on`` and ``n``, rows of ``PATHS`` paths with ``replication, pos, at`` of
+    every block, in order. Places where no block starts never leave their task."""
+    many = lengths.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    drawn = lengths.withColumn("replication", F.explode(F.sequence(F.lit(0), F.lit(replications - 1)))).withColumn("__part", F.floor(F.col("replication") / PATHS))
+    placed = drawn.repartition(int(many), *on, "__part").withColumn("pos", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    names = [*labels, "replication", "pos"]
+    begun = placed.filter(_fresh(names, block, seed)).withColumn("at", _begin(names, seed).cast("int"))
+    made = begun.groupBy(*on, "__part").agg(F.sort_array(F.collect_list(F.struct("replication", "pos", "at"))).alias("d"))
+    return made.select(*on, F.col("d.replication").alias("replication"), F.col("d.pos").alias("pos"), F.col("d.at").alias("at"))
+
+
+def _series(returns: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One row a run, as long as its calendar: ``bars`` of number and return in order."""
+    return returns.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bar_ix", F.col("net").cast("double").alias("net")))).alias("bars")).filter(F.size("bars") > 0)
+
+
+def _shared(runs: DataFrame, draws: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Runs with the draws of their length ``n``; all runs may have one length, so they are dealt over parts that each hold the draws."""
+    salted = runs.withColumn("__salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)))
+    return salted.join(draws.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["n", "__salt"])
+
+
+def _each_path(met: DataFrame, keys: tuple[str, ...], names: tuple[str, ...], walk: Callable) -> DataFrame:
+    """``keys, replication`` and the named numbers that ``walk(bars, nets, n, path
+    ends, pos, at)`` gives for each path of a row: arrays, a number a path."""
+
+    def run(batches):
+        for pdf in batches:
+            for i in range(len(pdf)):
+                row = pdf.iloc[i]
+                replication = np.asarray(row["replication"])
+                first = np.flatnonzero(np.r_[True, replication[1:] != replication[:-1]])
+                numbers = walk(np.asarray(row["bar_ix"]), np.asarray(row["net"], dtype=float), int(row["n"]), first, np.asarray(row["pos"]), np.asarray(row["at"]))
+                yield pd.DataFrame({**{k: pd.Series([row[k]] * len(first), dtype=pdf[k].dtype) for k in keys}, "replication": replication[first], **dict(zip(names, numbers))})
+
+    flat = met.select(*keys, "n", F.col("bars.bar_ix").alias("bar_ix"), F.col("bars.net").alias("net"), "replication", "pos", "at")
+    types = [f"`{k}` {met.schema[k].dataType.simpleString()}" for k in keys] + ["replication int"] + [f"`{name}` double" for name in names]
+    return flat.mapInPandas(run, ", ".join(types))
+
+
+def _compound(bars: np.ndarray, nets: np.ndarray, n: int, first: np.ndarray, pos: np.ndarray, at: np.ndarray) -> tuple:
+    """Total return and deepest drawdown of each path; a bar without a return leaves equity as it is."""
+    grown = np.ones(n)
+    grown[bars] = np.where(np.isnan(nets), 1.0, 1.0 + nets)
+    total, worst = np.empty(len(first)), np.empty(len(first))
+    place = np.arange(n)
+    for k, (a, b) in enumerate(zip(first, np.r_[first[1:], len(pos)])):
+        ahead = np.repeat(at[a:b] - pos[a:b], np.diff(np.r_[pos[a:b], n]))
+        equity = np.cumprod(grown[(place + ahead) % n])
+        total[k] = equity[-1] - 1
+        with np.errstate(invalid="ignore"):  # a path that has lost all from its first bar on has no peak to fall from
+            worst[k] = np.fmin.reduce(equity / np.maximum.accumulate(equity) - 1)
+    return total, worst
+
+
+def _excess(bars: np.ndarray, nets: np.ndarray, n: int, first: np.ndarray, pos: np.ndarray, at: np.ndarray) -> tuple:
+    """By how much the root of the length times each path's mean exceeds that of
+    the run, and the run's: a block's sum is a difference of prefix sums over the bars, twice round."""
+    known = ~np.isnan(nets)
+    twice = lambda x: np.r_[0.0, np.cumsum(np.r_[x, x])]
+    sums, counts = twice(np.where(known, nets, 0.0)), twice(known)
+    stop = np.r_[pos[1:], n]
+    stop[first[1:] - 1] = n
+    ends = at + stop - pos
+    own = np.add.reduceat(counts[ends] - counts[at], first)
+    mean = sums[n] / counts[n] if counts[n] else np.nan
+    drawn = np.divide(np.add.reduceat(sums[ends] - sums[at], first), own, out=np.full(len(first), np.nan), where=own > 0)
+    return np.sqrt(n) * (drawn - mean), np.full(len(first), np.sqrt(n) * mean)
+
+
+def monte_carlo(returns: DataFrame, replications: int = 500, block: float = 10, seed: int = 0, keys: tuple[str, ...] = (), shared: bool = False) -> DataFrame:
+    """Percentiles of the total return over bootstrap paths, and the share of paths that halve, of each run.
+
+    No drawn bar is a row: a run travels as one row of its returns, paths as
+    their blocks. With ``shared`` all runs of a length take the same draws,
+    which are then made once; otherwise a run's keys decide its own, as in
+    ``bootstrap``. A bar that is missing or null leaves equity as it is."""
+    runs = _series(returns, keys).withColumn("n", (F.element_at("bars.bar_ix", -1) + 1).cast("long"))
+    if shared or not keys:
+        met = _shared(runs, blocks(runs.select("n").distinct(), replications, block, seed, ("n",), ()), keys or ("n",))
+    else:
+        met = runs.join(blocks(runs.select(*keys, "n"), replications, block, seed, keys, keys), list(keys))
+    by_path = _each_path(met, keys, ("total", "worst"), _compound)
     return by_path.groupBy(*keys).agg(*[F.percentile("total", F.lit(p / 100)).alias(f"p{p}") for p in (5, 50, 95)], F.try_divide(F.count_if(F.col("worst") <= -0.5), F.count("*")).alias("ruin"), F.count("*").alias("n_paths"))
 
 
-def last_common(returns: DataFrame) -> DataFrame:
-    """The runs' last bars, as many as the shortest run of two bars or more has, counted from 0; shorter runs go."""
-    back = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("bar_ix")))
-    marked = returns.withColumns({"__back": back, "__n": F.count("*").over(Window.partitionBy("run"))}).filter("__n > 1")
-    least = marked.agg(F.min("__n").alias("__least"))
-    return marked.crossJoin(F.broadcast(least)).filter("__back <= __least").withColumn("bar_ix", F.col("__least") - F.col("__back")).drop("__back", "__n", "__least")  # one row
-
-
-def reality_check(returns: DataFrame, replications: int = 500, block: float = 20, seed: int = 0) -> DataFrame:
-    """White's p-value over candidates (run, bar_ix, net), cut to their last
-    common bars: how often the best of the centred bootstrap means beats the
-    best observed mean, each times the root of the common length; 1 without a candidate."""
-    common = last_common(returns)
-    means = common.groupBy("run").agg(F.avg("net").alias("mean"), F.count("*").alias("n"))
-    observed = means.agg(F.max(F.sqrt("n") * F.col("mean")).alias("best"))
-    draws = bootstrap(common.select("bar_ix").distinct(), replications, block, seed)  # one draw for all candidates
-    sampled = draws.join(common.withColumnRenamed("bar_ix", "source"), "source").groupBy("replication", "run").agg(F.avg("net").alias("drawn"))
-    best = sampled.join(means, "run").groupBy("replication").agg(F.max(F.sqrt("n") * (F.col("drawn") - F.col("mean"))).alias("best_drawn"))
+def reality_check(returns: DataFrame, replications: int = 500, block: float = 20, seed: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """White's p-value over the candidates (run, bar_ix, net) of each family, cut
+    to the family's last common bars (those of its shortest run of two bars or
+    more; shorter runs go): how often the best of the centred bootstrap means
+    beats the best observed mean, each times the root of the common length; 1
+    without a candidate. Candidates share their family's draws, which the
+    common length and the seed decide, so a family has the same value alone as among others."""
+    runs = _series(returns, (*keys, "run")).withColumn("__long", F.size("bars") > 1)
+    least = runs.groupBy(*keys).agg(F.min(F.when(F.col("__long"), F.size("bars"))).alias("__least"))
+    joined = runs.join(least, list(keys)) if keys else runs.crossJoin(F.broadcast(least))  # one row
+    cut = joined.filter("__long").withColumn("n", F.col("__least").cast("long"))
+    tail = F.slice("bars", -F.col("__least"), F.col("__least"))
+    renumbered = cut.withColumn("bars", F.transform(tail, lambda x, i: F.struct(i.alias("bar_ix"), x["net"].alias("net"))))
+    met = _shared(renumbered, blocks(cut.select("n").distinct(), replications, block, seed, ("n",), ()), (*keys, "run"))
+    paths = _each_path(met, (*keys, "run"), ("excess", "observed"), _excess)
+    number = lambda x: F.nanvl(x, F.lit(None).cast("double"))
+    best = paths.groupBy(*keys, "replication").agg(F.max(number("excess")).alias("best_drawn"), F.max(number("observed")).alias("best"))
     p = (F.count_if(F.col("best_drawn") >= F.col("best")) + 1) / (F.count("best_drawn") + 1)
-    return observed.join(best, F.lit(True), "left").agg(p.alias("p_value"), F.first("best").alias("best"))  # observed: one row
+    made = best.groupBy(*keys).agg(p.alias("p_value"), F.max("best").alias("best"))
+    return least.select(*keys).join(made, list(keys), "left").fillna(1.0, ["p_value"]) if keys else made
 
 
 def splits(chunks: int, most: int = 4096) -> list[tuple[int, list[int]]]:
@@ -161,35 +259,60 @@ def splits(chunks: int, most: int = 4096) -> list[tuple[int, list[int]]]:
     return [(i, list(own)) for i, own in enumerate(own for k, own in enumerate(itertools.combinations(range(chunks), chunks // 2)) if k in wanted)]
 
 
-def overfitting(returns: DataFrame, chunks: int = 16, most: int = 4096) -> DataFrame:
-    """Probability of backtest overfitting over runs (run, bar_ix, net) of equal
-    length: in how many half-and-half splits of contiguous chunks the in-sample
-    winner ranks in the lower half out of sample, where equal results rank
-    high. Only chunk sums leave the returns. No more chunks than bars; 0 for
-    fewer than four chunks or two runs."""
+def overfitting(returns: DataFrame, chunks: int = 16, most: int = 4096, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Probability of backtest overfitting over each family's runs (run, bar_ix,
+    net) of equal length: in how many half-and-half splits of contiguous chunks
+    the in-sample winner ranks in the lower half out of sample, where equal
+    results rank high. No more chunks than the family's longest run has bars; 0
+    for fewer than four chunks or two runs.
+
+    Only chunk sums leave the returns. The sums of every subset of the first and
+    of the second half of the chunks are made once a run, so a split adds two of
+    them. A split's winner is found by a partial aggregate; winners travel to the
+    runs as one array a family, and runs' scores are never shuffled."""
     spark = returns.sparkSession
-    bars = returns.groupBy("run").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
-    chunks = min(chunks - chunks % 2, bars)
-    table = spark.createDataFrame(splits(chunks, most) if chunks >= 4 else [], "split int, inside array<int>")  # at most `most` rows
-    n = F.count("*").over(Window.partitionBy("run"))
-    place = F.row_number().over(Window.partitionBy("run").orderBy("bar_ix")) - 1
-    size, extra = F.floor(F.col("n") / max(chunks, 1)), F.col("n") % max(chunks, 1)
+    chunks -= chunks % 2
+    half = max(chunks // 2, 1)
+    run = Window.partitionBy(*keys, "run")
+    counted = returns.withColumns({"n": F.count("*").over(run), "place": F.row_number().over(run.orderBy("bar_ix")) - 1})
+    longest = returns.groupBy(*keys, "run").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.least(F.max("n"), F.lit(chunks)).cast("int").alias("chunks"))
+    longest = written(longest)
+    counts = [r["chunks"] for r in longest.select("chunks").distinct().collect() if (r["chunks"] or 0) >= 4]  # at most `chunks` numbers
+    table = spark.createDataFrame([(k, i, sum(1 << j for j in own if j < half), sum(1 << (j - half) for j in own if j >= half)) for k in counts for i, own in splits(k, most)], "chunks int, split int, lo int, hi int")  # at most `most` rows a number
+    with_chunks = lambda rows: rows.join(longest, list(keys)) if keys else rows.crossJoin(F.broadcast(longest))  # noqa: E731 # one row
+    parts = F.greatest("chunks", F.lit(1))
+    size, extra = F.floor(F.col("n") / parts), F.col("n") % parts
     chunk = F.when(F.col("place") < extra * (size + 1), F.floor(F.col("place") / (size + 1))).otherwise(extra + F.floor((F.col("place") - extra * (size + 1)) / F.greatest(size, F.lit(1))))
-    sums = returns.withColumns({"n": n, "place": place}).groupBy("run", chunk.cast("int").alias("chunk")).agg(F.count("*").alias("c"), F.sum("net").alias("s"), F.sum(F.col("net") * F.col("net")).alias("q"))
-    by_run = sums.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("chunk", F.struct("c", "s", "q")))).alias("chunks"))
-
-    def score(inside: Column, kept: bool) -> Column:
-        own = F.filter(F.map_entries("chunks"), lambda e: F.array_contains(inside, e["key"]) == F.lit(kept))
-        total = lambda f: F.aggregate(own, F.lit(0.0), lambda acc, e: acc + e["value"][f])
-        c, s, q = total("c"), total("s"), total("q")
+    sums = with_chunks(counted).groupBy(*keys, "run", "chunks", chunk.cast("int").alias("chunk")).agg(F.count("*").cast("double").alias("c"), F.sum("net").alias("s"), F.sum(F.col("net") * F.col("net")).alias("q"))
+    held = F.map_from_entries(F.collect_list(F.struct("chunk", F.struct("c", "s", "q"))))
+    nothing = F.struct(*[F.lit(0.0).alias(f) for f in "csq"])
+
+    def subsets(first: int) -> Column:
+        """Sums of every subset of ``half`` chunks from ``first`` on, at the place that its bits name."""
+        own = F.transform(F.sequence(F.lit(first), F.lit(first + half - 1)), lambda i: F.coalesce(F.col("held")[i], nothing))
+        plus = lambda x, y: F.struct(*[(F.coalesce(x[f], F.lit(0.0)) + F.coalesce(y[f], F.lit(0.0))).alias(f) for f in "csq"])
+        return F.aggregate(own, F.array(nothing), lambda made, x: F.concat(made, F.transform(made, lambda y: plus(y, x))))
+
+    by_run = sums.groupBy(*keys, "run", "chunks").agg(held.alias("held")).select(*keys, "run", "chunks", subsets(0).alias("low"), subsets(half).alias("high"))
+    by_run = written(by_run)  # read once for winners and once for ranks
+    whole = (1 << half) - 1
+
+    def score(lo: Column, hi: Column) -> Column:
+        a, b = F.get("low", lo), F.get("high", hi)
+        c, s, q = (a[f] + b[f] for f in "csq")
         var = F.when(c > 1, (q - s * s / c) / (c - 1))
         return F.coalesce(F.when(var > 1e-18 * F.greatest(q, F.lit(1e-300)), s / c / F.sqrt(var)), F.lit(0.0))
 
-    both = by_run.crossJoin(F.broadcast(table)).select("split", "run", score(F.col("inside"), True).alias("seen"), score(F.col("inside"), False).alias("unseen"))
-    first = F.row_number().over(Window.partitionBy("split").orderBy(F.desc("seen"), "run")) == 1
-    winner = both.withColumn("first", first).filter("first").select("split", F.col("unseen").alias("won"))
-    ranked = both.join(winner, "split").groupBy("split").agg(F.count_if(F.col("unseen") <= F.col("won")).alias("below"), F.count("*").alias("runs")).filter("runs > 1")
-    return ranked.agg(F.coalesce(F.try_divide(F.count_if(F.col("below") / (F.col("runs") + 1) <= 0.5), F.count("*")), F.lit(0.0)).alias("pbo"), F.count("*").alias("n_splits"))
+    lo, hi = F.col("lo"), F.col("hi")
+    seen, unseen = score(lo, hi), score(whole - lo, whole - hi)
+    splitted = lambda rows: rows.join(F.broadcast(table), "chunks")  # noqa: E731 # the bounded table of splits
+    winner = splitted(by_run).select(*keys, "split", "run", seen.alias("seen"), unseen.alias("unseen")).groupBy(*keys, "split").agg(F.min_by("unseen", F.struct(-F.col("seen"), F.col("run"))).alias("won"))
+    winners = winner.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("split", "won"))).alias("__m"), F.max("split").alias("__last")).select(*keys, F.transform(F.sequence(F.lit(0), F.col("__last")), lambda i: F.col("__m")[i]).alias("won"))
+    salted = winners.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    dealt = by_run.withColumn("__salt", F.pmod(F.xxhash64("run"), F.lit(SALTS))).join(salted, [*keys, "__salt"])
+    ranked = splitted(dealt).groupBy(*keys, "split").agg(F.count_if(unseen <= F.get("won", F.col("split"))).alias("below"), F.count("*").alias("runs")).filter("runs > 1")
+    made = ranked.groupBy(*keys).agg(F.coalesce(F.try_divide(F.count_if(F.col("below") / (F.col("runs") + 1) <= 0.5), F.count("*")), F.lit(0.0)).alias("pbo"), F.count("*").alias("n_splits"))
+    return longest.select(*keys).join(made, list(keys), "left").fillna(0.0, ["pbo"]).fillna(0, ["n_splits"]) if keys else made
 
 
 def param_sensitivity(scores: DataFrame) -> DataFrame:
