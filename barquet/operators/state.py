@@ -12,7 +12,7 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Step = Callable[[tuple, tuple], tuple[tuple, float | None]]
@@ -175,13 +175,16 @@ def run_many(frame: DataFrame, jobs: list[tuple[list[str], Step, str]], keys: tu
 class Linear:
     """A step that is affine in a few numbers of its state once it is seeded:
     ``vector`` takes them out of a state, ``build`` makes a state of them and of
-    how many rows came before, and ``seed`` rows come before it is so."""
+    how many rows came before, and ``seed`` rows come before it is so. With
+    ``skips_nulls`` a row whose first input is null leaves the state as it is and
+    isn't counted."""
 
     step: Step
     size: int
     seed: int
     vector: Callable[[tuple], tuple]
     build: Callable[[tuple, int], tuple]
+    skips_nulls: bool = False
 
 
 def linear_ema(span: int = 20) -> Linear:
@@ -206,6 +209,11 @@ def linear_kalman(process_var: float = 1e-4, observation_var: float = 1e-2) -> L
     return Linear(kalman(process_var, observation_var), 1, 1, lambda s: (s[0],), build)
 
 
+def linear_wilder(period: int = 14) -> Linear:
+    """Affine from the first value on, in the sum of the seed and the mean: how many values came before says which of them moves."""
+    return Linear(wilder(period), 2, 0, lambda s: (s[1] if s[0] < period else 0.0, s[2] or 0.0), lambda v, n: (n, v[0], None) if n < period else (n, 0.0, v[1]), skips_nulls=True)
+
+
 def run_linear(frame: DataFrame, inputs: list[str], linear: Linear, out: str, keys: tuple[str, ...] = ("instrument",), block: int = 50_000) -> DataFrame:
     """What ``run_steps`` gives, for series too long for one task: blocks of bars
     each say how they move the state, these compose along the blocks of a series,
@@ -214,6 +222,12 @@ def run_linear(frame: DataFrame, inputs: list[str], linear: Linear, out: str, ke
     if block < linear.seed:
         raise ValueError("a block must hold the seed")
     dealt = frame.withColumn("__block", F.floor(F.col("bar_ix") / block))
+    if linear.skips_nulls:
+        counts = dealt.groupBy(*keys, "__block").agg(F.count(F.nanvl(F.col(inputs[0]).cast("double"), F.lit(None).cast("double"))).alias("__here"))
+        upto = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+        dealt = dealt.join(counts.select(*keys, "__block", F.coalesce(F.sum("__here").over(upto), F.lit(0)).alias("__before")), [*keys, "__block"])
+    else:
+        dealt = dealt.withColumn("__before", (F.col("__block") * block).cast("long"))
     names = {f.name: f.dataType.simpleString() for f in frame.schema}
     key_fields = ", ".join(f"`{k}` {names[k]}" for k in keys)
 
@@ -229,7 +243,7 @@ def run_linear(frame: DataFrame, inputs: list[str], linear: Linear, out: str, ke
 
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_ix")
-        rows, first = rows_of(pdf), int(pdf["bar_ix"].iloc[0])
+        rows, first = rows_of(pdf), int(pdf["__before"].iloc[0])
         run = lambda start: [math.nan if x is None else x for x in linear.vector(moved(rows, start)[1])]
         if first == 0:
             shift, turn = run(None), [[0.0] * linear.size] * linear.size
@@ -248,11 +262,11 @@ def run_linear(frame: DataFrame, inputs: list[str], linear: Linear, out: str, ke
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_ix")
-        start, first = pdf["__start"].iloc[0], int(pdf["bar_ix"].iloc[0])
+        start, first = pdf["__start"].iloc[0], int(pdf["__before"].iloc[0])
         values, _ = moved(rows_of(pdf), linear.build(tuple(start), first) if start is not None else None)
-        return pdf.drop(columns=["__block", "__start"]).assign(**{out: pd.Series(values, index=pdf.index, dtype="float64")})
+        return pdf.drop(columns=["__block", "__before", "__start"]).assign(**{out: pd.Series(values, index=pdf.index, dtype="float64")})
 
-    sums = dealt.select(*keys, "bar_ix", "__block", *[c for c in inputs if c not in (*keys, "bar_ix")]).groupBy(*keys, "__block").applyInPandas(summary, f"{key_fields}, __block long, shift array<double>, turn array<double>")
+    sums = dealt.select(*keys, "bar_ix", "__block", "__before", *[c for c in inputs if c not in (*keys, "bar_ix")]).groupBy(*keys, "__block").applyInPandas(summary, f"{key_fields}, __block long, shift array<double>, turn array<double>")
     begins = sums.groupBy(*keys).applyInPandas(starts, f"{key_fields}, __block long, start array<double>")
     fields = ", ".join(f"`{n}` {t}" for n, t in names.items() if n != out)
     return dealt.join(begins.withColumnRenamed("start", "__start"), [*keys, "__block"]).groupBy(*keys, "__block").applyInPandas(finish, f"{fields}, `{out}` double")

@@ -167,6 +167,7 @@ def with_atr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _state("w9_wilder", ["tr"], state.wilder, f"{WITH_ATR} SELECT instrument, bar_ix, atr AS value FROM av")
+add("w9_wilder_in_blocks", lambda s, d: state.run_linear(base(s, d), ["tr"], state.linear_wilder(14), "value", block=10).select("instrument", "bar_ix", "value"), SQL["w9_wilder"])  # the seed takes two blocks
 add("t6_atr", lambda s, d: with_atr(s, d).select("instrument", "bar_ix", c("atr").alias("value")), f"{WITH_ATR} SELECT instrument, bar_ix, atr AS value FROM av")
 add("t7_atr_normalise", lambda s, d: with_atr(s, d).select("instrument", "bar_ix", F.when(c("atr") > 0, c("close") / c("atr")).alias("value")), f"{WITH_ATR} SELECT instrument, bar_ix, CASE WHEN atr > 0 THEN close / atr END AS value FROM av")
 

@@ -45,6 +45,19 @@ def test_steps_see_nothing_later(spark, name):
     assert all(whole[k] == v for k, v in cut.items())
 
 
+def test_wilder_in_blocks_with_nulls(spark):
+    """Nulls hold the value and don't count; the seed may end in any block, or never."""
+    rng = random.Random(4)
+    series = {"full": [rng.random() for _ in range(40)], "holes": [None if i % 3 else rng.random() for i in range(40)], "late": [None] * 15 + [rng.random() for _ in range(25)], "few": [None] * 20 + [1.0, math.nan, 2.0], "none": [None] * 9, "one": [3.0]}
+    rows = [(k, i, x) for k, xs in series.items() for i, x in enumerate(xs)]
+    own = spark.createDataFrame(rows, "instrument string, bar_ix long, x double").repartition(3)
+    values = lambda df: {(r["instrument"], r["bar_ix"]): r["value"] for r in df.collect()}
+    want = values(state.run_steps(own, ["x"], state.wilder(6), "value"))
+    for block in (4, 7, 100):
+        got = values(state.run_linear(own, ["x"], state.linear_wilder(6), "value", block=block))
+        assert set(got) == set(want) and all((a is None) == (want[k] is None) and (a is None or a == pytest.approx(want[k])) for k, a in got.items())
+
+
 LINEAR = {"ema": (state.ema(5), state.linear_ema(5)), "jma": (state.jma(6), state.linear_jma(6)), "kalman": (state.kalman(), state.linear_kalman())}
 
 
