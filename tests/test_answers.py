@@ -371,6 +371,46 @@ def test_cluster_weights(spark):
     assert clusters.average_linkage(np.array([[0, 0.1, 0.9], [0.1, 0, 0.8], [0.9, 0.8, 0]]), 2) == [0, 0, 1]
 
 
+def test_average_linkage_is_the_plain_one():
+    """Against merging by the means over all pairs of members; rounded distances make ties."""
+    rng = np.random.default_rng(3)
+    for n, groups, digits in [(1, 1, 9), (2, 1, 9), (9, 3, 9), (30, 4, 9), (30, 1, 9), (12, 3, 0), (20, 5, 1)]:
+        points = rng.normal(size=(n, 3))
+        distance = np.round(np.linalg.norm(points[:, None] - points[None], axis=2), digits)
+        members = [[i] for i in range(n)]
+        while len(members) > groups:
+            gaps = {(i, j): round(distance[np.ix_(members[i], members[j])].mean(), 12) for i in range(len(members)) for j in range(i + 1, len(members))}
+            i, j = min(gaps, key=lambda k: (gaps[k], k))
+            members[i] += members.pop(j)
+        want = {frozenset(m) for m in members}
+        label = clusters.average_linkage(distance, groups)
+        got = {frozenset(i for i in range(n) if label[i] == k) for k in set(label)}
+        assert len(got) == groups and [min(m) for m in sorted(got, key=lambda m: label[min(m)])] == sorted(min(m) for m in got)
+        if digits == 9:
+            assert got == want
+
+
+def test_correlations_in_tiles(spark, monkeypatch):
+    """Several tiles, with missing bars, nulls and a flat series, against each pair by itself."""
+    monkeypatch.setattr(clusters, "TILE", 3)
+    rng = np.random.default_rng(8)
+    series = {f"i{k}": rng.normal(0.01, 0.02, 14) for k in range(10)} | {"flat": np.full(14, 0.1)}
+    gone = {("i1", 5), ("i2", 12), ("i3", 13)}
+    rows = [(n, t, None if (n, t) == ("i4", 9) else float(v)) for n, xs in series.items() for t, v in enumerate(xs) if (n, t) not in gone]
+    early = [("early", t, 0.1 * t) for t in range(3)]  # has no bar in common with `late` before the second rebalance, nor any then
+    late = [("late", t, 0.1 * t) for t in range(5, 14)]
+    frame = spark.createDataFrame(rows + early + late, "instrument string, bar_ix long, ret double")
+    every = {(r["at"], r["a"], r["b"]) for r in clusters.pair_correlations(frame, 10, 3).collect()}
+    assert not {k for k in every if {"early", "late"} <= set(k)} and (9, "early", "i0") in every and (12, "early", "i0") not in every
+    frame = spark.createDataFrame(rows, "instrument string, bar_ix long, ret double")
+    got = {(r["at"], r["a"], r["b"]): r["rho"] for r in clusters.pair_correlations(frame, 10, 3).collect()}
+    have = {(n, t): v for n, t, v in rows if v is not None}
+    assert len(got) == 2 * 11 * 10 // 2
+    for (at, a, b), rho in got.items():
+        both = [(have[a, t], have[b, t]) for t in range(at - 9, at + 1) if (a, t) in have and (b, t) in have]
+        assert a < b and at in (9, 12) and (rho is None if "flat" in (a, b) else rho == pytest.approx(np.corrcoef(np.array(both).T)[0, 1]))
+
+
 def test_chunks_of_pages(spark):
     pages = {r["page_id"]: r["text"] for r in registry.QUERIES["n6_pages_text"](spark, DATA).collect()}
     own = {}
