@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import bisect
+import heapq
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,13 +19,15 @@ def market_returns(panel: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def _medians(pdf: pd.DataFrame) -> pd.DataFrame:
-    """``reference``: the median of vol so far; 0 before the first one. A sorted list grows by one at a time."""
-    pdf, seen, out = pdf.sort_values("bar_ix"), [], []
+    """``reference``: the median of vol so far; null before the first one. Two
+    heaps hold the lower and the upper half, so a bar costs the logarithm of those before it."""
+    pdf, low, high, out = pdf.sort_values("bar_ix"), [], [], []
     for v in pdf["vol"].tolist():
         if v is not None and v == v:
-            bisect.insort(seen, v)
-        n = len(seen)
-        out.append((seen[n // 2] + seen[(n - 1) // 2]) / 2 if n else None)
+            heapq.heappush(high, -heapq.heappushpop(low, -v))
+            if len(high) > len(low):
+                heapq.heappush(low, -heapq.heappop(high))
+        out.append(None if not low else -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2)
     return pdf[["market_key", "bar_ix"]].assign(reference=pd.Series(out, index=pdf.index, dtype="float64"))
 
 
@@ -33,7 +35,7 @@ def trailing(market: DataFrame, lookback: int, keys: tuple[str, ...] = ()) -> Da
     """``vol, mean`` of the bars before each one, ``drawdown``, and ``reference``,
     the median of vol so far. ``keys`` tell markets apart; one market is as long
     as the calendar, so its windows are one task by nature."""
-    market = market.withColumn("market_key", F.concat_ws("|", *keys) if keys else F.lit("all"))
+    market = market.withColumn("market_key", F.to_json(F.struct(*keys)) if keys else F.lit("all"))
     own = Window.partitionBy("market_key")
     order = own.orderBy("bar_ix")
     upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(-lookback, -1)

@@ -4,9 +4,10 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from barquet.plans import stats
+from barquet.plans import regimes, stats
 
 
 def frame(spark, families):
@@ -113,3 +114,22 @@ def test_overfitting_of_families(spark):
         assert got[family]["n_splits"] == 50 and got[family]["pbo"] == pytest.approx(low / 50)
         alone = stats.overfitting(frame(spark, {family: families[family]}).drop("family"), 8, 50).first()
         assert alone["pbo"] == got[family]["pbo"]
+
+
+def test_medians_so_far():
+    rng = random.Random(2)
+    vol = [None, None, *[rng.choice([rng.random(), 0.5, None]) for _ in range(200)]]
+    got = regimes._medians(pd.DataFrame({"market_key": "all", "bar_ix": range(len(vol)), "vol": vol}))["reference"].tolist()
+    for i, x in enumerate(got):
+        seen = [v for v in vol[: i + 1] if v is not None]
+        assert np.isnan(x) if not seen else x == pytest.approx(np.median(seen))
+
+
+def test_markets_whose_joined_keys_are_alike(spark):
+    """Keys with separators and nulls stay apart."""
+    rows = [(a, b, i, x) for k, (a, b) in enumerate([("x|y", "z"), ("x", "y|z"), ("x", None), (None, "x")]) for i, x in enumerate(noise(k, 12))]
+    market = spark.createDataFrame(rows, "a string, b string, bar_ix long, market double").selectExpr("*", "date_add(date'2020-01-01', int(bar_ix)) AS date")
+    both = {(r["a"], r["b"], r["bar_ix"]): (r["vol"], r["reference"]) for r in regimes.trailing(market, 4, ("a", "b")).collect()}
+    assert len(both) == 48
+    alone = {(r["a"], r["b"], r["bar_ix"]): (r["vol"], r["reference"]) for r in regimes.trailing(market.filter("a = 'x' AND b = 'y|z'"), 4).collect()}
+    assert len(alone) == 12 and all(both[k] == v for k, v in alone.items())
