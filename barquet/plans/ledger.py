@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,16 +77,35 @@ def spec_classes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, written(each.join(often, ["family", "item"]).groupBy("family", "class_id", "n").agg(ordered.alias("items")))
 
 
+def _without_few(items: Column) -> Column:
+    """Array of (key, gone): the hash of ``items`` without 0, 1 or 2 of them, and how many are gone."""
+    places = F.sequence(F.lit(0), F.size(items) - 1)
+    key = lambda keep, n: F.struct(F.xxhash64(F.array_join(F.filter(items, keep), "\n")).alias("key"), F.lit(n).alias("gone"))
+    one = F.transform(places, lambda i: key(lambda x, at: at != i, 1))
+    two = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: j > i), lambda j: key(lambda x, at: (at != i) & (at != j), 2))))
+    return F.concat(F.array(key(lambda x, at: F.lit(True), 0)), one, two)
+
+
 def class_pairs(classes: DataFrame, least: float = 0.8) -> DataFrame:
     """``family, a, b, jaccard`` of classes of a family whose sets are so similar.
 
-    Two such sets share one of the rarest items of either, as many as a pair may
-    lack and one more; they meet there, if their sizes allow it, by ids alone,
-    and only then are their items compared."""
-    prefix = F.slice("items", 1, F.greatest(F.lit(1), (F.size("items") - F.ceil(F.lit(least) * F.size("items")) + 1).cast("int")))
-    posted = classes.select("family", F.col("class_id").alias("a"), F.size("items").alias("k"), F.explode(prefix).alias("item"))
+    Small sets, of which at most two items may be lacking, meet in what they have
+    in common: each is keyed by itself without 0, 1 or 2 of its items, so few
+    sets share a key even if all share their items. Where one is larger, the two
+    share one of the rarest items of either, as many as a pair may lack and one
+    more, and meet there if their sizes allow it. They meet by ids alone, and
+    only then are their items compared."""
+    small = math.ceil(3 / (1 - least) - 1e-9) - 1 if least < 1 else 2**31 - 1
+    sized = classes.select("family", F.col("class_id").alias("a"), F.size("items").alias("k"), "items")
+    keyed = sized.filter((F.col("k") > 0) & (F.col("k") <= small)).select("family", "a", "k", F.explode(F.filter(_without_few(F.col("items")), lambda x: x["gone"] <= F.floor((1 - least) * F.col("k") + 1e-9))).alias("x")).select("family", "a", "k", "x.*")
+    other = keyed.select("family", "key", F.col("a").alias("b"), F.col("gone").alias("gone2"))
+    common = F.col("k") - F.col("gone")
+    few = keyed.join(other.hint("merge"), ["family", "key"]).filter((F.col("a") < F.col("b")) & (common >= least * (common + F.col("gone") + F.col("gone2")) - 1e-9)).select("family", "a", "b")
+    prefix = F.slice("items", 1, F.greatest(F.lit(1), (F.col("k") - F.ceil(F.lit(least) * F.col("k")) + 1).cast("int")))
+    posted = sized.filter(F.col("k") >= least * (small + 1) - 1e-9).select("family", "a", "k", F.explode(prefix).alias("item"))
     other = posted.select("family", "item", F.col("a").alias("b"), F.col("k").alias("k2"))
-    met = posted.join(other, ["family", "item"]).filter((F.col("a") < F.col("b")) & (F.least("k", "k2") >= least * F.greatest("k", "k2"))).select("family", "a", "b").distinct()
+    many = posted.join(other, ["family", "item"]).filter((F.col("a") < F.col("b")) & (F.greatest("k", "k2") > small) & (F.least("k", "k2") >= least * F.greatest("k", "k2"))).select("family", "a", "b")
+    met = few.union(many).distinct()
     sets = classes.select("family", "class_id", "items")
     both = met.join(sets.withColumnsRenamed({"class_id": "a", "items": "x"}), ["family", "a"]).join(sets.withColumnsRenamed({"class_id": "b", "items": "y"}), ["family", "b"])
     common = F.size(F.array_intersect("x", "y"))

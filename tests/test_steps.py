@@ -241,3 +241,27 @@ def test_kill_switch_stays_dead():
         st, v = step(st, (r,))
         out.append(v)
     assert out == [0.0, 0.0, 1.0, 1.0]
+
+
+def test_class_pairs_of_few_items(spark):
+    """Sets over few items, which all share their rarest ones, meet in small groups; small and large sets agree with all pairs."""
+    import itertools
+
+    from barquet.plans import ledger
+
+    draw = random.Random(5)
+    own = {frozenset(draw.sample([f"i{k:02d}" for k in range(18)], draw.randint(1, 18))) for _ in range(300)} | {frozenset(f"i{k:02d}" for k in range(n)) for n in range(1, 19)}
+    sets = list(own)
+    rows = [(f, i, 1, sorted(x)) for f in (1, 2) for i, x in enumerate(sets)]
+    classes = spark.createDataFrame(rows, "family long, class_id long, n long, items array<string>")
+    for least in (0.5, 0.8, 0.9, 1.0):
+        got = sorted((r["family"], r["a"], r["b"], round(r["jaccard"], 9)) for r in ledger.class_pairs(classes, least).collect())
+        pairs = [(i, j, len(x & y) / len(x | y)) for (i, x), (j, y) in itertools.combinations(enumerate(sets), 2)]
+        assert got == sorted((f, i, j, round(v, 9)) for f in (1, 2) for i, j, v in pairs if v >= least)
+    # All 1,023 sets of ten items: the keys that they meet by make few rows, where sharing a rare item made most pairs.
+    every = [(1, i, 1, [f"i{k}" for k in range(10) if i >> k & 1]) for i in range(1, 1024)]
+    classes = spark.createDataFrame(every, "family long, class_id long, n long, items array<string>")
+    plan = ledger.class_pairs(classes)
+    assert plan.count() == sum(bin(i & j).count("1") >= 0.8 * bin(i | j).count("1") for i, j in itertools.combinations(range(1, 1024), 2))
+    keys = classes.select(F.explode(ledger._without_few(F.col("items"))).alias("x")).groupBy("x.key").count()
+    assert keys.agg(F.max("count")).first()[0] <= 1 + 10 + 45
