@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import written
+from ..shared import apart, written
 from . import library
 
 #: Operators whose result has no price unit, those that compare with a constant, and price columns with a unit.
@@ -84,9 +84,9 @@ def _levels(rows: DataFrame, ids: Ids) -> tuple[DataFrame, DataFrame]:
     known, level = None, 0
     left = one
     while True:
-        met = ports.join(left.select(*own), own)
+        met = ports.join(apart(left.select(*own)), own)
         if known is not None:
-            met = met.join(known.select(*ids, F.col("node").alias("ref"), F.col("h").alias("of")), [*ids, "ref"], "left")
+            met = met.join(apart(known.select(*ids, F.col("node").alias("ref"), F.col("h").alias("of"))), [*ids, "ref"], "left")
         else:
             met = met.withColumn("of", F.lit(None).cast("string"))
         met = met.withColumn("of", F.when(F.startswith("ref", F.lit(SOURCE)), F.col("ref")).otherwise(F.col("of")))
@@ -94,11 +94,11 @@ def _levels(rows: DataFrame, ids: Ids) -> tuple[DataFrame, DataFrame]:
         by_port = F.expr("array_join(array_sort(transform(of, e -> concat(e.port, '=', e.of))), ',')")
         by_value = F.expr("array_join(array_sort(transform(of, e -> e.of)), ',')")
         h = F.sha2(F.concat_ws("|", F.concat("operator", F.lit("@"), "version"), _text("params"), F.when(F.col("commutative"), by_value).otherwise(by_port)), 256)
-        found = written(ready.join(left, own).select(*own, h.alias("h"), F.lit(level).alias("level"), F.map_from_entries("of").alias("of")))
+        found = written(ready.join(apart(left), own).select(*own, h.alias("h"), F.lit(level).alias("level"), F.map_from_entries("of").alias("of")))
         if found.isEmpty():
             return known, left.select(*own)
         known = found if known is None else written(known.unionByName(found))
-        left = written(left.join(found.select(*own), own, "left_anti"))
+        left = written(left.join(apart(found.select(*own)), own, "left_anti"))
         if left.isEmpty():
             return known, left.select(*own)
         level += 1
@@ -118,17 +118,17 @@ def structure(nodes: DataFrame, ids: Ids = ("spec_id",)) -> tuple[DataFrame, Dat
     content = F.concat_ws("|", "operator", "version", _text("params"), _text("inputs"))
     twice = rows.groupBy(*key, "node").agg(F.count_distinct(content).alias("n")).filter("n > 1").select(*key, "node", F.lit("one name, two contents").alias("problem"))
     refs = rows.select(*key, "node", F.explode("inputs").alias("port", "ref")).filter(~F.startswith("ref", F.lit(SOURCE)))
-    lost = refs.join(rows.select(*key, F.col("node").alias("ref")).distinct(), [*key, "ref"], "left_anti").select(*key, "node", F.concat(F.lit("no node "), "ref").alias("problem"))
+    lost = refs.join(apart(rows.select(*key, F.col("node").alias("ref")).distinct()), [*key, "ref"], "left_anti").select(*key, "node", F.concat(F.lit("no node "), "ref").alias("problem"))
     problems = written(problems.unionByName(twice).unionByName(lost).distinct())
-    good = rows.join(problems.select(*key).distinct(), key, "left_anti").drop("problem")
+    good = rows.join(apart(problems.select(*key).distinct()), key, "left_anti").drop("problem")
     known, circular = _levels(good, ids)
     circular = circular.withColumn("problem", F.lit("in or above a cycle"))
     problems = written(problems.unionByName(circular))
     if known is None:
         known = good.select(*key, "node").withColumns({"h": F.lit(""), "level": F.lit(0), "of": F.col("node").cast("string")}).limit(0).withColumn("of", F.create_map().cast("map<string,string>"))
-    good = good.join(problems.select(*key).distinct(), key, "left_anti").join(known, [*key, "node"])
+    good = good.join(apart(problems.select(*key).distinct()), key, "left_anti").join(apart(known), [*key, "node"])
     used = good.select(*key, "role", F.explode("inputs").alias("port", "node")).select(*key, "role", "node").distinct().withColumn("__used", F.lit(True))
-    good = good.join(used, [*key, "role", "node"], "left").withColumn("root", F.col("__used").isNull()).drop("__used")
+    good = good.join(apart(used), [*key, "role", "node"], "left").withColumn("root", F.col("__used").isNull()).drop("__used")
     return written(good), problems
 
 
@@ -166,8 +166,8 @@ def cones(nodes: DataFrame, start: DataFrame) -> DataFrame:
     edges = written(nodes.select("spec_id", F.col("node").alias("up"), F.col("input").alias("next")).distinct())
     seen = front = written(start.withColumn("up", F.col("node")).distinct())
     while True:
-        front = front.join(edges, ["spec_id", "up"]).drop("up").withColumnRenamed("next", "up").filter(~F.col("up").startswith("price."))
-        front = written(front.select(*seen.columns).distinct().join(seen, seen.columns, "left_anti"))
+        front = front.join(apart(edges), ["spec_id", "up"]).drop("up").withColumnRenamed("next", "up").filter(~F.col("up").startswith("price."))
+        front = written(front.select(*seen.columns).distinct().join(apart(seen), seen.columns, "left_anti"))
         if front.isEmpty():
             return seen
         seen = written(seen.union(front))
@@ -176,15 +176,15 @@ def cones(nodes: DataFrame, start: DataFrame) -> DataFrame:
 def usage(nodes: DataFrame) -> DataFrame:
     """``spec_id, role, operator``: the operators that each role's roots depend on, through any number of nodes."""
     used = nodes.select("spec_id", F.col("input").alias("node")).distinct()
-    roots = nodes.select("spec_id", "node", "role").distinct().join(used, ["spec_id", "node"], "left_anti")
+    roots = nodes.select("spec_id", "node", "role").distinct().join(apart(used), ["spec_id", "node"], "left_anti")
     of = nodes.select("spec_id", F.col("node").alias("up"), "operator").distinct()
-    return cones(nodes, roots).join(of, ["spec_id", "up"]).select("spec_id", "role", "operator").distinct()
+    return cones(nodes, roots).join(apart(of), ["spec_id", "up"]).select("spec_id", "role", "operator").distinct()
 
 
 def absolute_levels(nodes: DataFrame) -> DataFrame:
     """``spec_id, node``: comparisons with a constant whose cone reaches a raw price and has no unit-free operator in it."""
     starts = nodes.filter(F.col("operator").isin(LEVELS)).select("spec_id", "node").distinct()
     of = nodes.select("spec_id", F.col("node").alias("up"), "operator", "input")
-    cone = cones(nodes, starts).join(of, ["spec_id", "up"]).groupBy("spec_id", "node")
+    cone = cones(nodes, starts).join(apart(of), ["spec_id", "up"]).groupBy("spec_id", "node")
     found = cone.agg(F.bool_or(F.col("operator").isin(UNIT_FREE)).alias("free"), F.bool_or(F.col("input").isin(RAW)).alias("raw"))
     return found.filter("raw AND NOT free").select("spec_id", "node")

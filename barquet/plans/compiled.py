@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import library, specs, state
-from ..shared import written
+from ..shared import apart, written
 
 Keys = tuple[str, ...]
 
@@ -17,6 +17,8 @@ Keys = tuple[str, ...]
 BATCH = 250
 #: Distinct roots and computations that the driver may plan for; beyond, the caller deals the specs out.
 MOST = 50_000
+#: Specs up to which their table is broadcast to the signals' bars; beyond, both are shuffled, and a signal's bars are dealt in so many parts.
+BROADCAST_ROWS, PARTS = 100_000, 16
 
 
 @dataclasses.dataclass(frozen=True)
@@ -134,7 +136,7 @@ def planned(held: DataFrame, ids: Keys) -> tuple[Graph, list[str], DataFrame]:
             finals.append(final)
         signal_of[r["recipe"]] = finals.index(final)
     table = held.sparkSession.createDataFrame(list(signal_of.items()), "recipe string, signal_ix int")
-    return graph, finals, named.join(F.broadcast(table), "recipe").select(*ids, "signal_ix")
+    return graph, finals, named.join(F.broadcast(table), "recipe").select(*ids, "signal_ix")  # at most MOST rows
 
 
 def _list(values: list, kind: str) -> str:
@@ -255,7 +257,13 @@ def signals_of(bars: DataFrame, held: DataFrame, ids: Keys = ("spec_id",), keys:
         out = made if out is None else out.unionByName(made)
     if out is None:
         raise ValueError("no spec holds")
-    return out.join(F.broadcast(mine), "signal_ix").select(*ids, *keys, "bar_ix", *carried, "signal")  # a row a spec: as many as the plan was made for
+    mine = written(mine)
+    if mine.count() <= BROADCAST_ROWS:
+        out = out.join(F.broadcast(mine), "signal_ix")
+    else:  # a signal's bars are dealt in parts, so that one which many specs share is several tasks
+        parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("__part")
+        out = out.withColumn("__part", F.pmod(F.col("bar_ix"), F.lit(PARTS)).cast("int")).join(apart(mine.select("*", parts)), ["signal_ix", "__part"])
+    return out.select(*ids, *keys, "bar_ix", *carried, "signal")
 
 
 def apply_specs(bars: DataFrame, nodes: DataFrame, ids: Keys = ("spec_id",), keys: Keys = ("instrument",), carry: Keys = ("date",), refuse: bool = True, batch: int = BATCH) -> DataFrame:

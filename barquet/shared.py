@@ -27,3 +27,9 @@ def written(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is shuffled: a written table of many like rows is so
+    small as a file that Spark would else send it through the driver to every task."""
+    return df.hint("merge")

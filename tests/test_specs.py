@@ -351,3 +351,17 @@ def test_overrides_and_runs(spark, some):
 def test_warmup_adds_up(spark):
     rows = [*cross(1, "3", "9"), n(2, "entry", 0, "m", "rolling_mean", {"window": "50"}), n(2, "entry", 1, "z", "zscore", {"window": "20"}, {"series": "m"}), n(2, "entry", 2, "t", "threshold", {}, {"series": "z"})]
     assert {r["spec_id"]: r["bars"] for r in compiled.warmup(spark.createDataFrame(rows, specs.SCHEMA)).collect()} == {1: 8, 2: 68}
+
+
+def test_many_specs_are_not_broadcast(spark, monkeypatch):
+    """Beyond the bound the table of specs is shuffled to the signals' bars, in parts, with the same rows."""
+    import datetime
+
+    bars = spark.createDataFrame([("a", k, datetime.date(2020, 1, 1) + datetime.timedelta(days=k), 10.0 + k % 3) for k in range(40)], "instrument string, bar_ix long, date date, close double")
+    nodes = spark.createDataFrame([(k, "entry", 0, "m", "momentum", None, {"period": str(1 + k % 2)}, {"series": "price.close"}) for k in range(9)], specs.SCHEMA)
+    rows = lambda: sorted(map(tuple, compiled.apply_specs(bars, nodes).collect()))
+    want = rows()
+    monkeypatch.setattr(compiled, "BROADCAST_ROWS", 8)
+    made = compiled.apply_specs(bars, nodes)
+    assert "SortMergeJoin" in made._jdf.queryExecution().toString() and "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+    assert rows() == want and len(want) == 360
