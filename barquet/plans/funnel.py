@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as w
 from ..operators import specs
-from ..shared import written
+from ..shared import apart, written
 from . import backtest, checks, compiled, regimes, walkforward
 from .metrics import sharpe
 from .stats import honest_scores, moments
@@ -57,6 +57,12 @@ def _rows(frame: DataFrame, rows: list[Column]) -> DataFrame:
     return frame.select("spec_id", made).select("spec_id", "place", "c.*")
 
 
+def _alike(held: DataFrame) -> DataFrame:
+    """``spec_id, __of``: the smallest id of the specs with the same roots in every role."""
+    named = written(specs.roots(held, SPEC).select("spec_id", F.sha2(F.to_json(F.struct(*specs.ROLES)), 256).alias("roots")))
+    return named.join(named.groupBy("roots").agg(F.min("spec_id").alias("__of")), "roots").select("spec_id", "__of")
+
+
 def _runs(bars: DataFrame, held: DataFrame, s: Settings, keys: tuple[str, ...] = (), bps: float | None = None) -> DataFrame:
     signals = compiled.signals_of(bars, held, SPEC, (*keys, "instrument"), BARS)
     return backtest.run(signals.repartition("spec_id", *keys), bps=bps, multiplier=s.multiplier, keys=(*SPEC, *keys))
@@ -87,6 +93,8 @@ def evaluate(bars: DataFrame, nodes: DataFrame, settings: Settings = Settings(),
 
     Each phase reads the specs alone that all phases before let through: they
     are taken from a written table, and stopped specs are not evaluated again.
+    Specs with the same roots have the same signals: the one with the smallest id
+    is evaluated, and its results are those of all of them.
     With ``until`` p2 the survivors of p2 are told as come to p3, unscored.
     """
     s = settings
@@ -105,32 +113,40 @@ def evaluate(bars: DataFrame, nodes: DataFrame, settings: Settings = Settings(),
     held, problems = specs.structure(nodes.join(gone, "spec_id", "left_anti"), SPEC)
     bad = problems.groupBy("spec_id").agg(F.count("*").alias("n"))
     left = every.join(gone, "spec_id", "left_anti").join(bad, "spec_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    alike = written(_alike(held))
+    held = written(held.join(apart(alike.filter("spec_id = __of").select("spec_id")), "spec_id", "left_semi"))
+
+    def each(found: DataFrame) -> DataFrame:
+        """The rows of a spec for all that are like it."""
+        return alike.join(apart(found.withColumnRenamed("spec_id", "__of")), "__of").select(*found.columns)
+
     holds = _rows(left, [checks.check_row("p0_spec_holds", "correctness", F.col("n") == 0, F.col("n"), F.lit(0.0))])
     if not held.isEmpty():
         same = _rows(_truncated(bars, held, s), [checks.check_row("p0_truncation_invariance", "correctness", F.col("n_differ") == 0, F.col("n_differ"), F.lit(0.0))])
-        holds = holds.unionByName(same.withColumn("place", F.lit(1)))
+        holds = holds.unionByName(each(same.withColumn("place", F.lit(1))))
     gone = close(holds, "p0", F.when(named.contains("truncation"), "look_ahead_detected").otherwise("code_error"))
     held = written(held.join(gone, "spec_id", "left_anti"))
 
     if not held.isEmpty():
         trades = backtest.trade_counts(_runs(checks.last_quarter(bars), held, s, bps=0.0), SPEC).groupBy("spec_id").agg(F.sum("n_trades").alias("n"))
-        gone = close(_rows(trades, [checks.check_row("p1_any_signal", "performance", F.col("n") >= s.first_trades, F.col("n"), F.lit(float(s.first_trades)))]), "p1", F.lit("no_signal"))
+        gone = close(each(_rows(trades, [checks.check_row("p1_any_signal", "performance", F.col("n") >= s.first_trades, F.col("n"), F.lit(float(s.first_trades)))])), "p1", F.lit("no_signal"))
         held = written(held.join(gone, "spec_id", "left_anti"))
     whole = None
     if not held.isEmpty():
         whole = written(_runs(bars, held, s, bps=s.bps))
         sums = backtest.portfolio(whole, SPEC).groupBy("spec_id").agg(F.sum("gross").alias("g"), F.sum("net").alias("n"))
         found = _rows(sums, [checks.check_row("p2_gross_expectancy", "performance", F.col("g") > 0, F.col("g"), F.lit(0.0)), checks.check_row("p2_cost_survival", "cost", F.col("n") > 0, F.col("n"), F.lit(0.0))])
-        gone = close(found, "p2", F.when(named == "p2_gross_expectancy", "negative_expectancy").otherwise("costs_exceed_edge"))
+        gone = close(each(found), "p2", F.when(named == "p2_gross_expectancy", "negative_expectancy").otherwise("costs_exceed_edge"))
         held = written(held.join(gone, "spec_id", "left_anti"))
     scores = by_regime = None
     if until == "p3" and not held.isEmpty():
         scores, curves = _out_of_sample(bars, held, whole.join(held.select("spec_id").distinct(), "spec_id", "left_semi"), s)
         bar = [*checks.bar_checks(s.least_trades, s.most_drawdown, s.least_breadth), checks.check_row("min_score", "performance", F.col("score") >= F.lit(s.least_score), F.col("score"), F.lit(s.least_score).cast("double"))]
         reasons = F.create_map(*[F.lit(x) for pair in {**checks.FAILURES, "min_score": "deflated_sharpe_insufficient"}.items() for x in pair])
-        close(_rows(scores, bar), "p3", F.try_element_at(reasons, named))
+        close(each(_rows(scores, bar)), "p3", F.try_element_at(reasons, named))
         labels = regimes.label(regimes.market_returns(bars.withColumn("ret", w.simple_return(F.col("close")))))
-        by_regime = regimes.by_regime(curves, labels, s.periods, SPEC)
+        by_regime = each(regimes.by_regime(curves, labels, s.periods, SPEC))
+        scores = each(scores)
     end = stopped[0]
     for more in stopped[1:]:
         end = end.unionByName(more)

@@ -122,3 +122,23 @@ def test_gates_warn_where_nothing_is_declared(spark, bars):
         assert got["equities_capacity"]["outcome"] == "warn" and got["equities_capacity"]["value"] is None
     pnl = spark.createDataFrame([("2020-01-01 03:00:00", 1.0, 0.1)], "ts string, pnl double, carry double").withColumn("ts", F.col("ts").cast("timestamp"))
     assert [checks.forex_gate(pnl, funded=f).filter("test_name LIKE '%carry%'").first()["outcome"] for f in (True, False)] == ["pass", "warn"]
+
+
+def test_like_specs_are_evaluated_once(spark, bars, monkeypatch):
+    """Specs that differ in names alone are one evaluation, whose results all of them have."""
+    from barquet.plans import compiled
+
+    rows = [n(k, "entry", 0, f"m{k}", "momentum", {"period": str(2 + k % 2)}) for k in range(1, 9)] + [n(k, "entry", 0, f"m{k}", "momentum", {"period": "3", "min_return": "9"}) for k in (11, 12)]
+    seen, plain = [], compiled.signals_of
+    monkeypatch.setattr(compiled, "signals_of", lambda bars, held, *more, **named: seen.append({r[0] for r in held.select("spec_id").collect()}) or plain(bars, held, *more, **named))
+    s = funnel.Settings(periods=52, train_years=(1,), bps=2.0, least_trades=10, most_drawdown=0.9, least_breadth=0.1)
+    report = funnel.evaluate(bars, spark.createDataFrame(rows, specs.SCHEMA), s)
+    assert seen[:3] == [{1, 2, 11}, {1, 2, 11}, {1, 2}] and set.union(*seen) == {1, 2, 11}
+    got = {r["spec_id"]: tuple(r)[1:] for r in report.evaluations.collect()}
+    assert set(got) == {*range(1, 9), 11, 12} and got[11] == got[12] and got[11][2] == "p1_any_signal"
+    assert all(got[k] == got[2 - k % 2] for k in range(1, 9)) and got[1][0] == "p3"
+    tests = {}
+    for r in report.tests.collect():
+        tests.setdefault(r["spec_id"], set()).add((r["test_name"], r["value"]))
+    assert all(tests[k] == tests[2 - k % 2] for k in range(1, 9))
+    assert {r["spec_id"] for r in report.regimes.collect()} == set(range(1, 9))
