@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import sys
 from statistics import NormalDist
 
 import numpy as np
@@ -312,6 +313,36 @@ def test_state_and_late_rows_over_batches(spark, tmp_path):
     assert sorted((r["event_id"], r["value"]) for r in out.collect()) == [(1, 1.0), (2, 2.0), (3, 1.0), (4, 1.0), (5, 1.0), (6, 3.0), (7, 2.0)]
 
 
+def test_no_worker_holds_a_key_s_rows(spark, tmp_path):
+    """The step sees no more in its worker's memory with 200,000 rows of a key than with 10."""
+
+    def step(state, row):
+        return state, float(sys.getallocatedblocks())
+
+    def most(n):
+        spark.range(n).selectExpr("id AS event_id", "timestamp_seconds(1000000000 + id) AS ts", "1L AS user_id", "1D AS value").write.parquet(f"{tmp_path}/in{n}")
+        return jobs.finish(jobs.stateful(spark.readStream.schema(TICK).parquet(f"{tmp_path}/in{n}"), "user_id", ["value"], step, "0 seconds")).agg(F.max("value")).first()[0]
+
+    assert most(200_000) < most(10) + 400_000
+
+
+def test_state_goes_on_and_is_forgotten(spark, tmp_path):
+    """Two keys over three calls: states and waiting rows are those of the call before, and a state ends with its time."""
+    days = lambda n: dt.datetime(2001, 1, 1) + dt.timedelta(days=n)
+
+    def call(k, *rows):
+        spark.createDataFrame([(i, days(d), u, v) for i, d, u, v in rows], TICK).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        source = spark.readStream.schema(TICK).parquet(f"{tmp_path}/in/*")
+        out = jobs.finish(jobs.stateful(source, "user_id", ["value"], jobs.stale_run(), "1 day", 10.0), log=str(tmp_path / "log"), table=str(tmp_path / "out"))
+        return sorted((r["event_id"], r["user_id"], r["value"]) for r in out.collect())
+
+    first = [(1, 1, 1.0), (2, 2, 1.0), (3, 1, 2.0)]
+    assert call(0, (1, 0, 1, 7.0), (2, 1, 2, 7.0), (3, 2, 1, 7.0), (4, 5, 1, 7.0), (5, 6, 2, 8.0)) == sorted([*first, (4, 1, 3.0)])
+    second = sorted([*first, (4, 1, 3.0), (5, 2, 1.0)])
+    assert call(1, (6, 20, 1, 7.0)) == second
+    assert call(2, (7, 21, 2, 8.0), (8, 30, 1, 7.0)) == sorted([*second, (6, 1, 4.0), (7, 2, 1.0)])
+
+
 def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
     spark.createDataFrame([(1, dt.datetime(2001, 1, 1), 1, 1.0)], TICK).write.parquet(str(tmp_path / "in/0"))
     source = lambda: spark.readStream.schema(TICK).parquet(f"{tmp_path}/in/*")
