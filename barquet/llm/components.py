@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, partitions_for
+
+#: Links that one task thins at once, about; 32 bytes an end.
+THIN_LINKS = 1 << 19
 
 
 def labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -36,6 +42,33 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[root[away]], nodes[away]
 
 
+def thinned(links: DataFrame) -> DataFrame:
+    """Links (a, b) with the components of ``links``: of about ``THIN_LINKS`` that
+    lie together a spanning forest stays, fewer links than they have nodes, so a
+    large group whose links come from many tasks doesn't go through the joins with all of them."""
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def spanning(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            ends = pa.concat_arrays([c for k in (0, 1) for c in table.column(k).chunks]).dictionary_encode()
+            at = ends.indices.to_numpy()
+            u, v = forest(at[: table.num_rows], at[table.num_rows :])
+            return pa.RecordBatch.from_arrays([ends.dictionary.take(pa.array(x)) for x in (u, v)], ["a", "b"])
+
+        held = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 2 * THIN_LINKS:
+                held = [spanning(held)]
+                if held[0].num_rows >= THIN_LINKS:
+                    yield held.pop()
+        if held:
+            yield spanning(held)
+
+    kind = links.schema["a"].dataType.simpleString()
+    return links.coalesce(partitions_for(links.count(), THIN_LINKS)).mapInArrow(thin, f"a {kind}, b {kind}")
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``node, root`` of every node in ``links`` (a, b): the root is the
     component's smallest node.
@@ -43,9 +76,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps by turns: each node's neighbours move to
     its smallest one, until nothing changes; rounds grow with the logarithm of
     the size. A step is one partial minimum and one join with one row a node
-    on one side, so a hot node may be split. Each round is a written table.
+    on one side, so a hot node may be split. Each round is a written table, and
+    the first is of ``thinned`` links, so its rows follow the nodes, not the links.
     """
-    edges = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = materialise(thinned(links.filter("a <> b").select("a", "b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -297,6 +297,19 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 1 for i in range(1, 201)}, **{1000 + i: 1000 for i in range(50)}}
 
 
+def test_links_of_a_large_group_are_thinned(spark, monkeypatch):
+    """All pairs of a group of 60 reach the joins as a forest, however the links are dealt and held."""
+    from barquet.llm import components
+
+    every = spark.createDataFrame([(f"n{i}".encode(), f"n{j}".encode()) for i in range(60) for j in range(i)] + [(b"x", b"y")], "a binary, b binary").repartition(7)
+    for most in (1 << 19, 500, 40):
+        monkeypatch.setattr(components, "THIN_LINKS", most)
+        thin = components.thinned(every)
+        assert thin.count() <= 61 * thin.rdd.getNumPartitions()
+        roots = {bytes(r["node"]): bytes(r["root"]) for r in components.connected_components(every).collect()}
+        assert len(roots) == 62 and {r for n, r in roots.items() if n != b"y"} == {b"n0", b"x"}
+
+
 def test_simhash_edges(none, odd):
     assert simhash.near_classes(none).count() == 0
     got = sorted((r["doc_id"] or 0, r["component_id"]) for r in simhash.near_classes(odd).collect())
