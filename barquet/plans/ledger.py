@@ -51,6 +51,16 @@ def failure_patterns(entries: DataFrame, market: str, most: int = 10) -> DataFra
     return entries.filter(F.col("kind").isin("counter_evidence", "failure_pattern") & fits).orderBy(F.desc("confidence"), "id").limit(most)
 
 
+def sums_in_order(rows: DataFrame, key: str, values: list[str], order: list[str]) -> DataFrame:
+    """Sums of doubles of each key, added one by one by ``order``, so that they don't
+    depend on how rows are dealt; null where all are. A key's rows meet in one list."""
+    each = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], *[F.col(v).cast("double").alias(v) for v in values])
+    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(each)).alias("own"))
+    add = lambda s, x: F.when(s.isNull(), x).when(x.isNull(), s).otherwise(s + x)
+    total = lambda v: F.aggregate(F.col("own"), F.lit(None).cast("double"), lambda s, x: add(s, x[v]))
+    return lists.select(key, *[total(v).alias(v) for v in values])
+
+
 def case_against(margins: DataFrame, regimes: DataFrame, key: str, nearest: int = 3, worst: int = 2) -> DataFrame:
     """What speaks against each candidate: the thresholds (name, value, threshold) that it
     clears by the smallest relative margin, and its regimes (regime, sharpe) with the lowest Sharpe."""

@@ -542,3 +542,12 @@ def test_novelty_in_blocks(spark, monkeypatch):
     got = [(r["vec_id"], r["novelty"]) for r in out.collect()]
     assert sorted(i for i, _ in got) == [1, 2, 2, 3, 4, 5] and all(v == pytest.approx(want[i]) for i, v in got)
     assert {r["novelty"] for r in documents.novelty(frame(new), frame([])).collect()} == {1.0}
+
+
+def test_sums_follow_the_file(spark, tmp_path):
+    """0.1 + 0.2 + 0.3 isn't 0.3 + 0.2 + 0.1: rows are added as they lie, however they are dealt and whichever comes first."""
+    rows = [(k, v) for k, own in ((1, [0.1, 0.2, 0.3]), (2, [0.3, 0.2, 0.1]), (3, [None, 1e16, 1.0, -1e16]), (4, [None])) for v in own]
+    spark.createDataFrame(rows, "k int, v double").coalesce(1).write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t")).select("k", "v", F.col("_metadata.row_index").alias("i")).repartition(5).orderBy(F.desc("i"))
+    got = {r["k"]: r["v"] for r in ledger.sums_in_order(read, "k", ["v"], ["i"]).collect()}
+    assert got == {1: 0.1 + 0.2 + 0.3, 2: 0.3 + 0.2 + 0.1, 3: 1e16 + 1.0 - 1e16, 4: None} and got[1] != got[2]
