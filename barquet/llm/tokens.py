@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 
 BATCH_BYTES = 16 << 20
 MEMO_PARTS = 100_000
+MEMO_WORDS = 200_000
 MEMO_LONGEST = 48
+#: A word that comes back stays as if it had been met so many batches later.
+MEMO_AGAIN = 2
 
 
 def _byte_letters() -> dict[int, str]:
@@ -41,9 +44,12 @@ class _Parts(dict):
         super().__init__()
         self.model, self.letters = model, _byte_letters()
 
-    def __missing__(self, part: str) -> bytes:
+    def made(self, part: str) -> bytes:
         level = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(level)])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(level)])
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.made(part)
         if len(part) <= MEMO_LONGEST:
             if len(self) >= MEMO_PARTS:
                 self.clear()
@@ -80,13 +86,22 @@ class WordLengths:
         return total[ends] - total[ends - n_words]
 
 
+#: What is taken off a word of plain letters, and such a word: the vocabulary's pattern cuts there anyway.
+ENDS = ("", ".", ",")
+LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+
+
 class WordIds:
     """Ids of texts for the same kind of vocabulary, for packing.
 
     A text's ids are the ids of its words in a row, and words repeat far more
-    than texts. A word of ASCII and accented Latin-1 letters, digits and signs
-    is cut into parts as the vocabulary's pattern does, and each part goes to
-    the library's model once; any other word goes through the whole library.
+    than texts. Arrow takes a stop or comma off a word of letters, lowers it and
+    finds it in a table of words met before, whose ids stand in one array; when
+    the table is full, the half that was met last stays, words that came
+    back before new ones. A new word of ASCII and
+    accented Latin-1 letters, digits and signs is cut into parts as the
+    vocabulary's pattern does, and they go to the library's model; any other
+    word goes through the whole library.
     """
 
     #: No apostrophe (the pattern's contractions), and no letter outside ASCII and Latin-1, where lower case and normal form are plain.
@@ -97,27 +112,61 @@ class WordIds:
         self.library = _library(path)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
         self.parts = _Parts(self.library.model)
+        ends = [self._word(x) for x in ENDS]
+        self.words, self.flat = pa.array(ENDS, pa.large_string()), np.frombuffer(b"".join(ends), "<u4")
+        self.size, self.met, self.turn = np.array(list(map(len, ends))) // 4, np.full(len(ENDS), np.iinfo(np.int64).max), 0
 
     def _word(self, word: str) -> bytes:
         if self.plain.fullmatch(word) and not ("<" in word and self.special.search(word)):
             low = word.lower()
-            return self.parts[low] if low.isalpha() else b"".join([self.parts[x] for x in self.cut.findall(low)])
+            return self.parts.made(low) if low.isalpha() else b"".join([self.parts[x] for x in self.cut.findall(low)])
         return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Each text's number of words, each word's place among the distinct ones, and their ids."""
-        words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-        flat = pc.dictionary_encode(words.flatten())
-        return pc.list_value_length(words).to_numpy().astype(np.int64), flat.indices.to_numpy(), list(map(self._word, flat.dictionary.to_pylist()))
+    def _forget(self) -> None:
+        """Long words go, and of too many those that weren't met for longest."""
+        if len(self.met) > MEMO_WORDS:
+            self.met[np.argsort(self.met, kind="stable")[: -(MEMO_WORDS // 2)]] = -1
+        keep = self.met >= 0
+        if not keep.all():
+            self.words, self.flat = self.words.filter(pa.array(keep)), self.flat[np.repeat(keep, self.size)]
+            self.size, self.met = self.size[keep], self.met[keep]
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """The place of each of these different words in the table, to which new ones are added."""
+        self._forget()
+        self.turn += 1
+        place = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(place))
+        place = pc.fill_null(place, -1).to_numpy().astype(np.int64)
+        seen = place >= 0
+        place[~seen] = np.arange(len(self.met), len(self.met) + len(new))
+        ids = list(map(self._word, new.to_pylist()))
+        self.words = pa.concat_arrays([self.words, new])
+        self.flat = np.append(self.flat, np.frombuffer(b"".join(ids), "<u4"))
+        self.size = np.append(self.size, np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+        self.met = np.append(self.met, np.zeros(len(ids), np.int64))
+        turn = np.where(pc.binary_length(words).to_numpy() <= MEMO_LONGEST, self.turn + MEMO_AGAIN * seen, -1)
+        self.met[place] = np.where(place < len(ENDS), self.met[place], turn)
+        return place
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row as 32-bit integers, and where each text ends."""
-        n_words, place, ids = self._words(texts)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        first, of_word = np.cumsum(size) - size, size[place]
+        words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        each = pc.dictionary_encode(words.flatten())
+        n_words = pc.list_value_length(words).to_numpy().astype(np.int64)
+        distinct = each.dictionary
+        letters = pc.match_substring_regex(distinct, LETTERS)
+        stems = pc.dictionary_encode(pc.if_else(letters, pc.ascii_rtrim(pc.utf8_lower(distinct), ".,"), distinct))
+        pair = np.zeros((len(distinct), 2), np.int64)
+        pair[:, 0] = self._places(stems.dictionary)[stems.indices.to_numpy()]
+        for place, sign in enumerate(ENDS):
+            if sign:
+                pair[pc.and_(letters, pc.ends_with(distinct, sign)).to_numpy(zero_copy_only=False), 1] = place
+        place = pair[each.indices.to_numpy()].ravel()
+        first, of_word = (np.cumsum(self.size) - self.size)[place], self.size[place]
         ends = np.cumsum(of_word)
-        at = np.repeat(first[place] - ends + of_word, of_word) + np.arange(of_word.sum())
-        return np.frombuffer(b"".join(ids), "<u4")[at], np.append(0, ends)[np.cumsum(n_words)]
+        at = np.repeat(first - ends + of_word, of_word) + np.arange(of_word.sum())
+        return self.flat[at], np.append(0, ends)[np.cumsum(2 * n_words)]
 
 
 class Library:

@@ -171,6 +171,32 @@ def test_token_counts(docs, rows, name, monkeypatch):
     assert got == sorted((i, len((t or "").encode()), count(t or ""), count(t or "") > 2048) for i, t in rows)
 
 
+def test_common_words_are_made_once(library, monkeypatch):
+    """Words that come back in every batch stay known while others fill the worker's memory, and all ids are the library's."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "MEMO_PARTS", 100)
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 100, raising=False)
+    enc = tokens.encoder(queries.tokenizer_path(), need_ids=True).__class__(queries.tokenizer_path())
+    made, model = collections.Counter(), enc.parts.model
+
+    class Counted:
+        def tokenize(self, part):
+            made[part] += 1
+            return model.tokenize(part)
+
+    enc.parts.model = Counted()
+    rng, common = random.Random(5), ["common" + c * 3 for c in string.ascii_lowercase[:20]]
+    odd = ["Ünïted.", "don't", "e\u0301.", "İs,", "a.b.", "x).", "..", "3.", "<0x0A>.", "ß,", "A×b", "q" * 60 + ".", *(t.content + "." for t in library.get_added_tokens_decoder().values())]
+    for _ in range(30):
+        rare = ["".join(rng.choices(string.ascii_letters + "àÉ", k=12)) + rng.choice(["", ".", ","]) for _ in range(30)]
+        batch = [" ".join(rng.sample(common + rare + odd, 40)) for _ in range(4)] + ["", " ".join(w.title() + "." for w in common)]
+        ids, ends = enc.ids(pa.array(batch))
+        want = [library.encode(t, add_special_tokens=False).ids for t in batch]
+        assert ids.tolist() == sum(want, []) and list(ends) == list(itertools.accumulate(map(len, want)))
+    assert [made[w] for w in common] == [1] * len(common)
+
+
 def test_long_texts_are_cut_safely(library):
     from tokenizers import Tokenizer
 
