@@ -2,6 +2,7 @@
 
 import datetime as dt
 import glob
+import gzip
 import hashlib
 import itertools
 import math
@@ -472,6 +473,35 @@ def test_content_hash(spark, tmp_path):
     assert archive.version_of(frame, ["k"], ["f"]).first() != archive.version_of(spark.createDataFrame([(1, "b"), (2, "a")], "k int, f string"), ["k"], ["f"]).first()
 
 
+def test_content_hash_of_large_files(spark, tmp_path):
+    """Files beyond a size are read by many tasks, and every byte counts: hashes of blocks, of lists of blocks, of the file."""
+    rng, sha = random.Random(3), lambda x: hashlib.sha256(x).hexdigest()
+    made = {"r+ a%20b": rng.randbytes(70_000), "lines": b"\n" * 5000, "end": b"ab\r\n" * 900 + b"\n", "none": b"x" * 3000, "mark": b"\xef\xbb\xbf" + rng.randbytes(3000), "marked": b"\xef\xbb\xbf" + b"q\n" * 1000, "small": b"s" * 1000, "z.gz": gzip.compress(rng.randbytes(4000))}
+    for n, x in made.items():
+        (tmp_path / n).write_bytes(x)
+
+    def of_file(name, x, block=64):
+        if len(x) <= 1000 or name.endswith(".gz"):
+            return sha(x)
+        blocks = [sha(x[i : i + block]) for i in range(0, len(x), block)]
+        return sha("\n".join(sha("\n".join(blocks[i : i + archive.LISTED]).encode()) for i in range(0, len(blocks), archive.LISTED)).encode())
+
+    groups = {}
+    for h in (sha(f"{n}:{of_file(n, x)}".encode()) for n, x in made.items()):
+        groups.setdefault(h[:4], []).append(h)
+    want = sha("\n".join(sorted(p + sha("\n".join(sorted(v)).encode()) for p, v in groups.items())).encode())
+    names = {"spark.sql.files.maxPartitionBytes": ["1000", "128m"], "spark.sql.files.openCostInBytes": ["1", "1"]}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for values in zip(*names.values()):
+            for k, v in zip(names, values):
+                spark.conf.set(k, v)
+            assert archive.content_hash(spark, str(tmp_path), large=1000, block=64).first()["content_hash"] == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_flags_are_resolved_by_people(spark):
     flags = spark.createDataFrame([(1, "pending"), (2, "pending")], "flag_id int, resolution string")
     of = lambda *rows: spark.createDataFrame(list(rows), "flag_id int, resolution string, resolved_by string, resolved_at int")
