@@ -304,7 +304,8 @@ def repeated_places(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     if sub:
         entries = _finer(entries, ENTRY, lambda r: 8 * len(r["aligned"] or b""), deal_entries)
     found = entries.groupBy("bucket").applyInArrow(probe, "doc_id long, hits binary")
-    found = found.groupBy("doc_id").agg(F.collect_list("hits").alias("hits"))
+    # Written before it meets the texts, so that the entries' shuffle is gone by then; so are the places.
+    found = materialise(found.groupBy("doc_id").agg(F.collect_list("hits").alias("hits")), compression="zstd")
     maybe = materialise(base.join(found, "doc_id"), compression="zstd")
 
     def window_buckets(raw: np.ndarray, n: int) -> np.ndarray:
@@ -367,7 +368,8 @@ def repeated_places(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     if sub:
         windows = _finer(windows, WINDOW, lambda r: len(r["digest"] or b"") // 16, deal_windows)
     places = windows.groupBy("bucket").applyInArrow(extend, "doc_id long, th long, places binary")
-    return maybe.select("doc_id", "th", "text"), places.groupBy("doc_id", "th").agg(F.collect_list("places").alias("places"))
+    places = places.groupBy("doc_id", "th").agg(F.collect_list("places").alias("places"))
+    return maybe.select("doc_id", "th", "text"), materialise(places, compression="zstd")
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ import math
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barquet.llm import decontamination, exact_dedup, packing, pii, quality, queries, sharding, simhash, substring_dedup, tokens, url_filters
+from barquet.llm import common, decontamination, exact_dedup, packing, pii, quality, queries, sharding, simhash, substring_dedup, tokens, url_filters
 
 SCHEMA = "doc_id long, text string, h string, n int, w string, th string"
 
@@ -559,6 +560,25 @@ def test_repeats_of_a_line_in_every_document(spark, monkeypatch, coarse):
     assert sorted(map(tuple, substring_dedup.repeats(df).collect())) == repeats_by_hand(rows)
 
 
+def shuffles(spark):
+    """The shuffles that have files on disk."""
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+    return set(re.findall(r"shuffle_(\d+)_", blocks))
+
+
+def test_steps_leave_no_shuffle_on_disk(spark, docs):
+    setting = spark.conf.get(common.CLEAN_UP, "false")
+    before = shuffles(spark)
+    assert common.materialise(docs.groupBy("h").count()).collect()
+    texts, places = substring_dedup.repeated_places(docs)
+    end = time.time() + 20
+    while len(shuffles(spark) - before) > 1 and time.time() < end:  # they go in the background
+        time.sleep(0.2)
+    assert len(shuffles(spark) - before) <= 1  # that of the text's size, a number a partition
+    assert spark.conf.get(common.CLEAN_UP, "false") == setting
+    assert places.count() > 3 and texts.count() > 3
+
+
 def test_repeat_edges(spark, none):
     assert substring_dedup.repeats(none).count() == 0
     long = " ".join(f"w{i}" for i in range(20))
