@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions_for
+from .common import lean, materialise, partitions_for
 from .tokens import by_bytes, encoder
 
 GROUP_PIECES = 4096
@@ -84,7 +84,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: in
 
     narrow = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = f"id {narrow.schema['id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
-    return narrow.mapInArrow(cut, schema).withColumnRenamed("id", "doc_id")
+    return narrow.mapInArrow(lean(cut), schema).withColumnRenamed("id", "doc_id")
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, seed: int = 0, group_pieces: int = GROUP_PIECES, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lean, materialise
 
 #: Bounds of what the driver fits on: rows of each label, and bytes that each dictionary is trained on.
 SAMPLE_ROWS = 3000
@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: Classifier, threshold: float = 0.3, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(~learnable(id_col), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return narrow.mapInArrow(lean(run), f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Classifier, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -192,4 +192,4 @@ def keep_good(docs: DataFrame, model: Classifier, threshold: float = 0.3, text_c
             d = np.array([m.difference(compressors, t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts])
             yield batch.filter(pa.array(m.calibrated(d) >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions_for
+from .common import lean, materialise, partitions_for
 from .components import connected_components, forest
 
 #: A tile holds about this many times the square root of the number of fingerprints: work is then dealt
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, bits: int = 64, seed: int =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp binary")
+    return narrow.mapInArrow(lean(run), f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fp binary")
 
 
 def _counts(fps: np.ndarray) -> np.ndarray:
@@ -179,7 +179,7 @@ def link_forest(distinct: DataFrame, radius: int, bits: int = 64) -> DataFrame:
     # Never more than there are pairs of tiles, and a pair of tiles grows only in proportion to the fingerprints.
     tasks = min(1 + n * n // 2 // TASK_PAIRS, (last + 1) * (last + 2) // 2)
     balanced = work.select("tile", "other", "fps", "fps2").repartition(tasks, "tile", "other")
-    return balanced.mapInArrow(compare, "a binary, b binary")
+    return balanced.mapInArrow(lean(compare), "a binary, b binary")
 
 
 def near_classes(docs: DataFrame, radius: int = 4, shingle: int = 4, bits: int = 64, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,7 +289,7 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, radius: int = 63,
                 sizes.append(len(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(names, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "th", "fp", "member", "size"])
 
-    prints = materialise(narrow.mapInArrow(outline, f"doc_id {id_type}, th long, fp binary, member binary, size long"))
+    prints = materialise(narrow.mapInArrow(lean(outline), f"doc_id {id_type}, th long, fp binary, member binary, size long"))
     members = materialise(prints.groupBy("member").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("row")))
     roots = connected_components(materialise(link_forest(members.select("fp").distinct(), radius, bits)))
     placed = materialise(members.join(roots, members["fp"] == roots["node"], "left").select("member", "size", "row", F.coalesce("root", "fp").alias("root")))
@@ -313,7 +313,7 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, radius: int = 63,
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, k - at), batch.column(1).slice(at, k - at), pa.array(names, pa.binary()), pa.array(own, pa.binary())], ["root", "blocks", "member", "own"])
                     at, names, own, held = k, [], [], 0
 
-    sets = texts.select("root", "blocks", "text").mapInArrow(shingles, "root binary, blocks int, member binary, own binary")
+    sets = texts.select("root", "blocks", "text").mapInArrow(lean(shingles), "root binary, blocks int, member binary, own binary")
     block = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
     dealt = sets.select("root", "member", "own", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block"), "member", "own")
@@ -341,7 +341,7 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, radius: int = 63,
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     in_order = dealt.repartition(tasks, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    linked_sets = connected_components(materialise(in_order.mapInArrow(verify, "a binary, b binary")))
+    linked_sets = connected_components(materialise(in_order.mapInArrow(lean(verify), "a binary, b binary")))
     rooted = linked_sets.join(members, linked_sets["node"] == members["member"]).select("root", "member", "first_id")
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     moved = materialise(rooted.join(smallest, "root").select("member", "component_id"))

@@ -12,6 +12,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -137,6 +138,23 @@ def test_packing_in_groups(docs, rows, library):
     assert all(len(r["ids"]) == r["length"] for r in out) and len({r["sequence_id"] >> 31 for r in out}) > 3
 
 
+def test_workers_hand_back_memory(docs, monkeypatch):
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            Pool.released += 1
+
+    given, whole = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: given.append(f) or whole(self, f, schema))
+    packing.token_pieces(docs, queries.tokenizer_path())
+    simhash.fingerprints(docs)
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one", "one two"])], ["id", "text"])
+    for k, run in enumerate(given, 1):
+        assert sum(out.num_rows for out in run(iter([batch]))) == 2 and Pool.released == k
+
+
 def test_first_fit_decreasing_by_brute_force():
     rng = random.Random(3)
     for _ in range(30):
