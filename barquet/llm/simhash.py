@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .candidates import TOKEN, candidate_links
 from .common import lean, materialise, partitions_for
 from .components import connected_components, forest
 
@@ -261,9 +262,12 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, radius: int = 63,
     deviation of 6, so 63 lies four deviations beyond. What fingerprints connect
     is then compared shingle by shingle, so no pair under the similarity links.
 
-    1. One scan gives each document's fingerprint and the hash of its set.
-       Equal sets are one member from here on, however many copies there are.
-    2. Tiled comparison gives a forest of fingerprints within the radius.
+    1. One scan gives each document's fingerprint, the hash of its set and its
+       shingles in 32 bits. Equal sets are one member from here on, however
+       many copies there are.
+    2. Only sets that share one of their rarest shingles can be so similar:
+       those meet (``candidates``), and a forest of fingerprints within the
+       radius is left.
     3. Only members of its components that aren't alone have their texts read
        again and cut into shingles. A component is dealt in blocks of about
        ``BLOCK_HASHES`` shingles; each pair of its blocks is compared in one
@@ -281,17 +285,22 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, radius: int = 63,
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, names, sizes = [], [], []
-            for t in batch.column(2):
+            at, fps, names, sizes, tokens, held = 0, [], [], [], [], 0
+            for k, t in enumerate(batch.column(2), 1):
                 own = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle, seed)
                 fps.append(_majority([own[i : i + SLICE] for i in range(0, len(own), SLICE)], words).astype(">u8").tobytes())
                 names.append(xxhash.xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(names, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "th", "fp", "member", "size"])
-
-    prints = materialise(narrow.mapInArrow(lean(outline), f"doc_id {id_type}, th long, fp binary, member binary, size long"))
+                tokens.append((own >> np.uint64(32)).astype(TOKEN).tobytes())
+                held += len(own)
+                if held > BLOCK_HASHES or k == batch.num_rows:
+                    columns = [pa.array(fps, pa.binary()), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, k - at), batch.column(1).slice(at, k - at), *columns], ["doc_id", "th", "fp", "member", "size", "tokens"])
+                    at, fps, names, sizes, tokens, held = k, [], [], [], [], 0
+
+    prints = materialise(narrow.mapInArrow(lean(outline), f"doc_id {id_type}, th long, fp binary, member binary, size long, tokens binary"))
     members = materialise(prints.groupBy("member").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "th")).alias("row")))
-    roots = connected_components(materialise(link_forest(members.select("fp").distinct(), radius, bits)))
+    roots = connected_components(candidate_links(prints, similarity, radius, bits))
     placed = materialise(members.join(roots, members["fp"] == roots["node"], "left").select("member", "size", "row", F.coalesce("root", "fp").alias("root")))
     together = placed.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("hashes")).filter("n > 1")
     together = materialise(together.select("root", F.greatest(F.lit(1), F.ceil(F.col("hashes") / BLOCK_HASHES).cast("int")).alias("blocks")))
